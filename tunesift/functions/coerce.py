@@ -13,7 +13,7 @@ def _c(c) -> Column:
 
 def coerce_int_zero(c) -> Column:
     """To number, truncate, bad or null -> 0 (pandas to_numeric + fillna(0))."""
-    return F.coalesce(_c(c).cast("string").try_cast("double").cast("int"), F.lit(0))
+    return F.coalesce(_c(c).cast("string").try_cast("double").try_cast("int"), F.lit(0))
 
 
 def explicit_flag(c, dtype: DataType | None = None) -> Column:

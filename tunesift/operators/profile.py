@@ -1,10 +1,225 @@
-"""Descriptive analytics."""
+"""Descriptive analytics.
+
+Every profile is an aggregation that combines map-side (partial aggregates),
+so the shuffle carries one row per group and partition, never the raw rows.
+Windows run only on results that are already aggregates (years, clusters).
+"""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
+
+from tunesift.functions import text
 
 
 def duration_min(c="duration_ms"):
     """Minutes from milliseconds."""
     return F.col(c) / F.lit(60000.0)
+
+
+def genre_tokens(df: DataFrame, col: str = "artist_genres", keep: tuple[str, ...] = ()) -> DataFrame:
+    """B11 exploded: one row per genre token (bag semantics)."""
+    return df.select(*keep, F.explode(text.split_genres(col)).alias("genre"))
+
+
+def top_counts(df: DataFrame, key: str, n: int | None, name: str | None = None) -> DataFrame:
+    """``value_counts().head(n)`` with a unique tie-break (count desc, key asc)."""
+    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("count"))
+    if name:
+        out = out.withColumnRenamed(key, name)
+        key = name
+    out = out.orderBy(F.col("count").desc(), F.col(key).asc())
+    return out.limit(int(n)) if n else out
+
+
+def kpis(meta: DataFrame) -> DataFrame:
+    """H1: songs, artists, year span over years > 0, explicit %, distinct genre tokens."""
+    base = meta.agg(
+        F.count(F.lit(1)).alias("songs"),
+        F.count_distinct("artist_name").alias("artists"),
+        F.min(F.when(F.col("release_year") > 0, F.col("release_year"))).alias("min_year"),
+        F.max(F.when(F.col("release_year") > 0, F.col("release_year"))).alias("max_year"),
+        F.round(F.avg((F.col("explicit") == 1).cast("double")) * 100.0, 4).alias("explicit_pct"))
+    g = genre_tokens(meta).agg(F.count_distinct("genre").alias("genre_tokens"))
+    return base.crossJoin(g)  # two one-row aggregates
+
+
+def genre_counts(meta: DataFrame, top_n: int | None = 30) -> DataFrame:
+    """H2: top-N genre tokens."""
+    return top_counts(genre_tokens(meta), "genre", top_n)
+
+
+def genre_vocab(meta: DataFrame, top_k: int = 200) -> DataFrame:
+    """H3: the top-200 token names (the multiselect options)."""
+    return genre_counts(meta, top_k).select("genre")
+
+
+def year_counts(meta: DataFrame, col: str = "release_year") -> DataFrame:
+    """H4: rows per known year (> 0), ascending."""
+    return (meta.filter(F.col(col) > 0).groupBy(F.col(col).alias("year"))
+                .agg(F.count(F.lit(1)).alias("count")).orderBy("year"))
+
+
+def year_counts_smoothed(meta: DataFrame, col: str = "release_year") -> DataFrame:
+    """H5: centred 3-row rolling mean (partial at the edges), by row not by year
+    gap; only when there are at least three years.  The window runs on the
+    per-year aggregate (about a hundred rows), not on the catalogue."""
+    yc = year_counts(meta, col)
+    w = W.orderBy("year")
+    sm = yc.withColumn("smooth", F.avg("count").over(w.rowsBetween(-1, 1)))
+    n = sm.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
+    return n.filter(F.col("_n") >= 3).drop("_n")
+
+
+def artist_counts(meta: DataFrame, top_n: int = 20) -> DataFrame:
+    """H6: top-N raw artist names."""
+    return top_counts(meta, "artist_name", top_n, "artist")
+
+
+def dominant_artists(meta: DataFrame, top_n: int = 20) -> DataFrame:
+    """H7: top-20 stripped artist names, blank counted as one artist."""
+    return top_counts(meta.select(text.artist_key_strip("artist_name").alias("artist")), "artist", top_n)
+
+
+def quality_table(raw: DataFrame) -> DataFrame:
+    """H8: % null and % empty string per column, one pass (Q16: run on the raw table)."""
+    aggs = []
+    for f in raw.schema.fields:
+        aggs.append(F.round(F.avg(F.col(f.name).isNull().cast("double")) * 100.0, 2).alias(f"{f.name}__m"))
+        if isinstance(f.dataType, StringType):
+            aggs.append(F.round(F.avg(F.coalesce((F.col(f.name) == "").cast("double"), F.lit(0.0))) * 100.0, 2)
+                        .alias(f"{f.name}__e"))
+        else:
+            aggs.append(F.lit(0.0).alias(f"{f.name}__e"))
+    wide = raw.agg(*aggs)
+    stack = ", ".join(f"'{f.name}', `{f.name}__m`, `{f.name}__e`" for f in raw.schema.fields)
+    return wide.selectExpr(f"stack({len(raw.columns)}, {stack}) AS (column, missing_pct, empty_string_pct)")
+
+
+def duplicate_count(raw: DataFrame, key: str = "track_id") -> DataFrame:
+    """H9: rows minus distinct keys."""
+    return raw.agg((F.count(F.lit(1)) - F.count_distinct(key)).alias("duplicates"))
+
+
+def explicit_split(meta: DataFrame, col: str = "explicit") -> DataFrame:
+    """Clean/Explicit counts; other values are dropped."""
+    lab = F.when(F.col(col) == 0, F.lit("Clean")).when(F.col(col) == 1, F.lit("Explicit"))
+    return (meta.select(lab.alias("label")).filter(F.col("label").isNotNull())
+                .groupBy("label").agg(F.count(F.lit(1)).alias("count")))
+
+
+def missing_counts(raw: DataFrame, top_n: int = 10) -> DataFrame:
+    """Nulls per column, descending, top 10 (column name breaks ties)."""
+    wide = raw.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in raw.columns])
+    long = wide.unpivot([], raw.columns, "column", "missing")
+    return long.orderBy(F.col("missing").desc(), F.col("column")).limit(int(top_n))
+
+
+def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
+    """Count, mean, sample std, min, quartiles (linear interpolation), max.
+
+    ``exact`` uses ``percentile`` (a counter per distinct value, merged at the
+    end); for high-cardinality columns at scale pass ``exact=False`` to use the
+    bounded-memory ``percentile_approx`` sketch instead."""
+    cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    parts = []
+    for c in cols:
+        x = F.col(c).cast("double")
+        if exact:
+            q = [F.percentile(x, p) for p in (0.25, 0.5, 0.75)]
+        else:
+            q = [F.percentile_approx(x, p, 10000) for p in (0.25, 0.5, 0.75)]
+        parts.append(df.agg(
+            F.lit(c).alias("column"), F.count(x).alias("count"), F.round(F.avg(x), 4).alias("mean"),
+            F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("min"),
+            F.round(q[0], 4).alias("q25"), F.round(q[1], 4).alias("q50"), F.round(q[2], 4).alias("q75"),
+            F.max(x).alias("max")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def table_overview(df: DataFrame) -> DataFrame:
+    """Rows, columns and column names."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(len(df.columns)).alias("columns"), F.lit(",".join(df.columns)).alias("column_names"))
+
+
+def explicit_share_by_year(meta: DataFrame) -> DataFrame:
+    """Mean explicit per year, year 0 included."""
+    return meta.groupBy(F.col("release_year").alias("year")).agg(
+        F.round(F.avg((F.col("explicit") == 1).cast("double")), 6).alias("explicit_share"))
+
+
+def data_check(lab: DataFrame) -> DataFrame:
+    """Rows, distinct artists, distinct titles, rows with genres (Q17)."""
+    return lab.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("artist_name").alias("artists"),
+                   F.count_distinct("track_name").alias("tracks"),
+                   F.count_if(F.length("artist_genres") > 0).alias("rows_with_genres"))
+
+
+def main_genre_top(df: DataFrame, top_n: int = 15) -> DataFrame:
+    """Top-15 of the naive main genre."""
+    return top_counts(df.select(text.main_genre_naive("artist_genres").alias("main_genre")), "main_genre", top_n)
+
+
+def equal_width_histogram(df: DataFrame, x, bins: int = 30) -> DataFrame:
+    """Equal-width bins between min and max, last edge inclusive.
+
+    The bounds are a one-row aggregate broadcast to the rows; the counts are
+    then one more partial aggregation (``bins`` groups)."""
+    xv = x if not isinstance(x, str) else F.col(x)
+    vals = df.select(xv.cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    b = vals.agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    width = (F.col("_hi") - F.col("_lo"))
+    idx = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_x") - F.col("_lo")) / width * bins), F.lit(bins - 1))).cast("int")
+    j = vals.crossJoin(F.broadcast(b)).select(idx.alias("bin"), "_lo", "_hi")
+    return (j.groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("count"))
+             .select("bin",
+                     F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("bin") / bins, 6).alias("lo"),
+                     F.round(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("bin") + 1) / bins, 6).alias("hi"),
+                     "count"))
+
+
+def duration_histogram(df: DataFrame, bins: int = 30) -> DataFrame:
+    """30 equal bins of duration in minutes."""
+    return equal_width_histogram(df, duration_min("duration_ms"), bins)
+
+
+def duration_kde(df: DataFrame, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
+    """Gaussian kernel density of duration (minutes), Scott's bandwidth
+    ``std * n^(-1/5)`` on a grid of ``gridsize`` points from min - cut*bw to
+    max + cut*bw.
+
+    Each row fans out to the fixed ``gridsize`` grid points (``posexplode`` of
+    a generated array) and the kernel sums are a partial aggregation by grid
+    index, so the work is linear in the rows; nothing is paired."""
+    x = duration_min("duration_ms").alias("_x")
+    vals = df.select(x).filter(F.col("_x").isNotNull())
+    st = vals.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
+                  F.min("_x").alias("_lo"), F.max("_x").alias("_hi")) \
+             .withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    g0 = F.col("_lo") - F.lit(cut) * F.col("_bw")
+    step = ((F.col("_hi") - F.col("_lo")) + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1)
+    j = vals.crossJoin(F.broadcast(st))
+    fan = j.select("_x", "_n", "_bw", g0.alias("_g0"), step.alias("_step"),
+                   F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
+    gx = F.col("_g0") + F.col("i") * F.col("_step")
+    kern = F.exp(F.lit(-0.5) * F.pow((gx - F.col("_x")) / F.col("_bw"), 2))
+    return (fan.groupBy("i").agg(F.first(gx).alias("x"), F.sum(kern).alias("_k"),
+                                  F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
+               .select("i", F.round("x", 6).alias("x"),
+                       F.round(F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))), 8)
+                       .alias("density")))
+
+
+def unpivot_long(df: DataFrame, ids: list[str], values: list[str], var: str = "series",
+                 val: str = "value") -> DataFrame:
+    """Wide -> long."""
+    return df.unpivot(ids, values, var, val)
