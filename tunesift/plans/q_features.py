@@ -157,31 +157,39 @@ def query_rows(m):
     return m.orderBy(F.md5("track_id"), "track_id").limit(1)
 
 
-def _query_sql(normalize: bool):
-    # fit on the catalogue, vectorise the query row with the query weights
-    fit = "".join(block_ctes(s) for s in CFG.active_blocks()) + numeric_ctes()
+def query_ctes(qcfg: FeatureConfig = QCFG, pick_sql: str = QUERY_PICK_SQL, name: str = "qvec",
+               normalize: bool = True) -> str:
+    """CTEs vectorising the picked meta rows with the fitted vocabularies
+    (``voc_*``) and statistics (``st``) under the query weights ``qcfg``."""
     q = f""",
- q AS (SELECT * FROM meta WHERE track_id IN {QUERY_PICK_SQL})"""
+ q AS (SELECT * FROM meta WHERE track_id IN {pick_sql})"""
     parts = []
-    wts = QCFG.weights()
-    for s in CFG.active_blocks():
+    wts = qcfg.weights()
+    for s in qcfg.active_blocks():
         b = s.name
         parts.append(f""",
  qt_{b} AS (SELECT track_id, unnest({terms_sql('t', *s.ngram)}) AS term FROM (SELECT track_id, regexp_extract_all({doc_sql(s)}, '[\\p{{L}}\\p{{N}}_]+') AS t FROM q)),
  qtf_{b} AS (SELECT track_id, term, count(*) AS tf FROM qt_{b} GROUP BY track_id, term),
  qw0_{b} AS (SELECT track_id, term, tf * idf AS w FROM qtf_{b} JOIN voc_{b} USING (term)),
  qw_{b} AS (SELECT track_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY track_id)) * {wts[b]} AS value FROM qw0_{b})""")
-    nw = QCFG.numeric_weight
-    union = " UNION ALL ".join([f"SELECT track_id, '{s.name}:' || term AS key, value FROM qw_{s.name}" for s in CFG.active_blocks()] +
+    nw = qcfg.numeric_weight
+    union = " UNION ALL ".join([f"SELECT track_id, '{s.name}:' || term AS key, value FROM qw_{s.name}" for s in qcfg.active_blocks()] +
                                [f"SELECT track_id, 'n:year', (release_year - ym) / ys * {nw} FROM q, st",
                                 f"SELECT track_id, 'n:explicit', (explicit - em) / es * {nw} FROM q, st"])
     tail = f""",
- qv AS (SELECT * FROM ({union}) u(track_id, key, value) WHERE value <> 0)"""
+ {name}_raw AS (SELECT * FROM ({union}) u(track_id, key, value) WHERE value <> 0)"""
     if normalize:
-        sel = " SELECT track_id, key, round(value / sqrt(sum(value * value) OVER (PARTITION BY track_id)), 6) AS value FROM qv"
+        tail += f""",
+ {name} AS (SELECT track_id, key, value / sqrt(sum(value * value) OVER (PARTITION BY track_id)) AS value FROM {name}_raw)"""
     else:
-        sel = " SELECT track_id, key, round(value, 6) AS value FROM qv"
-    return with_(META) + fit + q + "".join(parts) + tail + sel
+        tail += f""",
+ {name} AS (SELECT * FROM {name}_raw)"""
+    return q + "".join(parts) + tail
+
+
+def _query_sql(normalize: bool):
+    return (with_(META) + content_ctes(CFG) + query_ctes(QCFG, normalize=normalize) +
+            " SELECT track_id, key, round(value, 6) AS value FROM qvec")
 
 
 @register("d10_query_vector", _query_sql(True))

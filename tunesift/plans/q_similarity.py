@@ -1 +1,197 @@
-"""(filled in below)"""
+"""Similarity and recommendation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunesift.config import FeatureConfig, RecommendParams
+from tunesift.operators import features as FE
+from tunesift.operators import search as S
+from tunesift.operators import similarity as SIM
+from tunesift.plans.q_features import QCFG, QUERY_PICK_SQL, query_ctes, query_rows
+from tunesift.plans.registry import register
+from tunesift.plans.sqlfrag import META, with_
+from tunesift.plans.sqlfrag_features import content_ctes
+from tunesift.sources import fixtures as fx
+from tunesift.sources.tables import table
+
+CFG = FeatureConfig()
+REC = RecommendParams()
+VIEW_YEARS = (1993, 1998)
+N_SEEDS = 200
+SEED_STATE = 42
+KFETCH = REC.top_k + REC.overfetch
+
+
+def content(spark, sf, cfg=CFG):
+    meta = fx.meta(spark, sf)
+    model = FE.fit_content(meta, cfg)
+    return meta, model, model.normalized_long()
+
+
+def sample_seeds(df, n=N_SEEDS, state=SEED_STATE, id_col="track_id"):
+    """G1: n distinct rows in seeded hash order (all rows when n >= rows)."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{state}:"), F.col(id_col).cast("string"))), id_col).limit(int(n))
+
+
+SEEDS_SQL = f"(SELECT track_id FROM meta ORDER BY md5(concat('{SEED_STATE}:', track_id)), track_id LIMIT {N_SEEDS})"
+BASE = with_(META) + content_ctes(CFG)
+OUT_COLS = "seed_id, rank, score, track_name, artist_name, artist_genres, release_year, explicit, track_id, url"
+
+
+def _single_candidates(spark, sf, k=KFETCH):
+    """E1 (index weights): nearest ``k`` items to the query track, self included."""
+    meta, model, idx = content(spark, sf)
+    q = query_rows(meta)
+    qv = FE.transform_rows(model, q, CFG).select("key", "value")
+    cands = SIM.knn_cosine(idx, qv, k)
+    return meta, cands.crossJoin(F.broadcast(q.select(F.col("track_id").alias("seed_id"))))
+
+
+CAND_SQL = BASE + query_ctes(CFG) + f""",
+ sc AS (SELECT cv.track_id, sum(cv.value * qvec.value) AS score FROM cv JOIN qvec USING (key) GROUP BY cv.track_id),
+ cand AS (SELECT {QUERY_PICK_SQL} AS seed_id, track_id, score FROM sc ORDER BY round(score, 4) DESC, track_id LIMIT {KFETCH})"""
+
+
+def _finish_sql(src: str, view: bool, thr: float, diversify: bool, k: int = REC.top_k) -> str:
+    where = ["c.seed_id <> c.track_id", f"c.score >= {thr}"]
+    if view:
+        where.append(f"m.release_year BETWEEN {VIEW_YEARS[0]} AND {VIEW_YEARS[1]}")
+    akey = "lower(regexp_replace(m.artist_name, '^\\s+|\\s+$', '', 'g'))"
+    f = f""",
+ f AS (SELECT c.seed_id, c.score, m.track_name, m.artist_name, m.artist_genres, m.release_year, m.explicit, c.track_id,
+         {akey} AS akey FROM {src} c JOIN meta m USING (track_id) WHERE {' AND '.join(where)})"""
+    if diversify:
+        f += """,
+ f1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, akey ORDER BY round(score, 4) DESC, track_id) AS r1
+        FROM f WHERE akey <> '') WHERE r1 = 1)"""
+        src2 = "f1"
+    else:
+        src2 = "f"
+    return f + f"""
+ SELECT * FROM (SELECT seed_id, CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, track_id) AS INT) AS rank,
+   round(score, 4) AS score, track_name, artist_name, artist_genres, release_year, explicit, track_id,
+   'https://example.org/track/' || track_id AS url FROM {src2}) WHERE rank <= {k}"""
+
+
+def _view(meta):
+    return S.filter_year(meta, *VIEW_YEARS)
+
+
+@register("e1_knn_cosine", BASE + query_ctes(QCFG) + f"""
+ SELECT cv.track_id, round(sum(cv.value * qvec.value), 4) AS score FROM cv JOIN qvec USING (key)
+ WHERE cv.track_id NOT IN {QUERY_PICK_SQL} GROUP BY cv.track_id ORDER BY score DESC, cv.track_id LIMIT 10""")
+def e1_knn_cosine(spark, sf):
+    """E1 + E3 + E4 with query weights that differ from the index weights (Q6)."""
+    meta, model, idx = content(spark, sf)
+    q = query_rows(meta)
+    qv = FE.transform_rows(model, q, QCFG).select("key", "value")
+    return SIM.knn_cosine(idx, qv, 10, exclude=q).select("track_id", SIM.rounded("score").alias("score"))
+
+
+@register("e3_exclude_self", CAND_SQL + """
+ SELECT seed_id, track_id, round(score, 4) AS score FROM cand WHERE seed_id <> track_id""")
+def e3_exclude_self(spark, sf):
+    _, cands = _single_candidates(spark, sf)
+    return cands.filter(F.col("seed_id") != F.col("track_id")).select(
+        "seed_id", "track_id", SIM.rounded("score").alias("score"))
+
+
+@register("e4_score", CAND_SQL + """
+ SELECT track_id, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY round(score, 4) DESC, track_id) AS INT) AS pos
+ FROM cand""")
+def e4_score(spark, sf):
+    from pyspark.sql import Window as W
+    _, cands = _single_candidates(spark, sf)
+    # the candidates are one query's top_k + 50: an aggregate-sized input
+    w = W.orderBy(SIM.rounded("score").desc(), F.col("track_id"))
+    return cands.select("track_id", SIM.rounded("score").alias("score"),
+                        F.row_number().over(w).cast("int").alias("pos"))
+
+
+@register("e5_restrict_to_view", CAND_SQL + f"""
+ SELECT c.seed_id, c.track_id, round(c.score, 4) AS score FROM cand c JOIN meta m USING (track_id)
+ WHERE m.release_year BETWEEN {VIEW_YEARS[0]} AND {VIEW_YEARS[1]}""")
+def e5_restrict_to_view(spark, sf):
+    meta, cands = _single_candidates(spark, sf)
+    return SIM.restrict_to_view(cands, _view(meta)).select("seed_id", "track_id", SIM.rounded("score").alias("score"))
+
+
+@register("e6_score_threshold", CAND_SQL + """
+ SELECT seed_id, track_id, round(score, 4) AS score FROM cand WHERE score >= 0.9""")
+def e6_score_threshold(spark, sf):
+    _, cands = _single_candidates(spark, sf)
+    return cands.filter(F.col("score") >= 0.9).select("seed_id", "track_id", SIM.rounded("score").alias("score"))
+
+
+@register("e7_diversify_by_artist", CAND_SQL + _finish_sql("cand", False, -2.0, True))
+def e7_diversify_by_artist(spark, sf):
+    meta, cands = _single_candidates(spark, sf)
+    return SIM.finish_recommendations(cands, meta, None, REC.top_k, -2.0, True)
+
+
+@register("e8_top_k", CAND_SQL + _finish_sql("cand", False, -2.0, False))
+def e8_top_k(spark, sf):
+    meta, cands = _single_candidates(spark, sf)
+    return SIM.finish_recommendations(cands, meta, None, REC.top_k, -2.0, False)
+
+
+@register("e9_recommend", CAND_SQL + _finish_sql("cand", True, REC.score_threshold, True))
+def e9_recommend(spark, sf):
+    """One query, view 1993-1998, threshold .20, one per artist, top 10."""
+    meta, cands = _single_candidates(spark, sf)
+    return SIM.finish_recommendations(cands, meta, _view(meta), REC.top_k, REC.score_threshold, True)
+
+
+# ---- batch -------------------------------------------------------------------
+
+def batch_candidates(spark, sf, k, exclude_self):
+    meta, model, idx = content(spark, sf)
+    seeds = sample_seeds(meta)
+    index = SIM.index_rows(idx)
+    seed_index = index.join(F.broadcast(seeds.select("track_id")), "track_id", "left_semi")
+    return meta, SIM.knn_batch(spark, index, seed_index, k, exclude_self=exclude_self)
+
+
+BATCH_SQL = BASE + f""",
+ sv AS (SELECT track_id AS seed_id, key, value AS qvalue FROM cv WHERE track_id IN {SEEDS_SQL}),
+ bs AS (SELECT sv.seed_id, cv.track_id, sum(cv.value * sv.qvalue) AS score FROM sv JOIN cv USING (key)
+        GROUP BY sv.seed_id, cv.track_id)"""
+
+
+@register("e2_knn_batch", BATCH_SQL + """
+ SELECT * FROM (SELECT seed_id, track_id, round(score, 4) AS score,
+   CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, track_id) AS INT) AS rank
+   FROM bs WHERE seed_id <> track_id) WHERE rank <= 10""")
+def e2_knn_batch(spark, sf):
+    _, nn = batch_candidates(spark, sf, 10, True)
+    return nn.select("seed_id", "track_id", SIM.rounded("score").alias("score"), F.col("rank").cast("int"))
+
+
+@register("e10_recommend_batch", BATCH_SQL + f""",
+ bc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, track_id) AS r0 FROM bs)
+        WHERE r0 <= {KFETCH})""" + _finish_sql("bc", True, REC.score_threshold, True))
+def e10_recommend_batch(spark, sf):
+    meta, cands = batch_candidates(spark, sf, KFETCH, False)
+    return SIM.finish_recommendations(cands.drop("rank"), meta, _view(meta), REC.top_k, REC.score_threshold, True)
+
+
+# ---- dense ---------------------------------------------------------------------
+
+N_DENSE_SEEDS = 20
+
+
+@register("e12_knn_dense", f"""
+ WITH s AS (SELECT vec_id, embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {N_DENSE_SEEDS}),
+ p AS (SELECT CAST(s.vec_id AS VARCHAR) AS seed_id, CAST(e.vec_id AS VARCHAR) AS vec_id,
+         list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
+         / (sqrt(list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])))
+            * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) AS score
+       FROM s, embeddings e WHERE s.vec_id <> e.vec_id)
+ SELECT * FROM (SELECT seed_id, vec_id, round(score, 4) AS score,
+   CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 10""")
+def e12_knn_dense(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    seeds = emb.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(N_DENSE_SEEDS)
+    nn = SIM.knn_dense(spark, emb, seeds, 10)
+    return nn.select("seed_id", "vec_id", SIM.rounded("score").alias("score"), F.col("rank").cast("int"))
