@@ -32,12 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_catalog(spark: SparkSession, path: str, fmt: str = "csv",
                  schema: T.StructType | None = None) -> DataFrame:
-    """A1: load a catalogue.  CSV gets a header and a declared schema (all
-    text, repaired later by B5-B7) so the read is one pass with no inference."""
+    """A1: load a catalogue.  CSV columns are matched by header name (only the
+    header line is read to name them; no type inference pass), cast to the
+    declared schema, and absent columns are added as nulls, so files with
+    different column sets load alike.  Whitespace inside values is kept."""
+    schema = schema or CATALOG_SCHEMA
     if fmt == "parquet":
-        return spark.read.parquet(path)
-    return (spark.read.schema(schema or CATALOG_SCHEMA)
-            .option("header", True).option("multiLine", False).csv(path))
+        df = spark.read.parquet(path)
+    else:
+        df = (spark.read.option("header", True).option("inferSchema", False)
+              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    cols = set(df.columns)
+    return df.select([(F.col(f.name).cast(f.dataType) if f.name in cols else F.lit(None).cast(f.dataType)).alias(f.name)
+                      for f in schema.fields])
 
 
 def read_seed_list(spark: SparkSession, path_glob: str, strip_notes: bool = True) -> DataFrame:
