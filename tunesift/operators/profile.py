@@ -223,3 +223,94 @@ def unpivot_long(df: DataFrame, ids: list[str], values: list[str], var: str = "s
                  val: str = "value") -> DataFrame:
     """Wide -> long."""
     return df.unpivot(ids, values, var, val)
+
+
+# ---------------------------------------------------------------------------
+# cluster profiles
+# ---------------------------------------------------------------------------
+
+def cluster_sizes(df: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Size, share and the expected mean size per cluster (k-row result)."""
+    g = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("size"))
+    tot = W.partitionBy(F.lit(1))  # over the k cluster rows only
+    return g.select(cluster, "size", (F.col("size") / F.sum("size").over(tot)).alias("share"),
+                    (F.sum("size").over(tot) / F.count(F.lit(1)).over(tot)).alias("expected_size"))
+
+
+def cluster_profile(meta: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Size, explicit share, median year (year 0 included, null ignored,
+    truncated to int)."""
+    return meta.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.avg((F.col("explicit") == 1).cast("double")).alias("explicit_share"),
+        F.median("release_year").cast("int").alias("year_median"))
+
+
+def cluster_top_genres(meta: DataFrame, n: int = 12, cluster: str = "cluster") -> DataFrame:
+    """Top tokens per cluster (count desc, token asc), ``row_number <= n``
+    planned with a partial window group limit."""
+    c = genre_tokens(meta, keep=(cluster,)).groupBy(cluster, "genre").agg(F.count(F.lit(1)).alias("count"))
+    w = W.partitionBy(cluster).orderBy(F.col("count").desc(), F.col("genre"))
+    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(n))
+
+
+def cluster_top_artists(meta: DataFrame, n: int = 10, cluster: str = "cluster") -> DataFrame:
+    """Top raw artist names per cluster."""
+    c = meta.groupBy(cluster, F.col("artist_name").alias("artist")).agg(F.count(F.lit(1)).alias("count"))
+    w = W.partitionBy(cluster).orderBy(F.col("count").desc(), F.col("artist"))
+    return c.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(n))
+
+
+def cluster_year_histogram(meta: DataFrame, bins: int = 30, cluster: str = "cluster",
+                           col: str = "release_year") -> DataFrame:
+    """Equal-width year bins inside each cluster (bounds per cluster)."""
+    v = meta.select(cluster, F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    b = v.groupBy(cluster).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    idx = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_x") - F.col("_lo")) / width * bins), F.lit(bins - 1))).cast("int")
+    return (v.join(F.broadcast(b), cluster).select(cluster, idx.alias("bin"))
+             .groupBy(cluster, "bin").agg(F.count(F.lit(1)).alias("count")))
+
+
+DIVERSITY_KS = (5, 10, 15, 20, 25, 30, 40, 50)
+
+
+def diversity_curve(neigh: DataFrame, ks=DIVERSITY_KS) -> DataFrame:
+    """For each K, distinct artists among the first K neighbours without
+    and with one-per-artist (at least 1), long form.
+
+    ``neigh`` is (rank, artist_name) of one query's neighbours.  Without
+    diversity: keys (lower) whose first rank is <= K.  With: the greedy pick
+    takes one row per stripped-lower key, so it yields min(K, #keys)."""
+    lk = F.lower(text.null_to_empty("artist_name"))
+    sk = text.artist_key_strip_lower("artist_name")
+    first = neigh.groupBy(lk.alias("_k")).agg(F.min("rank").alias("_r"))
+    nodiv = first.agg(*[F.count_if(F.col("_r") <= k).alias(f"n{k}") for k in ks])
+    ndist = neigh.agg(F.count_distinct(sk).alias("_m"))
+    wide = nodiv.crossJoin(ndist)
+    rows = None
+    for k in ks:
+        r = wide.select(F.lit(k).alias("K"), F.greatest(F.col(f"n{k}"), F.lit(1)).alias("unique_artists_no_div"),
+                        F.greatest(F.least(F.lit(k), F.col("_m")), F.lit(1)).alias("unique_artists_div"))
+        rows = r if rows is None else rows.unionByName(r)
+    return rows.unpivot(["K"], ["unique_artists_no_div", "unique_artists_div"], "var", "unique_artists")
+
+
+def cluster_compactness(points: DataFrame, cluster: str = "cluster", x: str = "x", y: str = "y") -> DataFrame:
+    """Per cluster, mean 2D distance of its points to its own centroid
+    (null below two points) and to the centroid of all other points (null if
+    none).  Computed on all rows: centroids are sums, the 'others' centroid is
+    total minus own, and the distances are one more aggregate - linear, so no
+    sampling is needed."""
+    per = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"))
+    tot = per.agg(F.sum("n").alias("tn"), F.sum("sx").alias("tx"), F.sum("sy").alias("ty"))
+    c = per.crossJoin(F.broadcast(tot)).select(
+        cluster, "n", (F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"),
+        F.when(F.col("tn") > F.col("n"), (F.col("tx") - F.col("sx")) / (F.col("tn") - F.col("n"))).alias("ox"),
+        F.when(F.col("tn") > F.col("n"), (F.col("ty") - F.col("sy")) / (F.col("tn") - F.col("n"))).alias("oy"))
+    j = points.join(F.broadcast(c), cluster)
+    d_in = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
+    d_out = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
+    return j.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(d_in).alias("_i"), F.avg(d_out).alias("_o")).select(
+        cluster, "n", F.when(F.col("n") >= 2, F.col("_i")).alias("intra"), F.col("_o").alias("extra"))

@@ -1 +1,438 @@
-"""(filled in below)"""
+"""Model queries (D7, D12, D13, E11, E13, F1-F13) and cluster profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tunesift.config import VARIANTS, BlockSpec, FeatureConfig
+from tunesift.functions import coerce, text
+from tunesift.operators import clean
+from tunesift.operators import features as FE
+from tunesift.operators import models as MD
+from tunesift.operators import profile as P
+from tunesift.operators import similarity as SIM
+from tunesift.plans.q_features import query_rows
+from tunesift.plans.q_similarity import CAND_SQL, N_DENSE_SEEDS, QUERY_PICK_SQL, content, sample_seeds
+from tunesift.plans.registry import register
+from tunesift.plans.sqlfrag import CATALOG, GENRE_TOKENS, META, with_
+from tunesift.plans.sqlfrag_features import block_ctes
+from tunesift.sources import fixtures as fx
+from tunesift.sources.tables import table
+
+K_REC = 100
+K_LAB = 12
+# a deterministic cluster id both engines compute (so profiles have an oracle)
+CL_SQL = "CAST(('0x' || substr(md5(track_id), 1, 6)) AS INTEGER) % 12"
+
+
+def _cluster_col():
+    return (F.conv(F.substring(F.md5("track_id"), 1, 6), 16, 10).cast("int") % 12).alias("cluster")
+
+
+def meta_clustered(spark, sf):
+    m = fx.meta(spark, sf)
+    return m.withColumn("cluster", _cluster_col())
+
+
+MC = with_(META) + f""",
+ mc AS (SELECT *, {CL_SQL} AS cluster FROM meta)"""
+
+
+# ---- K-Means -------------------------------------------------------------------------
+
+def _fit_kmeans(spark, sf, k=K_REC):
+    meta, model, _ = content(spark, sf)
+    vec = MD.content_vectors(model, meta)
+    return meta, model, vec, MD.kmeans_fit(vec, k)
+
+
+@register("f1_kmeans_fit", None)
+def f1_kmeans_fit(spark, sf):
+    """K-Means k=100 (recommender setting) on the unit content vectors."""
+    _, _, vec, km = _fit_kmeans(spark, sf)
+    return km.transform(vec).select("track_id", "cluster")
+
+
+@register("f3_predict_query_cluster", None)
+def f3_predict_query_cluster(spark, sf):
+    meta, model, vec, km = _fit_kmeans(spark, sf)
+    q = MD.content_vectors(model, query_rows(meta))
+    return km.transform(q).select("track_id", "cluster")
+
+
+CENTRES_SQL = """ c AS (SELECT label AS cluster, list(avg(e)) AS centre FROM (
+   SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS e FROM embeddings, range(1, 65) r(i) GROUP BY label, i ORDER BY label, i) t
+   GROUP BY label)"""
+
+
+@register("f2_kmeans_assign", """
+ WITH cen AS (SELECT label AS cluster, i, avg(CAST(embedding[i] AS DOUBLE)) AS e FROM embeddings, range(1, 65) r(i) GROUP BY label, i),
+ d AS (SELECT x.vec_id, cen.cluster, sum(pow(CAST(x.embedding[cen.i] AS DOUBLE) - cen.e, 2)) AS sq FROM embeddings x, cen
+       GROUP BY x.vec_id, cen.cluster)
+ SELECT vec_id, CAST(arg_min(cluster, (sq, cluster)) AS INT) AS cluster, round(min(sq), 6) AS sq_dist FROM d GROUP BY vec_id""")
+def f2_kmeans_assign(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    cen = MD.label_centroids(emb, "label", "embedding", 64)
+    a = MD.kmeans_assign_dense(emb, cen)
+    return a.select("vec_id", F.col("cluster").cast("int"), F.round("sq_dist", 6).alias("sq_dist"))
+
+
+@register("f4_silhouette_sampled", """
+ WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 6000),
+ sz AS (SELECT label, count(*) AS n FROM s GROUP BY label),
+ pd AS (SELECT a.vec_id, a.label AS la, b.label AS lb, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS md,
+          sum(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS sd
+        FROM s a, s b WHERE a.vec_id <> b.vec_id GROUP BY a.vec_id, a.label, b.label),
+ ab AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN sd END) AS sa, min(CASE WHEN la <> lb THEN md END) AS b FROM pd GROUP BY vec_id, la),
+ sv AS (SELECT ab.vec_id, CASE WHEN sz.n > 1 THEN ((b - coalesce(sa, 0) / (sz.n - 1)) / greatest(coalesce(sa, 0) / (sz.n - 1), b)) ELSE 0 END AS s
+        FROM ab JOIN sz ON sz.label = ab.la)
+ SELECT round(avg(s), 6) AS silhouette, count(*) AS n FROM sv""")
+def f4_silhouette_sampled(spark, sf):
+    emb = table(spark, sf, "embeddings").withColumnRenamed("label", "cluster")
+    s = MD.silhouette_sampled(spark, emb, "cluster", "embedding", "vec_id", 6000)
+    return s.select(F.round("silhouette", 6).alias("silhouette"), "n")
+
+
+@register("f5_silhouette_full", None)
+def f5_silhouette_full(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    vec = MD.dense_unit_vectors(emb).join(emb.select("vec_id", F.col("label").alias("cluster")), "vec_id")
+    val = MD.silhouette_full(vec, "cluster")
+    return spark.createDataFrame([(float(val),)], "silhouette_sq_euclid double")
+
+
+# ---- forests and the leaf space --------------------------------------------------------
+
+RF_TREES, RF_DEPTH = 20, 12   # query-sized forest; library defaults are 200 trees, depth 25
+
+
+def _rf_artist(spark, sf):
+    meta, model, _ = content(spark, sf)
+    raw = MD.content_vectors(model, meta, normalize=False).join(meta.select("track_id", "artist_name"), "track_id")
+    rf = MD.rf_fit(raw, "artist_name", RF_TREES, RF_DEPTH, 1)
+    return meta, model, raw, rf
+
+
+@register("f6_rf_artist_fit", None)
+def f6_rf_artist_fit(spark, sf):
+    _, _, raw, rf = _rf_artist(spark, sf)
+    labels = rf.stages[0].labelsArray[0]
+    out = rf.transform(raw)
+    lab = F.array(*[F.lit(x) for x in labels])
+    return out.select("track_id", F.element_at(lab, F.col("_pred").cast("int") + 1).alias("predicted_artist"))
+
+
+@register("f7_leaf_embedding", None)
+def f7_leaf_embedding(spark, sf):
+    _, _, raw, rf = _rf_artist(spark, sf)
+    leaves = MD.leaf_long(rf.transform(raw).select("track_id", "leaves"))
+    return leaves.groupBy("track_id").agg(F.count(F.lit(1)).alias("n_leaves"))
+
+
+@register("e11_knn_leaf", None)
+def e11_knn_leaf(spark, sf):
+    meta, _, raw, rf = _rf_artist(spark, sf)
+    leaves = MD.leaf_long(rf.transform(raw).select("track_id", "leaves"))
+    idx = MD.leaf_index(leaves, RF_TREES)
+    seeds = idx.join(F.broadcast(sample_seeds(meta).select("track_id")), "track_id", "left_semi")
+    nn = MD.knn_leaf(spark, idx, seeds, 10)
+    return nn.select("seed_id", "track_id", SIM.rounded("score").alias("score"), F.col("rank").cast("int"))
+
+
+@register("f8_leaf_query", None)
+def f8_leaf_query(spark, sf):
+    meta, model, raw, rf = _rf_artist(spark, sf)
+    known = MD.leaf_long(rf.transform(raw).select("track_id", "leaves"))
+    q = MD.content_vectors(model, query_rows(meta), normalize=False).withColumn("artist_name", F.lit(""))
+    return MD.leaf_query(rf.transform(q).select("track_id", "leaves"), known)
+
+
+LAB_G = BlockSpec("lg", "artist_genres", (1, 2), 2, 0.95, None, "plain")
+LAB_T = BlockSpec("lt", "track_name", (1, 2), 3, 0.95, None, "plain")
+ARTIST_MIN_FREQ = 10
+INFREQUENT = "__infrequent__"
+
+
+def lab_table(spark, sf):
+    """Lab input: text null -> '', year from the 4-digit prefix with the median
+    for unknown years, explicit 0/1, popularity coerced."""
+    c = fx.catalog(spark, sf)
+    t = c.select("track_id", *[text.null_to_empty(x).alias(x) for x in ("artist_genres", "artist_name", "track_name")],
+                 coerce.coerce_int_zero("popularity").cast("double").alias("popularity"),
+                 coerce.year_prefix("release_date").alias("release_year"),
+                 coerce.explicit_flag("explicit", c.schema["explicit"].dataType).alias("explicit_num"))
+    return clean.impute_median(t, "release_year")
+
+
+def lab_features(spark, sf):
+    """Unweighted genre and title TF-IDF (lab patterns), one-hot artist
+    with rare names bundled (D7), z-scored popularity / year / explicit; no
+    row norm.  Long form (track_id, key, value)."""
+    lab = lab_table(spark, sf)
+    n = lab.agg(F.count(F.lit(1)).alias("n"))
+    parts = []
+    for spec, pat in ((LAB_G, text.LAB_GENRE_TOKEN), (LAB_T, text.LAB_TITLE_TOKEN)):
+        _, w = FE.fit_block(lab, spec, "track_id", n, pattern=pat)
+        parts.append(w.select("track_id", F.concat(F.lit(spec.name + ":"), "term").alias("key"), F.col("weight").alias("value")))
+    cat = clean.bundle_rare(lab.select("track_id", "artist_name"), "artist_name", ARTIST_MIN_FREQ, INFREQUENT, "cat")
+    parts.append(cat.select("track_id", F.concat(F.lit("r:"), "cat").alias("key"), F.lit(1.0).alias("value")))
+    st = lab.agg(*[x for c in ("popularity", "release_year", "explicit_num") for x in (
+        F.avg(F.col(c).cast("double")).alias(f"{c}_m"), F.stddev_pop(F.col(c).cast("double")).alias(f"{c}_s"))])
+    z = lab.crossJoin(F.broadcast(st))
+    for c in ("popularity", "release_year", "explicit_num"):
+        sd = F.when(F.coalesce(F.col(f"{c}_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"{c}_s"))
+        parts.append(z.select("track_id", F.lit("n:" + c).alias("key"), ((F.col(c) - F.col(f"{c}_m")) / sd).alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.filter(F.col("value") != 0)
+
+
+def _lab_sql():
+    lab = with_(CATALOG) + """,
+ lab0 AS (SELECT track_id, coalesce(artist_genres, '') AS artist_genres, coalesce(artist_name, '') AS artist_name,
+   coalesce(track_name, '') AS track_name, CAST(popularity AS DOUBLE) AS popularity,
+   CAST(TRY_CAST(nullif(regexp_extract(release_date, '^(\\d{4})', 1), '') AS INT) AS DOUBLE) AS yr, explicit AS explicit_num FROM catalog),
+ lab AS (SELECT track_id, artist_genres, artist_name, track_name, popularity, coalesce(yr, (SELECT median(yr) FROM lab0)) AS release_year,
+   explicit_num FROM lab0)"""
+    g = block_ctes(LAB_G, "lab", "track_id", "[a-zA-ZäöüÄÖÜß\\\\-]+")
+    t = block_ctes(LAB_T, "lab", "track_id", "[a-zA-Z0-9äöüÄÖÜß\\\\-]+")
+    num = " UNION ALL ".join(
+        f"SELECT track_id, 'n:{c}' AS key, ({c} - (SELECT avg({c}) FROM lab)) / (SELECT CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0 ELSE stddev_pop({c}) END FROM lab) AS value FROM lab"
+        for c in ("popularity", "release_year", "explicit_num"))
+    return lab + g + t + f""",
+ ac AS (SELECT artist_name, count(*) AS n FROM lab GROUP BY artist_name),
+ lf AS (SELECT track_id, 'lg:' || term AS key, weight AS value FROM w_lg UNION ALL
+   SELECT track_id, 'lt:' || term, weight FROM w_lt UNION ALL
+   SELECT track_id, 'r:' || CASE WHEN ac.n < {ARTIST_MIN_FREQ} THEN '{INFREQUENT}' ELSE lab.artist_name END, 1.0 FROM lab JOIN ac USING (artist_name) UNION ALL
+   {num})"""
+
+
+@register("d12_lab_features", _lab_sql() + " SELECT track_id, key, round(value, 6) AS value FROM lf WHERE value <> 0")
+def d12_lab_features(spark, sf):
+    return lab_features(spark, sf).select("track_id", "key", F.round("value", 6).alias("value"))
+
+
+@register("d7_onehot_min_freq", with_(CATALOG) + f""",
+ a AS (SELECT track_id, coalesce(artist_name, '') AS artist_name FROM catalog),
+ c AS (SELECT artist_name, count(*) AS n FROM a GROUP BY artist_name),
+ b AS (SELECT track_id, CASE WHEN n < {ARTIST_MIN_FREQ} THEN '{INFREQUENT}' ELSE artist_name END AS cat FROM a JOIN c USING (artist_name))
+ SELECT track_id, cat, CAST(dense_rank() OVER (ORDER BY cat) - 1 AS INT) AS cat_index FROM b""")
+def d7_onehot_min_freq(spark, sf):
+    """Rare artists bundled, then ``StringIndexer`` (alphabetical) and
+    ``OneHotEncoder``; unseen categories map to the all-zero vector."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    a = fx.catalog(spark, sf).select("track_id", text.null_to_empty("artist_name").alias("artist_name"))
+    b = clean.bundle_rare(a, "artist_name", ARTIST_MIN_FREQ, INFREQUENT, "cat")
+    # ML attribute names cannot be empty: the blank artist is indexed under a
+    # label that sorts where '' sorts (first)
+    b = b.withColumn("_cat_ml", F.when(F.col("cat") == "", F.lit("\u0001")).otherwise(F.col("cat")))
+    si = StringIndexer(inputCol="_cat_ml", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(b)
+    oh = OneHotEncoder(inputCol="_i", outputCol="onehot", dropLast=True, handleInvalid="keep").fit(si.transform(b))
+    out = oh.transform(si.transform(b))
+    return out.select("track_id", "cat", F.col("_i").cast("int").alias("cat_index"))
+
+
+@register("d13_feature_variants", None)
+def d13_feature_variants(spark, sf):
+    """The three named variants: one fit each, summarised per variant."""
+    meta = fx.meta(spark, sf)
+    rows = None
+    for name, cfg in VARIANTS.items():
+        m = FE.fit_content(meta, cfg)
+        s = m.normalized_long().agg(F.count_distinct("track_id").alias("rows"), F.count(F.lit(1)).alias("nonzeros"),
+                                    F.count_distinct("key").alias("keys")).select(F.lit(name).alias("variant"), "*")
+        rows = s if rows is None else rows.unionByName(s)
+    return rows
+
+
+def lab_vectors(spark, sf):
+    """D12 as ML ``SparseVector`` rows (JVM-side stages, no densifying)."""
+    from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder,
+                                    StringIndexer, VectorAssembler)
+    from pyspark.ml.linalg import Vectors
+    lab = lab_table(spark, sf)
+    n = lab.agg(F.count(F.lit(1)).alias("n"))
+    cols = {}
+    stages = []
+    for spec, pat in ((LAB_G, text.LAB_GENRE_TOKEN), (LAB_T, text.LAB_TITLE_TOKEN)):
+        tf = FE.term_counts(lab, "track_id", FE.block_terms(spec, pat))
+        vocab = FE.fit_vocabulary(tf, n, "track_id", spec.min_df, spec.max_df, spec.max_features)
+        terms, idf = MD._vocab_list(vocab)
+        b = spec.name
+        cols[f"_terms_{b}"] = FE.block_terms(spec, pat)
+        stages += [CountVectorizerModel.from_vocabulary(terms or ["\u0000"], inputCol=f"_terms_{b}", outputCol=f"_tf_{b}"),
+                   ElementwiseProduct(scalingVec=Vectors.dense(idf or [0.0]), inputCol=f"_tf_{b}", outputCol=f"_ti_{b}"),
+                   Normalizer(p=2.0, inputCol=f"_ti_{b}", outputCol=f"_v_{b}")]
+    cat = clean.bundle_rare(lab, "artist_name", ARTIST_MIN_FREQ, INFREQUENT, "cat")
+    st = lab.agg(*[x for c in ("popularity", "release_year", "explicit_num") for x in (
+        F.avg(F.col(c).cast("double")).alias(f"{c}_m"), F.stddev_pop(F.col(c).cast("double")).alias(f"{c}_s"))])
+    z = cat.crossJoin(F.broadcast(st))
+    for c in ("popularity", "release_year", "explicit_num"):
+        sd = F.when(F.coalesce(F.col(f"{c}_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"{c}_s"))
+        cols[f"_z_{c}"] = (F.col(c) - F.col(f"{c}_m")) / sd
+    data = z.withColumns(cols)
+    data = data.withColumn("_cat_ml", F.when(F.col("cat") == "", F.lit("\u0001")).otherwise(F.col("cat")))
+    si = StringIndexer(inputCol="_cat_ml", outputCol="_ci", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
+    stages = [si, OneHotEncoder(inputCol="_ci", outputCol="_v_r", dropLast=False, handleInvalid="keep").fit(si.transform(data))] + stages
+    stages.append(VectorAssembler(inputCols=["_v_lg", "_v_lt", "_v_r", "_z_popularity", "_z_release_year", "_z_explicit_num"],
+                                  outputCol="features"))
+    from pyspark.ml import PipelineModel
+    return PipelineModel(stages).transform(data).select("track_id", "artist_genres", "features")
+
+
+@register("f9_rf_genre_fit", None)
+def f9_rf_genre_fit(spark, sf):
+    """Lab features + forest on the bundled primary genre (Q15: genres are
+    also features); stratified 80/20 split; classification report."""
+    vec = lab_vectors(spark, sf)
+    y = clean.bundle_rare(vec.select("track_id", text.primary_genre("artist_genres").alias("y")), "y", 20)
+    data = vec.select("track_id", "features").join(y, "track_id")
+    split = MD.stratified_split(data, "y", "track_id", 0.2)
+    model = MD.rf_fit(split.filter(F.col("split") == "train"), "y", 30, 12, 2)
+    pred = model.transform(split.filter(F.col("split") == "test"))
+    labels = model.stages[0].labelsArray[0]
+    lab_arr = F.array(*[F.lit(x) for x in labels])
+    p = pred.select(F.col("y").alias("actual"), F.element_at(lab_arr, F.col("_pred").cast("int") + 1).alias("predicted"))
+    return MD.classification_report(p)
+
+
+PRED_SQL = """ pred AS (SELECT d.doc_id, quality AS actual, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS predicted
+ FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+def _pred(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "n_chars")
+    l = table(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(l, "doc_id").select("doc_id", F.col("quality").alias("actual"),
+                                      F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("predicted"))
+
+
+@register("f10_stratified_split", "WITH" + PRED_SQL + """
+ SELECT doc_id, actual, CASE WHEN row_number() OVER (PARTITION BY actual ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id)
+     <= round(count(*) OVER (PARTITION BY actual) * 0.2) THEN 'test' ELSE 'train' END AS split FROM pred""")
+def f10_stratified_split(spark, sf):
+    return MD.stratified_split(_pred(spark, sf), "actual", "doc_id", 0.2).select("doc_id", "actual", "split")
+
+
+@register("f11_classification_report", "WITH" + PRED_SQL + """,
+ cm AS (SELECT actual, predicted, count(*) AS c FROM pred GROUP BY ALL),
+ a AS (SELECT actual AS label, sum(c) AS support, sum(CASE WHEN actual = predicted THEN c ELSE 0 END) AS tp FROM cm GROUP BY actual),
+ p AS (SELECT predicted AS label, sum(c) AS npred FROM cm GROUP BY predicted),
+ per0 AS (SELECT CAST(coalesce(a.label, p.label) AS VARCHAR) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+   coalesce(npred, 0) AS npred FROM a FULL OUTER JOIN p ON a.label = p.label),
+ per1 AS (SELECT label, support, tp, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS precision,
+   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall FROM per0),
+ per AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM per1),
+ tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+   sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM per)
+ SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM per
+ UNION ALL SELECT 'accuracy', NULL, NULL, round(tp / n, 6), CAST(n AS BIGINT) FROM tot
+ UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM tot
+ UNION ALL SELECT 'weighted avg', round(wp / n, 6), round(wr / n, 6), round(wf / n, 6), CAST(n AS BIGINT) FROM tot""")
+def f11_classification_report(spark, sf):
+    r = MD.classification_report(_pred(spark, sf))
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("support").cast("long"))
+
+
+@register("f12_confusion_matrix", "WITH" + PRED_SQL + """
+ SELECT actual, predicted, count(*) AS count FROM pred GROUP BY actual, predicted""")
+def f12_confusion_matrix(spark, sf):
+    return MD.confusion_matrix(_pred(spark, sf))
+
+
+@register("f13_project_2d", None)
+def f13_project_2d(spark, sf):
+    meta, model, long_df = content(spark, sf)
+    vec = MD.content_vectors(model, meta)
+    return MD.project_2d(spark, vec, long_df, MD.vector_keys(model))
+
+
+@register("e13_knn_approx", None)
+def e13_knn_approx(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    items = MD.dense_unit_vectors(emb)
+    seeds = items.join(emb.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(N_DENSE_SEEDS)
+                       .select("vec_id"), "vec_id", "left_semi")
+    nn = MD.knn_approx(items, seeds, 10)
+    return nn.select("seed_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("int"))
+
+
+# ---- cluster profiles ------------------------------------------------------------------
+
+@register("h16_cluster_sizes", MC + """
+ SELECT cluster, count(*) AS size, count(*) / sum(count(*)) OVER () AS share,
+   sum(count(*)) OVER () / count(*) OVER () AS expected_size FROM mc GROUP BY cluster""")
+def h16_cluster_sizes(spark, sf):
+    return P.cluster_sizes(meta_clustered(spark, sf))
+
+
+@register("h17_cluster_profile", MC + """
+ SELECT cluster, count(*) AS size, avg(CAST(explicit = 1 AS DOUBLE)) AS explicit_share,
+   CAST(trunc(quantile_cont(release_year, 0.5)) AS INT) AS year_median FROM mc GROUP BY cluster""")
+def h17_cluster_profile(spark, sf):
+    return P.cluster_profile(meta_clustered(spark, sf))
+
+
+@register("h18_cluster_top_genres", MC + GENRE_TOKENS + """,
+ gc AS (SELECT mc.cluster, g.genre, count(*) AS count FROM genre_tok g JOIN mc USING (track_id) GROUP BY mc.cluster, g.genre)
+ SELECT * FROM (SELECT cluster, genre, count, row_number() OVER (PARTITION BY cluster ORDER BY count DESC, genre) AS rank FROM gc)
+ WHERE rank <= 12""")
+def h18_cluster_top_genres(spark, sf):
+    return P.cluster_top_genres(meta_clustered(spark, sf), 12)
+
+
+@register("h19_cluster_top_artists", MC + """
+ SELECT * FROM (SELECT cluster, artist_name AS artist, count(*) AS count,
+   row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, artist_name) AS rank FROM mc GROUP BY cluster, artist_name)
+ WHERE rank <= 10""")
+def h19_cluster_top_artists(spark, sf):
+    return P.cluster_top_artists(meta_clustered(spark, sf), 10)
+
+
+@register("h20_cluster_year_histogram", MC + """,
+ b AS (SELECT cluster, min(CAST(release_year AS DOUBLE)) AS lo, max(CAST(release_year AS DOUBLE)) AS hi FROM mc GROUP BY cluster)
+ SELECT cluster, CAST(CASE WHEN hi - lo = 0 THEN 0 ELSE least(floor((release_year - lo) / (hi - lo) * 30), 29) END AS INT) AS bin,
+   count(*) AS count FROM mc JOIN b USING (cluster) GROUP BY ALL""")
+def h20_cluster_year_histogram(spark, sf):
+    return P.cluster_year_histogram(meta_clustered(spark, sf), 30)
+
+
+N_DIV = 1000
+
+
+@register("h21_diversity_curve", CAND_SQL.replace(f"LIMIT {60}", f"LIMIT {N_DIV}") + """,
+ nb AS (SELECT c.track_id, m.artist_name, row_number() OVER (ORDER BY round(c.score, 4) DESC, c.track_id) AS rank
+        FROM cand c JOIN meta m USING (track_id) WHERE c.track_id <> c.seed_id),
+ fr AS (SELECT lower(artist_name) AS akey, min(rank) AS r FROM nb GROUP BY 1),
+ nd AS (SELECT count(DISTINCT lower(regexp_replace(artist_name, '^\\s+|\\s+$', '', 'g'))) AS m FROM nb),
+ ks AS (SELECT unnest([5, 10, 15, 20, 25, 30, 40, 50]) AS K),
+ w AS (SELECT K, greatest((SELECT count(*) FROM fr WHERE r <= K), 1) AS unique_artists_no_div,
+   greatest(least(K, (SELECT m FROM nd)), 1) AS unique_artists_div FROM ks)
+ UNPIVOT w ON unique_artists_no_div, unique_artists_div INTO NAME var VALUE unique_artists""")
+def h21_diversity_curve(spark, sf):
+    from pyspark.sql import Window as W
+    from tunesift.plans.q_similarity import _single_candidates
+    meta, cands = _single_candidates(spark, sf, N_DIV)
+    nb = cands.filter(F.col("seed_id") != F.col("track_id")).join(meta.select("track_id", "artist_name"), "track_id")
+    # the neighbour list of one query (at most N_DIV rows) is ranked as a whole
+    nb = nb.withColumn("rank", F.row_number().over(W.orderBy(SIM.rounded("score").desc(), F.col("track_id"))))
+    out = P.diversity_curve(nb)
+    return out.select(F.col("K").cast("int"), "var", F.col("unique_artists").cast("long"))
+
+
+@register("h22_cluster_compactness", """
+ WITH p AS (SELECT label AS cluster, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+ per AS (SELECT cluster, count(*) AS n, sum(x) AS sx, sum(y) AS sy FROM p GROUP BY cluster),
+ tot AS (SELECT sum(n) AS tn, sum(sx) AS tx, sum(sy) AS ty FROM per),
+ c AS (SELECT cluster, n, sx / n AS cx, sy / n AS cy, CASE WHEN tn > n THEN (tx - sx) / (tn - n) END AS ox,
+   CASE WHEN tn > n THEN (ty - sy) / (tn - n) END AS oy FROM per, tot)
+ SELECT p.cluster, count(*) AS n, CASE WHEN count(*) >= 2 THEN round(avg(sqrt(pow(x - cx, 2) + pow(y - cy, 2))), 6) END AS intra,
+   round(avg(sqrt(pow(x - ox, 2) + pow(y - oy, 2))), 6) AS extra FROM p JOIN c USING (cluster) GROUP BY p.cluster""")
+def h22_cluster_compactness(spark, sf):
+    emb = table(spark, sf, "embeddings")
+    pts = emb.select(F.col("label").alias("cluster"), F.col("embedding")[0].cast("double").alias("x"),
+                     F.col("embedding")[1].cast("double").alias("y"))
+    out = P.cluster_compactness(pts)
+    return out.select("cluster", "n", F.round("intra", 6).alias("intra"), F.round("extra", 6).alias("extra"))
