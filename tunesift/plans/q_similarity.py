@@ -24,9 +24,10 @@ KFETCH = REC.top_k + REC.overfetch
 
 
 def content(spark, sf, cfg=CFG):
-    meta = fx.meta(spark, sf)
-    model = FE.fit_content(meta, cfg)
-    return meta, model, model.normalized_long()
+    """(meta, fitted model, long index) read from the session's trained artefact."""
+    from tunesift.plans.artifacts import content_artifact
+    a = content_artifact(spark, sf, cfg)
+    return a.meta, a.model, a.long
 
 
 def sample_seeds(df, n=N_SEEDS, state=SEED_STATE, id_col="track_id"):
@@ -146,9 +147,11 @@ def e9_recommend(spark, sf):
 # ---- batch -------------------------------------------------------------------
 
 def batch_candidates(spark, sf, k, exclude_self):
-    meta, model, idx = content(spark, sf)
+    from tunesift.plans.artifacts import content_artifact
+    a = content_artifact(spark, sf, CFG)
+    meta = a.meta
     seeds = sample_seeds(meta)
-    index = SIM.index_rows(idx)
+    index = a.rows
     seed_index = index.join(F.broadcast(seeds.select("track_id")), "track_id", "left_semi")
     return meta, SIM.knn_batch(spark, index, seed_index, k, exclude_self=exclude_self)
 
