@@ -49,8 +49,29 @@ def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
                 .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+def _top_by_frequency(v: DataFrame, max_features: int, exact_cut: bool) -> DataFrame:
+    """Keep the ``max_features`` terms with the largest corpus count (term
+    breaks ties).
+
+    With ``exact_cut`` the candidates are first narrowed to ``cf >= c`` where
+    ``c`` comes from an approximate quantile and is verified (by a count) to
+    leave at least ``max_features`` terms; the final ordered limit then runs on
+    slightly more than ``max_features`` rows instead of merging a full top-N
+    from every task.  The result is exact either way."""
+    if exact_cut:
+        v = v.checkpoint(eager=True)  # the candidates are read three times
+        n = v.count()
+        if n <= max_features:
+            return v
+        frac = max(0.0, 1.0 - 2.0 * max_features / n)
+        c = v.agg(F.percentile_approx("cf", frac, 10000)).first()[0]
+        if c is not None and v.filter(F.col("cf") >= c).count() >= max_features:
+            v = v.filter(F.col("cf") >= c)
+    return v.orderBy(F.col("cf").desc(), F.col("term")).limit(int(max_features))
+
+
 def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, min_df: int = 1, max_df: float = 1.0,
-                   max_features: int | None = None) -> DataFrame:
+                   max_features: int | None = None, exact_cut: bool = False) -> DataFrame:
     """(term, df, cf, idf) with ``min_df`` (count), ``max_df`` (fraction)
     and ``max_features`` (top by corpus count, term breaks ties); smooth idf
     ``ln((1 + n) / (1 + df)) + 1``.  ``n_docs`` is a one-row frame ``(n)``."""
@@ -58,7 +79,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, min_df: int =
     v = stats.crossJoin(F.broadcast(n_docs))
     v = v.filter((F.col("df") >= F.lit(min_df)) & (F.col("df") <= F.lit(float(max_df)) * F.col("n")))
     if max_features:
-        v = v.orderBy(F.col("cf").desc(), F.col("term")).limit(int(max_features))
+        v = _top_by_frequency(v, int(max_features), exact_cut)
     return v.select("term", "df", "cf",
                     (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
@@ -107,35 +128,42 @@ def zscore(docs: DataFrame, stats: DataFrame, id_col: str = "track_id", cols=NUM
 
 
 class ContentModel:
-    """Fitted content space: vocabularies per block, numeric stats, weights.
+    """Fitted content space: one vocabulary table (block, term, df, cf, idf),
+    numeric stats, and (when fitted on a corpus) the per-block unit TF-IDF
+    weights (id, block, term, weight) and z-scores.
 
     Everything is a DataFrame; nothing is collected."""
 
-    def __init__(self, cfg: FeatureConfig, vocabs: dict[str, DataFrame], stats: DataFrame,
-                 weights: dict[str, DataFrame], z: DataFrame, id_col: str = "track_id"):
-        self.cfg, self.vocabs, self.stats, self.id_col = cfg, vocabs, stats, id_col
-        self.block_weights, self.z = weights, z
+    def __init__(self, cfg: FeatureConfig, vocab: DataFrame, stats: DataFrame, weights: DataFrame | None,
+                 z: DataFrame | None, id_col: str = "track_id"):
+        self.cfg, self.vocab, self.stats, self.id_col = cfg, vocab, stats, id_col
+        self.weights, self.z = weights, z
+
+    @property
+    def vocabs(self) -> dict[str, DataFrame]:
+        return {b.name: self.vocab.filter(F.col("block") == b.name).drop("block") for b in self.cfg.active_blocks()}
+
+    @property
+    def block_weights(self) -> dict[str, DataFrame]:
+        return {b.name: self.weights.filter(F.col("block") == b.name).drop("block") for b in self.cfg.active_blocks()}
 
     # -- D8 / D9 ---------------------------------------------------------------
-    def raw_long(self, cfg: FeatureConfig | None = None, block_weights: dict[str, DataFrame] | None = None,
+    def raw_long(self, cfg: FeatureConfig | None = None, weights: DataFrame | None = None,
                  z: DataFrame | None = None) -> DataFrame:
         """Weighted, un-normalised entries (id, key, value)."""
         cfg = cfg or self.cfg
-        bw = block_weights or self.block_weights
+        wl = weights if weights is not None else self.weights
         z = z if z is not None else self.z
         wts = cfg.weights()
-        parts = [bw[b].select(self.id_col, F.concat(F.lit(b + ":"), "term").alias("key"),
-                              (F.col("weight") * F.lit(float(wts[b]))).alias("value"))
-                 for b in wts]
+        bw = F.create_map(*[x for b, w in wts.items() for x in (F.lit(b), F.lit(float(w)))])
+        text_part = wl.select(self.id_col, F.concat("block", F.lit(":"), "term").alias("key"),
+                              (F.col("weight") * bw[F.col("block")]).alias("value"))
         nw = float(cfg.numeric_weight)
         num = z.select(self.id_col, F.explode(F.array(
             F.struct(F.lit("n:year").alias("key"), (F.col("z_release_year") * nw).alias("value")),
             F.struct(F.lit("n:explicit").alias("key"), (F.col("z_explicit") * nw).alias("value")))).alias("e")
         ).select(self.id_col, "e.key", "e.value")
-        out = parts[0]
-        for p in parts[1:] + [num]:
-            out = out.unionByName(p)
-        return out.filter(F.col("value") != 0)
+        return text_part.unionByName(num).filter(F.col("value") != 0)
 
     def normalized_long(self, cfg: FeatureConfig | None = None, **kw) -> DataFrame:
         """Unit rows (zero rows stay zero)."""
@@ -144,16 +172,60 @@ class ContentModel:
         return raw.select(self.id_col, "key", (F.col("value") / norm).alias("value"))
 
 
-def fit_content(docs: DataFrame, cfg: FeatureConfig | None = None, id_col: str = "track_id") -> ContentModel:
-    """D4-D9 fit on a repaired catalogue (``prepare_meta`` output)."""
+def _all_block_terms(cfg: FeatureConfig) -> Column:
+    """One array of (block, term) structs over every active block."""
+    def tag(b):
+        # a one-argument lambda: F.transform passes the index to a second one
+        return lambda t: F.struct(F.lit(b).alias("block"), t.alias("term"))
+    per = [F.transform(block_terms(s), tag(s.name)) for s in cfg.active_blocks()]
+    return F.flatten(F.array(*per)) if len(per) > 1 else per[0]
+
+
+def _block_tf(docs: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
+    """(id, block, term, tf) for all blocks in one explode and one count."""
+    return (docs.select(id_col, F.explode(_all_block_terms(cfg)).alias("e"))
+                .groupBy(id_col, "e.block", "e.term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, cfg: FeatureConfig) -> DataFrame:
+    """tf * idf, L2-normalised per (document, block); vocabulary broadcast
+    when every block has a ``max_features`` bound."""
+    v = vocab.select("block", "term", "idf")
+    bounds = [b.max_features for b in cfg.active_blocks()]
+    if all(bounds) and sum(bounds) <= MAX_BROADCAST_VOCAB:
+        v = F.broadcast(v)
+    j = tf.join(v, ["block", "term"]).withColumn("_w", F.col("tf") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(W.partitionBy(id_col, "block")))
+    return j.select(id_col, "block", "term", (F.col("_w") / norm).alias("weight"))
+
+
+def fit_content(docs: DataFrame, cfg: FeatureConfig | None = None, id_col: str = "track_id",
+                exact_cut: bool = False) -> ContentModel:
+    """D4-D9 fit on a repaired catalogue (``prepare_meta`` output).
+
+    All text blocks go through one explode, one (id, block, term) count and
+    one vocabulary aggregation; per-block ``min_df`` / ``max_df`` filters are
+    a lookup on the block id; ``max_features`` cuts run per block."""
     cfg = cfg or FeatureConfig()
     docs = docs.select(id_col, *{b.column for b in cfg.active_blocks()}, *NUMERIC_COLS)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    vocabs, weights = {}, {}
+    tf = _block_tf(docs, cfg, id_col)
+    stats = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    v = stats.crossJoin(F.broadcast(n_docs))
+    parts = []
     for spec in cfg.active_blocks():
-        vocabs[spec.name], weights[spec.name] = fit_block(docs, spec, id_col, n_docs)
-    stats = numeric_stats(docs)
-    return ContentModel(cfg, vocabs, stats, weights, zscore(docs, stats, id_col), id_col)
+        b = v.filter((F.col("block") == spec.name) & (F.col("df") >= F.lit(spec.min_df)) &
+                     (F.col("df") <= F.lit(float(spec.max_df)) * F.col("n")))
+        if spec.max_features:
+            b = _top_by_frequency(b, int(spec.max_features), exact_cut)
+        parts.append(b)
+    vocab = parts[0]
+    for p in parts[1:]:
+        vocab = vocab.unionByName(p)
+    vocab = vocab.select("block", "term", "df", "cf",
+                         (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    nstats = numeric_stats(docs)
+    return ContentModel(cfg, vocab, nstats, _weights(tf, vocab, id_col, cfg), zscore(docs, nstats, id_col), id_col)
 
 
 def transform_rows(model: ContentModel, rows: DataFrame, cfg: FeatureConfig | None = None,
@@ -162,11 +234,8 @@ def transform_rows(model: ContentModel, rows: DataFrame, cfg: FeatureConfig | No
     statistics and the given (query) weights: (id, key, value)."""
     cfg = cfg or model.cfg
     id_col = id_col or model.id_col
-    bw = {}
-    for spec in cfg.active_blocks():
-        tf = term_counts(rows, id_col, block_terms(spec))
-        voc = model.vocabs[spec.name]
-        bw[spec.name] = tfidf_weights(tf, voc, id_col, spec.max_features)
+    tf = _block_tf(rows, cfg, id_col)
+    w = _weights(tf, model.vocab, id_col, cfg)
     z = zscore(rows, model.stats, id_col)
-    tmp = ContentModel(cfg, model.vocabs, model.stats, bw, z, id_col)
+    tmp = ContentModel(cfg, model.vocab, model.stats, w, z, id_col)
     return tmp.normalized_long(cfg) if normalize else tmp.raw_long(cfg)

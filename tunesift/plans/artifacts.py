@@ -1,9 +1,17 @@
-"""Train once, serve many: the fitted content space of a catalogue is written
-as Parquet tables (repaired meta, vocabularies, numeric statistics, the long
-normalised index and its per-item rows) under the shared checkpoint folder,
-and the recommendation / evaluation queries read those tables - as the
-reference's app reads its trained artefact.  Written tables also cut the
-lineage, so a lost executor re-reads files instead of refitting."""
+"""Train once, serve many.
+
+* ``stored_meta``: the repaired, de-duplicated catalogue written once per
+  session as Parquet (the catalogue-build job); profiles, search and feature
+  fits read it.
+* ``content_artifact``: the fitted content space (vocabulary, numeric
+  statistics, long normalised index, per-item rows) written as Parquet; the
+  recommendation and evaluation queries read it, as the reference's app reads
+  its trained artefact.
+
+Written tables cut the lineage, so a lost executor re-reads files instead of
+re-running the joins, de-duplication and fit.  They live under the shared
+folder named by ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +29,20 @@ from tunesift.sources import fixtures as fx
 _WRITTEN: dict[tuple, str] = {}
 
 
+def _path(spark, kind, key):
+    return scratch_path(spark, f"{kind}/" + hashlib.md5(repr(key).encode()).hexdigest()[:16])
+
+
+def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
+    key = ("meta", ensure_checkpoint_dir(spark), sf)
+    path = _WRITTEN.get(key)
+    if path is None:
+        path = _path(spark, "meta", key)
+        fx.meta(spark, sf).write.mode("overwrite").parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 @dataclass
 class ContentArtifact:
     meta: DataFrame
@@ -31,22 +53,16 @@ class ContentArtifact:
 
 def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = None) -> ContentArtifact:
     cfg = cfg or FeatureConfig()
-    key = (ensure_checkpoint_dir(spark), sf, cfg.to_json())
+    key = ("content", ensure_checkpoint_dir(spark), sf, cfg.to_json())
     path = _WRITTEN.get(key)
+    meta = stored_meta(spark, sf)
     if path is None:
-        path = scratch_path(spark, "content/" + hashlib.md5(repr(key).encode()).hexdigest()[:16])
-        meta = fx.meta(spark, sf)
-        meta.write.mode("overwrite").parquet(f"{path}/meta")
-        meta = spark.read.parquet(f"{path}/meta")
-        model = FE.fit_content(meta, cfg)
-        for b, v in model.vocabs.items():
-            v.write.mode("overwrite").parquet(f"{path}/vocab_{b}")
+        path = _path(spark, "content", key)
+        model = FE.fit_content(meta, cfg, exact_cut=True)
+        model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         model.stats.write.mode("overwrite").parquet(f"{path}/stats")
         model.normalized_long().write.mode("overwrite").parquet(f"{path}/long")
         index_rows(spark.read.parquet(f"{path}/long")).write.mode("overwrite").parquet(f"{path}/rows")
         _WRITTEN[key] = path
-    vocabs = {b.name: spark.read.parquet(f"{path}/vocab_{b.name}") for b in cfg.active_blocks()}
-    stats = spark.read.parquet(f"{path}/stats")
-    model = FE.ContentModel(cfg, vocabs, stats, {}, None)
-    return ContentArtifact(spark.read.parquet(f"{path}/meta"), model, spark.read.parquet(f"{path}/long"),
-                           spark.read.parquet(f"{path}/rows"))
+    model = FE.ContentModel(cfg, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats"), None, None)
+    return ContentArtifact(meta, model, spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/rows"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tunesift.config import BlockSpec, FeatureConfig
 from tunesift.functions import text
 from tunesift.operators import features as FE
+from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, META, with_
 from tunesift.plans.sqlfrag_features import block_ctes, content_ctes, doc_sql, numeric_ctes, terms_sql
@@ -22,7 +23,7 @@ _R6 = "round({x}, 6)"
 
 @register("d1_genre_doc", with_(META) + f" SELECT track_id, {doc_sql(CFG.blocks[0])} AS genre_doc FROM meta")
 def d1_genre_doc(spark, sf):
-    return fx.meta(spark, sf).select("track_id", FE.block_doc(CFG.blocks[0]).alias("genre_doc"))
+    return stored_meta(spark, sf).select("track_id", FE.block_doc(CFG.blocks[0]).alias("genre_doc"))
 
 
 def _doc_summary_sql(tok_expr: str) -> str:
@@ -70,7 +71,7 @@ def d2c_tokenize_alpha(spark, sf):
  d AS (SELECT track_id, regexp_extract_all({doc_sql(CFG.blocks[0])}, '[\\p{{L}}\\p{{N}}_]+') AS t FROM meta)
  SELECT track_id, CAST(len({terms_sql('t', 1, 2)}) AS INT) AS n_terms, array_to_string({terms_sql('t', 1, 2)}, '|') AS terms FROM d""")
 def d3_ngrams(spark, sf):
-    m = fx.meta(spark, sf).select("track_id", FE.block_terms(CFG.blocks[0]).alias("t"))
+    m = stored_meta(spark, sf).select("track_id", FE.block_terms(CFG.blocks[0]).alias("t"))
     return m.select("track_id", F.size("t").cast("int").alias("n_terms"), F.array_join("t", "|").alias("terms"))
 
 
@@ -83,7 +84,7 @@ def _vocab_sql():
 
 @register("d4_vocabulary", _vocab_sql())
 def d4_vocabulary(spark, sf):
-    m = FE.fit_content(fx.meta(spark, sf), CFG)
+    m = FE.fit_content(stored_meta(spark, sf), CFG)
     parts = [v.select(F.lit(b).alias("block"), "term", "df", "cf", F.round("idf", 6).alias("idf"))
              for b, v in m.vocabs.items()]
     out = parts[0]
@@ -101,7 +102,7 @@ def _tfidf_sql():
 
 @register("d5_tfidf", _tfidf_sql())
 def d5_tfidf(spark, sf):
-    m = FE.fit_content(fx.meta(spark, sf), CFG)
+    m = FE.fit_content(stored_meta(spark, sf), CFG)
     parts = [w.select("track_id", F.lit(b).alias("block"), "term", F.round("weight", 6).alias("weight"))
              for b, w in m.block_weights.items()]
     out = parts[0]
@@ -126,7 +127,7 @@ def d5_tfidf_documents(spark, sf):
 @register("d6_zscore", with_(META) + numeric_ctes() + """
  SELECT track_id, round(z_release_year, 6) AS z_release_year, round(z_explicit, 6) AS z_explicit FROM z""")
 def d6_zscore(spark, sf):
-    m = fx.meta(spark, sf)
+    m = stored_meta(spark, sf)
     z = FE.zscore(m, FE.numeric_stats(m))
     return z.select("track_id", F.round("z_release_year", 6).alias("z_release_year"),
                     F.round("z_explicit", 6).alias("z_explicit"))
@@ -135,7 +136,7 @@ def d6_zscore(spark, sf):
 @register("d8_weighted_blocks", with_(META) + content_ctes(CFG, normalize=False) + """
  SELECT track_id, CAST(count(*) AS BIGINT) AS n_keys, round(sqrt(sum(value * value)), 6) AS raw_norm FROM cv GROUP BY track_id""")
 def d8_weighted_blocks(spark, sf):
-    m = FE.fit_content(fx.meta(spark, sf), CFG)
+    m = FE.fit_content(stored_meta(spark, sf), CFG)
     return m.raw_long().groupBy("track_id").agg(
         F.count(F.lit(1)).alias("n_keys"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("raw_norm"))
 
@@ -143,7 +144,7 @@ def d8_weighted_blocks(spark, sf):
 @register("d9_row_l2", with_(META) + content_ctes(CFG) + """
  SELECT track_id, key, round(value, 6) AS value FROM cv""")
 def d9_row_l2(spark, sf):
-    m = FE.fit_content(fx.meta(spark, sf), CFG)
+    m = FE.fit_content(stored_meta(spark, sf), CFG)
     return m.normalized_long().select("track_id", "key", F.round("value", 6).alias("value"))
 
 
@@ -194,7 +195,7 @@ def _query_sql(normalize: bool):
 
 @register("d10_query_vector", _query_sql(True))
 def d10_query_vector(spark, sf):
-    meta = fx.meta(spark, sf)
+    meta = stored_meta(spark, sf)
     model = FE.fit_content(meta, CFG)
     q = FE.transform_rows(model, query_rows(meta), QCFG, normalize=True)
     return q.select("track_id", "key", F.round("value", 6).alias("value"))
@@ -202,7 +203,7 @@ def d10_query_vector(spark, sf):
 
 @register("d11_raw_query_vector", _query_sql(False))
 def d11_raw_query_vector(spark, sf):
-    meta = fx.meta(spark, sf)
+    meta = stored_meta(spark, sf)
     model = FE.fit_content(meta, CFG)
     q = FE.transform_rows(model, query_rows(meta), QCFG, normalize=False)
     return q.select("track_id", "key", F.round("value", 6).alias("value"))

@@ -13,6 +13,7 @@ from tunesift.operators import profile as P
 from tunesift.operators import similarity as SIM
 from tunesift.plans.q_features import query_rows
 from tunesift.plans.q_similarity import CAND_SQL, N_DENSE_SEEDS, QUERY_PICK_SQL, content, sample_seeds
+from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, GENRE_TOKENS, META, with_
 from tunesift.plans.sqlfrag_features import block_ctes
@@ -30,7 +31,7 @@ def _cluster_col():
 
 
 def meta_clustered(spark, sf):
-    m = fx.meta(spark, sf)
+    m = stored_meta(spark, sf)
     return m.withColumn("cluster", _cluster_col())
 
 
@@ -236,7 +237,7 @@ def d7_onehot_min_freq(spark, sf):
 @register("d13_feature_variants", None)
 def d13_feature_variants(spark, sf):
     """The three named variants: one fit each, summarised per variant."""
-    meta = fx.meta(spark, sf)
+    meta = stored_meta(spark, sf)
     rows = None
     for name, cfg in VARIANTS.items():
         m = FE.fit_content(meta, cfg)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunesift.operators import profile as P
+from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, CATALOG_RAW, GENRE_TOKENS, META, with_
 from tunesift.sources import fixtures as fx
@@ -19,24 +20,24 @@ _TOP = """ SELECT {k} AS {name}, count(*) AS count FROM {src} GROUP BY {k} ORDER
    round(avg(CAST(explicit = 1 AS DOUBLE)) * 100.0, 4) AS explicit_pct FROM meta) a,
   (SELECT count(DISTINCT genre) AS genre_tokens FROM genre_tok) b""")
 def h1_kpis(spark, sf):
-    return P.kpis(fx.meta(spark, sf))
+    return P.kpis(stored_meta(spark, sf))
 
 
 @register("h2_genre_counts", with_(META) + GENRE_TOKENS + _TOP.format(k="genre", name="genre", src="genre_tok", n=30))
 def h2_genre_counts(spark, sf):
-    return P.genre_counts(fx.meta(spark, sf), 30)
+    return P.genre_counts(stored_meta(spark, sf), 30)
 
 
 @register("h3_genre_vocab", with_(META) + GENRE_TOKENS + """
  SELECT genre FROM (""" + _TOP.format(k="genre", name="genre", src="genre_tok", n=200) + ")")
 def h3_genre_vocab(spark, sf):
-    return P.genre_vocab(fx.meta(spark, sf), 200)
+    return P.genre_vocab(stored_meta(spark, sf), 200)
 
 
 @register("h4_year_counts", with_(META) + """
  SELECT release_year AS year, count(*) AS count FROM meta WHERE release_year > 0 GROUP BY release_year""")
 def h4_year_counts(spark, sf):
-    return P.year_counts(fx.meta(spark, sf))
+    return P.year_counts(stored_meta(spark, sf))
 
 
 @register("h5_year_counts_smoothed", with_(META) + """,
@@ -44,18 +45,18 @@ def h4_year_counts(spark, sf):
  SELECT year, count, avg(count) OVER (ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth
  FROM yc WHERE (SELECT count(*) FROM yc) >= 3""")
 def h5_year_counts_smoothed(spark, sf):
-    return P.year_counts_smoothed(fx.meta(spark, sf))
+    return P.year_counts_smoothed(stored_meta(spark, sf))
 
 
 @register("h6_artist_counts", with_(META) + _TOP.format(k="artist_name", name="artist", src="meta", n=20))
 def h6_artist_counts(spark, sf):
-    return P.artist_counts(fx.meta(spark, sf), 20)
+    return P.artist_counts(stored_meta(spark, sf), 20)
 
 
 @register("h7_dominant_artists", with_(META) + _TOP.format(
     k="regexp_replace(artist_name, '^\\s+|\\s+$', '', 'g')", name="artist", src="meta", n=20))
 def h7_dominant_artists(spark, sf):
-    return P.dominant_artists(fx.meta(spark, sf), 20)
+    return P.dominant_artists(stored_meta(spark, sf), 20)
 
 
 _RAW_COLS = ["track_id", "track_name", "artist_name", "artist_genres", "release_date", "explicit", "popularity",
@@ -86,7 +87,7 @@ def h9_duplicate_count(spark, sf):
  SELECT CASE explicit WHEN 0 THEN 'Clean' WHEN 1 THEN 'Explicit' END AS label, count(*) AS count
  FROM meta WHERE explicit IN (0, 1) GROUP BY 1""")
 def h10_explicit_split(spark, sf):
-    return P.explicit_split(fx.meta(spark, sf))
+    return P.explicit_split(stored_meta(spark, sf))
 
 
 def _missing_sql():
@@ -129,14 +130,14 @@ def h13_table_overview(spark, sf):
 @register("h14_explicit_share_by_year", with_(META) + """
  SELECT release_year AS year, round(avg(CAST(explicit = 1 AS DOUBLE)), 6) AS explicit_share FROM meta GROUP BY release_year""")
 def h14_explicit_share_by_year(spark, sf):
-    return P.explicit_share_by_year(fx.meta(spark, sf))
+    return P.explicit_share_by_year(stored_meta(spark, sf))
 
 
 @register("h15_data_check", with_(META) + """
  SELECT count(*) AS rows, count(DISTINCT artist_name) AS artists, count(DISTINCT track_name) AS tracks,
   count(*) FILTER (WHERE length(artist_genres) > 0) AS rows_with_genres FROM meta""")
 def h15_data_check(spark, sf):
-    return P.data_check(fx.meta(spark, sf))
+    return P.data_check(stored_meta(spark, sf))
 
 
 @register("h23_main_genre_top", with_(CATALOG) + _TOP.format(
@@ -171,5 +172,5 @@ def h25_duration_kde(spark, sf):
         avg(count) OVER (ORDER BY year ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smooth FROM yc)
  UNPIVOT sm ON count, smooth INTO NAME series VALUE value""")
 def h26_unpivot_long(spark, sf):
-    sm = P.year_counts_smoothed(fx.meta(spark, sf)).withColumn("count", F.col("count").cast("double"))
+    sm = P.year_counts_smoothed(stored_meta(spark, sf)).withColumn("count", F.col("count").cast("double"))
     return P.unpivot_long(sm, ["year"], ["count", "smooth"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tunesift.operators import search as S
+from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import META, with_
 from tunesift.sources import fixtures as fx
@@ -14,7 +15,7 @@ QUERY = "red"
 
 
 def _meta(spark, sf):
-    return fx.meta(spark, sf).select(*_COLS)
+    return stored_meta(spark, sf).select(*_COLS)
 
 
 @register("c1_filter_year", with_(META) + f" SELECT {COLS} FROM meta WHERE release_year BETWEEN 1994 AND 1996")

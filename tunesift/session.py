@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     # broadcast only what the planner can prove small; the library adds its
     # own size checks before every explicit broadcast hint
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),

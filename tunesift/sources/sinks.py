@@ -39,8 +39,7 @@ def save_content_model(model: ContentModel, path: str, index: DataFrame | None =
     """A18 save: vocabularies, numeric statistics, config (and optionally the
     normalised index) as Parquet/JSON tables under ``path``."""
     spark = model.stats.sparkSession
-    for b, v in model.vocabs.items():
-        v.write.mode("overwrite").parquet(f"{path}/vocab_{b}")
+    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     model.stats.write.mode("overwrite").parquet(f"{path}/stats")
     cfg = spark.createDataFrame([(model.cfg.to_json(), model.id_col)], "config string, id_col string")
     cfg.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
@@ -56,9 +55,9 @@ def load_content_model(spark: SparkSession, path: str) -> ContentModel:
                              b["max_features"], b["doc"]) for b in raw["blocks"])
     cfg = FeatureConfig(raw["genre_weight"], raw["artist_weight"], raw["title_weight"], raw["numeric_weight"],
                         raw["use_title"], blocks)
-    vocabs = {b.name: spark.read.parquet(f"{path}/vocab_{b.name}") for b in cfg.active_blocks()}
+    vocab = spark.read.parquet(f"{path}/vocab")
     stats = spark.read.parquet(f"{path}/stats")
-    return ContentModel(cfg, vocabs, stats, {}, None, meta["id_col"])
+    return ContentModel(cfg, vocab, stats, None, None, meta["id_col"])
 
 
 def registry_upsert(spark: SparkSession, registry_path: str, entries: DataFrame) -> DataFrame:
