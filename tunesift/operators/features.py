@@ -14,7 +14,8 @@ aggregates first, so a term in a third of all rows costs one row per task).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tunesift.config import BlockSpec, FeatureConfig
@@ -172,19 +173,58 @@ class ContentModel:
         return raw.select(self.id_col, "key", (F.col("value") / norm).alias("value"))
 
 
-def _all_block_terms(cfg: FeatureConfig) -> Column:
-    """One array of (block, term) structs over every active block."""
+def _block_tf(docs: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
+    """(id, block, term, tf) for all blocks in one explode and one count.
+
+    Tokens are a column of their own before the n-grams are formed, so the
+    tokenizer regex runs once per block and document (Catalyst does not
+    collapse a projection that would repeat a non-cheap expression)."""
     def tag(b):
         # a one-argument lambda: F.transform passes the index to a second one
         return lambda t: F.struct(F.lit(b).alias("block"), t.alias("term"))
-    per = [F.transform(block_terms(s), tag(s.name)) for s in cfg.active_blocks()]
-    return F.flatten(F.array(*per)) if len(per) > 1 else per[0]
+    blocks = cfg.active_blocks()
+    toks = docs.select(id_col, *[text.word_tokens(block_doc(s)).alias(f"_tok_{s.name}") for s in blocks])
+    per = [F.transform(text.with_ngrams(F.col(f"_tok_{s.name}"), *s.ngram), tag(s.name)) for s in blocks]
+    terms = F.flatten(F.array(*per)) if len(per) > 1 else per[0]
+    return (toks.select(id_col, F.explode(terms).alias("e"))
+                .groupBy(id_col, "e.block", "e.term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _block_tf(docs: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
-    """(id, block, term, tf) for all blocks in one explode and one count."""
-    return (docs.select(id_col, F.explode(_all_block_terms(cfg)).alias("e"))
-                .groupBy(id_col, "e.block", "e.term").agg(F.count(F.lit(1)).alias("tf")))
+def _param_map(cfg: FeatureConfig, attr: str, default) -> Column:
+    vals = []
+    for b in cfg.active_blocks():
+        v = getattr(b, attr)
+        vals += [F.lit(b.name), F.lit(v if v is not None else default)]
+    return F.create_map(*vals)
+
+
+def _cut_max_features(v: DataFrame, cfg: FeatureConfig, exact_cut: bool) -> DataFrame:
+    """Per-block ``max_features`` (top corpus count, term breaks ties) in one
+    plan: a rank window partitioned by block.  On the production path
+    (``exact_cut``) each block's candidates are first narrowed to
+    ``cf >= c_block``, with ``c_block`` from an approximate quantile that is
+    verified by a count to keep at least ``max_features`` terms, so the window
+    sorts about twice ``max_features`` rows per block instead of the whole
+    vocabulary; the result is exact either way."""
+    bounded = {b.name: b.max_features for b in cfg.active_blocks() if b.max_features}
+    if not bounded:
+        return v
+    maxf = _param_map(cfg, "max_features", 2 ** 31 - 1)
+    if exact_cut:
+        v = v.checkpoint(eager=True)  # read several times below
+        cnt = {r["block"]: r["c"] for r in v.groupBy("block").agg(F.count(F.lit(1)).alias("c")).collect()}
+        cut = {}
+        for b, n in bounded.items():
+            if cnt.get(b, 0) > n:
+                frac = max(0.0, 1.0 - 2.0 * n / cnt[b])
+                c = v.filter(F.col("block") == b).agg(F.percentile_approx("cf", frac, 10000)).first()[0]
+                if c is not None and v.filter((F.col("block") == b) & (F.col("cf") >= c)).count() >= n:
+                    cut[b] = c
+        if cut:
+            cmap = F.create_map(*[x for b, c in cut.items() for x in (F.lit(b), F.lit(int(c)))])
+            v = v.filter(F.col("cf") >= F.coalesce(cmap[F.col("block")], F.lit(0)))
+    w = Window.partitionBy("block").orderBy(F.col("cf").desc(), F.col("term"))
+    return v.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= maxf[F.col("block")]).drop("_rk")
 
 
 def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, cfg: FeatureConfig) -> DataFrame:
@@ -209,19 +249,16 @@ def fit_content(docs: DataFrame, cfg: FeatureConfig | None = None, id_col: str =
     cfg = cfg or FeatureConfig()
     docs = docs.select(id_col, *{b.column for b in cfg.active_blocks()}, *NUMERIC_COLS)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    # one exchange of the documents by id: the (id, block, term) count, the
+    # per-(id, block) norm and the per-id row norm all reuse this partitioning,
+    # so the exploded term rows are never shuffled by document
+    docs = docs.repartition(id_col)
     tf = _block_tf(docs, cfg, id_col)
     stats = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     v = stats.crossJoin(F.broadcast(n_docs))
-    parts = []
-    for spec in cfg.active_blocks():
-        b = v.filter((F.col("block") == spec.name) & (F.col("df") >= F.lit(spec.min_df)) &
-                     (F.col("df") <= F.lit(float(spec.max_df)) * F.col("n")))
-        if spec.max_features:
-            b = _top_by_frequency(b, int(spec.max_features), exact_cut)
-        parts.append(b)
-    vocab = parts[0]
-    for p in parts[1:]:
-        vocab = vocab.unionByName(p)
+    v = v.filter((F.col("df") >= _param_map(cfg, "min_df", 1)[F.col("block")]) &
+                 (F.col("df") <= _param_map(cfg, "max_df", 1.0)[F.col("block")].cast("double") * F.col("n")))
+    vocab = _cut_max_features(v, cfg, exact_cut)
     vocab = vocab.select("block", "term", "df", "cf",
                          (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
     nstats = numeric_stats(docs)

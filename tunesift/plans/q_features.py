@@ -85,12 +85,7 @@ def _vocab_sql():
 @register("d4_vocabulary", _vocab_sql())
 def d4_vocabulary(spark, sf):
     m = FE.fit_content(stored_meta(spark, sf), CFG)
-    parts = [v.select(F.lit(b).alias("block"), "term", "df", "cf", F.round("idf", 6).alias("idf"))
-             for b, v in m.vocabs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return m.vocab.select("block", "term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def _tfidf_sql():
@@ -103,12 +98,7 @@ def _tfidf_sql():
 @register("d5_tfidf", _tfidf_sql())
 def d5_tfidf(spark, sf):
     m = FE.fit_content(stored_meta(spark, sf), CFG)
-    parts = [w.select("track_id", F.lit(b).alias("block"), "term", F.round("weight", 6).alias("weight"))
-             for b, w in m.block_weights.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return m.weights.select("track_id", "block", "term", F.round("weight", 6).alias("weight"))
 
 
 DOC_SPEC = BlockSpec("w", "text", (1, 1), 2, 0.9, 50000, "plain")
