@@ -103,7 +103,8 @@ def _seed_tables(rows, dense_keys):
     ptr = np.zeros(len(key_ids) + 1, dtype=np.int64)
     np.add.at(ptr, ks + 1, 1)
     ptr = np.cumsum(ptr)
-    return seed_ids, dense, key_ids, ptr, ss, ws
+    key_index = pd.Index(list(key_ids.keys()), dtype=object)  # position == key id
+    return seed_ids, dense, key_index, ptr, ss, ws
 
 
 def _round_int(s: np.ndarray) -> np.ndarray:
@@ -113,7 +114,8 @@ def _round_int(s: np.ndarray) -> np.ndarray:
 
 def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_cells: int = 4_000_000):
     def kernel(batches):
-        seed_ids, dense, key_ids, ptr, post_seed, post_w = bc.value
+        seed_ids, dense, key_index, ptr, post_seed, post_w = bc.value
+        dense_index = pd.Index(list(dense_keys), dtype=object)
         S = len(seed_ids)
         out = []
         for pdf in batches:
@@ -133,12 +135,12 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
                 # dense block (numerics): a small matrix product
                 if len(dense_keys):
                     xd = np.zeros((n, len(dense_keys)))
-                    for di, dk in enumerate(dense_keys):
-                        m = flat_k == dk
-                        xd[item[m], di] = flat_v[m]
+                    di = dense_index.get_indexer(flat_k)
+                    m = di >= 0
+                    xd[item[m], di[m]] = flat_v[m]
                     scores += xd @ dense
                 # sparse block: expand each item non-zero into the seeds that share its key
-                kid = np.fromiter((key_ids.get(k, -1) for k in flat_k), dtype=np.int64, count=len(flat_k))
+                kid = key_index.get_indexer(flat_k) if len(key_index) else np.full(len(flat_k), -1)
                 m = kid >= 0
                 if m.any():
                     it, kd, vv = item[m], kid[m], flat_v[m]
