@@ -72,10 +72,10 @@ def knn_cosine(index_long: DataFrame, query_long: DataFrame, k: int | None, id_c
 # ---------------------------------------------------------------------------
 
 def _collect_seeds(seed_index: DataFrame, id_col: str, max_seeds: int):
-    n = seed_index.count()
-    if n > max_seeds:
-        raise ValueError(f"{n} seeds exceed the broadcast bound {max_seeds}; use knn_approx (E13)")
-    rows = seed_index.select(id_col, "keys", "vals").collect()  # bounded above
+    # one bounded job: at most max_seeds + 1 rows ever reach the driver
+    rows = seed_index.select(id_col, "keys", "vals").limit(int(max_seeds) + 1).collect()
+    if len(rows) > max_seeds:
+        raise ValueError(f"more than {max_seeds} seeds exceed the broadcast bound; use knn_approx (E13)")
     nnz = sum(len(r["keys"]) for r in rows)
     if nnz > MAX_SEED_NNZ:
         raise ValueError(f"seed vectors have {nnz} non-zeros, above {MAX_SEED_NNZ}")
@@ -212,10 +212,17 @@ def knn_dense(spark: SparkSession, items: DataFrame, seeds: DataFrame, k: int, i
 # Recommendation post-processing
 # ---------------------------------------------------------------------------
 
-def restrict_to_view(cands: DataFrame, view: DataFrame | None, id_col: str = "track_id") -> DataFrame:
-    """E5: keep candidates inside the filtered view (left semi join)."""
+def restrict_to_view(cands: DataFrame, view: DataFrame | None, id_col: str = "track_id",
+                     bounded: bool = False) -> DataFrame:
+    """E5: keep candidates inside the filtered view (semi join).
+
+    With ``bounded`` candidates (seeds x (k + overfetch) rows) the candidate
+    side is broadcast and the view is streamed; view ids are unique, so the
+    inner join equals the semi join without shuffling the catalogue."""
     if view is None:
         return cands
+    if bounded:
+        return view.select(id_col).join(F.broadcast(cands), id_col)
     return cands.join(view.select(id_col), id_col, "left_semi")
 
 
@@ -247,10 +254,11 @@ def finish_recommendations(cands: DataFrame, meta: DataFrame, view: DataFrame |
                            threshold: float, one_per_artist: bool, group: str = "seed_id") -> DataFrame:
     """E3 -> E5 -> E6 -> E4 -> E7/E8 -> B18 on (group, track_id, score) candidates
     (the over-fetched nearest items, self included, as the reference fetches them)."""
-    c = restrict_to_view(cands.filter(F.col(group) != F.col("track_id")), view)
-    c = c.filter(F.col("score") >= F.lit(float(threshold)))
-    c = c.join(meta.select("track_id", "track_name", "artist_name", "artist_genres", "release_year", "explicit"),
-               "track_id")
+    c = cands.filter(F.col(group) != F.col("track_id")).filter(F.col("score") >= F.lit(float(threshold)))
+    c = restrict_to_view(c, view, bounded=True)
+    # candidates are bounded (seeds x (k + overfetch)): broadcast them, stream the catalogue
+    c = meta.select("track_id", "track_name", "artist_name", "artist_genres", "release_year", "explicit").join(
+        F.broadcast(c), "track_id")
     c = diversify_by_artist(c, top_k, group) if one_per_artist else top_k_per_group(c, top_k, group)
     return c.select(group, "rank", rounded("score").alias("score"), "track_name", "artist_name", "artist_genres",
                     "release_year", "explicit", "track_id", text.track_url().alias("url"))
