@@ -80,3 +80,18 @@ def test_silhouette_matches_numpy(spark):
         b = min(D[i, lab == c].mean() for c in set(lab) if c != lab[i])
         s.append((b - a) / max(a, b))
     assert abs(got - float(np.mean(s))) < 1e-9
+
+
+def test_stratified_split_matches_full_rank_on_a_hot_class(spark):
+    import hashlib
+    rows = [(i, "hot" if i % 10 else f"c{i % 7}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "id int, y string")
+    got = {r["id"]: r["split"] for r in MD.stratified_split(df, "y", "id", 0.2).collect()}
+    by = {}
+    for i, y in rows:
+        by.setdefault(y, []).append((hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    for y, items in by.items():
+        items.sort()
+        t = int(np.floor(len(items) * 0.2 + 0.5))
+        exp_test = {i for _, i in items[:t]}
+        assert {i for _, i in items if got[i] == "test"} == exp_test

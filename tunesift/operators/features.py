@@ -103,7 +103,8 @@ def fit_block(docs: DataFrame, spec: BlockSpec, id_col: str = "track_id", n_docs
               pattern: str = text.WORD_TOKEN, stop_words: list[str] | None = None, min_len: int = 1):
     """Fit one TF-IDF block: returns (vocab, weights)."""
     n_docs = n_docs if n_docs is not None else docs.agg(F.count(F.lit(1)).alias("n"))
-    tf = term_counts(docs, id_col, block_terms(spec, pattern, min_len, stop_words))
+    # documents exchanged by id once; the count and the norm window reuse it
+    tf = term_counts(docs.repartition(id_col), id_col, block_terms(spec, pattern, min_len, stop_words))
     vocab = fit_vocabulary(tf, n_docs, id_col, spec.min_df, spec.max_df, spec.max_features)
     return vocab, tfidf_weights(tf, vocab, id_col, spec.max_features)
 

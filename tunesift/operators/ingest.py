@@ -46,9 +46,9 @@ def resolve_entities(refs: DataFrame, artists: DataFrame, ext_id: F.Column, pos:
     equi join on ``lower(trim(name))`` with the artist dimension (first hit =
     smallest artist id); playlists, tracks and unknown names are dropped."""
     p = parse_entity_ref(refs.withColumn("ref", strip_note(F.col("ref"))))
-    by_name = (artists.select(F.lower(text.strip_ws("name")).alias("_nk"), ext_id.alias("_ext"), "artist_id")
-               .withColumn("_r", F.row_number().over(W.partitionBy("_nk").orderBy("artist_id")))
-               .filter(F.col("_r") == 1).select("_nk", "_ext"))
+    # first hit per name = smallest artist id: a partial min per name key
+    by_name = (artists.select(F.lower(text.strip_ws("name")).alias("_nk"), F.struct("artist_id", ext_id.alias("_ext")).alias("_a"))
+               .groupBy("_nk").agg(F.min("_a").alias("_a")).select("_nk", "_a._ext"))
     j = p.join(by_name, F.lower(p["ref_name"]) == by_name["_nk"], "left")
     rid = (F.when(p["kind"].isin("artist", "id"), p["ref_id"])
             .when(p["kind"] == "name", F.col("_ext")))

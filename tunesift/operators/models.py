@@ -255,14 +255,30 @@ def dense_unit_vectors(df: DataFrame, vec_col: str = "embedding", id_col: str =
 # ---------------------------------------------------------------------------
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """exact per-class test share: rows ranked by a seeded hash inside
-    their class go to test while rank <= round(f * class size).  Class sizes
-    are an aggregate joined back; the rank window is per class."""
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(label).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col)
-    r = df.join(n, label).withColumn("_r", F.row_number().over(w))
-    return r.withColumn("split", F.when(F.col("_r") <= F.round(F.col("_n") * F.lit(float(test_fraction))), F.lit("test"))
-                        .otherwise(F.lit("train"))).drop("_n", "_r")
+    """exact per-class test share: inside each class, rows in seeded hash
+    order (``md5``, then id) go to test while their rank is at most
+    ``round(f * class size)``.
+
+    No class is sorted in one task (a class may hold a third of all rows):
+    the hash's first four hex digits form 65,536 ordered buckets; per
+    (class, bucket) counts and their running sums (an aggregate of at most
+    classes x 65,536 rows) place every bucket wholly in test or train except
+    the one bucket per class that holds the cut, and only that bucket's rows
+    are ranked."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    d = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, 4))
+    counts = d.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    wl = W.partitionBy(label)
+    cum = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(
+                wl.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+                 .withColumn("_t", F.round(F.sum("_c").over(wl) * F.lit(float(test_fraction)))))
+    j = d.join(cum, [label, "_b"])
+    whole = j.filter((F.col("_before") + F.col("_c") <= F.col("_t")) | (F.col("_before") >= F.col("_t")))
+    whole = whole.withColumn("split", F.when(F.col("_before") < F.col("_t"), F.lit("test")).otherwise(F.lit("train")))
+    cut = j.filter((F.col("_before") < F.col("_t")) & (F.col("_before") + F.col("_c") > F.col("_t")))
+    r = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", id_col))
+    cut = cut.withColumn("split", F.when(F.col("_before") + r <= F.col("_t"), F.lit("test")).otherwise(F.lit("train")))
+    return whole.unionByName(cut).drop("_h", "_b", "_c", "_before", "_t")
 
 
 def confusion_matrix(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
