@@ -33,10 +33,20 @@ def _path(spark, kind, key):
     return scratch_path(spark, f"{kind}/" + hashlib.md5(repr(key).encode()).hexdigest()[:16])
 
 
+def _readable(spark: SparkSession, path: str) -> bool:
+    """True when a written table is still there (the shared folder may have
+    been cleaned while this process kept its cache)."""
+    try:
+        spark.read.parquet(path).schema  # noqa: B018 - lists the files only
+        return True
+    except Exception:  # noqa: BLE001
+        return False
+
+
 def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
     key = ("meta", ensure_checkpoint_dir(spark), sf)
     path = _WRITTEN.get(key)
-    if path is None:
+    if path is None or not _readable(spark, path):
         path = _path(spark, "meta", key)
         fx.meta(spark, sf).write.mode("overwrite").parquet(path)
         _WRITTEN[key] = path
@@ -56,7 +66,7 @@ def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = N
     key = ("content", ensure_checkpoint_dir(spark), sf, cfg.to_json())
     path = _WRITTEN.get(key)
     meta = stored_meta(spark, sf)
-    if path is None:
+    if path is None or not _readable(spark, f"{path}/rows"):
         path = _path(spark, "content", key)
         model = FE.fit_content(meta, cfg, exact_cut=True)
         model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
