@@ -51,10 +51,25 @@ def test_lsh_recall_against_exact(spark):
 def test_svd_projection_columns_orthogonal(spark):
     meta = fx.meta(spark, SF_SMALL)
     m = FE.fit_content(meta)
-    p = MD.project_2d(spark, MD.content_vectors(m, meta), m.normalized_long(), MD.vector_keys(m)).toPandas()
+    long_df = m.normalized_long()
+    keys = MD.vector_keys(m)
+    p = MD.project_2d(spark, long_df, keys).toPandas()
     x, y = p["x"].to_numpy(), p["y"].to_numpy()
     # columns of X.V are orthogonal (V has orthonormal columns and X^T X V = V S^2)
     assert abs(float(x @ y)) / (np.linalg.norm(x) * np.linalg.norm(y)) < 1e-6
+    # and they match a dense NumPy SVD of the same matrix (up to sign)
+    pdf = long_df.toPandas()
+    ids = sorted(set(pdf["track_id"]))
+    ri = {t: i for i, t in enumerate(ids)}
+    ci = {k: i for i, k in enumerate(keys)}
+    X = np.zeros((len(ids), len(keys)))
+    X[pdf["track_id"].map(ri), pdf["key"].map(ci)] = pdf["value"]
+    _, _, vt = np.linalg.svd(X, full_matrices=False)
+    ref = X @ vt[:2].T
+    got = p.set_index("track_id").loc[ids][["x", "y"]].to_numpy()
+    for j in range(2):
+        c = abs(float(np.corrcoef(ref[:, j], got[:, j])[0, 1]))
+        assert c > 0.999
 
 
 def test_stratified_split_one_member_class_stays_in_train(spark):

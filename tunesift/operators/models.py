@@ -333,24 +333,70 @@ def vector_keys(model: FE.ContentModel, cfg: FeatureConfig | None = None) -> lis
     return keys + ["n:year", "n:explicit"]
 
 
-def project_2d(spark: SparkSession, vectors: DataFrame, long_df: DataFrame, keys: list[str],
-               id_col: str = "track_id", k: int = 2) -> DataFrame:
-    """rank-2 truncated SVD without centring.  ``RowMatrix.computeSVD``
-    finds V with distributed matrix-vector products (ARPACK) for wide inputs;
-    the projection X.V is then the long content table joined with V (one row
-    per feature, broadcast: its size is bounded by the vocabulary) and summed
-    per item.  Signs are fixed so the largest |V| entry of each component is
-    positive."""
-    from pyspark.mllib.linalg.distributed import RowMatrix
-    from pyspark.mllib.util import MLUtils
-    mv = MLUtils.convertVectorColumnsFromML(vectors.select("features"), "features")
-    svd = RowMatrix(mv.rdd.map(lambda r: r[0])).computeSVD(k, computeU=False)
-    V = np.array(svd.V.toArray(), dtype=float, copy=True)
-    for j in range(V.shape[1]):
+def _x_times(long_df: DataFrame, mat: np.ndarray, keys: list[str], id_col: str) -> DataFrame:
+    """X . M for the long table X (id, key, value) and a small dense M
+    (features x p, broadcast): (id, y0..y{p-1}), a partial sum per item."""
+    spark = long_df.sparkSession
+    p = mat.shape[1]
+    m = spark.createDataFrame([(keys[i],) + tuple(float(x) for x in mat[i]) for i in range(len(keys))],
+                              "key string, " + ", ".join(f"m{j} double" for j in range(p)))
+    j = long_df.join(F.broadcast(m), "key")
+    return j.groupBy(id_col).agg(*[F.sum(F.col("value") * F.col(f"m{c}")).alias(f"y{c}") for c in range(p)])
+
+
+def _xt_times(long_df: DataFrame, y: DataFrame, keys: list[str], p: int, id_col: str) -> np.ndarray:
+    """X^T . Y (features x p) collected: one row per feature (bounded by the vocabulary)."""
+    z = long_df.join(y, id_col).groupBy("key").agg(
+        *[F.sum(F.col("value") * F.col(f"y{c}")).alias(f"z{c}") for c in range(p)])
+    pos = {k: i for i, k in enumerate(keys)}
+    out = np.zeros((len(keys), p))
+    for r in z.collect():
+        out[pos[r["key"]]] = [r[f"z{c}"] for c in range(p)]
+    return out
+
+
+def _orthonormal_rows(y: DataFrame, p: int) -> DataFrame:
+    """Cholesky-QR of the tall matrix Y (id, y0..): Q = Y R^-1 with R from
+    the p x p Gram matrix (one aggregate), applied as column expressions."""
+    g = y.agg(*[F.sum(F.col(f"y{a}") * F.col(f"y{b}")).alias(f"g{a}_{b}") for a in range(p) for b in range(p)]).first()
+    G = np.array([[g[f"g{a}_{b}"] for b in range(p)] for a in range(p)], dtype=float)
+    w, U = np.linalg.eigh(G)
+    w = np.maximum(w, 1e-12 * max(w.max(), 1e-300))
+    Rinv = U @ np.diag(1.0 / np.sqrt(w)) @ U.T   # symmetric G^-1/2: Q = Y G^-1/2 is orthonormal
+    cols = [sum(F.col(f"y{a}") * F.lit(float(Rinv[a, b])) for a in range(p)).alias(f"y{b}") for b in range(p)]
+    return y.select(y.columns[0], *cols)
+
+
+def project_2d(spark: SparkSession, long_df: DataFrame, keys: list[str], id_col: str = "track_id", k: int = 2,
+               n_iter: int = 5, oversample: int = 6, seed: int = 42) -> DataFrame:
+    """rank-2 truncated SVD without centring (randomized range finder
+    with ``n_iter`` power iterations, as the reference's truncated SVD), then
+    the projection X.V.
+
+    The data never leaves the executors: every pass is a join of the long
+    table with a broadcast ``features x p`` matrix or with the ``items x p``
+    sketch, summed per item or per feature; only ``features x p`` and
+    ``p x p`` matrices reach the driver.  Signs are fixed so the largest |V|
+    entry of each component is positive."""
+    p = k + oversample
+    rng = np.random.default_rng(seed)
+    keys = list(keys)
+    long_df = long_df.select(id_col, "key", "value")
+    omega = rng.standard_normal((len(keys), p))
+
+    def sketch(m):
+        # the items x p sketch is read twice (Gram matrix, then X^T Q): a
+        # reliable checkpoint in the shared folder keeps it to one pass
+        return _orthonormal_rows(_x_times(long_df, m, keys, id_col).checkpoint(eager=True), p)
+
+    for _ in range(n_iter + 1):
+        omega, _ = np.linalg.qr(_xt_times(long_df, sketch(omega), keys, p, id_col))
+    q = sketch(omega)
+    bt = _xt_times(long_df, q, keys, p, id_col)          # B^T = X^T Q, features x p
+    _, _, vt = np.linalg.svd(bt.T, full_matrices=False)  # B = Q^T X = U S V^T
+    V = vt[:k].T.copy()
+    for j in range(k):
         if V[np.argmax(np.abs(V[:, j])), j] < 0:
             V[:, j] = -V[:, j]
-    vt = spark.createDataFrame([(keys[i], float(V[i, 0]), float(V[i, 1])) for i in range(len(keys))],
-                               "key string, v1 double, v2 double")
-    j = long_df.join(F.broadcast(vt), "key")
-    return j.groupBy(id_col).agg(F.sum(F.col("value") * F.col("v1")).alias("x"),
-                                 F.sum(F.col("value") * F.col("v2")).alias("y"))
+    proj = _x_times(long_df, V, keys, id_col)
+    return proj.select(id_col, F.col("y0").alias("x"), F.col("y1").alias("y"))

