@@ -66,3 +66,17 @@ def test_metrics_k_too_large_and_no_relevant(spark):
     assert abs(s["ndcg"] - (1 / math.log2(2) + 1 / math.log2(4)) / ideal) < 1e-12
     u = m["u"]
     assert u["recall"] == 0.0 and u["ndcg"] == 0.0 and u["ap"] == 0.0
+
+
+def test_single_query_scores_every_item_even_at_zero(spark):
+    # items share no term with the query and the query's numerics are 0: every
+    # item still gets a (zero) score, so top-k is filled in id order
+    long_df = spark.createDataFrame(
+        [("b", "g:x", 0.8), ("b", "n:year", 0.6), ("b", "n:explicit", 0.0),
+         ("a", "g:y", 0.8), ("a", "n:year", -0.6), ("a", "n:explicit", 0.0),
+         ("c", "g:z", 1.0), ("c", "n:year", 0.0), ("c", "n:explicit", 0.0)],
+        "track_id string, key string, value double")
+    q = spark.createDataFrame([("g:q", 1.0), ("n:year", 0.0), ("n:explicit", 0.0)], "key string, value double")
+    out = SIM.knn_cosine(long_df, q, 10).collect()
+    assert [r["track_id"] for r in out] == ["a", "b", "c"]
+    assert all(r["score"] == 0.0 for r in out)

@@ -165,7 +165,10 @@ class ContentModel:
             F.struct(F.lit("n:year").alias("key"), (F.col("z_release_year") * nw).alias("value")),
             F.struct(F.lit("n:explicit").alias("key"), (F.col("z_explicit") * nw).alias("value")))).alias("e")
         ).select(self.id_col, "e.key", "e.value")
-        return text_part.unionByName(num).filter(F.col("value") != 0)
+        # text weights are > 0 by construction; the two numeric entries are
+        # kept even when 0, so every item (and query) has them and a one-query
+        # join on the key scores every item, including items whose score is 0
+        return text_part.unionByName(num)
 
     def normalized_long(self, cfg: FeatureConfig | None = None, **kw) -> DataFrame:
         """Unit rows (zero rows stay zero)."""

@@ -168,7 +168,7 @@ def query_ctes(qcfg: FeatureConfig = QCFG, pick_sql: str = QUERY_PICK_SQL, name:
                                [f"SELECT track_id, 'n:year', (release_year - ym) / ys * {nw} FROM q, st",
                                 f"SELECT track_id, 'n:explicit', (explicit - em) / es * {nw} FROM q, st"])
     tail = f""",
- {name}_raw AS (SELECT * FROM ({union}) u(track_id, key, value) WHERE value <> 0)"""
+ {name}_raw AS (SELECT * FROM ({union}) u(track_id, key, value))"""
     if normalize:
         tail += f""",
  {name} AS (SELECT track_id, key, value / sqrt(sum(value * value) OVER (PARTITION BY track_id)) AS value FROM {name}_raw)"""

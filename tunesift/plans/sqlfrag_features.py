@@ -69,7 +69,7 @@ def content_ctes(cfg: FeatureConfig, src: str = "meta", name: str = "cv", normal
     sel.append(f"SELECT track_id, 'n:year' AS key, z_release_year * {nw} AS value FROM z")
     sel.append(f"SELECT track_id, 'n:explicit' AS key, z_explicit * {nw} AS value FROM z")
     out += f""",
- {name}_raw AS (SELECT * FROM ({' UNION ALL '.join(sel)}) u WHERE value <> 0)"""
+ {name}_raw AS (SELECT * FROM ({' UNION ALL '.join(sel)}) u)"""
     if normalize:
         out += f""",
  {name} AS (SELECT track_id, key, value / sqrt(sum(value * value) OVER (PARTITION BY track_id)) AS value FROM {name}_raw)"""
