@@ -77,3 +77,14 @@ def test_quality_table_counts_empty_strings(spark):
     df = spark.createDataFrame([("a", None), ("", 1), (None, 2)], "s string, n int")
     out = {r["column"]: (r["missing_pct"], r["empty_string_pct"]) for r in P.quality_table(df).collect()}
     assert out["s"] == (33.33, 33.33) and out["n"] == (33.33, 0.0)
+
+
+def test_exact_quantiles_match_numpy_with_narrowing(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    vals = np.concatenate([rng.integers(0, 1000, 3000), np.full(2000, 7), rng.normal(0, 1e6, 1000)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    got = P.exact_quantiles(df, "v", probs, max_collect=50, buckets=8)   # force several passes
+    exp = np.quantile(vals, probs)                                     # linear interpolation
+    assert np.allclose(got, exp, rtol=0, atol=1e-9)

@@ -122,15 +122,15 @@ def missing_counts(raw: DataFrame, top_n: int = 10) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max.
 
-    ``exact`` uses ``percentile`` (a counter per distinct value, merged at the
-    end); for high-cardinality columns at scale pass ``exact=False`` to use the
-    bounded-memory ``percentile_approx`` sketch instead."""
+    ``exact`` finds the quartiles with ``exact_quantiles`` (a few bounded
+    histogram passes, no value map merged in one task); ``exact=False`` uses
+    the ``percentile_approx`` sketch in the same single aggregate."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
         if exact:
-            q = [F.percentile(x, p) for p in (0.25, 0.5, 0.75)]
+            q = [F.lit(v).cast("double") for v in exact_quantiles(df, c, (0.25, 0.5, 0.75))]
         else:
             q = [F.percentile_approx(x, p, 10000) for p in (0.25, 0.5, 0.75)]
         parts.append(df.agg(
@@ -314,3 +314,69 @@ def cluster_compactness(points: DataFrame, cluster: str = "cluster", x: str = "x
     d_out = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
     return j.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(d_in).alias("_i"), F.avg(d_out).alias("_o")).select(
         cluster, "n", F.when(F.col("n") >= 2, F.col("_i")).alias("intra"), F.col("_o").alias("extra"))
+
+
+# ---------------------------------------------------------------------------
+# exact quantiles without a global value map
+# ---------------------------------------------------------------------------
+
+def _kth_value(x: DataFrame, k: int, lo: float, hi: float, max_collect: int, buckets: int) -> float:
+    """The k-th smallest (0-based) value of the one-column frame ``x`` (``_x``)
+    by histogram narrowing: each pass is one aggregate into at most
+    ``buckets`` counts; the bucket holding rank k becomes the next range.
+    Values are collected only once the range holds <= ``max_collect`` rows.
+    Ranges are expressed by the same bucket expression at every level, so a
+    value is never counted in two ranges."""
+    cond = F.lit(True)
+    below = 0
+    for _ in range(64):
+        inside = x.filter(cond)
+        n_in = inside.count()
+        if n_in <= max_collect or lo == hi:
+            if lo == hi:
+                return float(lo)
+            vals = sorted(r[0] for r in inside.collect())  # bounded by max_collect
+            return float(vals[k - below])
+        w = (hi - lo) / buckets
+        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(w)), F.lit(buckets - 1)).cast("int")
+        hist = {r[0]: r[1] for r in inside.groupBy(b.alias("_b")).agg(F.count(F.lit(1))).collect()}
+        run = below
+        for bi in sorted(hist):
+            if run + hist[bi] > k:
+                cond = cond & (b == bi)
+                below = run
+                new_lo, new_hi = lo + bi * w, lo + (bi + 1) * w
+                mm = x.filter(cond).agg(F.min("_x"), F.max("_x")).first()
+                lo, hi = float(mm[0]), float(mm[1])
+                break
+            run += hist[bi]
+    raise RuntimeError("quantile search did not converge")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, max_collect: int = 100_000, buckets: int = 4096) -> list:
+    """Exact quantiles with linear interpolation between order statistics
+    (the definition of ``percentile`` / ``quantile_cont``), computed with a
+    few bounded aggregates instead of one value->count map merged in a single
+    task.  Returns ``None`` for an empty column."""
+    x = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
+    st = x.agg(F.count(F.lit(1)), F.min("_x"), F.max("_x")).first()
+    n, lo, hi = st[0], st[1], st[2]
+    if not n:
+        return [None for _ in probs]
+    cache: dict[int, float] = {}
+    if n <= max_collect:  # small column: one bounded collect answers every rank
+        for i, v in enumerate(sorted(r[0] for r in x.collect())):
+            cache[i] = float(v)
+
+    def kth(k):
+        if k not in cache:
+            cache[k] = _kth_value(x, k, float(lo), float(hi), max_collect, buckets)
+        return cache[k]
+    out = []
+    for p in probs:
+        pos = (n - 1) * float(p)
+        f = int(pos // 1)
+        c = min(f + 1, n - 1)
+        a = kth(f)
+        out.append(a if c == f or pos == f else a + (kth(c) - a) * (pos - f))
+    return out

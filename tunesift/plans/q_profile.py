@@ -117,7 +117,7 @@ def _describe_sql():
 
 @register("h12_describe_numeric", _describe_sql())
 def h12_describe_numeric(spark, sf):
-    return P.describe_numeric(fx.catalog(spark, sf), _NUM)
+    return P.describe_numeric(stored_meta(spark, sf), _NUM)
 
 
 @register("h13_table_overview", with_(CATALOG) + """
