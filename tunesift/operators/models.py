@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (BucketedRandomProjectionLSH, CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                OneHotEncoder, StringIndexer, VectorAssembler)
+                                StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from tunesift.config import FeatureConfig
 from tunesift.operators import features as FE
-from tunesift.operators.similarity import MAX_SEEDS, index_rows, knn_batch
+from tunesift.operators.similarity import knn_batch
 
 MAX_VOCAB_COLLECT = 1_000_000
 

@@ -12,7 +12,7 @@ from tunesift.plans.sqlfrag import CATALOG, CATALOG_RAW, with_
 from tunesift.session import scratch_path
 from tunesift.sources import fixtures as fx
 from tunesift.sources import sinks
-from tunesift.sources.tables import CATALOG_SCHEMA, read_catalog, read_seed_list, table
+from tunesift.sources.tables import read_catalog, read_seed_list, table
 
 _STRIP = "'^\\s+|\\s+$'"
 EXT = "substr(md5(CAST({c} AS VARCHAR)), 1, 22)"

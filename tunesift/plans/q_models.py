@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tunesift.config import VARIANTS, BlockSpec, FeatureConfig
+from tunesift.config import VARIANTS, BlockSpec
 from tunesift.functions import coerce, text
 from tunesift.operators import clean
 from tunesift.operators import features as FE
@@ -12,7 +12,7 @@ from tunesift.operators import models as MD
 from tunesift.operators import profile as P
 from tunesift.operators import similarity as SIM
 from tunesift.plans.q_features import query_rows
-from tunesift.plans.q_similarity import CAND_SQL, N_DENSE_SEEDS, QUERY_PICK_SQL, content, sample_seeds
+from tunesift.plans.q_similarity import CAND_SQL, N_DENSE_SEEDS, content, sample_seeds
 from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, GENRE_TOKENS, META, with_

@@ -6,7 +6,6 @@ from tunesift.operators import search as S
 from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import META, with_
-from tunesift.sources import fixtures as fx
 
 COLS = "track_id, track_name, artist_name, artist_genres, release_year, explicit"
 _COLS = [c.strip() for c in COLS.split(",")]

@@ -12,7 +12,6 @@ from tunesift.plans.q_features import QCFG, QUERY_PICK_SQL, query_ctes, query_ro
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import META, with_
 from tunesift.plans.sqlfrag_features import content_ctes
-from tunesift.sources import fixtures as fx
 from tunesift.sources.tables import table
 
 CFG = FeatureConfig()
