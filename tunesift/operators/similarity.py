@@ -82,18 +82,29 @@ def _collect_seeds(seed_index: DataFrame, id_col: str, max_seeds: int):
     return rows
 
 
-def _seed_tables(rows, dense_keys):
-    """Split seeds into a sparse key -> postings table and a dense block."""
+def _seed_tables(rows, dense_keys, hot_share: int = 16):
+    """Split seeds into a dense block and a sparse key -> postings table.
+
+    The dense block holds the always-dense keys (numerics) and every key that
+    at least ``max(8, S / hot_share)`` seeds share (a hot genre or artist
+    token): those are one BLAS product per block of items instead of one
+    pair per (item, seed)."""
     S = len(rows)
     seed_ids = np.array([str(r[0]) for r in rows], dtype=object)
-    dense = np.zeros((len(dense_keys), S))
-    dpos = {k: i for i, k in enumerate(dense_keys)}
+    freq: dict[str, int] = {}
+    for r in rows:
+        for key in r[1]:
+            freq[key] = freq.get(key, 0) + 1
+    hot_min = max(8, S // hot_share)
+    dense_all = list(dense_keys) + sorted(k for k, c in freq.items() if c >= hot_min and k not in set(dense_keys))
+    dpos = {k: i for i, k in enumerate(dense_all)}
+    dense = np.zeros((len(dense_all), S))
     key_ids: dict[str, int] = {}
     ks, ss, ws = [], [], []
     for j, r in enumerate(rows):
         for key, val in zip(r[1], r[2]):
             if key in dpos:
-                dense[dpos[key], j] = val
+                dense[dpos[key], j] += val
             else:
                 kid = key_ids.setdefault(key, len(key_ids))
                 ks.append(kid), ss.append(j), ws.append(val)
@@ -103,8 +114,8 @@ def _seed_tables(rows, dense_keys):
     ptr = np.zeros(len(key_ids) + 1, dtype=np.int64)
     np.add.at(ptr, ks + 1, 1)
     ptr = np.cumsum(ptr)
-    key_index = pd.Index(list(key_ids.keys()), dtype=object)  # position == key id
-    return seed_ids, dense, key_index, ptr, ss, ws
+    key_index = list(key_ids.keys())  # position == key id
+    return seed_ids, (dense_all, dense), key_index, ptr, ss, ws
 
 
 def _round_int(s: np.ndarray) -> np.ndarray:
@@ -113,60 +124,81 @@ def _round_int(s: np.ndarray) -> np.ndarray:
 
 
 def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_cells: int = 4_000_000):
+    """Per-task exact top-kk per seed over Arrow record batches.
+
+    Keys are matched with ``pyarrow.compute.index_in`` (vectorised hashing,
+    no Python object per non-zero); each batch is sorted by id so the
+    (rounded score desc, id asc) order is a single int64 key within a block;
+    candidates of all blocks are merged once per task with an Arrow sort."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     def kernel(batches):
-        seed_ids, dense, key_index, ptr, post_seed, post_w = bc.value
-        dense_index = pd.Index(list(dense_keys), dtype=object)
+        seed_ids, (dense_all, dense), key_index, ptr, post_seed, post_w = bc.value
         S = len(seed_ids)
-        out = []
-        for pdf in batches:
-            if len(pdf) == 0:
+        seed_keys = pa.array(list(key_index), type=pa.string())
+        dense_set = pa.array(list(dense_all), type=pa.string())
+        cand_s, cand_r, cand_id, cand_sc = [], [], [], []
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            pdf = pdf.sort_values(id_col, kind="stable").reset_index(drop=True)
+            rb = rb.take(pc.sort_indices(rb.column(id_col)))
             step = max(64, block_cells // max(S, 1))
-            for lo in range(0, len(pdf), step):
-                part = pdf.iloc[lo:lo + step]
-                n = len(part)
-                ids = part[id_col].to_numpy(dtype=object)
-                lens = part["keys"].map(len).to_numpy()
-                flat_k = np.concatenate(part["keys"].to_numpy()) if lens.sum() else np.array([], dtype=object)
-                flat_v = np.concatenate(part["vals"].to_numpy()).astype(float) if lens.sum() else np.array([])
-                item = np.repeat(np.arange(n), lens)
+            for lo in range(0, rb.num_rows, step):
+                part = rb.slice(lo, step)
+                n = part.num_rows
+                keys, vals = part.column("keys"), part.column("vals")
+                flat_k = pc.list_flatten(keys)
+                flat_v = pc.list_flatten(vals).to_numpy(zero_copy_only=False).astype(float)
+                item = pc.list_parent_indices(keys).to_numpy(zero_copy_only=False)
                 scores = np.zeros((n, S))
-                # dense block (numerics): a small matrix product
-                if len(dense_keys):
-                    xd = np.zeros((n, len(dense_keys)))
-                    di = dense_index.get_indexer(flat_k)
+                if len(dense_all):
+                    di = pc.fill_null(pc.index_in(flat_k, value_set=dense_set), -1).to_numpy(zero_copy_only=False)
                     m = di >= 0
+                    xd = np.zeros((n, len(dense_all)))
                     xd[item[m], di[m]] = flat_v[m]
                     scores += xd @ dense
-                # sparse block: expand each item non-zero into the seeds that share its key
-                kid = key_index.get_indexer(flat_k) if len(key_index) else np.full(len(flat_k), -1)
-                m = kid >= 0
-                if m.any():
-                    it, kd, vv = item[m], kid[m], flat_v[m]
-                    cnt = ptr[kd + 1] - ptr[kd]
-                    tot = int(cnt.sum())
-                    if tot:
-                        rep_it = np.repeat(it, cnt)
-                        rep_v = np.repeat(vv, cnt)
-                        starts = np.repeat(ptr[kd] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
-                        pidx = starts + np.arange(tot)
-                        flat = rep_it * S + post_seed[pidx]
-                        scores += np.bincount(flat, weights=rep_v * post_w[pidx], minlength=n * S).reshape(n, S)
-                # exact per-seed top-kk in this block: composite key (rounded score, id order)
+                if len(key_index):
+                    kid = pc.fill_null(pc.index_in(flat_k, value_set=seed_keys), -1).to_numpy(zero_copy_only=False)
+                    m = kid >= 0
+                    if m.any():
+                        it, kd, vv = item[m], kid[m].astype(np.int64), flat_v[m]
+                        cnt = ptr[kd + 1] - ptr[kd]
+                        tot = int(cnt.sum())
+                        if tot:
+                            starts = np.repeat(ptr[kd] - np.concatenate(([0], np.cumsum(cnt)[:-1])), cnt)
+                            pidx = starts + np.arange(tot)
+                            flat = np.repeat(it, cnt) * S + post_seed[pidx]
+                            scores += np.bincount(flat, weights=np.repeat(vv, cnt) * post_w[pidx],
+                                                  minlength=n * S).reshape(n, S)
+                # exact top-kk per seed in this block: (rounded score, id order) as one int64
                 r = _round_int(scores)
                 comp = r * (1 << 32) + ((1 << 32) - 1 - np.arange(n))[:, None]
                 take = min(kk, n)
-                top = np.argpartition(-comp, take - 1, axis=0)[:take] if n > take else np.tile(np.arange(n)[:, None], (1, S))
+                top = (np.argpartition(-comp, take - 1, axis=0)[:take] if n > take
+                       else np.tile(np.arange(n)[:, None], (1, S)))
                 cols = np.tile(np.arange(S), take)
                 rows_ = top.reshape(-1)
-                out.append(pd.DataFrame({
-                    "seed_id": seed_ids[cols], id_col: ids[rows_],
-                    "score": scores[rows_, cols], "_r": r[rows_, cols]}))
-        if out:
-            cand = pd.concat(out, ignore_index=True)
-            cand = cand.sort_values(["seed_id", "_r", id_col], ascending=[True, False, True], kind="stable")
-            yield cand.groupby("seed_id", sort=False).head(kk).drop(columns="_r")
+                cand_s.append(cols)
+                cand_r.append(r[rows_, cols])
+                cand_sc.append(scores[rows_, cols])
+                cand_id.append(part.column(id_col).take(pa.array(rows_)))
+        if not cand_s:
+            return
+        t = pa.table({"s": np.concatenate(cand_s), "r": np.concatenate(cand_r),
+                      "id": pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+                                              for c in cand_id]),
+                      "score": np.concatenate(cand_sc)})
+        t = t.sort_by([("s", "ascending"), ("r", "descending"), ("id", "ascending")])
+        sv = t.column("s").to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(sv)) + 1]
+        rank = np.arange(len(sv)) - np.repeat(starts, np.diff(np.r_[starts, len(sv)]))
+        keep = np.flatnonzero(rank < kk)
+        t = t.take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seed_ids[t.column("s").to_numpy()], type=pa.string()),
+             t.column("id").combine_chunks().cast(pa.string()), t.column("score").combine_chunks()],
+            names=["seed_id", id_col, "score"])
     return kernel
 
 
@@ -185,7 +217,7 @@ def knn_batch(spark: SparkSession, index: DataFrame, seed_index: DataFrame, k: i
     if not rows:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     bc = spark.sparkContext.broadcast(_seed_tables(rows, dense_keys))
-    cand = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals").mapInPandas(
+    cand = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals").mapInArrow(
         _make_kernel(bc, id_col, kk, dense_keys), schema)
     if exclude_self:
         cand = cand.filter(F.col("seed_id") != F.col(id_col))
