@@ -88,3 +88,10 @@ def test_exact_quantiles_match_numpy_with_narrowing(spark):
     got = P.exact_quantiles(df, "v", probs, max_collect=50, buckets=8)   # force several passes
     exp = np.quantile(vals, probs)                                     # linear interpolation
     assert np.allclose(got, exp, rtol=0, atol=1e-9)
+
+
+def test_ensure_columns_keeps_year_from_date(spark):
+    from tunesift.operators import clean
+    df = spark.createDataFrame([("a", "2001-02-03"), ("b", None)], "track_name string, release_date string")
+    out = clean.prepare_meta(clean.ensure_columns(df))
+    assert {r["track_name"]: r["release_year"] for r in out.collect()} == {"a": 2001, "b": 0}

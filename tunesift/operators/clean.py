@@ -22,7 +22,10 @@ def ensure_columns(df: DataFrame, defaults: dict | None = None) -> DataFrame:
         tn = F.col("track_name") if "track_name" in out.columns else F.lit("")
         an = F.col("artist_name") if "artist_name" in out.columns else F.lit("")
         out = out.withColumn("track_id", text.synth_track_id(tn, an))
-    missing = {c: F.lit(v) for c, v in defaults.items() if c not in out.columns}
+    # Q1: a present release_date is the source of the year (prepare_meta
+    # derives it), so it is not masked by a default release_year of 0
+    missing = {c: F.lit(v) for c, v in defaults.items()
+               if c not in out.columns and not (c == "release_year" and "release_date" in out.columns)}
     return out.withColumns(missing) if missing else out
 
 

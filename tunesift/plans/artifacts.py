@@ -68,11 +68,22 @@ def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = N
     meta = stored_meta(spark, sf)
     if path is None or not _readable(spark, f"{path}/rows"):
         path = _path(spark, "content", key)
-        model = FE.fit_content(meta, cfg, exact_cut=True)
-        model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-        model.stats.write.mode("overwrite").parquet(f"{path}/stats")
-        model.normalized_long().write.mode("overwrite").parquet(f"{path}/long")
-        index_rows(spark.read.parquet(f"{path}/long")).write.mode("overwrite").parquet(f"{path}/rows")
+        write_content_space(meta, cfg, path)
         _WRITTEN[key] = path
+    model, long_df, rows = read_content_space(spark, cfg, path)
+    return ContentArtifact(meta, model, long_df, rows)
+
+
+def write_content_space(meta: DataFrame, cfg: FeatureConfig, path: str) -> None:
+    """Fit the content space on a repaired catalogue and write its tables."""
+    spark = meta.sparkSession
+    model = FE.fit_content(meta, cfg, exact_cut=True)
+    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
+    model.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    model.normalized_long().write.mode("overwrite").parquet(f"{path}/long")
+    index_rows(spark.read.parquet(f"{path}/long")).write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def read_content_space(spark: SparkSession, cfg: FeatureConfig, path: str):
     model = FE.ContentModel(cfg, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats"), None, None)
-    return ContentArtifact(meta, model, spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/rows"))
+    return model, spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/rows")

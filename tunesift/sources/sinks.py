@@ -50,16 +50,19 @@ def save_content_model(model: ContentModel, path: str, index: DataFrame | None =
 def load_content_model(spark: SparkSession, path: str) -> ContentModel:
     """A18 load: a model that can vectorise queries (D10) again."""
     meta = spark.read.json(f"{path}/meta").first()  # one small row: the config
-    raw = json.loads(meta["config"])
-    blocks = tuple(BlockSpec(b["name"], b["column"], tuple(b["ngram"]), b["min_df"], b["max_df"],
-                             b["max_features"], b["doc"]) for b in raw["blocks"])
-    cfg = FeatureConfig(raw["genre_weight"], raw["artist_weight"], raw["title_weight"], raw["numeric_weight"],
-                        raw["use_title"], blocks)
+    cfg = _config_from_json(json.loads(meta["config"]))
     vocab = spark.read.parquet(f"{path}/vocab")
     stats = spark.read.parquet(f"{path}/stats")
     return ContentModel(cfg, vocab, stats, None, None, meta["id_col"])
 
 
+def _config_from_json(raw: dict) -> FeatureConfig:
+    blocks = tuple(BlockSpec(b["name"], b["column"], tuple(b["ngram"]), b["min_df"], b["max_df"],
+                             b["max_features"], b["doc"]) for b in raw["blocks"])
+    return FeatureConfig(raw["genre_weight"], raw["artist_weight"], raw["title_weight"], raw["numeric_weight"],
+                         raw["use_title"], blocks)
+
+
 def registry_upsert(spark: SparkSession, registry_path: str, entries: DataFrame) -> DataFrame:
     """Insert or replace name -> path (full outer join by name, new wins).
 
