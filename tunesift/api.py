@@ -28,6 +28,8 @@ from tunesift.sources.fixtures import DEDUPE_ORDER
 class Recommender:
     def __init__(self, spark: SparkSession, path: str, cfg: FeatureConfig, meta: DataFrame,
                  params: RecommendParams | None = None):
+        from tunesift.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)  # evaluate() checkpoints its bounded kNN result
         self.spark, self.path, self.cfg, self.meta = spark, path, cfg, meta
         self.params = params or RecommendParams()
         self.model, self.long, self.rows = read_content_space(spark, cfg, path)
@@ -38,6 +40,8 @@ class Recommender:
             params: RecommendParams | None = None) -> "Recommender":
         """Repair (B1-B7), keep-first de-duplicate (B9), fit and write the
         content space (D4-D9) under ``path`` (a shared folder on a cluster)."""
+        from tunesift.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
         cfg = cfg or FeatureConfig()
         order = [c for c in DEDUPE_ORDER if c in catalog.columns]
         meta = clean.prepare_meta(clean.dedupe_keep_first(clean.ensure_columns(catalog), "track_id", order))

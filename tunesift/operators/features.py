@@ -60,6 +60,8 @@ def _top_by_frequency(v: DataFrame, max_features: int, exact_cut: bool) -> DataF
     slightly more than ``max_features`` rows instead of merging a full top-N
     from every task.  The result is exact either way."""
     if exact_cut:
+        from tunesift.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(v.sparkSession)
         v = v.checkpoint(eager=True)  # the candidates are read three times
         n = v.count()
         if n <= max_features:
@@ -215,6 +217,8 @@ def _cut_max_features(v: DataFrame, cfg: FeatureConfig, exact_cut: bool) -> Data
         return v
     maxf = _param_map(cfg, "max_features", 2 ** 31 - 1)
     if exact_cut:
+        from tunesift.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(v.sparkSession)
         v = v.checkpoint(eager=True)  # read several times below
         cnt = {r["block"]: r["c"] for r in v.groupBy("block").agg(F.count(F.lit(1)).alias("c")).collect()}
         cut = {}
