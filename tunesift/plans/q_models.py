@@ -389,7 +389,7 @@ def h17_cluster_profile(spark, sf):
 
 @register("h18_cluster_top_genres", MC + GENRE_TOKENS + """,
  gc AS (SELECT mc.cluster, g.genre, count(*) AS count FROM genre_tok g JOIN mc USING (track_id) GROUP BY mc.cluster, g.genre)
- SELECT * FROM (SELECT cluster, genre, count, row_number() OVER (PARTITION BY cluster ORDER BY count DESC, genre) AS rank FROM gc)
+ SELECT * FROM (SELECT cluster, genre, count, CAST(row_number() OVER (PARTITION BY cluster ORDER BY count DESC, genre) AS INT) AS rank FROM gc)
  WHERE rank <= 12""")
 def h18_cluster_top_genres(spark, sf):
     return P.cluster_top_genres(meta_clustered(spark, sf), 12)
@@ -397,7 +397,7 @@ def h18_cluster_top_genres(spark, sf):
 
 @register("h19_cluster_top_artists", MC + """
  SELECT * FROM (SELECT cluster, artist_name AS artist, count(*) AS count,
-   row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, artist_name) AS rank FROM mc GROUP BY cluster, artist_name)
+   CAST(row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, artist_name) AS INT) AS rank FROM mc GROUP BY cluster, artist_name)
  WHERE rank <= 10""")
 def h19_cluster_top_artists(spark, sf):
     return P.cluster_top_artists(meta_clustered(spark, sf), 10)
