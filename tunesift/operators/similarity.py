@@ -3,12 +3,13 @@
 Two exact strategies, one ranking rule (rounded score desc, then id asc, Q21):
 
 * one query (E1/E9): the query's few keys are broadcast and equi-joined with
-  the long index by key; partial dot products are summed per item.  The index
-  stays partitioned by ``track_id`` so the sum needs no exchange, and the
-  top-k is a ``TakeOrderedAndProject``.
+  the long index by key (the index is streamed, never shuffled by key, so a
+  hot term costs nothing extra); partial dot products are combined map-side
+  per item, one exchange carries the partial sums, and the top-k is a
+  ``TakeOrderedAndProject``.
 * many queries (E2/E10): a bounded seed set (at most ``MAX_SEEDS`` rows,
   checked before it is shipped) is broadcast to every task, and each task
-  scores its slice of the index block by block in numpy and keeps only the
+  scores its slice of the index block by block (Arrow + NumPy) and keeps only the
   best ``k`` per seed.  All seed x item products are computed (exact cosine
   top-k needs them: the dense numerics touch every item) but none is
   materialised as a row, written to a shuffle or sorted; the shuffle carries
@@ -18,7 +19,6 @@ Two exact strategies, one ranking rule (rounded score desc, then id asc, Q21):
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
