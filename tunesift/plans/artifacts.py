@@ -16,6 +16,7 @@ folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import hashlib
+import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,8 @@ from tunesift.session import ensure_checkpoint_dir, scratch_path
 from tunesift.sources import fixtures as fx
 
 _WRITTEN: dict[tuple, str] = {}
+# queries may be started from several threads; a table is built once
+_LOCK = threading.RLock()
 
 
 def _path(spark, kind, key):
@@ -45,11 +48,12 @@ def _readable(spark: SparkSession, path: str) -> bool:
 
 def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
     key = ("meta", ensure_checkpoint_dir(spark), sf)
-    path = _WRITTEN.get(key)
-    if path is None or not _readable(spark, path):
-        path = _path(spark, "meta", key)
-        fx.meta(spark, sf).write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None or not _readable(spark, path):
+            path = _path(spark, "meta", key)
+            fx.meta(spark, sf).write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
 
 
@@ -64,12 +68,13 @@ class ContentArtifact:
 def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = None) -> ContentArtifact:
     cfg = cfg or FeatureConfig()
     key = ("content", ensure_checkpoint_dir(spark), sf, cfg.to_json())
-    path = _WRITTEN.get(key)
     meta = stored_meta(spark, sf)
-    if path is None or not _readable(spark, f"{path}/rows"):
-        path = _path(spark, "content", key)
-        write_content_space(meta, cfg, path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None or not _readable(spark, f"{path}/rows"):
+            path = _path(spark, "content", key)
+            write_content_space(meta, cfg, path)
+            _WRITTEN[key] = path
     model, long_df, rows = read_content_space(spark, cfg, path)
     return ContentArtifact(meta, model, long_df, rows)
 

@@ -46,11 +46,13 @@ _FITTED: dict[tuple, object] = {}
 
 def _fitted(spark, key, fit):
     """Fitted models are reused within a session (train once, serve many)."""
+    from tunesift.plans.artifacts import _LOCK
     from tunesift.session import ensure_checkpoint_dir
     k = (ensure_checkpoint_dir(spark),) + key
-    if k not in _FITTED:
-        _FITTED[k] = fit()
-    return _FITTED[k]
+    with _LOCK:
+        if k not in _FITTED:
+            _FITTED[k] = fit()
+        return _FITTED[k]
 
 
 def _fit_kmeans(spark, sf, k=K_REC):
