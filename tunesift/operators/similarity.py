@@ -266,7 +266,8 @@ def diversify_by_artist(recs: DataFrame, top_k: int, group: str = "seed_id", art
     order = [rounded(F.col(score_col)).desc(), F.col(id_col)]
     w1 = W.partitionBy(group, "_akey").orderBy(*order)
     w2 = W.partitionBy(group).orderBy(*order)
-    return (recs.withColumn("_akey", key).filter(F.col("_akey") != "")
+    # one exchange by group serves both windows (a group holds k + overfetch rows)
+    return (recs.withColumn("_akey", key).filter(F.col("_akey") != "").repartition(group)
                 .withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") == 1)
                 .withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= int(top_k))
                 .drop("_akey", "_r1"))

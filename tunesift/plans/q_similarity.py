@@ -40,10 +40,14 @@ OUT_COLS = "seed_id, rank, score, track_name, artist_name, artist_genres, releas
 
 
 def _single_candidates(spark, sf, k=KFETCH):
-    """E1 (index weights): nearest ``k`` items to the query track, self included."""
+    """E1 (index weights): nearest ``k`` items to the query track, self included.
+
+    With the index's own weights the query vector of a catalogue track is its
+    stored row, read from the index (a broadcast one-row semi join) instead of
+    being vectorised again; other weights go through ``transform_rows`` (E1)."""
     meta, model, idx = content(spark, sf)
-    q = query_rows(meta)
-    qv = FE.transform_rows(model, q, CFG).select("key", "value")
+    q = query_rows(meta).select("track_id")
+    qv = idx.join(F.broadcast(q), "track_id", "left_semi").select("key", "value")
     cands = SIM.knn_cosine(idx, qv, k)
     return meta, cands.crossJoin(F.broadcast(q.select(F.col("track_id").alias("seed_id"))))
 
