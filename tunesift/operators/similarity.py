@@ -13,7 +13,8 @@ Two exact strategies, one ranking rule (rounded score desc, then id asc, Q21):
   best ``k`` per seed.  All seed x item products are computed (exact cosine
   top-k needs them: the dense numerics touch every item) but none is
   materialised as a row, written to a shuffle or sorted; the shuffle carries
-  ``seeds x k`` rows per task.  For an unbounded self-join use E13 (LSH).
+  ``seeds x k`` rows per task.  Seed sets above the broadcast bound go to
+  E13 (LSH, approximate; its candidate pairs grow with bucket occupancy).
 """
 
 from __future__ import annotations
