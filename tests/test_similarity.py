@@ -80,3 +80,16 @@ def test_single_query_scores_every_item_even_at_zero(spark):
     out = SIM.knn_cosine(long_df, q, 10).collect()
     assert [r["track_id"] for r in out] == ["a", "b", "c"]
     assert all(r["score"] == 0.0 for r in out)
+
+
+def test_batch_beyond_broadcast_bound_is_exact(spark):
+    rng = np.random.default_rng(3)
+    keys = [f"g:{i}" for i in range(8)] + ["n:year"]
+    rows = [(f"t{i:03d}", {k: float(rng.integers(1, 4)) for k in rng.choice(keys, size=3, replace=False)})
+            for i in range(120)]
+    idx = _index(spark, rows)
+    seeds = idx.filter(F.col("track_id") < "t040")
+    one = {(r["seed_id"], r["track_id"], r["rank"]) for r in SIM.knn_batch(spark, idx, seeds, 5).collect()}
+    chunked = {(r["seed_id"], r["track_id"], r["rank"])
+               for r in SIM.knn_batch(spark, idx, seeds, 5, max_seeds=7).collect()}
+    assert one == chunked and len(one) == 40 * 5

@@ -73,10 +73,11 @@ def knn_cosine(index_long: DataFrame, query_long: DataFrame, k: int | None, id_c
 # ---------------------------------------------------------------------------
 
 def _collect_seeds(seed_index: DataFrame, id_col: str, max_seeds: int):
-    # one bounded job: at most max_seeds + 1 rows ever reach the driver
+    """Seeds for one broadcast, or None when there are more than ``max_seeds``
+    (one bounded job: at most max_seeds + 1 rows ever reach the driver)."""
     rows = seed_index.select(id_col, "keys", "vals").limit(int(max_seeds) + 1).collect()
     if len(rows) > max_seeds:
-        raise ValueError(f"more than {max_seeds} seeds exceed the broadcast bound; use knn_approx (E13)")
+        return None
     nnz = sum(len(r["keys"]) for r in rows)
     if nnz > MAX_SEED_NNZ:
         raise ValueError(f"seed vectors have {nnz} non-zeros, above {MAX_SEED_NNZ}")
@@ -215,11 +216,30 @@ def knn_batch(spark: SparkSession, index: DataFrame, seed_index: DataFrame, k: i
     kk = int(k) + (1 if exclude_self else 0)
     schema = T.StructType([T.StructField("seed_id", T.StringType()), T.StructField(id_col, T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    if not rows:
+    items = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals")
+    if rows is None:
+        # beyond the broadcast bound: disjoint hash chunks of seeds, each within
+        # the bound, one exact scoring pass per chunk (a union of passes)
+        n = seed_index.count()
+        chunks = 2 * -(-n // int(max_seeds))  # headroom for hash imbalance
+        part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(chunks))
+        cand = None
+        for c in range(chunks):
+            rc = _collect_seeds(seed_index.filter(part == c), id_col, max_seeds)
+            if rc is None:
+                raise ValueError(f"seed chunk {c} of {chunks} exceeds {max_seeds} seeds")
+            if not rc:
+                continue
+            bc = spark.sparkContext.broadcast(_seed_tables(rc, dense_keys))
+            one = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
+            cand = one if cand is None else cand.unionByName(one)
+    elif not rows:
+        cand = None
+    else:
+        bc = spark.sparkContext.broadcast(_seed_tables(rows, dense_keys))
+        cand = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
+    if cand is None:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    bc = spark.sparkContext.broadcast(_seed_tables(rows, dense_keys))
-    cand = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals").mapInArrow(
-        _make_kernel(bc, id_col, kk, dense_keys), schema)
     if exclude_self:
         cand = cand.filter(F.col("seed_id") != F.col(id_col))
     w = W.partitionBy("seed_id").orderBy(rounded("score").desc(), F.col(id_col))
