@@ -93,3 +93,14 @@ def test_batch_beyond_broadcast_bound_is_exact(spark):
     chunked = {(r["seed_id"], r["track_id"], r["rank"])
                for r in SIM.knn_batch(spark, idx, seeds, 5, max_seeds=7).collect()}
     assert one == chunked and len(one) == 40 * 5
+
+
+def test_relevance_counts_beyond_bound_match(spark, monkeypatch):
+    from tests.conftest import SF_SMALL
+    from tunesift.sources import fixtures as fx
+    meta = fx.meta(spark, SF_SMALL)
+    seeds = EV.sample_seeds(meta, 30)
+    one = {r["seed_id"]: r["n_rel"] for r in EV.relevant_counts(spark, meta, seeds, "genre").collect()}
+    monkeypatch.setattr(EV, "MAX_SEEDS", 4)
+    chunked = {r["seed_id"]: r["n_rel"] for r in EV.relevant_counts(spark, meta, seeds, "genre").collect()}
+    assert one == chunked and len(one) == 30

@@ -72,6 +72,22 @@ def knn_cosine(index_long: DataFrame, query_long: DataFrame, k: int | None, id_c
 # Many queries, broadcast seeds + per-task top-k kernel
 # ---------------------------------------------------------------------------
 
+def bounded_seed_groups(seeds: DataFrame, id_col: str, max_seeds: int, level: int = 0, cond=None):
+    """Yield the rows of ``seeds`` as disjoint lists of at most ``max_seeds``
+    rows: a group that is too large is split in two by a hash of the id
+    (salted by the depth), recursively.  Each collect is bounded."""
+    sub = seeds if cond is None else seeds.filter(cond)
+    rows = sub.limit(int(max_seeds) + 1).collect()
+    if len(rows) <= max_seeds:
+        if rows:
+            yield rows
+        return
+    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(level)), F.lit(2))
+    for b in (0, 1):
+        c = (h == b) if cond is None else (cond & (h == b))
+        yield from bounded_seed_groups(seeds, id_col, max_seeds, level + 1, c)
+
+
 def _collect_seeds(seed_index: DataFrame, id_col: str, max_seeds: int):
     """Seeds for one broadcast, or None when there are more than ``max_seeds``
     (one bounded job: at most max_seeds + 1 rows ever reach the driver)."""
@@ -218,18 +234,10 @@ def knn_batch(spark: SparkSession, index: DataFrame, seed_index: DataFrame, k: i
                            T.StructField("score", T.DoubleType())])
     items = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals")
     if rows is None:
-        # beyond the broadcast bound: disjoint hash chunks of seeds, each within
-        # the bound, one exact scoring pass per chunk (a union of passes)
-        n = seed_index.count()
-        chunks = 2 * -(-n // int(max_seeds))  # headroom for hash imbalance
-        part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(chunks))
+        # beyond the broadcast bound: disjoint hash groups of seeds, each within
+        # the bound, one exact scoring pass per group (a union of passes)
         cand = None
-        for c in range(chunks):
-            rc = _collect_seeds(seed_index.filter(part == c), id_col, max_seeds)
-            if rc is None:
-                raise ValueError(f"seed chunk {c} of {chunks} exceeds {max_seeds} seeds")
-            if not rc:
-                continue
+        for rc in bounded_seed_groups(seed_index.select(id_col, "keys", "vals"), id_col, max_seeds):
             bc = spark.sparkContext.broadcast(_seed_tables(rc, dense_keys))
             one = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
             cand = one if cand is None else cand.unionByName(one)
