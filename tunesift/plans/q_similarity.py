@@ -152,11 +152,10 @@ def e9_recommend(spark, sf):
 def batch_candidates(spark, sf, k, exclude_self):
     from tunesift.plans.artifacts import content_artifact
     a = content_artifact(spark, sf, CFG)
-    meta = a.meta
-    seeds = sample_seeds(meta)
-    index = a.rows
-    seed_index = index.join(F.broadcast(seeds.select("track_id")), "track_id", "left_semi")
-    return meta, SIM.knn_batch(spark, index, seed_index, k, exclude_self=exclude_self)
+    # the index rows hold every catalogue id, so the seeded hash sample taken
+    # from them is the same seed set, without a join back to the catalogue
+    seed_index = sample_seeds(a.rows)
+    return a.meta, SIM.knn_batch(spark, a.rows, seed_index, k, exclude_self=exclude_self)
 
 
 BATCH_SQL = BASE + f""",
