@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex[:12]}")
 
 
+#: Rows and bytes that pass between the JVM and a Python worker at once, so whole
+#: long texts need bounded memory on both sides.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """The session's batch bounds, lowered to ``BATCH`` while the jobs inside run."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, most in BATCH.items():
+            own = str(before[k] or "0")
+            spark.conf.set(k, str(min(int(own), most) if own.isdigit() and int(own) > 0 else most))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and reread it: this cuts
     the lineage, and a lost executor costs a reread instead of a recomputation."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
