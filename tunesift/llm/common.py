@@ -150,6 +150,19 @@ def slices(arr: pa.Array, max_bytes: int = 4 << 20):
         start = end
 
 
+def gathered(batches, column: int, max_bytes: int):
+    """Batches joined until their text column holds about ``max_bytes``."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += int(utf8_view(b.column(column))[1][-1])
+        if size >= max_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 #: ASCII white space: the six bytes that separate words.
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tunesift.llm.fingerprint import op3_fingerprint_quartile
 from tunesift.llm.mixing import op9_mix_sainte_lague
+from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
 from tunesift.llm.simhash import op1_simhash_near_dup
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash_near_dup": op1_simhash_near_dup,
     "op2_shard_hilbert": op2_shard_hilbert,
     "op3_fingerprint_quartile": op3_fingerprint_quartile,
+    "op6_pack_bin_completion": op6_pack_bin_completion,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
 }
 
