@@ -7,13 +7,17 @@ from tunesift.llm.mixing import op9_mix_sainte_lague
 from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
 from tunesift.llm.simhash import op1_simhash_near_dup
+from tunesift.llm.warc import OP7_SQL, op7_warc_normalise
 
 QUERIES = {
     "op1_simhash_near_dup": op1_simhash_near_dup,
     "op2_shard_hilbert": op2_shard_hilbert,
     "op3_fingerprint_quartile": op3_fingerprint_quartile,
     "op6_pack_bin_completion": op6_pack_bin_completion,
+    "op7_warc_normalise": op7_warc_normalise,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc_normalise": OP7_SQL,
+}
