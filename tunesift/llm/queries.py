@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tunesift.llm.fingerprint import op3_fingerprint_quartile
+from tunesift.llm.langid import op4_language_viterbi
 from tunesift.llm.mixing import op9_mix_sainte_lague
 from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_simhash_near_dup": op1_simhash_near_dup,
     "op2_shard_hilbert": op2_shard_hilbert,
     "op3_fingerprint_quartile": op3_fingerprint_quartile,
+    "op4_language_viterbi": op4_language_viterbi,
     "op6_pack_bin_completion": op6_pack_bin_completion,
     "op7_warc_normalise": op7_warc_normalise,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
