@@ -8,6 +8,7 @@ from tunesift.llm.mixing import op9_mix_sainte_lague
 from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
 from tunesift.llm.simhash import op1_simhash_near_dup
+from tunesift.llm.toxicity import op8_toxicity_kneser_ney
 from tunesift.llm.warc import OP7_SQL, op7_warc_normalise
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_language_viterbi": op4_language_viterbi,
     "op6_pack_bin_completion": op6_pack_bin_completion,
     "op7_warc_normalise": op7_warc_normalise,
+    "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
 }
 
