@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tunesift.llm.fingerprint import op3_fingerprint_quartile
 from tunesift.llm.langid import op4_language_viterbi
+from tunesift.llm.lm import op10_lm_elias_fano
 from tunesift.llm.mixing import op9_mix_sainte_lague
 from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_warc_normalise": op7_warc_normalise,
     "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
+    "op10_lm_elias_fano": op10_lm_elias_fano,
 }
 
 ORACLES: dict[str, str] = {
