@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunesift.llm.common import gathered, global_rank, ship, slices, stored
+from tunesift.llm.common import gathered, global_rank, ship, slices, stored, utf8_view
 
 ship(__name__)
 
@@ -37,8 +38,10 @@ CAPACITY = 4096
 #: leave undecided keeps the best packing found.
 FILL_EFFORT = 400
 PACKINGS = 4
-#: Words of each generation of a worker's cache of tokenised words.
-CACHE = 250_000
+#: Distinct stems that a worker keeps tokenised.
+CACHE = 700_000
+#: Trailing marks that are kept apart from a word.
+TAIL = ".,;:!?"
 #: Bytes of text whose distinct words are looked up together.
 GATHER = 12 << 20
 
@@ -47,8 +50,9 @@ class WordTokens:
     """Token ids of texts, one dictionary of distinct words at a time.
 
     White space always ends a token here, so a text's ids are its words' ids
-    in a row; each distinct word is tokenised once while it stays in a cache
-    of two generations.
+    in a row.  Punctuation after a letter or digit is a token run of its own
+    and the case of A-Z is dropped, so words are kept as stems and tails.
+    The most used half survives when more than ``CACHE`` are kept.
     """
 
     def __init__(self, spec: str):
@@ -56,39 +60,60 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def stems(self, words: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = [young.get(w) or old.get(w) for w in words]
-        missing = [i for i, ids in enumerate(out) if ids is None]
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False)):
-                out[i] = np.array(e.ids, "<u4").tobytes()
-        if len(young) + len(words) > CACHE:
-            self.old, self.young = young, {}
-        self.young.update(zip(words[:CACHE], out))
-        return out
-
-    def words(self, words: pa.Array) -> list[bytes]:
-        """Ids of distinct words.  Punctuation after a letter or digit is a token run of
-        its own, and case of A-Z is dropped, so words meet in the cache as stems."""
+        self._keep([], np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _keep(self, units: list[str], pool: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> None:
+        self.units, self.pool, self.sizes, self.uses = units, pool, sizes, uses
+        self.starts = np.cumsum(sizes) - sizes
+        self.place = dict(zip(units, range(len(units))))
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units in a row, and how many each has."""
+        return _runs(self.pool, self.starts[at], self.sizes[at]), self.sizes[at]
+
+    def _units(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in the cache; those not there are tokenised."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new, ids, sizes = [words[i] for i in missing.tolist()], [], []
+            for k in range(0, len(new), 4096):
+                for e in self.tokenizer.encode_batch_fast(new[k:k + 4096], add_special_tokens=False):
+                    own = e.ids
+                    ids += own
+                    sizes.append(len(own))
+            first = len(self.units)
+            at[missing] = np.arange(first, first + len(new))
+            self.place.update(zip(new, range(first, first + len(new))))
+            self.units += new
+            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64)])
+            self.pool = np.concatenate([self.pool, np.array(ids, "<u4")])
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.uses[at] += 1
+        return at
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words in a row, and how many each has."""
         low = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words))
-        bare = pc.utf8_rtrim(low, characters=".,;:!?")
-        cut = pc.match_substring_regex(bare, r"[\p{L}\p{N}]$")
+        bare = pc.utf8_rtrim(low, characters=TAIL)
+        cut = pc.and_(pc.match_substring_regex(bare, r"[\p{L}\p{N}]$"), pc.less_equal(pc.subtract(pc.binary_length(low), pc.binary_length(bare)), 8))
         bare = pc.if_else(cut, bare, low).dictionary_encode()
-        ids, at = self.stems(bare.dictionary.to_pylist()), bare.indices.to_numpy(zero_copy_only=False)
-        out = [ids[i] for i in at.tolist()]
-        size = pc.binary_length(bare.dictionary).to_numpy(zero_copy_only=False)[at]
-        tails = np.flatnonzero(pc.binary_length(low).to_numpy(zero_copy_only=False) > size)
-        ends = [w.encode()[n:].decode() for w, n in zip(low.take(pa.array(tails)).to_pylist(), size[tails].tolist())]
-        distinct = sorted(set(ends))
-        ids = dict(zip(distinct, self.stems(distinct)))
-        for i, end in zip(tails.tolist(), ends):
-            out[i] += ids[end]
-        return out
+        which = bare.indices.to_numpy(zero_copy_only=False)
+        raw, ends = utf8_view(low)
+        tail = np.diff(ends) - pc.binary_length(bare.dictionary).to_numpy(zero_copy_only=False)[which]
+        code = np.zeros(len(low), np.uint64)
+        for k in range(8):
+            on = np.flatnonzero(tail > k)
+            code[on] = code[on] << np.uint64(8) | raw[ends[on + 1] - tail[on] + k]
+        codes, tails = np.unique(code, return_inverse=True)
+        stem_at = self._units(bare.dictionary.to_pylist())[which]
+        tail_at = self._units([int(c).to_bytes(8, "big").lstrip(b"\0").decode() for c in codes])[tails]
+        ids, sizes = self._gather(np.stack([stem_at, tail_at], axis=1).reshape(-1))
+        if len(self.units) > CACHE:
+            best = np.sort(np.argsort(-self.uses, kind="stable")[:CACHE // 2])
+            self._keep([self.units[i] for i in best.tolist()], *self._gather(best), self.uses[best] // 2)
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin (n + 1 offsets)."""
@@ -97,15 +122,17 @@ class WordTokens:
         split = pc.ascii_split_whitespace(texts)
         flat = pc.list_flatten(split).dictionary_encode()
         per_text = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        known = self.words(flat.dictionary)
-        lengths = np.array([len(x) // 4 for x in known], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        pool = np.frombuffer(b"".join(known), "<u4")
+        ids, sizes = self._words(flat.dictionary)
         word = flat.indices.to_numpy(zero_copy_only=False)
-        n = lengths[word]
-        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-        ids = pool[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], n)] if len(pool) else np.empty(0, "<u4")
-        return ids, ends[per_text]
+        ends = np.concatenate([[0], np.cumsum(sizes[word])]).astype(np.int64)
+        return _runs(ids, (np.cumsum(sizes) - sizes)[word], sizes[word]), ends[per_text]
+
+
+def _runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pool's runs of the given starts and sizes, in a row."""
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(n) + np.repeat(starts - ends + sizes, sizes)]
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text",
