@@ -150,6 +150,32 @@ def slices(arr: pa.Array, max_bytes: int = 4 << 20):
         start = end
 
 
+def whole_groups(batches, n_keys: int):
+    """Batches of sorted rows, joined so that none ends inside a run of equal keys (the first ``n_keys`` columns)."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        t = t.combine_chunks()
+        starts = group_starts(t, n_keys)
+        held = t.slice(starts[-1])
+        if starts[-1]:
+            yield t.slice(0, starts[-1]).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield held.combine_chunks().to_batches()[0]
+
+
+def group_starts(t, n_keys: int) -> np.ndarray:
+    """Where each run of equal keys begins in a batch or table of sorted rows (keys are numbers)."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in range(n_keys):
+        c = t.column(k).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def gathered(batches, column: int, max_bytes: int):
     """Batches joined until their text column holds about ``max_bytes``."""
     held, size = [], 0
