@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tunesift.config import FeatureConfig
 from tunesift.operators import features as FE
 from tunesift.operators.similarity import index_rows
-from tunesift.session import ensure_checkpoint_dir, scratch_path
+from tunesift.session import ensure_checkpoint_dir, path_exists, scratch_path
 from tunesift.sources import fixtures as fx
 
 _WRITTEN: dict[tuple, str] = {}
@@ -37,13 +37,9 @@ def _path(spark, kind, key):
 
 
 def _readable(spark: SparkSession, path: str) -> bool:
-    """True when a written table is still there (the shared folder may have
-    been cleaned while this process kept its cache)."""
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - lists the files only
-        return True
-    except Exception:  # noqa: BLE001
-        return False
+    """True when a written table is still there and complete (the shared folder
+    may have been cleaned while this process kept its cache)."""
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def stored_meta(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ helpers exist for tests, the bench and the command line.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,12 +47,17 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared file system and is only read.
-    It is set here only when unset (local runs and tests), to a fresh folder.
+    On a cluster this setting names a shared file system and is only read;
+    a session on a cluster without it is refused, since a folder of the
+    driver's machine would be invisible to the executors.  It is set here only
+    where it is unset and everything runs on one machine (tests), to a fresh
+    folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tunesift-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not sc.getCheckpointDir():
@@ -59,6 +65,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system (any error but absence is raised)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the shared checkpoint location for written tables."""
     base = ensure_checkpoint_dir(spark)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from tunesift.config import BlockSpec, FeatureConfig
 from tunesift.operators.features import ContentModel
+from tunesift.session import path_exists
+from tunesift.sources.tables import CSV_OPTIONS
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("name", T.StringType()), T.StructField("path", T.StringType()),
@@ -20,14 +22,13 @@ REGISTRY_SCHEMA = T.StructType([
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, one folder of part files written in parallel."""
-    (df.write.mode("overwrite").option("header", True)
-       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    """Header CSV, one folder of part files written in parallel; line
+    breaks stay inside quotes and quotes are doubled."""
+    (df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True)
-            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("multiLine", True).csv(path)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
@@ -66,13 +67,11 @@ def _config_from_json(raw: dict) -> FeatureConfig:
 def registry_upsert(spark: SparkSession, registry_path: str, entries: DataFrame) -> DataFrame:
     """Insert or replace name -> path (full outer join by name, new wins).
 
-    The merged table is written to a new version folder and returned; the
-    old version is left in place (no in-place overwrite of what is read)."""
-    try:
-        old = spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path)
-        old.limit(1).collect()
-    except Exception:  # noqa: BLE001 - first write: no registry yet
-        old = spark.createDataFrame([], REGISTRY_SCHEMA)
+    Returns the merged table, for the caller to write as a new version (what
+    is read is never overwritten).  Only a registry that does not exist counts
+    as empty; one that can't be read raises."""
+    old = (spark.read.schema(REGISTRY_SCHEMA).parquet(registry_path) if path_exists(spark, registry_path)
+           else spark.createDataFrame([], REGISTRY_SCHEMA))
     new = entries.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in REGISTRY_SCHEMA.fields])
     n, o = new.alias("n"), old.alias("o")
     merged = n.join(o, F.col("n.name") == F.col("o.name"), "full_outer").select(

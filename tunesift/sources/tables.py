@@ -30,20 +30,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: Quoted fields may hold commas, line breaks and doubled quotes.
+CSV_OPTIONS = {"header": True, "inferSchema": False, "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+
+
 def read_catalog(spark: SparkSession, path: str, fmt: str = "csv",
                  schema: T.StructType | None = None) -> DataFrame:
-    """A1: load a catalogue.  CSV columns are matched by header name (only the
-    header line is read to name them; no type inference pass), cast to the
-    declared schema, and absent columns are added as nulls, so files with
-    different column sets load alike.  Whitespace inside values is kept."""
+    """A1: load a catalogue, columns matched by name and cast to the declared
+    schema, absent columns added as nulls.
+
+    CSV files may differ in columns and their order: the first line of every
+    file is read, and each distinct header gets one read of its files (no type
+    inference pass).  Whitespace, line breaks and doubled
+    quotes inside quoted values are kept."""
     schema = schema or CATALOG_SCHEMA
     if fmt == "parquet":
-        df = spark.read.parquet(path)
-    else:
-        df = (spark.read.option("header", True).option("inferSchema", False)
-              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        return _declared(spark.read.parquet(path), schema)
+    out = None
+    for header, files in csv_headers(spark, path):
+        part = _declared(spark.read.options(**CSV_OPTIONS).option("multiLine", True).csv(files), schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def csv_headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
+    """(first line, files that start with it).
+
+    The file list reaches the driver (no content is read for it), which reads
+    one line of each file through Hadoop's file system and codecs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    by: dict[str, list[str]] = {}
+    for row in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect():
+        file = jvm.org.apache.hadoop.fs.Path(row["path"])
+        raw = file.getFileSystem(conf).open(file)
+        codec = codecs.getCodec(file)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
+        header = reader.readLine()
+        reader.close()
+        if header is not None:  # an empty file has no rows
+            by.setdefault(header, []).append(row["path"])
+    return sorted(by.items())
+
+
+def _declared(df: DataFrame, schema: T.StructType) -> DataFrame:
     cols = set(df.columns)
-    return df.select([(F.col(f.name).cast(f.dataType) if f.name in cols else F.lit(None).cast(f.dataType)).alias(f.name)
+    return df.select([(F.col(f"`{f.name}`").cast(f.dataType) if f.name in cols else F.lit(None).cast(f.dataType)).alias(f.name)
                       for f in schema.fields])
 
 
