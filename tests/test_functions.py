@@ -85,7 +85,9 @@ def test_exact_quantiles_match_numpy_with_narrowing(spark):
     vals = np.concatenate([rng.integers(0, 1000, 3000), np.full(2000, 7), rng.normal(0, 1e6, 1000)])
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
-    got = P.exact_quantiles(df, "v", probs, max_collect=50, buckets=8)   # force several passes
+    got = P.exact_quantiles(df.withColumn("none", F.lit(None).cast("double")), ["v", "none"], probs, buckets=8)   # several passes
+    assert got["none"] == [None] * len(probs)
+    got = got["v"]
     exp = np.quantile(vals, probs)                                     # linear interpolation
     assert np.allclose(got, exp, rtol=0, atol=1e-9)
 

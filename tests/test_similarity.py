@@ -57,7 +57,7 @@ def test_metrics_k_too_large_and_no_relevant(spark):
     flags = spark.createDataFrame([("s", 1, "x", "a", 1), ("s", 2, "y", "b", 0), ("s", 3, "z", "a", 1),
                                    ("u", 1, "x", "a", 0)],
                                   "seed_id string, rank int, track_id string, _al string, rel int")
-    n_rel = spark.createDataFrame([("s", 4), ("u", 0)], "seed_id string, n_rel long")
+    n_rel = spark.createDataFrame([("s", 4), ("u", 0), ("none", 3)], "seed_id string, n_rel long")
     m = {r["seed_id"]: r for r in EV.per_seed_metrics(flags, n_rel, 10).collect()}
     s = m["s"]
     assert s["precision"] == 0.2 and s["recall"] == 0.5  # hits / K even with 3 returned (Q12)
@@ -66,6 +66,41 @@ def test_metrics_k_too_large_and_no_relevant(spark):
     assert abs(s["ndcg"] - (1 / math.log2(2) + 1 / math.log2(4)) / ideal) < 1e-12
     u = m["u"]
     assert u["recall"] == 0.0 and u["ndcg"] == 0.0 and u["ap"] == 0.0
+    none = m["none"]  # a seed without recommendations counts as 0 but has no diversity
+    assert (none["precision"], none["recall"], none["f1"], none["ap"], none["ndcg"], none["artist_diversity"]) == (0, 0, 0, 0, 0, None)
+    cov = spark.createDataFrame([(0.5,)], "coverage double")
+    means = {r["metric"]: r["value"] for r in EV.evaluate(EV.per_seed_metrics(flags, n_rel, 10), cov).collect()}
+    assert means["Precision@K"] == 0.067 and means["Artist-Diversity"] == 0.833
+
+
+def test_seed_kernel_holds_a_bounded_number_of_candidates(spark):
+    """Many small blocks: what a task keeps stays within a few times seeds x k, and the result is exact."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = [(f"t{i:04d}", {f"g:{int(rng.integers(0, 9))}": 1.0, "n:year": float(rng.normal())}) for i in range(2000)]
+    data = _index(spark, rows).collect()
+    seeds = data[:8]
+
+    class Broadcast:
+        value = SIM._seed_tables(seeds, ("n:year",))
+
+    sizes = []
+    real = pa.concat_tables
+    try:
+        pa.concat_tables = lambda parts, *a, **k: sizes.append(sum(t.num_rows for t in parts)) or real(parts, *a, **k)
+        batch = pa.RecordBatch.from_pydict({"track_id": [r[0] for r in data], "keys": [r[1] for r in data], "vals": [r[2] for r in data]})
+        out = list(SIM._make_kernel(Broadcast, "track_id", 5, ("n:year",), block_cells=8 * 64)(iter([batch])))
+    finally:
+        pa.concat_tables = real
+    assert len(sizes) > 10 and max(sizes) <= 3 * 5 * 8
+    got = {s: [] for s in (r[0] for r in seeds)}
+    for s, t, score in zip(*(out[0].column(i).to_pylist() for i in range(3))):
+        got[s].append(t)
+    vec = {r[0]: dict(zip(r[1], r[2])) for r in data}
+    for s in got:
+        want = sorted(vec, key=lambda t: (-round(sum(vec[s].get(k, 0.0) * v for k, v in vec[t].items()), 4), t))[:5]
+        assert got[s] == want
 
 
 def test_single_query_scores_every_item_even_at_zero(spark):
@@ -77,7 +112,7 @@ def test_single_query_scores_every_item_even_at_zero(spark):
          ("c", "g:z", 1.0), ("c", "n:year", 0.0), ("c", "n:explicit", 0.0)],
         "track_id string, key string, value double")
     q = spark.createDataFrame([("g:q", 1.0), ("n:year", 0.0), ("n:explicit", 0.0)], "key string, value double")
-    out = SIM.knn_cosine(long_df, q, 10).collect()
+    out = SIM.knn_cosine(SIM.index_rows(long_df), q, 10).collect()
     assert [r["track_id"] for r in out] == ["a", "b", "c"]
     assert all(r["score"] == 0.0 for r in out)
 
@@ -91,16 +126,15 @@ def test_batch_beyond_broadcast_bound_is_exact(spark):
     seeds = idx.filter(F.col("track_id") < "t040")
     one = {(r["seed_id"], r["track_id"], r["rank"]) for r in SIM.knn_batch(spark, idx, seeds, 5).collect()}
     chunked = {(r["seed_id"], r["track_id"], r["rank"])
-               for r in SIM.knn_batch(spark, idx, seeds, 5, max_seeds=7).collect()}
+               for r in SIM.knn_batch(spark, idx, seeds, 5, per_group=(7, 1000)).collect()}
     assert one == chunked and len(one) == 40 * 5
 
 
-def test_relevance_counts_beyond_bound_match(spark, monkeypatch):
+def test_relevance_counts_beyond_bound_match(spark):
     from tests.conftest import SF_SMALL
     from tunesift.sources import fixtures as fx
     meta = fx.meta(spark, SF_SMALL)
     seeds = EV.sample_seeds(meta, 30)
     one = {r["seed_id"]: r["n_rel"] for r in EV.relevant_counts(spark, meta, seeds, "genre").collect()}
-    monkeypatch.setattr(EV, "MAX_SEEDS", 4)
-    chunked = {r["seed_id"]: r["n_rel"] for r in EV.relevant_counts(spark, meta, seeds, "genre").collect()}
+    chunked = {r["seed_id"]: r["n_rel"] for r in EV.relevant_counts(spark, meta, seeds, "genre", per_group=(4, 10)).collect()}
     assert one == chunked and len(one) == 30

@@ -64,7 +64,7 @@ class Recommender:
             ids = track_ids.select(F.col(track_ids.columns[0]).cast("string").alias("track_id"))
         else:
             ids = self.spark.createDataFrame([(str(t),) for t in track_ids], "track_id string")
-        return self.meta.join(F.broadcast(ids.distinct()), "track_id", "left_semi")
+        return self.meta.join(ids.distinct(), "track_id", "left_semi")
 
     def recommend(self, track_ids, top_k: int | None = None, threshold: float | None = None,
                   one_per_artist: bool | None = None, view: DataFrame | None = None,
@@ -82,7 +82,7 @@ class Recommender:
         if weights:
             seed_index = SIM.index_rows(FE.transform_rows(self.model, seeds, qcfg))
         else:
-            seed_index = self.rows.join(F.broadcast(seeds.select("track_id")), "track_id", "left_semi")
+            seed_index = self.rows.join(seeds.select("track_id"), "track_id", "left_semi")
         cands = SIM.knn_batch(self.spark, self.rows, seed_index, top_k + p.overfetch, exclude_self=False)
         return SIM.finish_recommendations(cands.drop("rank"), self.meta, view, top_k, threshold, one)
 
@@ -94,7 +94,7 @@ class Recommender:
         """(metric, value) for seeded seeds, K and a relevance definition."""
         e = params or EvalParams()
         seeds = EV.sample_seeds(self.meta, e.seeds, e.random_state)
-        seed_index = self.rows.join(F.broadcast(seeds.select("track_id")), "track_id", "left_semi")
+        seed_index = self.rows.join(seeds.select("track_id"), "track_id", "left_semi")
         nn = SIM.knn_batch(self.spark, self.rows, seed_index, e.k, exclude_self=True).checkpoint(eager=True)
         flags = EV.flag_recommendations(nn, self.meta, e.relevance)
         per = EV.per_seed_metrics(flags, EV.relevant_counts(self.spark, self.meta, seeds, e.relevance), e.k)

@@ -122,17 +122,18 @@ def missing_counts(raw: DataFrame, top_n: int = 10) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: list[str] | None = None, exact: bool = True) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max.
 
-    ``exact`` finds the quartiles with ``exact_quantiles`` (a few bounded
-    histogram passes, no value map merged in one task); ``exact=False`` uses
-    the ``percentile_approx`` sketch in the same single aggregate."""
+    ``exact`` finds the quartiles of all columns together with
+    ``exact_quantiles`` (bounded histogram passes, no value map merged in one
+    task); ``exact=False`` uses the ``percentile_approx`` sketch in the same
+    single aggregate."""
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+    probs = (0.25, 0.5, 0.75)
+    found = exact_quantiles(df, cols, probs) if exact else {}
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        if exact:
-            q = [F.lit(v).cast("double") for v in exact_quantiles(df, c, (0.25, 0.5, 0.75))]
-        else:
-            q = [F.percentile_approx(x, p, 10000) for p in (0.25, 0.5, 0.75)]
+        q = ([F.lit(v).cast("double") for v in found[c]] if exact
+             else [F.percentile_approx(x, p, 10000) for p in probs])
         parts.append(df.agg(
             F.lit(c).alias("column"), F.count(x).alias("count"), F.round(F.avg(x), 4).alias("mean"),
             F.round(F.stddev_samp(x), 4).alias("std"), F.min(x).alias("min"),
@@ -197,22 +198,23 @@ def duration_kde(df: DataFrame, gridsize: int = 200, cut: float = 3.0) -> DataFr
     ``std * n^(-1/5)`` on a grid of ``gridsize`` points from min - cut*bw to
     max + cut*bw.
 
-    Each row fans out to the fixed ``gridsize`` grid points (``posexplode`` of
-    a generated array) and the kernel sums are a partial aggregation by grid
-    index, so the work is linear in the rows; nothing is paired."""
+    Rows are counted per distinct duration first; each distinct value fans out
+    to the fixed ``gridsize`` grid points (``explode`` of a generated array)
+    and the weighted kernel sums are a partial aggregation by grid index."""
     x = duration_min("duration_ms").alias("_x")
     vals = df.select(x).filter(F.col("_x").isNotNull())
+    distinct = vals.groupBy("_x").agg(F.count(F.lit(1)).alias("_c"))
     st = vals.agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
                   F.min("_x").alias("_lo"), F.max("_x").alias("_hi")) \
              .withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     g0 = F.col("_lo") - F.lit(cut) * F.col("_bw")
     step = ((F.col("_hi") - F.col("_lo")) + F.lit(2 * cut) * F.col("_bw")) / F.lit(gridsize - 1)
-    j = vals.crossJoin(F.broadcast(st))
-    fan = j.select("_x", "_n", "_bw", g0.alias("_g0"), step.alias("_step"),
+    j = distinct.crossJoin(F.broadcast(st))
+    fan = j.select("_x", "_c", "_n", "_bw", g0.alias("_g0"), step.alias("_step"),
                    F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("i"))
     gx = F.col("_g0") + F.col("i") * F.col("_step")
     kern = F.exp(F.lit(-0.5) * F.pow((gx - F.col("_x")) / F.col("_bw"), 2))
-    return (fan.groupBy("i").agg(F.first(gx).alias("x"), F.sum(kern).alias("_k"),
+    return (fan.groupBy("i").agg(F.first(gx).alias("x"), F.sum(kern * F.col("_c")).alias("_k"),
                                   F.first("_n").alias("_n"), F.first("_bw").alias("_bw"))
                .select("i", F.round("x", 6).alias("x"),
                        F.round(F.col("_k") / (F.col("_n") * F.col("_bw") * F.lit(math.sqrt(2 * math.pi))), 8)
@@ -320,63 +322,58 @@ def cluster_compactness(points: DataFrame, cluster: str = "cluster", x: str = "x
 # exact quantiles without a global value map
 # ---------------------------------------------------------------------------
 
-def _kth_value(x: DataFrame, k: int, lo: float, hi: float, max_collect: int, buckets: int) -> float:
-    """The k-th smallest (0-based) value of the one-column frame ``x`` (``_x``)
-    by histogram narrowing: each pass is one aggregate into at most
-    ``buckets`` counts; the bucket holding rank k becomes the next range.
-    Values are collected only once the range holds <= ``max_collect`` rows.
-    Ranges are expressed by the same bucket expression at every level, so a
-    value is never counted in two ranges."""
-    cond = F.lit(True)
-    below = 0
-    for _ in range(64):
-        inside = x.filter(cond)
-        n_in = inside.count()
-        if n_in <= max_collect or lo == hi:
-            if lo == hi:
-                return float(lo)
-            vals = sorted(r[0] for r in inside.collect())  # bounded by max_collect
-            return float(vals[k - below])
-        w = (hi - lo) / buckets
-        b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(w)), F.lit(buckets - 1)).cast("int")
-        hist = {r[0]: r[1] for r in inside.groupBy(b.alias("_b")).agg(F.count(F.lit(1))).collect()}
-        run = below
-        for bi in sorted(hist):
-            if run + hist[bi] > k:
-                cond = cond & (b == bi)
-                below = run
-                new_lo, new_hi = lo + bi * w, lo + (bi + 1) * w
-                mm = x.filter(cond).agg(F.min("_x"), F.max("_x")).first()
-                lo, hi = float(mm[0]), float(mm[1])
-                break
-            run += hist[bi]
-    raise RuntimeError("quantile search did not converge")
-
-
-def exact_quantiles(df: DataFrame, col: str, probs, max_collect: int = 100_000, buckets: int = 4096) -> list:
-    """Exact quantiles with linear interpolation between order statistics
-    (the definition of ``percentile`` / ``quantile_cont``), computed with a
-    few bounded aggregates instead of one value->count map merged in a single
-    task.  Returns ``None`` for an empty column."""
-    x = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    st = x.agg(F.count(F.lit(1)), F.min("_x"), F.max("_x")).first()
-    n, lo, hi = st[0], st[1], st[2]
-    if not n:
-        return [None for _ in probs]
-    cache: dict[int, float] = {}
-    if n <= max_collect:  # small column: one bounded collect answers every rank
-        for i, v in enumerate(sorted(r[0] for r in x.collect())):
-            cache[i] = float(v)
-
-    def kth(k):
-        if k not in cache:
-            cache[k] = _kth_value(x, k, float(lo), float(hi), max_collect, buckets)
-        return cache[k]
-    out = []
-    for p in probs:
-        pos = (n - 1) * float(p)
-        f = int(pos // 1)
-        c = min(f + 1, n - 1)
-        a = kth(f)
-        out.append(a if c == f or pos == f else a + (kth(c) - a) * (pos - f))
+def exact_quantiles(df: DataFrame, cols: list[str], probs, buckets: int = 4096) -> dict[str, list]:
+    """Exact quantiles of numeric columns with linear interpolation between
+    order statistics (the definition of ``percentile`` / ``quantile_cont``).
+
+    Every wanted order statistic narrows a range: one job per pass counts, for
+    all of them together, the values of the range in at most ``buckets``
+    equal parts with each part's least and greatest value; the part that
+    holds the rank is the next range, until its ends are equal.  A pass takes
+    log2(``buckets``) bits off a range, and a range's ends never share a part,
+    so the passes end.  Only the counts reach the driver.  An empty column
+    has ``None`` for each quantile."""
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])
+    st = x.agg(*[f(f"_x{i}") for i in range(len(cols)) for f in (F.count, F.min, F.max)]).first()
+    ends = [st[3 * i:3 * i + 3] for i in range(len(cols))]
+    value: dict[tuple[int, int], float] = {}
+    open_: dict[tuple[int, int], tuple[float, float, int]] = {}  # (column, rank) -> least, greatest, values below
+    for i, (n, lo, hi) in enumerate(ends):
+        for p in probs if n else ():
+            at = (n - 1) * float(p)
+            for k in {int(at), min(int(at) + 1, n - 1)}:
+                open_[i, k] = (float(lo), float(hi), 0)
+    while True:
+        value.update({key: lo for key, (lo, hi, _) in open_.items() if lo == hi})
+        open_ = {key: r for key, r in open_.items() if r[0] != r[1]}
+        if not open_:
+            break
+        ranges = sorted({(i, lo, hi) for (i, _), (lo, hi, _) in open_.items()})
+        parts = []
+        for t, (i, lo, hi) in enumerate(ranges):
+            c = F.col(f"_x{i}")
+            # the share is taken of half the values, so that the widest ranges don't overflow
+            part = F.floor((c / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets)
+            parts.append(F.when(c.between(lo, hi), F.struct(F.lit(t).alias("t"), F.least(part, F.lit(buckets - 1)).alias("b"), c.alias("x"))))
+        inside = x.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*")
+        counts: dict[int, list] = {}
+        for r in inside.groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+            counts.setdefault(r["t"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+        at = {r: t for t, r in enumerate(ranges)}
+        for (i, k), (lo, hi, below) in open_.items():
+            for _, n, least, greatest in sorted(counts[at[i, lo, hi]]):
+                if below + n > k:
+                    open_[i, k] = (least, greatest, below)
+                    break
+                below += n
+    out: dict[str, list] = {}
+    for i, (c, (n, _, _)) in enumerate(zip(cols, ends)):
+        out[c] = []
+        for p in probs:
+            if not n:
+                out[c].append(None)
+                continue
+            at = (n - 1) * float(p)
+            a, b = value[i, int(at)], value[i, min(int(at) + 1, n - 1)]
+            out[c].append(a + (b - a) * (at - int(at)))
     return out

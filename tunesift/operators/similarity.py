@@ -2,19 +2,16 @@
 
 Two exact strategies, one ranking rule (rounded score desc, then id asc, Q21):
 
-* one query (E1/E9): the query's few keys are broadcast and equi-joined with
-  the long index by key (the index is streamed, never shuffled by key, so a
-  hot term costs nothing extra); partial dot products are combined map-side
-  per item, one exchange carries the partial sums, and the top-k is a
-  ``TakeOrderedAndProject``.
-* many queries (E2/E10): a bounded seed set (at most ``MAX_SEEDS`` rows,
-  checked before it is shipped) is broadcast to every task, and each task
-  scores its slice of the index block by block (Arrow + NumPy) and keeps only the
-  best ``k`` per seed.  All seed x item products are computed (exact cosine
-  top-k needs them: the dense numerics touch every item) but none is
-  materialised as a row, written to a shuffle or sorted; the shuffle carries
-  ``seeds x k`` rows per task.  Seed sets above the broadcast bound go to
-  E13 (LSH, approximate; its candidate pairs grow with bucket occupancy).
+* one query (E1/E9): the query's few keys travel as one broadcast row and each
+  index row (one per item, key and value arrays) is scored in place, so
+  nothing is shuffled before the ``TakeOrderedAndProject`` of the top k.
+* many queries (E2/E10): the seeds are dealt by an id hash into groups whose
+  vectors have a bounded number of non-zeros; each group is broadcast and one
+  pass over the index scores it (Arrow + NumPy), each task keeping only the
+  best ``k`` per seed found so far.  All seed x item products are computed
+  (exact cosine top-k needs them: the dense numerics touch every item) but
+  none is materialised as a row, written to a shuffle or sorted; the shuffle
+  carries ``seeds x k`` rows per task.  A small seed set is one group.
 """
 
 from __future__ import annotations
@@ -25,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunesift.functions import text
+from tunesift.session import ensure_checkpoint_dir
 
-MAX_SEEDS = 20_000          # seeds broadcast to the scoring kernel
-MAX_SEED_NNZ = 2_000_000    # total non-zeros of the broadcast seed vectors
+GROUP_NNZ = 2_000_000       # non-zeros of a broadcast seed group, about (groups are dealt by hash)
+GROUP_SEEDS = 20_000        # seeds of a group, about
+BROADCAST_ROWS = 1_000_000  # candidate rows that may be broadcast; larger sets are joined by shuffle
 ROUND_SCALE = 10_000        # scores ranked at 4 decimals (E4)
 
 
@@ -42,62 +41,58 @@ def rounded(c):
 def index_rows(long_df: DataFrame, id_col: str = "track_id") -> DataFrame:
     """Long (id, key, value) -> one row per item with parallel key/value arrays.
 
-    The long table comes out of the per-id normalisation window, i.e. already
-    clustered by id, so this grouping adds no exchange."""
+    Taken of the long table as the per-id normalisation leaves it (clustered by
+    id) this adds no exchange; of a stored long table it is one."""
     return long_df.groupBy(id_col).agg(
         F.collect_list("key").alias("keys"), F.collect_list("value").alias("vals"))
 
 
 # ---------------------------------------------------------------------------
-# One query, DataFrame join plan
+# One query, scored row by row
 # ---------------------------------------------------------------------------
 
-def knn_cosine(index_long: DataFrame, query_long: DataFrame, k: int | None, id_col: str = "track_id",
+def knn_cosine(index: DataFrame, query_long: DataFrame, k: int | None, id_col: str = "track_id",
                exclude: DataFrame | None = None) -> DataFrame:
     """(id, score) of the ``k`` nearest items to one query vector.
 
-    ``query_long`` is (key, value) of one normalised query (tens of keys), so
-    it is broadcast; ``exclude`` (a one-row id frame) drops the query item
-    itself (E3) with a broadcast anti join."""
-    q = F.broadcast(query_long.select("key", F.col("value").alias("_qv")))
-    s = (index_long.join(q, "key")
-         .groupBy(id_col).agg(F.sum(F.col("value") * F.col("_qv")).alias("score")))
+    ``index`` is an ``index_rows`` frame and ``query_long`` is (key, value) of
+    one normalised query (tens of keys), packed into one row; ``exclude`` (a
+    one-row id frame) drops the query item itself (E3)."""
+    q = query_long.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_q"))
+    zero = F.lit(0.0)
+    # try_element_at: a key that the query lacks counts as zero
+    parts = F.zip_with("keys", "vals", lambda key, v: v * F.coalesce(F.try_element_at(F.col("_q"), key), zero))
+    s = index.crossJoin(F.broadcast(q)).select(id_col, F.aggregate(parts, zero, lambda a, x: a + x).alias("score"))
     if exclude is not None:
-        s = s.join(F.broadcast(exclude.select(id_col)), id_col, "left_anti")
+        s = s.join(F.broadcast(exclude.select(id_col).limit(1)), id_col, "left_anti")
     s = s.orderBy(rounded("score").desc(), F.col(id_col))
     return s.limit(int(k)) if k else s
 
 
 # ---------------------------------------------------------------------------
-# Many queries, broadcast seeds + per-task top-k kernel
+# Many queries, broadcast seed groups + per-task top-k kernel
 # ---------------------------------------------------------------------------
 
-def bounded_seed_groups(seeds: DataFrame, id_col: str, max_seeds: int, level: int = 0, cond=None):
-    """Yield the rows of ``seeds`` as disjoint lists of at most ``max_seeds``
-    rows: a group that is too large is split in two by a hash of the id
-    (salted by the depth), recursively.  Each collect is bounded."""
-    sub = seeds if cond is None else seeds.filter(cond)
-    rows = sub.limit(int(max_seeds) + 1).collect()
-    if len(rows) <= max_seeds:
+def seed_groups(seeds: DataFrame, id_col: str, size: F.Column, per_group: tuple[int, int]):
+    """Yield the rows of ``seeds`` (one per id) as lists of about ``per_group``
+    (rows, total ``size``) at most: groups are residues of an id hash, as many
+    as the totals need, so a group's share of either bound varies only by chance."""
+    once = seeds.dropDuplicates([id_col])
+    n, total = once.agg(F.count(F.lit(1)), F.sum(size)).first()
+    groups = max(1, -(-n // per_group[0]), -(-int(total or 0) // per_group[1]))
+    for g in range(groups):
+        rows = once.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(groups)) == g).collect()
         if rows:
             yield rows
-        return
-    h = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(level)), F.lit(2))
-    for b in (0, 1):
-        c = (h == b) if cond is None else (cond & (h == b))
-        yield from bounded_seed_groups(seeds, id_col, max_seeds, level + 1, c)
 
 
-def _collect_seeds(seed_index: DataFrame, id_col: str, max_seeds: int):
-    """Seeds for one broadcast, or None when there are more than ``max_seeds``
-    (one bounded job: at most max_seeds + 1 rows ever reach the driver)."""
-    rows = seed_index.select(id_col, "keys", "vals").limit(int(max_seeds) + 1).collect()
-    if len(rows) > max_seeds:
-        return None
-    nnz = sum(len(r["keys"]) for r in rows)
-    if nnz > MAX_SEED_NNZ:
-        raise ValueError(f"seed vectors have {nnz} non-zeros, above {MAX_SEED_NNZ}")
-    return rows
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS):
+    """(frame, hint): the frame checkpointed in the shared folder, and a hint
+    for it and what a join on a unique key leaves of it: ``F.broadcast`` if it
+    was counted to have ``most`` rows at most, else none."""
+    ensure_checkpoint_dir(df.sparkSession)
+    kept = df.checkpoint(eager=True)
+    return kept, F.broadcast if kept.count() <= most else (lambda x: x)
 
 
 def _seed_tables(rows, dense_keys, hot_share: int = 16):
@@ -146,17 +141,27 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
 
     Keys are matched with ``pyarrow.compute.index_in`` (vectorised hashing,
     no Python object per non-zero); each batch is sorted by id so the
-    (rounded score desc, id asc) order is a single int64 key within a block;
-    candidates of all blocks are merged once per task with an Arrow sort."""
+    (rounded score desc, id asc) order is a single int64 key within a block.
+    The best of the blocks so far are merged with an Arrow sort whenever as
+    many again have come in, so a task holds at most twice kk per seed."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    def best(parts):
+        """The top kk per seed of candidate tables."""
+        t = pa.concat_tables(parts).combine_chunks()
+        t = t.sort_by([("s", "ascending"), ("r", "descending"), ("id", "ascending")])
+        sv = t.column("s").to_numpy()
+        starts = np.r_[0, np.flatnonzero(np.diff(sv)) + 1]
+        rank = np.arange(len(sv)) - np.repeat(starts, np.diff(np.r_[starts, len(sv)]))
+        return t.take(pa.array(np.flatnonzero(rank < kk)))
+
     def kernel(batches):
         seed_ids, (dense_all, dense), key_index, ptr, post_seed, post_w = bc.value
         S = len(seed_ids)
         seed_keys = pa.array(list(key_index), type=pa.string())
         dense_set = pa.array(list(dense_all), type=pa.string())
-        cand_s, cand_r, cand_id, cand_sc = [], [], [], []
+        held, n_held = [], 0
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -197,22 +202,15 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
                        else np.tile(np.arange(n)[:, None], (1, S)))
                 cols = np.tile(np.arange(S), take)
                 rows_ = top.reshape(-1)
-                cand_s.append(cols)
-                cand_r.append(r[rows_, cols])
-                cand_sc.append(scores[rows_, cols])
-                cand_id.append(part.column(id_col).take(pa.array(rows_)))
-        if not cand_s:
+                held.append(pa.table({"s": cols, "r": r[rows_, cols], "id": part.column(id_col).take(pa.array(rows_)),
+                                      "score": scores[rows_, cols]}))
+                n_held += len(cols)
+                if n_held > 2 * kk * S:
+                    held = [best(held)]
+                    n_held = held[0].num_rows
+        if not held:
             return
-        t = pa.table({"s": np.concatenate(cand_s), "r": np.concatenate(cand_r),
-                      "id": pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-                                              for c in cand_id]),
-                      "score": np.concatenate(cand_sc)})
-        t = t.sort_by([("s", "ascending"), ("r", "descending"), ("id", "ascending")])
-        sv = t.column("s").to_numpy()
-        starts = np.r_[0, np.flatnonzero(np.diff(sv)) + 1]
-        rank = np.arange(len(sv)) - np.repeat(starts, np.diff(np.r_[starts, len(sv)]))
-        keep = np.flatnonzero(rank < kk)
-        t = t.take(pa.array(keep))
+        t = best(held)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seed_ids[t.column("s").to_numpy()], type=pa.string()),
              t.column("id").combine_chunks().cast(pa.string()), t.column("score").combine_chunks()],
@@ -222,30 +220,22 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
 
 def knn_batch(spark: SparkSession, index: DataFrame, seed_index: DataFrame, k: int, id_col: str = "track_id",
               exclude_self: bool = True, dense_keys: tuple[str, ...] = ("n:year", "n:explicit"),
-              max_seeds: int = MAX_SEEDS) -> DataFrame:
+              per_group: tuple[int, int] = (GROUP_SEEDS, GROUP_NNZ)) -> DataFrame:
     """(seed_id, id, score, rank) of the k nearest items per seed.
 
     ``index``/``seed_index`` are ``index_rows`` frames (seeds are index rows
-    or vectorised query rows).  ``exclude_self`` drops the seed item (E3): the
-    kernel keeps k+1 so the result stays exact after the drop."""
-    rows = _collect_seeds(seed_index, id_col, max_seeds)
+    or vectorised query rows; one row per seed id counts).  ``exclude_self``
+    drops the seed item (E3): the kernel keeps k+1 so the result stays exact
+    after the drop.  One pass over the index per seed group."""
     kk = int(k) + (1 if exclude_self else 0)
     schema = T.StructType([T.StructField("seed_id", T.StringType()), T.StructField(id_col, T.StringType()),
                            T.StructField("score", T.DoubleType())])
     items = index.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals")
-    if rows is None:
-        # beyond the broadcast bound: disjoint hash groups of seeds, each within
-        # the bound, one exact scoring pass per group (a union of passes)
-        cand = None
-        for rc in bounded_seed_groups(seed_index.select(id_col, "keys", "vals"), id_col, max_seeds):
-            bc = spark.sparkContext.broadcast(_seed_tables(rc, dense_keys))
-            one = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
-            cand = one if cand is None else cand.unionByName(one)
-    elif not rows:
-        cand = None
-    else:
+    cand = None
+    for rows in seed_groups(seed_index.select(id_col, "keys", "vals"), id_col, F.size("keys"), per_group):
         bc = spark.sparkContext.broadcast(_seed_tables(rows, dense_keys))
-        cand = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
+        one = items.mapInArrow(_make_kernel(bc, id_col, kk, dense_keys), schema)
+        cand = one if cand is None else cand.unionByName(one)
     if cand is None:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
     if exclude_self:
@@ -273,17 +263,16 @@ def knn_dense(spark: SparkSession, items: DataFrame, seeds: DataFrame, k: int, i
 # Recommendation post-processing
 # ---------------------------------------------------------------------------
 
-def restrict_to_view(cands: DataFrame, view: DataFrame | None, id_col: str = "track_id",
-                     bounded: bool = False) -> DataFrame:
+def restrict_to_view(cands: DataFrame, view: DataFrame | None, id_col: str = "track_id", hint=None) -> DataFrame:
     """E5: keep candidates inside the filtered view (semi join).
 
-    With ``bounded`` candidates (seeds x (k + overfetch) rows) the candidate
-    side is broadcast and the view is streamed; view ids are unique, so the
-    inner join equals the semi join without shuffling the catalogue."""
+    With the ``hint`` of a ``small_side`` the view is streamed; view ids are
+    unique, so the inner join equals the semi join without shuffling the
+    catalogue."""
     if view is None:
         return cands
-    if bounded:
-        return view.select(id_col).join(F.broadcast(cands), id_col)
+    if hint is not None:
+        return view.select(id_col).join(hint(cands), id_col)
     return cands.join(view.select(id_col), id_col, "left_semi")
 
 
@@ -309,18 +298,13 @@ def top_k_per_group(recs: DataFrame, top_k: int, group: str = "seed_id", score_c
     return recs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(top_k))
 
 
-REC_COLS = ["score", "track_name", "artist_name", "artist_genres", "release_year", "explicit", "track_id", "url"]
-
-
 def finish_recommendations(cands: DataFrame, meta: DataFrame, view: DataFrame | None, top_k: int,
                            threshold: float, one_per_artist: bool, group: str = "seed_id") -> DataFrame:
     """E3 -> E5 -> E6 -> E4 -> E7/E8 -> B18 on (group, track_id, score) candidates
     (the over-fetched nearest items, self included, as the reference fetches them)."""
-    c = cands.filter(F.col(group) != F.col("track_id")).filter(F.col("score") >= F.lit(float(threshold)))
-    c = restrict_to_view(c, view, bounded=True)
-    # candidates are bounded (seeds x (k + overfetch)): broadcast them, stream the catalogue
-    c = meta.select("track_id", "track_name", "artist_name", "artist_genres", "release_year", "explicit").join(
-        F.broadcast(c), "track_id")
+    c, hint = small_side(cands.filter(F.col(group) != F.col("track_id")).filter(F.col("score") >= F.lit(float(threshold))))
+    c = restrict_to_view(c, view, hint=hint)
+    c = meta.select("track_id", "track_name", "artist_name", "artist_genres", "release_year", "explicit").join(hint(c), "track_id")
     c = diversify_by_artist(c, top_k, group) if one_per_artist else top_k_per_group(c, top_k, group)
     return c.select(group, "rank", rounded("score").alias("score"), "track_name", "artist_name", "artist_genres",
                     "release_year", "explicit", "track_id", text.track_url().alias("url"))

@@ -29,6 +29,13 @@ def content(spark, sf, cfg=CFG):
     return a.meta, a.model, a.long
 
 
+def content_rows(spark, sf, cfg=CFG):
+    """(meta, fitted model, index rows) of the same artefact."""
+    from tunesift.plans.artifacts import content_artifact
+    a = content_artifact(spark, sf, cfg)
+    return a.meta, a.model, a.rows
+
+
 def sample_seeds(df, n=N_SEEDS, state=SEED_STATE, id_col="track_id"):
     """G1: n distinct rows in seeded hash order (all rows when n >= rows)."""
     return df.orderBy(F.md5(F.concat(F.lit(f"{state}:"), F.col(id_col).cast("string"))), id_col).limit(int(n))
@@ -45,10 +52,11 @@ def _single_candidates(spark, sf, k=KFETCH):
     With the index's own weights the query vector of a catalogue track is its
     stored row, read from the index (a broadcast one-row semi join) instead of
     being vectorised again; other weights go through ``transform_rows`` (E1)."""
-    meta, model, idx = content(spark, sf)
+    meta, model, rows = content_rows(spark, sf)
     q = query_rows(meta).select("track_id")
-    qv = idx.join(F.broadcast(q), "track_id", "left_semi").select("key", "value")
-    cands = SIM.knn_cosine(idx, qv, k)
+    qv = rows.join(F.broadcast(q.limit(1)), "track_id", "left_semi").select(F.explode(F.arrays_zip("keys", "vals")).alias("e")).select(
+        F.col("e.keys").alias("key"), F.col("e.vals").alias("value"))
+    cands = SIM.knn_cosine(rows, qv, k)
     return meta, cands.crossJoin(F.broadcast(q.select(F.col("track_id").alias("seed_id"))))
 
 
@@ -87,10 +95,10 @@ def _view(meta):
  WHERE cv.track_id NOT IN {QUERY_PICK_SQL} GROUP BY cv.track_id ORDER BY score DESC, cv.track_id LIMIT 10""")
 def e1_knn_cosine(spark, sf):
     """E1 + E3 + E4 with query weights that differ from the index weights (Q6)."""
-    meta, model, idx = content(spark, sf)
+    meta, model, rows = content_rows(spark, sf)
     q = query_rows(meta)
     qv = FE.transform_rows(model, q, QCFG).select("key", "value")
-    return SIM.knn_cosine(idx, qv, 10, exclude=q).select("track_id", SIM.rounded("score").alias("score"))
+    return SIM.knn_cosine(rows, qv, 10, exclude=q).select("track_id", SIM.rounded("score").alias("score"))
 
 
 @register("e3_exclude_self", CAND_SQL + """
@@ -183,7 +191,7 @@ def e10_recommend_batch(spark, sf):
 
 # ---- dense ---------------------------------------------------------------------
 
-N_DENSE_SEEDS = 20
+N_DENSE_SEEDS = 200
 
 
 @register("e12_knn_dense", f"""
