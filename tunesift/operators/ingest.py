@@ -136,8 +136,12 @@ def append_dedupe(frames: list[DataFrame], key: str = "track_id", order: list[st
     for i, f in enumerate(frames):
         t = f.withColumn("_src", F.lit(i))
         tagged = t if tagged is None else tagged.unionByName(t, allowMissingColumns=True)
-    cols = [c for c in tagged.columns if c not in ("_src",)]
-    return dedupe_keep_first(tagged, key, ["_src"] + (order or [])).select(*cols)
+    return dedupe_sources(tagged, "_src", key, order)
+
+
+def dedupe_sources(tagged: DataFrame, source: str, key: str = "track_id", order: list[str] | None = None) -> DataFrame:
+    """A14 on rows that carry their source's rank: one pass, without that column."""
+    return dedupe_keep_first(tagged, key, [source] + list(order or [])).drop(source)
 
 
 def skip_done_parts(parts: DataFrame, processed: DataFrame, key: str = "part") -> DataFrame:

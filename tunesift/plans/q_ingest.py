@@ -208,21 +208,17 @@ def a11_attach_artist_genres(spark, sf):
 
 def parts(spark, sf):
     """catalog_raw split into parts by line number (part 1 is the master)."""
-    raw = table(spark, sf, "lineitem").select(
-        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("track_id"),
-        F.col("l_linenumber").alias("part"))
-    return fx.catalog_raw(spark, sf).join(raw.dropDuplicates(["track_id"]), "track_id")
+    return fx.catalog_raw(spark, sf).withColumn("part", F.split_part("track_id", F.lit("-"), F.lit(2)).cast("int"))
 
 
 @register("a13_union_parts", with_(CATALOG_RAW) + """,
  pr AS (SELECT *, CAST(split_part(track_id, '-', 2) AS INT) AS part FROM catalog_raw)
- SELECT track_id, track_name, artist_name, artist_genres, release_date, explicit, popularity, duration_ms FROM pr WHERE part = 1
- UNION ALL SELECT track_id, track_name, artist_name, artist_genres, release_date, explicit, popularity, NULL FROM pr WHERE part = 2""")
+ SELECT track_id, track_name, artist_name, artist_genres, release_date, explicit, popularity,
+   CASE WHEN part = 1 THEN duration_ms END AS duration_ms FROM pr""")
 def a13_union_parts(spark, sf):
+    """The master and all later parts, whose files lack the duration."""
     p = parts(spark, sf)
-    master = p.filter(F.col("part") == 1).drop("part")
-    part = p.filter(F.col("part") == 2).drop("part", "duration_ms")
-    return IG.union_parts(master, part)
+    return IG.union_parts(p.filter(F.col("part") == 1).drop("part"), p.filter(F.col("part") != 1).drop("part", "duration_ms"))
 
 
 APPEND_ORDER = ["release_date", "track_name", "artist_name", "artist_genres", "explicit", "popularity", "duration_ms"]
@@ -236,9 +232,8 @@ APPEND_SQL = with_(CATALOG_RAW) + """,
 
 @register("a14_append_dedupe", APPEND_SQL)
 def a14_append_dedupe(spark, sf):
-    p = parts(spark, sf)
-    frames = [p.filter(F.col("part") == i).drop("part") for i in range(1, 8)]
-    return IG.append_dedupe(frames, "track_id", APPEND_ORDER)
+    """Whatever parts there are, in one pass: the part number is the source rank."""
+    return IG.dedupe_sources(parts(spark, sf), "part", "track_id", APPEND_ORDER)
 
 
 @register("a15_skip_done_parts", """
@@ -254,23 +249,23 @@ def a15_skip_done_parts(spark, sf):
 # ---- A16-A19: sinks ------------------------------------------------------------------
 
 @register("a16_write_csv", with_(CATALOG) + """
- SELECT track_id, artist_name, CAST(popularity AS VARCHAR) AS popularity FROM catalog WHERE explicit = 1""")
+ SELECT track_id, track_name, artist_name, artist_genres, release_date, CAST(explicit AS VARCHAR) AS explicit,
+   CAST(popularity AS VARCHAR) AS popularity, CAST(duration_ms AS VARCHAR) AS duration_ms FROM catalog""")
 def a16_write_csv(spark, sf):
+    """The whole catalogue through CSV and back, all columns."""
     path = scratch_path(spark, f"a16_csv/{_tag(sf)}")
-    c = fx.catalog(spark, sf).filter(F.col("explicit") == 1).select("track_id", "artist_name",
-                                                                    F.col("popularity").cast("string"))
+    c = fx.catalog(spark, sf)
+    c = c.select([F.col(x).cast("string") for x in c.columns])
     sinks.write_csv(c, path)
-    from pyspark.sql import types as T
-    sch = T.StructType([T.StructField(x, T.StringType()) for x in ("track_id", "artist_name", "popularity")])
-    return sinks.read_csv(spark, path, sch)
+    return sinks.read_csv(spark, path, c.schema)
 
 
 @register("a17_write_json_report", with_(CATALOG) + """
- SELECT release_date AS year, CAST(count(*) AS BIGINT) AS n FROM catalog WHERE length(release_date) = 4 GROUP BY release_date""")
+ SELECT coalesce(substr(release_date, 1, 4), 'none') AS year, CAST(count(*) AS BIGINT) AS n FROM catalog GROUP BY 1""")
 def a17_write_json_report(spark, sf):
     path = scratch_path(spark, f"a17_json/{_tag(sf)}")
-    rep = (fx.catalog(spark, sf).filter(F.length("release_date") == 4)
-           .groupBy(F.col("release_date").alias("year")).agg(F.count(F.lit(1)).alias("n")))
+    rep = (fx.catalog(spark, sf).groupBy(F.coalesce(F.substring("release_date", 1, 4), F.lit("none")).alias("year"))
+           .agg(F.count(F.lit(1)).alias("n")))
     sinks.write_json_report(rep, path)
     return spark.read.schema("year string, n long").json(path)
 
@@ -289,23 +284,29 @@ def a18_save_load_model(spark, sf):
     return v.groupBy("track_id").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("norm"))
 
 
-@register("a19_registry", """
- SELECT * FROM (VALUES ('content_artist_heavy', 'models/content_artist_heavy'), ('content_genre_artist', 'models/content_genre_artist_v2'),
-   ('content_genre_artist_title', 'models/content_genre_artist_title'), ('kmeans', 'models/kmeans'), ('neighbors_content', 'models/neighbors_content'),
-   ('rf_artist', 'models/rf_artist')) t(name, path)""")
+@register("a19_registry", with_(CATALOG) + """,
+ per AS (SELECT explicit, count(*) AS n FROM catalog GROUP BY explicit)
+ SELECT 'catalog' AS name, (SELECT count(*) FROM catalog) AS rows UNION ALL
+ SELECT 'tracks_explicit_' || explicit, n FROM per UNION ALL
+ SELECT 'tracks_by_year', count(DISTINCT coalesce(substr(release_date, 1, 4), 'none')) FROM catalog""")
 def a19_registry(spark, sf):
-    """Two upserts into a registry built from the variant names: the second
-    replaces one path; the lookup lists names in order."""
-    base = spark.createDataFrame(
-        [(n, f"models/{n}", sinks.now_iso(), "{}") for n in
-         ("neighbors_content", "kmeans", "rf_artist", "content_genre_artist")], sinks.REGISTRY_SCHEMA)
+    """Artefacts written from the catalogue enter a registry in two upserts
+    (the second replaces one path and adds others); each registered path is
+    then read again by name."""
     path = scratch_path(spark, f"a19_registry/{_tag(sf)}")
-    base.write.mode("overwrite").parquet(path + "/v1")
-    upd = spark.createDataFrame(
-        [(n, p, sinks.now_iso(), "{}") for n, p in
-         (("content_genre_artist", "models/content_genre_artist_v2"),
-          ("content_genre_artist_title", "models/content_genre_artist_title"),
-          ("content_artist_heavy", "models/content_artist_heavy"))], sinks.REGISTRY_SCHEMA)
-    merged = sinks.registry_upsert(spark, path + "/v1", upd)
-    merged.write.mode("overwrite").parquet(path + "/v2")
-    return sinks.registry_lookup(spark.read.parquet(path + "/v2"))
+    c = fx.catalog(spark, sf)
+    c.write.mode("overwrite").parquet(f"{path}/catalog")
+    stored = spark.read.parquet(f"{path}/catalog")
+    kinds = [r[0] for r in stored.select("explicit").distinct().orderBy("explicit").collect()]
+    frames = {"catalog": stored, "tracks_by_year": stored.groupBy(F.coalesce(F.substring("release_date", 1, 4), F.lit("none")).alias("y")).count()}
+    frames |= {f"tracks_explicit_{k}": stored.filter(F.col("explicit") == k) for k in kinds}
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{path}/artefacts/{name}")
+    entry = lambda names, folder: spark.createDataFrame([(n, f"{path}/{folder}/{n}", sinks.now_iso(), "{}") for n in names], sinks.REGISTRY_SCHEMA)
+    sinks.registry_upsert(spark, f"{path}/none", entry(["catalog", "tracks_by_year"], "stale")).write.mode("overwrite").parquet(f"{path}/v1")
+    sinks.registry_upsert(spark, f"{path}/v1", entry(frames, "artefacts")).write.mode("overwrite").parquet(f"{path}/v2")
+    out = None
+    for r in sinks.registry_lookup(spark.read.parquet(f"{path}/v2")).collect():
+        one = spark.read.parquet(r["path"]).agg(F.lit(r["name"]).alias("name"), F.count(F.lit(1)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
