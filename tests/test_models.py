@@ -1,5 +1,7 @@
 """Property tests for the model operators."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -95,6 +97,32 @@ def test_silhouette_matches_numpy(spark):
         b = min(D[i, lab == c].mean() for c in set(lab) if c != lab[i])
         s.append((b - a) / max(a, b))
     assert abs(got - float(np.mean(s))) < 1e-9
+    # many small blocks give the same value, in more than one task
+    plan = MD.silhouette_sampled(spark, emb, max_rows=6000, block_rows=40)
+    assert abs(plan.first()["silhouette"] - got) < 1e-9
+
+
+def test_sampled_silhouette_is_dealt_over_all_cores(spark):
+    emb = table(spark, SF_SMALL, "embeddings").withColumnRenamed("label", "cluster")
+    plan = MD.silhouette_sampled(spark, emb, block_rows=40)._jdf.queryExecution().toString()
+    n = spark.sparkContext.defaultParallelism
+    dealt = [int(x) for x in re.findall(r"hashpartitioning\(_i#\d+, _j#\d+, (\d+)\)", plan)]
+    assert "FlatMapCoGroupsInPandas" in plan and dealt and min(dealt) >= n
+
+
+def test_top_terms_cut_and_ties(spark):
+    import random
+
+    from tunesift.operators import features as FE
+    rnd = random.Random(2)
+    rows = [(b, f"t{i:03d}", rnd.randint(1, 9)) for b in ("g", "a", "x") for i in range(120)]
+    df = spark.createDataFrame(rows, "block string, term string, cf long")
+    for g, a in ((10, 200), (1, 37), (120, 119)):
+        got = sorted((r.block, r.term) for r in FE.top_terms(df, {"g": g, "a": a}).collect())
+        want = [r for r in rows if r[0] == "x"]
+        for b, n in (("g", g), ("a", a)):
+            want += sorted((r for r in rows if r[0] == b), key=lambda r: (-r[2], r[1]))[:n]
+        assert got == sorted((b, t) for b, t, _ in want)
 
 
 def test_stratified_split_matches_full_rank_on_a_hot_class(spark):

@@ -14,7 +14,7 @@ aggregates first, so a term in a third of all rows costs one row per task).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,31 +50,39 @@ def term_counts(docs: DataFrame, id_col: str, terms: Column) -> DataFrame:
                 .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _top_by_frequency(v: DataFrame, max_features: int, exact_cut: bool) -> DataFrame:
-    """Keep the ``max_features`` terms with the largest corpus count (term
-    breaks ties).
-
-    With ``exact_cut`` the candidates are first narrowed to ``cf >= c`` where
-    ``c`` comes from an approximate quantile and is verified (by a count) to
-    leave at least ``max_features`` terms; the final ordered limit then runs on
-    slightly more than ``max_features`` rows instead of merging a full top-N
-    from every task.  The result is exact either way."""
-    if exact_cut:
-        from tunesift.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(v.sparkSession)
-        v = v.checkpoint(eager=True)  # the candidates are read three times
-        n = v.count()
-        if n <= max_features:
-            return v
-        frac = max(0.0, 1.0 - 2.0 * max_features / n)
-        c = v.agg(F.percentile_approx("cf", frac, 10000)).first()[0]
-        if c is not None and v.filter(F.col("cf") >= c).count() >= max_features:
-            v = v.filter(F.col("cf") >= c)
-    return v.orderBy(F.col("cf").desc(), F.col("term")).limit(int(max_features))
+def top_terms(v: DataFrame, most: dict[str, int]) -> DataFrame:
+    """Per block, the ``most[block]`` terms with the largest corpus count ``cf``
+    (term breaks ties); blocks without a bound keep all.
+
+    A histogram (block, cf) -> terms places the cut: terms above the cut's
+    count stay, and of those that have exactly that count the first by term
+    fill up.  No block's terms are ranked in one task.  The histogram is what
+    reaches the driver; distinct counts are fewer than the square root of
+    twice the number of tokens."""
+    from tunesift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(v.sparkSession)
+    v = v.checkpoint(eager=True)  # the candidates are read again for the cut and its ties
+    hist: dict[str, list] = {}
+    for r in v.groupBy("block", "cf").agg(F.count(F.lit(1)).alias("c")).collect():
+        hist.setdefault(r["block"], []).append((r["cf"], r["c"]))
+    above, ties = F.lit(True), []
+    for block, bound in most.items():
+        taken = 0
+        for cf, c in sorted(hist.get(block, []), reverse=True):
+            if taken + c > bound:
+                above = above & ((F.col("block") != block) | (F.col("cf") > cf))
+                if bound > taken:
+                    ties.append(v.filter((F.col("block") == block) & (F.col("cf") == cf)).orderBy("term").limit(bound - taken))
+                break
+            taken += c
+    out = v.filter(above)
+    for t in ties:
+        out = out.unionByName(t)
+    return out
 
 
 def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, min_df: int = 1, max_df: float = 1.0,
-                   max_features: int | None = None, exact_cut: bool = False) -> DataFrame:
+                   max_features: int | None = None) -> DataFrame:
     """(term, df, cf, idf) with ``min_df`` (count), ``max_df`` (fraction)
     and ``max_features`` (top by corpus count, term breaks ties); smooth idf
     ``ln((1 + n) / (1 + df)) + 1``.  ``n_docs`` is a one-row frame ``(n)``."""
@@ -82,7 +90,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, id_col: str, min_df: int =
     v = stats.crossJoin(F.broadcast(n_docs))
     v = v.filter((F.col("df") >= F.lit(min_df)) & (F.col("df") <= F.lit(float(max_df)) * F.col("n")))
     if max_features:
-        v = _top_by_frequency(v, int(max_features), exact_cut)
+        v = top_terms(v.withColumn("block", F.lit("")), {"": int(max_features)})
     return v.select("term", "df", "cf",
                     (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
 
@@ -179,18 +187,17 @@ class ContentModel:
         return raw.select(self.id_col, "key", (F.col("value") / norm).alias("value"))
 
 
-def _block_tf(docs: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
-    """(id, block, term, tf) for all blocks in one explode and one count.
+def _block_tokens(docs: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
+    """(id, one token array per block): the tokenizer's only run over the documents."""
+    return docs.select(id_col, *[text.word_tokens(block_doc(s)).alias(f"_tok_{s.name}") for s in cfg.active_blocks()])
 
-    Tokens are a column of their own before the n-grams are formed, so the
-    tokenizer regex runs once per block and document (Catalyst does not
-    collapse a projection that would repeat a non-cheap expression)."""
+
+def _block_tf(toks: DataFrame, cfg: FeatureConfig, id_col: str) -> DataFrame:
+    """(id, block, term, tf) for all blocks in one explode and one count of the token arrays."""
     def tag(b):
         # a one-argument lambda: F.transform passes the index to a second one
         return lambda t: F.struct(F.lit(b).alias("block"), t.alias("term"))
-    blocks = cfg.active_blocks()
-    toks = docs.select(id_col, *[text.word_tokens(block_doc(s)).alias(f"_tok_{s.name}") for s in blocks])
-    per = [F.transform(text.with_ngrams(F.col(f"_tok_{s.name}"), *s.ngram), tag(s.name)) for s in blocks]
+    per = [F.transform(text.with_ngrams(F.col(f"_tok_{s.name}"), *s.ngram), tag(s.name)) for s in cfg.active_blocks()]
     terms = F.flatten(F.array(*per)) if len(per) > 1 else per[0]
     return (toks.select(id_col, F.explode(terms).alias("e"))
                 .groupBy(id_col, "e.block", "e.term").agg(F.count(F.lit(1)).alias("tf")))
@@ -204,37 +211,6 @@ def _param_map(cfg: FeatureConfig, attr: str, default) -> Column:
     return F.create_map(*vals)
 
 
-def _cut_max_features(v: DataFrame, cfg: FeatureConfig, exact_cut: bool) -> DataFrame:
-    """Per-block ``max_features`` (top corpus count, term breaks ties) in one
-    plan: a rank window partitioned by block.  On the production path
-    (``exact_cut``) each block's candidates are first narrowed to
-    ``cf >= c_block``, with ``c_block`` from an approximate quantile that is
-    verified by a count to keep at least ``max_features`` terms, so the window
-    sorts about twice ``max_features`` rows per block instead of the whole
-    vocabulary; the result is exact either way."""
-    bounded = {b.name: b.max_features for b in cfg.active_blocks() if b.max_features}
-    if not bounded:
-        return v
-    maxf = _param_map(cfg, "max_features", 2 ** 31 - 1)
-    if exact_cut:
-        from tunesift.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(v.sparkSession)
-        v = v.checkpoint(eager=True)  # read several times below
-        cnt = {r["block"]: r["c"] for r in v.groupBy("block").agg(F.count(F.lit(1)).alias("c")).collect()}
-        cut = {}
-        for b, n in bounded.items():
-            if cnt.get(b, 0) > n:
-                frac = max(0.0, 1.0 - 2.0 * n / cnt[b])
-                c = v.filter(F.col("block") == b).agg(F.percentile_approx("cf", frac, 10000)).first()[0]
-                if c is not None and v.filter((F.col("block") == b) & (F.col("cf") >= c)).count() >= n:
-                    cut[b] = c
-        if cut:
-            cmap = F.create_map(*[x for b, c in cut.items() for x in (F.lit(b), F.lit(int(c)))])
-            v = v.filter(F.col("cf") >= F.coalesce(cmap[F.col("block")], F.lit(0)))
-    w = Window.partitionBy("block").orderBy(F.col("cf").desc(), F.col("term"))
-    return v.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= maxf[F.col("block")]).drop("_rk")
-
-
 def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, cfg: FeatureConfig) -> DataFrame:
     """tf * idf, L2-normalised per (document, block); vocabulary broadcast
     when every block has a ``max_features`` bound."""
@@ -247,30 +223,29 @@ def _weights(tf: DataFrame, vocab: DataFrame, id_col: str, cfg: FeatureConfig) -
     return j.select(id_col, "block", "term", (F.col("_w") / norm).alias("weight"))
 
 
-def fit_content(docs: DataFrame, cfg: FeatureConfig | None = None, id_col: str = "track_id",
-                exact_cut: bool = False) -> ContentModel:
+def fit_content(docs: DataFrame, cfg: FeatureConfig | None = None, id_col: str = "track_id") -> ContentModel:
     """D4-D9 fit on a repaired catalogue (``prepare_meta`` output).
 
-    All text blocks go through one explode, one (id, block, term) count and
-    one vocabulary aggregation; per-block ``min_df`` / ``max_df`` filters are
-    a lookup on the block id; ``max_features`` cuts run per block."""
+    Documents are tokenised once, before the one exchange of token arrays by
+    id, which the vocabulary and the weights both read; the (id, block, term)
+    count, the per-(id, block) norm and the per-id row norm reuse its
+    partitioning, so exploded term rows are never shuffled by document.
+    All blocks share one explode and one vocabulary aggregation; per-block
+    ``min_df`` / ``max_df`` filters are a lookup on the block, and
+    ``max_features`` cuts by ``top_terms``."""
     cfg = cfg or FeatureConfig()
     docs = docs.select(id_col, *{b.column for b in cfg.active_blocks()}, *NUMERIC_COLS)
     n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
-    # one exchange of the documents by id: the (id, block, term) count, the
-    # per-(id, block) norm and the per-id row norm all reuse this partitioning,
-    # so the exploded term rows are never shuffled by document
-    docs = docs.repartition(id_col)
-    tf = _block_tf(docs, cfg, id_col)
+    nstats = numeric_stats(docs)
+    tf = _block_tf(_block_tokens(docs, cfg, id_col).repartition(id_col), cfg, id_col)
     stats = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     v = stats.crossJoin(F.broadcast(n_docs))
     v = v.filter((F.col("df") >= _param_map(cfg, "min_df", 1)[F.col("block")]) &
                  (F.col("df") <= _param_map(cfg, "max_df", 1.0)[F.col("block")].cast("double") * F.col("n")))
-    vocab = _cut_max_features(v, cfg, exact_cut)
+    vocab = top_terms(v, {b.name: b.max_features for b in cfg.active_blocks() if b.max_features})
     vocab = vocab.select("block", "term", "df", "cf",
                          (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    nstats = numeric_stats(docs)
-    return ContentModel(cfg, vocab, nstats, _weights(tf, vocab, id_col, cfg), zscore(docs, nstats, id_col), id_col)
+    return ContentModel(cfg, vocab, nstats, _weights(tf, vocab, id_col, cfg), zscore(docs.repartition(id_col), nstats, id_col), id_col)
 
 
 def transform_rows(model: ContentModel, rows: DataFrame, cfg: FeatureConfig | None = None,
@@ -279,7 +254,7 @@ def transform_rows(model: ContentModel, rows: DataFrame, cfg: FeatureConfig | No
     statistics and the given (query) weights: (id, key, value)."""
     cfg = cfg or model.cfg
     id_col = id_col or model.id_col
-    tf = _block_tf(rows, cfg, id_col)
+    tf = _block_tf(_block_tokens(rows, cfg, id_col), cfg, id_col)
     w = _weights(tf, model.vocab, id_col, cfg)
     z = zscore(rows, model.stats, id_col)
     tmp = ContentModel(cfg, model.vocab, model.stats, w, z, id_col)

@@ -117,56 +117,52 @@ def label_centroids(points: DataFrame, label: str = "label", vec_col: str = "emb
     return agg.select("cluster", F.array(*[F.col(f"_d{i}") for i in range(dims)]).alias("centre"))
 
 
-def _silhouette_kernel(bc):
-    def kernel(batches):
-        X, lab, ids = bc.value
-        sq = (X * X).sum(1)
-        labels = np.unique(lab)
-        li = np.searchsorted(labels, lab)
-        sizes = np.bincount(li, minlength=len(labels)).astype(float)
-        pos = {v: i for i, v in enumerate(ids)}
-        for pdf in batches:
-            rows = np.array([pos[v] for v in pdf["_id"]], dtype=np.int64)
-            out = np.zeros(len(rows))
-            for lo in range(0, len(rows), 512):
-                r = rows[lo:lo + 512]
-                d = np.sqrt(np.maximum(sq[r, None] + sq[None, :] - 2.0 * (X[r] @ X.T), 0.0))
-                d[np.arange(len(r)), r] = 0.0
-                sums = np.zeros((len(r), len(labels)))
-                for j in range(len(labels)):
-                    sums[:, j] = d[:, li == j].sum(1)
-                own = li[r]
-                a_den = sizes[own] - 1
-                a = np.where(a_den > 0, sums[np.arange(len(r)), own] / np.maximum(a_den, 1), 0.0)
-                mean_other = sums / sizes[None, :]
-                mean_other[np.arange(len(r)), own] = np.inf
-                b = mean_other.min(1) if len(labels) > 1 else np.zeros(len(r))
-                s = np.where(a_den > 0, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-                out[lo:lo + len(r)] = s
-            yield pd.DataFrame({"_id": pdf["_id"].to_numpy(), "s": out})
-    return kernel
+def _distance_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Sum of distances of each left row to the right rows of every label (itself left out)."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"_id": [], "_l": [], "_other": [], "_sum": []})
+    a, b = np.stack(left["_v"]).astype(float), np.stack(right["_v"]).astype(float)
+    d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
+    d[left["_id"].to_numpy()[:, None] == right["_id"].to_numpy()[None, :]] = 0.0
+    labels, at = np.unique(right["_l"].to_numpy().astype(str), return_inverse=True)
+    sums = np.zeros((len(a), len(labels)))
+    np.add.at(sums.T, at, d.T)
+    n = len(labels)
+    return pd.DataFrame({"_id": np.repeat(left["_id"].to_numpy(), n), "_l": np.repeat(left["_l"].to_numpy(), n),
+                         "_other": np.tile(labels, len(a)), "_sum": sums.reshape(-1)})
 
 
 def silhouette_sampled(spark: SparkSession, points: DataFrame, label: str = "cluster", vec_col: str = "embedding",
-                       id_col: str = "vec_id", max_rows: int = 6000, seed: int = 42) -> DataFrame:
+                       id_col: str = "vec_id", max_rows: int = 6000, seed: int = 42, block_rows: int = 256) -> DataFrame:
     """mean silhouette (Euclidean) on a seeded hash sample of at most
-    ``max_rows`` rows (the reference's bound: the measure is quadratic).
-
-    The bounded sample is broadcast; each task computes the distances of its
-    share of sample rows to all sample rows blockwise in numpy and emits one
-    value per row, so no pair is written as a row."""
-    sample = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(int(max_rows))
-    rows = sample.select(F.col(id_col).cast("string").alias("_id"), F.col(label).alias("_l"),
-                         F.col(vec_col).cast("array<double>").alias("_v")).collect()  # bounded by max_rows
-    if not rows:
-        return spark.createDataFrame([(None, 0)], "silhouette double, n long")
-    X = np.array([r["_v"] for r in rows], dtype=float)
-    lab = np.array([r["_l"] for r in rows])
-    ids = [r["_id"] for r in rows]
-    bc = spark.sparkContext.broadcast((X, lab, ids))
-    ids_df = sample.select(F.col(id_col).cast("string").alias("_id"))
-    s = ids_df.mapInPandas(_silhouette_kernel(bc), "_id string, s double")
-    return s.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    ``max_rows`` rows (the sample size is the measure's own parameter, since
+    the measure is quadratic).
+
+    The sample is dealt into blocks of about ``block_rows``; every pair of
+    blocks is one group of a co-grouped job, which sums distances per row and
+    label, and the silhouettes are aggregates of those sums.  Nothing of the
+    sample reaches the driver."""
+    from tunesift.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    sample = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(int(max_rows)).select(
+        F.col(id_col).cast("string").alias("_id"), F.col(label).cast("string").alias("_l"),
+        F.col(vec_col).cast("array<double>").alias("_v")).checkpoint(eager=True)
+    blocks = max(1, -(-sample.count() // block_rows))
+    parts = max(spark.sparkContext.defaultParallelism, min(blocks * blocks, 4 * spark.sparkContext.defaultParallelism))
+    own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = sample.select(own.alias("_i"), every.alias("_j"), "_id", "_l", "_v").repartition(parts, "_i", "_j")
+    right = sample.select(every.alias("_i"), own.alias("_j"), "_id", "_l", "_v").repartition(parts, "_i", "_j")
+    sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
+        _distance_sums, "_id string, _l string, _other string, _sum double")
+    sizes = sample.groupBy(F.col("_l").alias("_other")).agg(F.count(F.lit(1)).alias("_n"))
+    per = sums.groupBy("_id", "_l", "_other").agg(F.sum("_sum").alias("_sum")).join(F.broadcast(sizes), "_other")
+    same = F.col("_l") == F.col("_other")
+    row = per.groupBy("_id").agg(
+        F.max(F.when(same & (F.col("_n") > 1), F.col("_sum") / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("a"),
+        F.coalesce(F.min(F.when(~same, F.col("_sum") / F.col("_n"))), F.lit(0.0)).alias("b"))
+    s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300)))
+    return row.agg(F.avg(s).alias("silhouette"), F.count(F.lit(1)).alias("n"))
 
 
 def silhouette_full(vectors: DataFrame, prediction: str = "cluster", distance: str = "squaredEuclidean") -> float:

@@ -20,6 +20,7 @@ import threading
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunesift.config import FeatureConfig
 from tunesift.operators import features as FE
@@ -78,11 +79,14 @@ def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = N
 def write_content_space(meta: DataFrame, cfg: FeatureConfig, path: str) -> None:
     """Fit the content space on a repaired catalogue and write its tables."""
     spark = meta.sparkSession
-    model = FE.fit_content(meta, cfg, exact_cut=True)
+    model = FE.fit_content(meta, cfg)
     model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     model.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    model.normalized_long().write.mode("overwrite").parquet(f"{path}/long")
-    index_rows(spark.read.parquet(f"{path}/long")).write.mode("overwrite").parquet(f"{path}/rows")
+    # rows first, while the entries are still clustered by id; the long table is their explosion
+    index_rows(model.normalized_long()).write.mode("overwrite").parquet(f"{path}/rows")
+    entry = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("vals").alias("value"))).alias("e")
+    (spark.read.parquet(f"{path}/rows").select(model.id_col, entry).select(model.id_col, "e.key", "e.value")
+     .write.mode("overwrite").parquet(f"{path}/long"))
 
 
 def read_content_space(spark: SparkSession, cfg: FeatureConfig, path: str):

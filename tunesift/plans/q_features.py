@@ -183,17 +183,22 @@ def _query_sql(normalize: bool):
             " SELECT track_id, key, round(value, 6) AS value FROM qvec")
 
 
+def _fitted(spark, sf):
+    """(meta, model) of the stored content space."""
+    from tunesift.plans.artifacts import content_artifact
+    a = content_artifact(spark, sf, CFG)
+    return a.meta, a.model
+
+
 @register("d10_query_vector", _query_sql(True))
 def d10_query_vector(spark, sf):
-    meta = stored_meta(spark, sf)
-    model = FE.fit_content(meta, CFG)
+    meta, model = _fitted(spark, sf)
     q = FE.transform_rows(model, query_rows(meta), QCFG, normalize=True)
     return q.select("track_id", "key", F.round("value", 6).alias("value"))
 
 
 @register("d11_raw_query_vector", _query_sql(False))
 def d11_raw_query_vector(spark, sf):
-    meta = stored_meta(spark, sf)
-    model = FE.fit_content(meta, CFG)
+    meta, model = _fitted(spark, sf)
     q = FE.transform_rows(model, query_rows(meta), QCFG, normalize=False)
     return q.select("track_id", "key", F.round("value", 6).alias("value"))
