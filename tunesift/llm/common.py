@@ -176,6 +176,16 @@ def group_starts(t, n_keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def release() -> None:
+    """Give memory that a step has freed back to the system: workers live on, and the next step's come on top."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def gathered(batches, column: int, max_bytes: int):
     """Batches joined until their text column holds about ``max_bytes``."""
     held, size = [], 0
@@ -183,10 +193,15 @@ def gathered(batches, column: int, max_bytes: int):
         held.append(b)
         size += int(utf8_view(b.column(column))[1][-1])
         if size >= max_bytes:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, size = [], 0
+            yield whole
+            del whole
+            release()
     if held and sum(b.num_rows for b in held):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    del held
+    release()
 
 
 #: ASCII white space: the six bytes that separate words.

@@ -37,7 +37,7 @@ ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0
 #: Share of a language's letters above which a script counts as its own.
 SCRIPT_SHARE = 0.01
-GATHER = 12 << 20
+GATHER = 6 << 20
 
 # First code points of script blocks (letters of the block belong
 # to the script until the next entry); "" ends a run.
@@ -107,8 +107,8 @@ class Words:
             where, own = where[keep], own[keep]
             keep = letter[own]
             hashed = (code[where[keep]] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(64 - 15)
-            self.word_of.append(own[keep])
-            self.buckets.append(hashed.astype(np.int64))
+            self.word_of.append(own[keep].astype(np.int32))
+            self.buckets.append(hashed.astype(np.int32))
 
     def counts(self) -> np.ndarray:
         """Buckets counted over all words, repeats included."""
@@ -121,11 +121,11 @@ class Words:
     def scores(self, logp: np.ndarray) -> np.ndarray:
         """(word, language): mean over gram orders of summed log-probabilities; 0 without letters."""
         langs = logp.shape[1]
-        out = np.zeros((self.n, langs))
+        out = np.zeros((self.n, langs), np.float32)
         for own, b in zip(self.word_of, self.buckets):
             for k in range(langs):
-                out[:, k] += np.bincount(own, weights=logp[b, k], minlength=self.n)
-        return out / len(ORDERS)
+                out[:, k] += np.bincount(own, weights=logp[b, k], minlength=self.n) / len(ORDERS)
+        return out
 
 
 @dataclass(frozen=True)
@@ -197,7 +197,7 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float) -> np.ndarr
     """
     n_words, langs = scores.shape
     if not n_words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     by_length = np.argsort(-per_text, kind="stable")
     rank = np.empty_like(by_length)
     rank[by_length] = np.arange(len(by_length))
@@ -207,12 +207,14 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float) -> np.ndarr
     first = np.cumsum(per_text) - per_text
     t = np.arange(n_words) - np.repeat(first, per_text)
     place = step_at[t] + np.repeat(rank, per_text)  # step-major place of every word
+    del t
     ordered = np.empty_like(scores)
     ordered[place] = scores
+    del scores
     stay = np.ones((n_words, langs), bool)
-    jump = np.zeros(n_words, np.int64)
+    jump = np.zeros(n_words, np.int32)
     v = ordered[:active[0]].copy()
-    last = np.zeros(len(per_text), np.int64)
+    last = np.zeros(len(per_text), np.int32)
     for s in range(1, steps):
         n, at = active[s], step_at[s]
         if n < len(v):
@@ -224,7 +226,7 @@ def viterbi(scores: np.ndarray, per_text: np.ndarray, switch: float) -> np.ndarr
         stay[at:at + n], jump[at:at + n] = keep, best
         v = np.where(keep, v, other) + ordered[at:at + n]
     last[:len(v)] = v.argmax(axis=1)
-    label = np.empty(n_words, np.int64)
+    label = np.empty(n_words, np.int32)
     now = last
     for s in range(steps - 1, -1, -1):
         n, at = active[s], step_at[s]
@@ -240,7 +242,8 @@ def label_words(texts: pa.Array, model: LanguageModel, switch: float = SWITCH) -
     scores = words.scores(model.logp)
     allowed = (words.scripts[:, None] & ~model.scripts[None, :]) == 0
     allowed |= ~allowed.any(axis=1, keepdims=True)
-    scores = np.where(allowed | (words.letters == 0)[:, None], scores, -1e9)
+    scores = np.where(allowed | (words.letters == 0)[:, None], scores, np.float32(-1e9))
+    words.word_of, words.buckets = [], []  # no longer needed
     return words, viterbi(scores[words.at], words.per_text, switch)
 
 

@@ -49,7 +49,7 @@ DISCOUNT = 0.75
 #: Distinct tokens of a level-1 file, and training tokens of a level-2 file.
 WORDS_A_FILE = 1 << 20
 TOKENS_A_FILE = 1 << 21
-GATHER = 12 << 20
+GATHER = 8 << 20
 #: Token numbers take this many bits of a pair's key.
 BITS = 31
 

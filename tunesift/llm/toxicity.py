@@ -43,7 +43,7 @@ DISCOUNT = 2.0
 BACKOFF_DISCOUNT = 0.75
 #: Log-likelihood ratio (nats) above which a word counts as a telling expression.
 TELLING = 3.0
-GATHER = 12 << 20
+GATHER = 6 << 20
 RATIOS = 4
 
 
