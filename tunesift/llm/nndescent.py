@@ -339,3 +339,17 @@ def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int, n:
 
 def op5_embedding_nn_descent(spark, sf):
     return near_duplicates(spark.read.parquet(f"{sf}/embeddings.parquet")).rows
+
+
+#: All links by brute force, and components by reachability.
+OP5_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL
+  AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93),
+r AS (SELECT vec_id, vec_id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT r.vec_id, coalesce(max(n.n_links), 0) AS n_links, min(r.root) AS component_id, r.vec_id = min(r.root) AS kept
+FROM r LEFT JOIN n ON n.vec_id = r.vec_id GROUP BY r.vec_id
+"""

@@ -6,7 +6,7 @@ from tunesift.llm.fingerprint import op3_fingerprint_quartile
 from tunesift.llm.langid import op4_language_viterbi
 from tunesift.llm.lm import op10_lm_elias_fano
 from tunesift.llm.mixing import op9_mix_sainte_lague
-from tunesift.llm.nndescent import op5_embedding_nn_descent
+from tunesift.llm.nndescent import OP5_SQL, op5_embedding_nn_descent
 from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
 from tunesift.llm.simhash import op1_simhash_near_dup
@@ -27,5 +27,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_embedding_nn_descent": OP5_SQL,
     "op7_warc_normalise": OP7_SQL,
 }
