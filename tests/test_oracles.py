@@ -1,5 +1,4 @@
-"""Every registered query with an oracle equals DuckDB on the sf0.001 tables;
-the rest run and return rows."""
+"""Every registered query with an oracle equals DuckDB on the sf0.001 tables."""
 
 import duckdb
 import pytest
@@ -10,8 +9,6 @@ from tools.oracle_check import TABLES, frame_digest
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-SLOW = {"f1_kmeans_fit", "f3_predict_query_cluster", "f6_rf_artist_fit", "f7_leaf_embedding", "e11_knn_leaf",
-        "f8_leaf_query", "f9_rf_genre_fit", "f13_project_2d"}
 
 
 @pytest.fixture(scope="module")
@@ -33,14 +30,13 @@ def test_query_matches_oracle(spark, con, name):
     assert sh == dh, (set(srows) - set(drows), set(drows) - set(srows))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in ORACLES))
-def test_query_without_oracle_runs(spark, name):
-    df = QUERIES[name](spark, SF_SMALL)
-    assert df.count() >= 0
-    assert len(df.columns) > 0
+def test_every_query_of_the_library_itself_has_an_oracle():
+    # the training-data operators are compared with brute force in tests/llm
+    from tunesift.plans.registry import QUERIES as OWN
+    assert OWN and not [n for n in OWN if n not in ORACLES]
 
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["seed_id", "rank", "score"]
-    assert df.count() >= 0
+    assert 0 < df.count() <= 10

@@ -68,34 +68,49 @@ class Recommender:
 
     def recommend(self, track_ids, top_k: int | None = None, threshold: float | None = None,
                   one_per_artist: bool | None = None, view: DataFrame | None = None,
-                  weights: dict | None = None) -> DataFrame:
+                  weights: dict | None = None, prefilter: bool = False,
+                  space: DataFrame | None = None) -> DataFrame:
         """Nearest top_k + overfetch items per query (self included,
         then dropped), restricted to ``view``, thresholded, one per artist,
         top_k.  ``weights`` (genre/artist/title/numeric) re-weights the query
-        side only (asymmetric cosine, Q6)."""
+        side only (asymmetric cosine, Q6).  ``prefilter`` searches the view's
+        items alone instead of filtering what was found (Q7).  ``space`` is
+        another model's index rows to search instead of the content space's,
+        e.g. a forest's leaf space (``models.leaf_index``)."""
         p = self.params
         top_k = top_k or p.top_k
         threshold = p.score_threshold if threshold is None else threshold
         one = p.one_per_artist if one_per_artist is None else one_per_artist
         seeds = self._seed_rows(track_ids)
         qcfg = self.cfg.with_weights(**weights) if weights else self.cfg
-        if weights:
+        index = self.rows if space is None else space
+        if weights and space is None:
             seed_index = SIM.index_rows(FE.transform_rows(self.model, seeds, qcfg))
         else:
-            seed_index = self.rows.join(seeds.select("track_id"), "track_id", "left_semi")
-        cands = SIM.knn_batch(self.spark, self.rows, seed_index, top_k + p.overfetch, exclude_self=False)
+            seed_index = index.join(seeds.select("track_id"), "track_id", "left_semi")
+        searched = index
+        if prefilter and view is not None:
+            searched, view = searched.join(view.select("track_id"), "track_id", "left_semi"), None
+        cands = SIM.knn_batch(self.spark, searched, seed_index, top_k + p.overfetch, exclude_self=False)
         return SIM.finish_recommendations(cands.drop("rank"), self.meta, view, top_k, threshold, one)
 
     def search(self, query: str, limit: int = 100, ranked: bool = False) -> DataFrame:
         """C5 / C6 over the catalogue."""
         return (S.search_ranked if ranked else S.search)(self.meta, query, limit)
 
-    def evaluate(self, params: EvalParams | None = None) -> DataFrame:
-        """(metric, value) for seeded seeds, K and a relevance definition."""
+    def evaluate(self, params: EvalParams | None = None, weights: dict | None = None,
+                 space: DataFrame | None = None) -> DataFrame:
+        """(metric, value) for seeded seeds, K and a relevance definition,
+        with the queries re-weighted by ``weights`` or in another ``space`` (as
+        in ``recommend``)."""
         e = params or EvalParams()
         seeds = EV.sample_seeds(self.meta, e.seeds, e.random_state)
-        seed_index = self.rows.join(seeds.select("track_id"), "track_id", "left_semi")
-        nn = SIM.knn_batch(self.spark, self.rows, seed_index, e.k, exclude_self=True).checkpoint(eager=True)
+        index = self.rows if space is None else space
+        if weights and space is None:
+            seed_index = SIM.index_rows(FE.transform_rows(self.model, seeds, self.cfg.with_weights(**weights)))
+        else:
+            seed_index = index.join(seeds.select("track_id"), "track_id", "left_semi")
+        nn = SIM.knn_batch(self.spark, index, seed_index, e.k, exclude_self=True).checkpoint(eager=True)
         flags = EV.flag_recommendations(nn, self.meta, e.relevance)
         per = EV.per_seed_metrics(flags, EV.relevant_counts(self.spark, self.meta, seeds, e.relevance), e.k)
         return EV.evaluate(per, EV.coverage(nn, self.meta))

@@ -20,7 +20,7 @@ class BlockSpec:
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Trainer defaults: weights 1.0/1.0/0.2/0.6; genre (1,2) min_df 2 max 50,000;
+    """Trainer defaults (fixed values): weights 1.0/1.0/0.2/0.6; genre (1,2) min_df 2 max 50,000;
     artist (1,1) min_df 1 max 10,000; title (1,2) min_df 2 max 60,000."""
     genre_weight: float = 1.0
     artist_weight: float = 1.0
@@ -52,7 +52,7 @@ class FeatureConfig:
         return json.dumps(asdict(self))
 
 
-# The three named variants of the model trainer
+# fixed values (D13): the three named variants of the model trainer
 VARIANTS = {
     "content_genre_artist": FeatureConfig(1.5, 1.0, 0.2, 0.5, use_title=False),
     "content_genre_artist_title": FeatureConfig(1.2, 1.0, 0.3, 0.6, use_title=True),

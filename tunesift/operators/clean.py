@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tunesift.functions import coerce, text
 
+# fixed values: the columns of the recommender's catalogue
 REQUIRED_META = ("track_id", "track_name", "artist_name", "artist_genres", "release_year", "explicit")
 TEXT_COLS = ("track_name", "artist_name", "artist_genres")
 

@@ -299,22 +299,22 @@ def diversity_curve(neigh: DataFrame, ks=DIVERSITY_KS) -> DataFrame:
     return rows.unpivot(["K"], ["unique_artists_no_div", "unique_artists_div"], "var", "unique_artists")
 
 
-def cluster_compactness(points: DataFrame, cluster: str = "cluster", x: str = "x", y: str = "y") -> DataFrame:
-    """Per cluster, mean 2D distance of its points to its own centroid
-    (null below two points) and to the centroid of all other points (null if
-    none).  Computed on all rows: centroids are sums, the 'others' centroid is
-    total minus own, and the distances are one more aggregate - linear, so no
-    sampling is needed."""
-    per = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"))
-    tot = per.agg(F.sum("n").alias("tn"), F.sum("sx").alias("tx"), F.sum("sy").alias("ty"))
-    c = per.crossJoin(F.broadcast(tot)).select(
-        cluster, "n", (F.col("sx") / F.col("n")).alias("cx"), (F.col("sy") / F.col("n")).alias("cy"),
-        F.when(F.col("tn") > F.col("n"), (F.col("tx") - F.col("sx")) / (F.col("tn") - F.col("n"))).alias("ox"),
-        F.when(F.col("tn") > F.col("n"), (F.col("ty") - F.col("sy")) / (F.col("tn") - F.col("n"))).alias("oy"))
-    j = points.join(F.broadcast(c), cluster)
-    d_in = F.sqrt(F.pow(F.col(x) - F.col("cx"), 2) + F.pow(F.col(y) - F.col("cy"), 2))
-    d_out = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    return j.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(d_in).alias("_i"), F.avg(d_out).alias("_o")).select(
+def cluster_compactness(points: DataFrame, cluster: str = "cluster", coords: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Per cluster, mean distance of its points to its own centroid (null
+    below two points) and to the centroid of all other points (null if none),
+    over the given coordinate columns.  Computed on all rows: centroids are
+    sums, the 'others' centroid is total minus own, and the distances are one
+    more aggregate - linear, so no sampling is needed."""
+    n = len(coords)
+    per = points.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(coords)])
+    tot = per.agg(F.sum("n").alias("tn"), *[F.sum(f"s{i}").alias(f"t{i}") for i in range(n)])
+    others = F.col("tn") - F.col("n")
+    centres = per.crossJoin(F.broadcast(tot)).select(
+        cluster, "n", *[(F.col(f"s{i}") / F.col("n")).alias(f"c{i}") for i in range(n)],
+        *[F.when(others > 0, (F.col(f"t{i}") - F.col(f"s{i}")) / others).alias(f"o{i}") for i in range(n)])
+    far = lambda p: F.sqrt(sum((F.pow(F.col(c) - F.col(f"{p}{i}"), 2) for i, c in enumerate(coords)), F.lit(0.0)))
+    j = points.join(centres, cluster)
+    return j.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg(far("c")).alias("_i"), F.avg(far("o")).alias("_o")).select(
         cluster, "n", F.when(F.col("n") >= 2, F.col("_i")).alias("intra"), F.col("_o").alias("extra"))
 
 

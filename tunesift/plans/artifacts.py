@@ -54,6 +54,18 @@ def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_once(spark: SparkSession, kind: str, key: tuple, make) -> DataFrame:
+    """The table that ``make()`` gives, written once per session and key."""
+    key = (kind, ensure_checkpoint_dir(spark)) + key
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None or not _readable(spark, path):
+            path = _path(spark, kind, key)
+            make().write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 @dataclass
 class ContentArtifact:
     meta: DataFrame

@@ -122,18 +122,18 @@ def b12_genre_set(spark, sf):
         "track_id", (F.col("p") + 1).cast("int").alias("pos"), "genre")
 
 
-_PRIMARY_SQL = """CASE WHEN regexp_replace(coalesce(artist_genres, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'unknown'
+PRIMARY_SQL = """CASE WHEN regexp_replace(coalesce(artist_genres, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'unknown'
    WHEN regexp_replace(split_part(regexp_replace(lower(artist_genres), '[;|]', ',', 'g'), ',', 1), '^\\s+|\\s+$', '', 'g') = '' THEN 'unknown'
    ELSE regexp_replace(split_part(regexp_replace(lower(artist_genres), '[;|]', ',', 'g'), ',', 1), '^\\s+|\\s+$', '', 'g') END"""
 
 
-@register("b13_primary_genre", with_(CATALOG) + f" SELECT track_id, {_PRIMARY_SQL} AS primary_genre FROM catalog")
+@register("b13_primary_genre", with_(CATALOG) + f" SELECT track_id, {PRIMARY_SQL} AS primary_genre FROM catalog")
 def b13_primary_genre(spark, sf):
     return fx.catalog(spark, sf).select("track_id", text.primary_genre("artist_genres").alias("primary_genre"))
 
 
 @register("b14_bundle_rare", with_(CATALOG) + f""",
- y AS (SELECT track_id, {_PRIMARY_SQL} AS label FROM catalog),
+ y AS (SELECT track_id, {PRIMARY_SQL} AS label FROM catalog),
  n AS (SELECT label, count(*) AS c FROM y GROUP BY label)
  SELECT track_id, CASE WHEN c < 20 THEN 'other' ELSE y.label END AS label FROM y JOIN n USING (label)""")
 def b14_bundle_rare(spark, sf):

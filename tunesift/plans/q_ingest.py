@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from tunesift.operators import ingest as IG
 from tunesift.plans.registry import register
-from tunesift.plans.sqlfrag import CATALOG, CATALOG_RAW, with_
+from tunesift.config import FeatureConfig
+from tunesift.plans.sqlfrag import CATALOG, CATALOG_RAW, META, with_
+from tunesift.plans.sqlfrag_features import content_ctes
 from tunesift.session import scratch_path
 from tunesift.sources import fixtures as fx
 from tunesift.sources import sinks
@@ -67,11 +69,11 @@ def a2_read_seed_list(spark, sf):
 
 @register("a3_parse_entity_ref", "WITH" + SEED_REFS_SQL + f""",
  s AS (SELECT pos, regexp_replace(ref, {_STRIP}, '', 'g') AS s FROM seed_refs)
- SELECT pos, CASE WHEN regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 1) <> ''
-     THEN regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 1)
+ SELECT pos, CASE WHEN regexp_extract(s, '{IG.REF_URL}', 1) <> ''
+     THEN regexp_extract(s, '{IG.REF_URL}', 1)
    WHEN regexp_full_match(s, '[A-Za-z0-9]{{22}}') THEN 'id' ELSE 'name' END AS kind,
-  CASE WHEN regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 1) <> ''
-     THEN regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 2)
+  CASE WHEN regexp_extract(s, '{IG.REF_URL}', 1) <> ''
+     THEN regexp_extract(s, '{IG.REF_URL}', 2)
    WHEN regexp_full_match(s, '[A-Za-z0-9]{{22}}') THEN s END AS ref_id FROM s""")
 def a3_parse_entity_ref(spark, sf):
     return IG.parse_entity_ref(fx.seed_refs(spark, sf)).select("pos", "kind", "ref_id")
@@ -79,8 +81,8 @@ def a3_parse_entity_ref(spark, sf):
 
 RESOLVED_SQL = f""",
  s AS (SELECT pos, regexp_replace(regexp_replace(regexp_replace(ref, {_STRIP}, '', 'g'), '\\s+#.*$', '', 'g'), {_STRIP}, '', 'g') AS s FROM seed_refs),
- p AS (SELECT pos, s, regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 1) AS uk,
-         regexp_extract(s, '(artist|playlist|track)/([A-Za-z0-9]{{22}})', 2) AS uid FROM s),
+ p AS (SELECT pos, s, regexp_extract(s, '{IG.REF_URL}', 1) AS uk,
+         regexp_extract(s, '{IG.REF_URL}', 2) AS uid FROM s),
  bn AS (SELECT lower(regexp_replace(name, {_STRIP}, '', 'g')) AS nk, min(artist_id) AS artist_id FROM artists GROUP BY 1),
  r AS (SELECT p.pos, CASE WHEN uk = 'artist' THEN uid WHEN uk <> '' THEN NULL
           WHEN regexp_full_match(s, '[A-Za-z0-9]{{22}}') THEN s
@@ -270,18 +272,43 @@ def a17_write_json_report(spark, sf):
     return spark.read.schema("year string, n long").json(path)
 
 
-@register("a18_save_load_model", None)
+@register("a18_save_load_model", with_(META) + content_ctes(FeatureConfig()) + """
+ SELECT track_id, key, round(value, 6) AS value FROM cv""")
 def a18_save_load_model(spark, sf):
-    """Fit, save, load and vectorise the catalogue again with the loaded model
-    (rows-only: per-track norms of the re-vectorised rows)."""
+    """Fit, save, load and vectorise the catalogue again with the loaded model."""
     from tunesift.operators import features as FE
     path = scratch_path(spark, f"a18_model/{_tag(sf)}")
     meta = fx.meta(spark, sf)
-    m = FE.fit_content(meta)
-    sinks.save_content_model(m, path)
-    loaded = sinks.load_content_model(spark, path)
-    v = FE.transform_rows(loaded, meta)
-    return v.groupBy("track_id").agg(F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6).alias("norm"))
+    sinks.save_content_model(FE.fit_content(meta), path)
+    v = FE.transform_rows(sinks.load_content_model(spark, path), meta)
+    return v.select("track_id", "key", F.round("value", 6).alias("value"))
+
+
+@register("a18_save_load_kmeans", with_(META) + " SELECT track_id, true AS same FROM meta")
+def a18_save_load_kmeans(spark, sf):
+    """The fitted K-Means, saved and loaded, assigns every track as before."""
+    from tunesift.plans.q_models import _fit_kmeans
+    _, _, vec, km = _fit_kmeans(spark, sf)
+    path = scratch_path(spark, f"a18_kmeans/{_tag(sf)}")
+    sinks.save_ml_model(km, path)
+    loaded = sinks.load_ml_model(path, type(km))
+    one = km.transform(vec).select("track_id", "cluster")
+    two = loaded.transform(vec).select("track_id", F.col("cluster").alias("again"))
+    return one.join(two, "track_id").select("track_id", (F.col("cluster") == F.col("again")).alias("same"))
+
+
+@register("a18_save_load_forest", with_(META) + " SELECT track_id, true AS same FROM meta")
+def a18_save_load_forest(spark, sf):
+    """The fitted artist forest (label index and trees), saved and loaded,
+    predicts the same artist and leaves for every track."""
+    from tunesift.plans.q_models import _rf_artist
+    _, _, raw, rf = _rf_artist(spark, sf)
+    path = scratch_path(spark, f"a18_forest/{_tag(sf)}")
+    sinks.save_ml_model(rf, path)
+    loaded = sinks.load_ml_model(path, type(rf))
+    cols = lambda m: m.transform(raw).select("track_id", F.struct("_pred", "leaves").alias("p"))
+    two = cols(loaded).withColumnRenamed("p", "again")
+    return cols(rf).join(two, "track_id").select("track_id", (F.col("p") == F.col("again")).alias("same"))
 
 
 @register("a19_registry", with_(CATALOG) + """,

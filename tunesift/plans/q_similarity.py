@@ -46,7 +46,7 @@ BASE = with_(META) + content_ctes(CFG)
 OUT_COLS = "seed_id, rank, score, track_name, artist_name, artist_genres, release_year, explicit, track_id, url"
 
 
-def _single_candidates(spark, sf, k=KFETCH):
+def _single_candidates(spark, sf, k=KFETCH, view=None):
     """E1 (index weights): nearest ``k`` items to the query track, self included.
 
     With the index's own weights the query vector of a catalogue track is its
@@ -56,7 +56,9 @@ def _single_candidates(spark, sf, k=KFETCH):
     q = query_rows(meta).select("track_id")
     qv = rows.join(F.broadcast(q.limit(1)), "track_id", "left_semi").select(F.explode(F.arrays_zip("keys", "vals")).alias("e")).select(
         F.col("e.keys").alias("key"), F.col("e.vals").alias("value"))
-    cands = SIM.knn_cosine(rows, qv, k)
+    # a view that filters first (Q7) is joined to the index; else it filters the candidates (E5)
+    searched = rows if view is None else rows.join(view.select("track_id"), "track_id", "left_semi")
+    cands = SIM.knn_cosine(searched, qv, k)
     return meta, cands.crossJoin(F.broadcast(q.select(F.col("track_id").alias("seed_id"))))
 
 
@@ -155,11 +157,27 @@ def e9_recommend(spark, sf):
     return SIM.finish_recommendations(cands, meta, _view(meta), REC.top_k, REC.score_threshold, True)
 
 
+@register("e9_recommend_prefilter", BASE + query_ctes(CFG) + f""",
+ sc AS (SELECT cv.track_id, sum(cv.value * qvec.value) AS score FROM cv JOIN qvec USING (key) GROUP BY cv.track_id),
+ cand AS (SELECT {QUERY_PICK_SQL} AS seed_id, track_id, score FROM sc JOIN meta USING (track_id)
+   WHERE release_year BETWEEN {VIEW_YEARS[0]} AND {VIEW_YEARS[1]} ORDER BY round(score, 4) DESC, track_id LIMIT {KFETCH})"""
+    + _finish_sql("cand", True, REC.score_threshold, True))
+def e9_recommend_prefilter(spark, sf):
+    """E9 with the view applied before the search (Q7): the nearest top_k + 50 of the view itself."""
+    meta, _, _ = content_rows(spark, sf)
+    _, cands = _single_candidates(spark, sf, view=_view(meta))
+    return SIM.finish_recommendations(cands, meta, None, REC.top_k, REC.score_threshold, True)
+
+
 # ---- batch -------------------------------------------------------------------
 
-def batch_candidates(spark, sf, k, exclude_self):
+def batch_candidates(spark, sf, k, exclude_self, qcfg=None):
+    """E2 candidates of the sampled seeds; with ``qcfg`` the seeds are vectorised again under its weights."""
     from tunesift.plans.artifacts import content_artifact
     a = content_artifact(spark, sf, CFG)
+    if qcfg is not None:
+        seed_index = SIM.index_rows(FE.transform_rows(a.model, sample_seeds(a.meta), qcfg))
+        return a.meta, SIM.knn_batch(spark, a.rows, seed_index, k, exclude_self=exclude_self)
     # the index rows hold every catalogue id, so the seeded hash sample taken
     # from them is the same seed set, without a join back to the catalogue
     seed_index = sample_seeds(a.rows)
@@ -172,6 +190,12 @@ BATCH_SQL = BASE + f""",
         GROUP BY sv.seed_id, cv.track_id)"""
 
 
+BATCH_WEIGHTED_SQL = BASE + query_ctes(QCFG, SEEDS_SQL) + """,
+ sv AS (SELECT track_id AS seed_id, key, value AS qvalue FROM qvec),
+ bs AS (SELECT sv.seed_id, cv.track_id, sum(cv.value * sv.qvalue) AS score FROM sv JOIN cv USING (key)
+        GROUP BY sv.seed_id, cv.track_id)"""
+
+
 @register("e2_knn_batch", BATCH_SQL + """
  SELECT * FROM (SELECT seed_id, track_id, round(score, 4) AS score,
    CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, track_id) AS INT) AS rank

@@ -57,6 +57,16 @@ def load_content_model(spark: SparkSession, path: str) -> ContentModel:
     return ContentModel(cfg, vocab, stats, None, None, meta["id_col"])
 
 
+def save_ml_model(model, path: str) -> None:
+    """A18 save of a fitted Spark ML model or pipeline (K-Means, forests)."""
+    model.write().overwrite().save(path)
+
+
+def load_ml_model(path: str, kind: type):
+    """A18 load: ``kind`` is the model's class."""
+    return kind.load(path)
+
+
 def _config_from_json(raw: dict) -> FeatureConfig:
     blocks = tuple(BlockSpec(b["name"], b["column"], tuple(b["ngram"]), b["min_df"], b["max_df"],
                              b["max_features"], b["doc"]) for b in raw["blocks"])
