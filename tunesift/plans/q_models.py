@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunesift.config import VARIANTS, BlockSpec
@@ -195,20 +196,20 @@ def e11_knn_leaf(spark, sf):
 
 
 @register("e9_recommend_leaf", with_(META) + f"""
- SELECT track_id AS seed_id, true AS some, true AS one_per_artist, true AS in_view, true AS above_threshold
+ SELECT track_id AS seed_id, true AS some, true AS in_view, true AS above_threshold
  FROM meta WHERE track_id IN {QUERY_PICK_SQL}""")
 def e9_recommend_leaf(spark, sf):
-    """E9 in the leaf space of the artist forest: recommendations of the query
-    track exist, one per artist, inside the view and above the threshold."""
+    """E9 in the leaf space of the artist forest (whose neighbours share an
+    artist, so artists may repeat): recommendations of the query track exist,
+    inside the view and above the threshold."""
     meta = stored_meta(spark, sf)
     idx = MD.leaf_index(_leaves(spark, sf), RF_TREES)
     seed = idx.join(query_rows(meta).select("track_id"), "track_id", "left_semi")
     cands = MD.knn_leaf(spark, idx, seed, KFETCH, exclude_self=False).drop("rank")
     years = LEAF_VIEW
-    recs = SIM.finish_recommendations(cands, meta, S.filter_year(meta, *years), REC.top_k, REC.score_threshold, True)
-    key = text.artist_key_strip_lower("artist_name")
+    recs = SIM.finish_recommendations(cands, meta, S.filter_year(meta, *years), REC.top_k, REC.score_threshold, False)
     return recs.groupBy("seed_id").agg(
-        (F.count(F.lit(1)) > 0).alias("some"), (F.count_distinct(key) == F.count(F.lit(1))).alias("one_per_artist"),
+        (F.count(F.lit(1)) > 0).alias("some"),
         F.every(F.col("release_year").between(*years)).alias("in_view"), F.every(F.col("score") >= REC.score_threshold).alias("above_threshold"))
 
 
@@ -490,6 +491,49 @@ def e13_knn_approx(spark, sf):
     return nn.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(recall))
 
 
+def fitted_clusters(spark, sf):
+    """The catalogue with the cluster that F1 assigns, written once."""
+    from tunesift.plans.artifacts import stored_once
+
+    def make():
+        meta, _, vec, km = _fit_kmeans(spark, sf)
+        return meta.join(km.transform(vec).select("track_id", "cluster"), "track_id")
+    return stored_once(spark, "clusters", (sf, K_REC), make)
+
+
+@register("f1_kmeans_lab", with_(CATALOG) + " SELECT count(*) AS rows, true AS few FROM catalog")
+def f1_kmeans_lab(spark, sf):
+    """K-Means k=12 (lab setting) on the lab features: every track has one of at most twelve clusters."""
+    vec = lab_vectors(spark, sf)
+    km = _fitted(spark, ("kmeans_lab", sf, K_LAB), lambda: MD.kmeans_fit(vec, K_LAB))
+    return km.transform(vec).agg(F.count("cluster").alias("rows"), (F.count_distinct("cluster") <= K_LAB).alias("few"))
+
+
+@register("h16_h20_fitted_clusters", with_(META) + f"""
+ SELECT count(*) AS rows, count(*) AS years, true AS few, true AS top_genres, true AS top_artists, true AS medians FROM meta""")
+def h16_h20_fitted_clusters(spark, sf):
+    """H16-H20 over the stored K-Means assignment: sizes and year histograms
+    cover the catalogue, tops are within their limits and in order, medians lie
+    within the catalogue's years."""
+    mc = fitted_clusters(spark, sf)
+    sizes = P.cluster_sizes(mc).agg(F.sum("size").alias("rows"), (F.count(F.lit(1)) <= K_REC).alias("few"))
+    years = P.cluster_year_histogram(mc, 30).agg(F.sum("count").alias("years"))
+
+    def ordered(top, most):
+        w = Window.partitionBy("cluster").orderBy("rank")
+        falls = F.coalesce(F.col("count") <= F.lag("count").over(w), F.lit(True)) & (F.col("rank") <= most)
+        return top.select(falls.alias("ok")).agg(F.every("ok"))
+
+    genres = ordered(P.cluster_top_genres(mc, 12), 12).toDF("top_genres")
+    artists = ordered(P.cluster_top_artists(mc, 10), 10).toDF("top_artists")
+    span = mc.agg(F.min("release_year").alias("lo"), F.max("release_year").alias("hi"))
+    medians = P.cluster_profile(mc).crossJoin(span).agg(F.every(F.col("year_median").between(F.col("lo"), F.col("hi"))).alias("medians"))
+    out = sizes
+    for one in (years, genres, artists, medians):  # one row each
+        out = out.crossJoin(one)
+    return out.select("rows", "years", "few", "top_genres", "top_artists", "medians")
+
+
 # ---- cluster profiles ------------------------------------------------------------------
 
 @register("h16_cluster_sizes", MC + """
