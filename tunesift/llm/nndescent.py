@@ -131,9 +131,9 @@ def _seed_lists(coded: DataFrame, tables: range, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            starts = group_starts(b, 2)  # rows of one label and length
-            ids = b.column(2).to_numpy()
-            raw, off = utf8_view(b.column(3))
+            starts = group_starts(b, 3)  # rows of one table, label and length
+            ids = b.column(3).to_numpy()
+            raw, off = utf8_view(b.column(4))
             for a, z in zip(starts, [*starts[1:], b.num_rows]):
                 for s in range(a, z, BLOCK):
                     e = min(s + BLOCK, z)
@@ -145,14 +145,12 @@ def _seed_lists(coded: DataFrame, tables: range, k: int) -> DataFrame:
                     out.append((ids[s:e][i], ids[s:e][j], sims[i, j]))
             yield _pairs(out)
 
-    n, found = n_partitions(coded.sparkSession), None
-    for t in tables:
-        order = [F.xxhash64("label"), "d", f"c{t}", "node"]
-        own = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.xxhash64("label").alias("l"), "d", "node", "q")
-        # blocks need no more than a few rows at once, but lose the pairs across a batch's end
-        part = stored(own.mapInArrow(run, LISTS), "nn-seeds")
-        found = part if found is None else found.union(part)
-    return found
+    codes = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(f"c{t}").alias("c")) for t in tables])).alias("x")
+    rows = coded.select(codes, F.xxhash64("label").alias("l"), "d", "node", "q")
+    order = ["x.t", "l", "d", "x.c", "node"]
+    # a block takes rows of one batch, so pairs across a batch's end are left to the other tables
+    own = rows.repartitionByRange(n_partitions(coded.sparkSession), *order).sortWithinPartitions(*order).select("x.t", "l", "d", "node", "q")
+    return stored(own.mapInArrow(run, LISTS), "nn-seeds")
 
 
 def _lists(candidates: DataFrame, k: int) -> DataFrame:
