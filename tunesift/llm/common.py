@@ -7,6 +7,7 @@ no installed copy of the library.
 from __future__ import annotations
 
 import sys
+import types
 import uuid
 from contextlib import contextmanager
 
@@ -176,6 +177,15 @@ def group_starts(t, n_keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def kept_by_worker(key, make):
+    """``make()``, or what an earlier task of this worker process made under the same key
+    (of each key's first part, only the latest is kept)."""
+    state = sys.modules.setdefault("tunesift_worker_state", types.ModuleType("tunesift_worker_state"))
+    if state.__dict__.get(key[0], (None,))[0] != key:
+        state.__dict__[key[0]] = (key, make())
+    return state.__dict__[key[0]][1]
+
+
 def release() -> None:
     """Give memory that a step has freed back to the system: workers live on, and the next step's come on top."""
     import ctypes

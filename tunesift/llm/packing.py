@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunesift.llm.common import gathered, global_rank, ship, slices, stored, utf8_view
+from tunesift.llm.common import gathered, global_rank, kept_by_worker, ship, slices, stored, utf8_view
 
 ship(__name__)
 
@@ -147,7 +147,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
     def run(batches):
-        tokens = WordTokens(spec.value)
+        # a worker's tasks share one cache of tokenised words
+        tokens = kept_by_worker(("word_tokens", zlib.crc32(spec.value.encode()), len(spec.value)), lambda: WordTokens(spec.value))
         for b in gathered(batches, 1, GATHER):
             for at, n in slices(b.column(1), GATHER):
                 ids, ends = tokens.texts(b.column(1).slice(at, n))
