@@ -2,8 +2,6 @@
 
 import uuid
 
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 from tunesift.api import Recommender

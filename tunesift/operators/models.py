@@ -22,7 +22,6 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tunesift.config import FeatureConfig
 from tunesift.operators import features as FE

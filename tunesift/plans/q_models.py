@@ -137,7 +137,7 @@ def f5_silhouette_full(spark, sf):
 # ---- forests and the leaf space --------------------------------------------------------
 
 # forests of the registered queries; README has the time that deeper and larger ones take
-RF_TREES, RF_GENRE_TREES, RF_DEPTH = 20, 30, 12
+RF_TREES, RF_GENRE_TREES, RF_DEPTH = 20, 30, 30
 LEAF_VIEW = (1992, 1998)
 
 
