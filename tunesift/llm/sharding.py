@@ -123,26 +123,24 @@ def shard(df: DataFrame, path: str, n_shards: int, dims: list[str], id_col: str
     keyed = [(r["_curve"], r["_id"] is not None, r["_id"] or 0) for r in cuts]
     starts = _first_ranks(ranked, cuts)
 
-    @F.pandas_udf(T.IntegerType())
-    def run_of(curve_col: pd.Series, id_: pd.Series) -> pd.Series:
+    @F.pandas_udf("run int, start long")
+    def place_of(curve_col: pd.Series, id_: pd.Series) -> pd.DataFrame:
+        """The run of a row and the rank that the run begins with."""
         from bisect import bisect_right
         has, ids = id_.notna().to_numpy(), id_.fillna(0).astype(np.int64).to_numpy()
-        return pd.Series([bisect_right(keyed, (c, h, i)) - 1 for c, h, i in
-                          zip(curve_col.tolist(), has.tolist(), ids.tolist())], dtype=np.int32)
+        run = np.array([bisect_right(keyed, key) - 1 for key in zip(curve_col.tolist(), has.tolist(), ids.tolist())], np.int32)
+        return pd.DataFrame({"run": run, "start": np.asarray(starts, np.int64)[run]})
 
     own = [c for c in df.columns if c not in ("_curve", "run", "shard", "slot")]
-    whole = df.select(*own, curve.alias("_curve")).withColumn("run", run_of("_curve", F.col(id_col)))
-    @F.pandas_udf(T.LongType())
-    def start_of(run: pd.Series) -> pd.Series:
-        return pd.Series(np.asarray(starts, np.int64)[run.to_numpy()])
-
+    whole = df.select(*own, curve.alias("_curve")).withColumn("_place", place_of("_curve", F.col(id_col))) \
+        .withColumns({"run": F.col("_place.run"), "_start": F.col("_place.start")}).drop("_place")
     inside = Window.partitionBy("run").orderBy("_curve", F.col(id_col).asc_nulls_first(), F.xxhash64(text_col))
-    rank = (start_of("run") + F.row_number().over(inside) - 1).cast("long")
+    rank = (F.col("_start") + F.row_number().over(inside) - 1).cast("long")
     placed = whole.repartition(max(runs, 1), "run").withColumn("_rank", rank) \
         .withColumn("shard", F.floor(F.col("_rank") * n_shards / n).cast("int"))
     # the first rank of shard k is the least r with r * n_shards >= k * n
     first = F.ceil(F.col("shard").cast("long") * n / n_shards) if n else F.lit(0)
-    placed.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank") \
+    placed.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank", "_start") \
         .sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     schema = T.StructType([*df.select(*own).schema.fields, T.StructField("_curve", T.LongType()), T.StructField("run", T.IntegerType()),
                            T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
