@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -309,7 +310,8 @@ def d12_lab_features(spark, sf):
  a AS (SELECT track_id, coalesce(artist_name, '') AS artist_name FROM catalog),
  c AS (SELECT artist_name, count(*) AS n FROM a GROUP BY artist_name),
  b AS (SELECT track_id, CASE WHEN n < {ARTIST_MIN_FREQ} THEN '{INFREQUENT}' ELSE artist_name END AS cat FROM a JOIN c USING (artist_name))
- SELECT track_id, cat, CAST(dense_rank() OVER (ORDER BY cat) - 1 AS INT) AS cat_index FROM b""")
+ SELECT track_id, cat, CAST(dense_rank() OVER (ORDER BY cat) - 1 AS INT) AS cat_index,
+   CAST(dense_rank() OVER (ORDER BY cat) AS BIGINT) AS hot_place, 1.0 AS hot_sum FROM b""")
 def d7_onehot_min_freq(spark, sf):
     """Rare artists bundled, then ``StringIndexer`` (alphabetical) and
     ``OneHotEncoder``; unseen categories map to the all-zero vector."""
@@ -322,7 +324,9 @@ def d7_onehot_min_freq(spark, sf):
     si = StringIndexer(inputCol="_cat_ml", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(b)
     oh = OneHotEncoder(inputCol="_i", outputCol="onehot", dropLast=True, handleInvalid="keep").fit(si.transform(b))
     out = oh.transform(si.transform(b))
-    return out.select("track_id", "cat", F.col("_i").cast("int").alias("cat_index"))
+    hot = vector_to_array("onehot")  # as wide as the categories; one place is hot
+    return out.select("track_id", "cat", F.col("_i").cast("int").alias("cat_index"), F.array_position(hot, F.lit(1.0)).alias("hot_place"),
+                      F.aggregate(hot, F.lit(0.0), lambda a, x: a + x).alias("hot_sum"))
 
 
 def _variants_sql():
