@@ -39,11 +39,11 @@ CAPACITY = 4096
 FILL_EFFORT = 400
 PACKINGS = 4
 #: Distinct stems that a worker keeps tokenised.
-CACHE = 700_000
+CACHE = 500_000
 #: Trailing marks that are kept apart from a word.
 TAIL = ".,;:!?"
 #: Bytes of text whose distinct words are looked up together.
-GATHER = 12 << 20
+GATHER = 8 << 20
 
 
 class WordTokens:
