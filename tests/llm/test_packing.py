@@ -59,6 +59,27 @@ def test_many_pieces_meet_the_lower_bound():
     assert sum(t for t, _ in K.packing(hist)) <= K.lower_bound(counts, 4096) + 1
 
 
+@pytest.mark.parametrize("hist", [{1: 50_000, 3: 20_000, 500: 100}, {10: 30_000}, {2: 3000, 7: 1, 4000: 3}, {4096: 5, 1: 1}])
+def test_short_pieces_fill_sequences_whatever_the_effort(hist, monkeypatch):
+    counts = np.zeros(4098, np.int64)
+    for s, n in hist.items():
+        counts[s] = n
+    least = K.lower_bound(counts, 4096)
+    assert sum(t for t, _ in K._pack(counts.copy(), 4096, 0, 0, None)) <= least + 1  # best-fit, without search
+    monkeypatch.setattr(K, "FILL_EFFORT", 1)
+    patterns, used = K.packing(hist), {}
+    for times, lengths in patterns:
+        assert sum(lengths) <= 4096
+        for s in lengths:
+            used[s] = used.get(s, 0) + times
+    assert used == hist and sum(t for t, _ in patterns) <= least + 1
+
+
+def test_a_filling_of_smaller_pieces_may_beat_the_largest_that_fits():
+    counts = np.bincount([7, 5, 5], minlength=12)
+    assert K.fill(counts, 10, 0) == [7] and K.fill(counts, 10, 100) == [5, 5]
+
+
 def check(rows, ids_of, capacity=4096):
     by_doc, by_seq = {}, {}
     for r in rows:

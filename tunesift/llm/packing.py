@@ -4,8 +4,8 @@ Documents become token ids (plus an end id) and are cut only where longer than
 a sequence.  Packing works on the histogram of piece lengths, which has at
 most ``capacity`` entries however many pieces there are: around the largest
 remaining length, undominated fillings are searched branch-and-bound (sizes in
-falling order, the last one always the largest that fits, pruned where the
-waste can't fall below the incumbent's, which starts as the best-fit filling),
+falling order, each as often as fits and then less, pruned where the waste
+can't fall below the incumbent's, which starts as the best-fit filling),
 and the best filling is repeated while its lengths last.  Whole packings are
 pruned by their waste against the incumbent packing, first best-fit's, until
 the lower bound is met or the search effort is spent; every piece is always
@@ -190,47 +190,51 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def fill(counts: np.ndarray, room: int, effort: int, rank: int = 0) -> list[int]:
     """The least wasteful filling of ``room`` by sizes in ``counts`` (falling order).
 
-    The best-fit filling is the incumbent.  ``rank`` > 0 sets aside that many
-    of the best ones (for another branch).
+    The best-fit filling is the incumbent, whatever the effort; ``effort``
+    bounds the (size, times) nodes of the search for better ones.  ``rank`` > 0
+    sets aside that many of the best ones (for another branch).
     """
     present = np.flatnonzero(counts[:room + 1]).tolist()
-    tokens = np.concatenate([[0], np.cumsum([s * int(counts[s]) for s in present])]).tolist()
-    left = {s: int(counts[s]) for s in present}
-    best: list[int] = []
+    if not present:
+        return []
+    have = counts[present].tolist()
+    tokens = np.concatenate([[0], np.cumsum(np.array(present) * np.array(have))]).tolist()
+    best: list[tuple[int, int]] | None = None
     least, nodes, skip = room + 1, 0, rank
-
-    def complete(r: int, top: int, chosen: list[int]) -> None:
-        nonlocal best, least, nodes, skip
-        k = bisect_right(present, min(r, top)) - 1
-        while k >= 0 and not left[present[k]]:
-            k -= 1
-        if k < 0:  # nothing fits any more: undominated
-            if r < least:
-                if skip and r == 0:
-                    skip -= 1
-                    return
+    chosen: list[tuple[int, int]] = []
+    k, r, first = len(present) - 1, room, True
+    while True:
+        # from here down, as many as fit of the largest that fits
+        k = min(k, bisect_right(present, r) - 1)
+        while k >= 0 and tokens[k + 1] > r - least and (first or nodes < effort):
+            times = min(have[k], r // present[k])
+            chosen.append((k, times))
+            r -= times * present[k]
+            nodes += not first
+            k = min(k - 1, bisect_right(present, r) - 1)
+        if k < 0 and r < least:  # nothing fits any more: undominated
+            if skip and r == 0:
+                skip -= 1
+            else:
                 best, least = chosen[:], r
-            return
-        while k >= 0 and least and nodes < effort:
-            s = present[k]
-            if tokens[k + 1] <= r - least:  # all smaller pieces together leave more waste than the incumbent
-                return
-            if left[s]:
-                nodes += 1
-                left[s] -= 1
-                chosen.append(s)
-                complete(r - s, s, chosen)
-                chosen.pop()
-                left[s] += 1
-                rest = r - s
-                if rest < present[0]:
-                    return  # a smaller last piece is dominated by this one
-            k -= 1
-
-    complete(room, room, [])
-    if not best and rank:
+        first = False
+        if not least or nodes >= effort:
+            break
+        # one less of the last size that smaller ones may replace with less waste
+        while chosen:
+            k, times = chosen.pop()
+            again = r + present[k]
+            if again >= 2 * present[0] and tokens[k] > again - least:
+                if times > 1:
+                    chosen.append((k, times - 1))
+                k, r = k - 1, again
+                break
+            r += times * present[k]
+        else:
+            break
+    if best is None:
         return fill(counts, room, effort)
-    return best
+    return [present[k] for k, times in best for _ in range(times)]
 
 
 Pattern = tuple[int, tuple[int, ...]]  # times, lengths
@@ -242,7 +246,7 @@ def packing(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern
     for size, n in histogram.items():
         counts[size] = n
     total, bound = int((counts * np.arange(len(counts))).sum()), lower_bound(counts, capacity)
-    best = _pack(counts.copy(), capacity, 1, 0, None)
+    best = _pack(counts.copy(), capacity, 0, 0, None)
     for turn in range(1, PACKINGS + 1):
         used = sum(t for t, _ in best)
         if used <= bound:
