@@ -72,6 +72,17 @@ def test_dense_groups_are_counted_whole(spark, monkeypatch):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == want
 
 
+def test_the_audit_sees_lost_pairs_beside_a_dense_group(spark, monkeypatch):
+    """Links of an exactly counted group don't hide that all pairs are lost, however small the first sample."""
+    nodes = spark.createDataFrame([(i, "x", [1.0, i / 1e4], 1) for i in range(300)] + [
+        (1000 + i, f"y{i // 2}", [1.0, i % 2 / 10], 1) for i in range(400)], "node long, label string, e array<double>, copies long")
+    dense = nodes.filter("node < 300").select("node", D.F.lit(299).cast("long").alias("n"))
+    assert D._audit(nodes, dense, dense.select("node"), 0.93, 40)[0] == 0.0
+    pairs = nodes.filter("node >= 1000").select("node", D.F.lit(1).cast("long").alias("n"))
+    assert D._audit(nodes, dense.union(pairs), dense.select("node"), 0.93, 40)[0] == 1.0
+    assert D._audit(nodes, dense.union(pairs.filter("node < 1200")), dense.select("node"), 0.93, 400)[0] == 0.5
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1),

@@ -11,9 +11,11 @@ decided by cosine in double precision.
 A list whose ``k`` entries all pass the threshold is saturated: there may be
 more.  Such lists are enlarged to all nodes of their linked component, which
 are compared exactly in blocks, so no group is expanded into pairs.  An audit
-compares the links of a bounded sample of nodes with brute force over all
-nodes of their labels; while its recall is under the target, lists are
-doubled, further projections join the search and it goes on.
+compares the links of sampled nodes whose counts are not exact yet with brute
+force over all nodes of their labels, and the sample grows until ``ENOUGH`` of
+them have links (to ``AUDIT_MOST`` nodes).  While their average recall is
+under the target, lists are doubled, further projections join the search and
+it goes on.
 
 Defined results: a row with a null label or vector, a null or non-finite
 component, or norm 0 links with nothing; vectors of different length never
@@ -47,7 +49,10 @@ ROUNDS = 10
 SETTLED = 0.002
 #: What byte quantisation may take from a cosine.
 MARGIN = 0.02
+#: Nodes of the first audit sample, links-bearing nodes that a sample should hold, and nodes of the largest sample.
 AUDIT = 1000
+ENOUGH = 100
+AUDIT_MOST = 16_000
 TARGET = 0.98
 ATTEMPTS = 3
 
@@ -257,7 +262,7 @@ def enlarged(saturated: DataFrame, threshold: float) -> DataFrame:
 class NearDuplicates:
     rows: DataFrame  # vec_id, n_links, component_id, kept
     links: DataFrame  # a, b, cos: found links between distinct vectors (of unsaturated lists: all that were found)
-    recall: float  # of the audit
+    recall: float  # average of audited nodes that have links and whose counts were not exact
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -276,12 +281,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         lists = stored(_lists(seeds if lists is None else lists.union(seeds.select(lists.columns)), k), "nn-lists")
         lists = descend(lists, coded, k, n)
         found = _linked(nodes, lists, k, threshold)
-        recall = _audit(nodes, found[1], threshold, audit, n)
+        recall, _ = _audit(nodes, found[1], found[3], threshold, audit)
         if recall >= target:
             break
         k *= 2
         lists = lists.withColumn("fresh", F.lit(True))
-    links, counts, roots = found
+    links, counts, roots, _ = found
     known = nodes.select("node", "h1", "h2", "least", "copies").join(counts, "node", "left").join(roots, "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -292,47 +297,82 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     return NearDuplicates(stored(out, "nn-out"), links, recall)
 
 
-def _linked(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, link counts by node, roots by node) from lists, enlarged where they are saturated."""
+def _linked(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(links, link counts by node, roots by node, nodes whose counts are exact) from lists, enlarged where they are saturated."""
     near = lists.filter(F.col("sim") >= threshold - MARGIN)
     pairs = near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     links = stored(_cosines(pairs, nodes.select("node", "e")).filter(F.col("cos") >= threshold), "nn-links")
     roots = stored(components(links.select("a", "b")), "nn-roots")
     full = near.groupBy("node").count().filter(F.col("count") >= k).select("node")
     hot = full.join(roots, "node").select("root").distinct()
-    members = roots.join(hot, "root", "left_semi")
-    exact = enlarged(stored(members.join(nodes.select("node", "copies", "e"), "node").select("root", "node", "copies", "e"), "nn-members"), threshold)
+    members = stored(roots.join(hot, "root", "left_semi").join(nodes.select("node", "copies", "e"), "node")
+                     .select("root", "node", "copies", "e"), "nn-members")
+    exact = enlarged(members, threshold)
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
     listed = ends.join(nodes.select(F.col("node").alias("other"), "copies"), "other").groupBy("node").agg(F.sum("copies").alias("n"))
     counts = stored(listed.join(members.select("node"), "node", "left_anti").union(exact), "nn-counts")
-    return links, counts, roots
+    return links, counts, roots, members.select("node")
 
 
-def _audit(nodes: DataFrame, counts: DataFrame, threshold: float, most: int, n: int) -> float:
-    """Recall of links of about ``most`` nodes against all nodes of their labels (1 where they have none)."""
-    if not n:
-        return 1.0
-    asked = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < min(1.0, most / n) * (1 << 30)).select("node", "label", "e").collect()
+def _audit(nodes: DataFrame, counts: DataFrame, exact: DataFrame, threshold: float, most: int) -> tuple[float, dict[tuple, float]]:
+    """Average recall of sampled nodes that have links, against all nodes of their labels (1 where
+    none has), and that of each (label, vector length).
+
+    Nodes with exact counts are left out; the sample starts at about ``most``
+    of the others and grows until ``ENOUGH`` have links.
+    """
+    spark = nodes.sparkSession
+    open_ = stored(nodes.select("node", "label", "e").join(exact, "node", "left_anti"), "nn-unsaturated")
+    n = open_.count()
+    while n:
+        share = min(1.0, most / n)
+        rows = open_.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < share * (1 << 30)).collect()
+        asked = spark.sparkContext.broadcast(_asked(rows))
+        want = nodes.select("node", "label", "e", "copies").mapInArrow(_wanted(asked, threshold), "node long, want long") \
+            .groupBy("node").agg(F.sum("want").alias("want"))
+        got = want.join(counts, "node", "left").join(open_.select("node", "label", F.size("e").alias("d")), "node").groupBy("label", "d").agg(
+            F.count(F.lit(1)).alias("linked"), F.sum(F.least("want", F.coalesce("n", F.lit(0))) / F.col("want")).alias("found")).collect()
+        asked.unpersist()
+        linked = sum(r.linked for r in got)
+        if linked >= ENOUGH or share >= 1 or most >= AUDIT_MOST:
+            return (sum(r.found for r in got) / linked if linked else 1.0), {(r.label, r.d): r.found / r.linked for r in got}
+        most = min(most * 4, AUDIT_MOST)
+    return 1.0, {}
+
+
+def _asked(rows: list) -> dict[tuple, tuple]:
+    """Sampled nodes and their unit vectors by label and length."""
     by: dict[tuple, tuple] = {}
-    for r in asked:
-        by.setdefault((r.label, len(r.e)), ([], []))[0].append(r.node)
-        by[r.label, len(r.e)][1].append(np.array(r.e, np.float64))
-    by = {key: (np.array(i, np.int64), np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)) for key, (i, v) in by.items()}
+    for r in rows:
+        ids, vectors = by.setdefault((r.label, len(r.e)), ([], []))
+        ids.append(r.node)
+        vectors.append(np.array(r.e, np.float64))
+    return {key: (np.array(i, np.int64), np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)) for key, (i, v) in by.items()}
 
+
+def _wanted(asked, threshold: float):
+    """Rows (node, label, e, copies) -> how many of them each asked node of their label links with (copies of its own left out)."""
     def run(batches):
+        by = asked.value
         for b in batches:
-            total: dict[int, int] = {}
-            for node, label, e, copies in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if (label, len(e)) in by:
-                    ids, v = by[label, len(e)]
-                    x = np.array(e, np.float64)
-                    for i in ids[(v @ (x / np.linalg.norm(x)) >= threshold) & (ids != node)].tolist():
-                        total[i] = total.get(i, 0) + copies
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["node", "want"])
-
-    want = nodes.select("node", "label", "e", "copies").mapInArrow(run, "node long, want long").groupBy("node").agg(F.sum("want").alias("want"))
-    r = want.join(counts, "node", "left").agg(F.sum("want"), F.sum(F.least("want", F.coalesce("n", F.lit(0))))).first()
-    return r[1] / r[0] if r[0] else 1.0
+            out = []
+            node, copies = b.column(0).to_numpy(), b.column(3).to_numpy()
+            labels = b.column(1).dictionary_encode()
+            which, d = labels.indices.to_numpy(zero_copy_only=False), np.diff(b.column(2).offsets.to_numpy())
+            for l, label in enumerate(labels.dictionary.to_pylist()):
+                for size in np.unique(d[which == l]).tolist():
+                    if (label, size) not in by:
+                        continue
+                    ids, v = by[label, size]
+                    own = np.flatnonzero((which == l) & (d == size))
+                    x = b.column(2).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(np.float64)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    near = (v @ x.T >= threshold) & (ids[:, None] != node[own])
+                    n = near @ copies[own]
+                    out.append((ids[n > 0], n[n > 0]))
+            cols = [np.concatenate([o[i] for o in out]).astype(np.int64) if out else np.empty(0, np.int64) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "want"])
+    return run
 
 
 def op5_embedding_nn_descent(spark, sf):
