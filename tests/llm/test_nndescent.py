@@ -83,6 +83,34 @@ def test_the_audit_sees_lost_pairs_beside_a_dense_group(spark, monkeypatch):
     assert D._audit(nodes, dense.union(pairs.filter("node < 1200")), dense.select("node"), 0.93, 400)[0] == 0.5
 
 
+def test_labels_under_the_target_are_compared_exactly(spark, monkeypatch):
+    """Where the search finds next to nothing, counts and components are still exact."""
+    monkeypatch.setattr(D, "ATTEMPTS", 1)
+    monkeypatch.setattr(D, "BLOCK", 2)
+    monkeypatch.setattr(D, "ROUNDS", 0)
+    monkeypatch.setattr(D, "EXACT_BLOCK", 64)
+    rnd = np.random.default_rng(4)
+    base = rnd.normal(size=(200, 16))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(base)]
+    rows += [(1000 * c + i, (base[i] + rnd.normal(size=16) * 0.15).tolist(), "x") for c in range(1, 4) for i in range(60)]
+    want = {rows[i][0]: v for i, v in brute(rows).items()}
+    found = D.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), tables=1)
+    assert found.recall < D.TARGET and found.compared == (("x", 16),)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.rows.collect()} == want
+
+
+def test_a_hubs_far_followers_meet():
+    import pyarrow as pa
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(40, 8))
+    v[39] = v[38] + 1e-3
+    q = D.quantised(v)
+    b = pa.RecordBatch.from_arrays([pa.array([0] * 40), pa.array(range(40)), pa.array([-2.0] * 40, pa.float32()), pa.array([True] * 40),
+                                    pa.array([x.tobytes() for x in q], pa.binary())], names=["pivot", "member", "worst", "fresh", "q"])
+    pairs = {(r["node"], r["other"]) for out in D._local_join(3)([b]) for r in out.to_pylist()}
+    assert {i for p in pairs for i in p} == set(range(40)) and (38, 39) in pairs
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1),

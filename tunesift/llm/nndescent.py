@@ -15,7 +15,9 @@ compares the links of sampled nodes whose counts are not exact yet with brute
 force over all nodes of their labels, and the sample grows until ``ENOUGH`` of
 them have links (to ``AUDIT_MOST`` nodes).  While their average recall is
 under the target, lists are doubled, further projections join the search and
-it goes on.
+it goes on, ``ATTEMPTS`` times at most.  Labels whose own audited recall is
+under the target after that are compared exactly, in blocks; a block pair gives
+counts and a spanning forest, so these aren't expanded into pairs either.
 
 Defined results: a row with a null label or vector, a null or non-finite
 component, or norm 0 links with nothing; vectors of different length never
@@ -42,6 +44,8 @@ K = 10
 TABLES = 8
 #: Rows of a projection order that are compared with each other.
 BLOCK = 256
+#: Nodes of a block where whole labels are compared.
+EXACT_BLOCK = 1024
 #: Best improvements of one member that one node's round reports (each of its other nodes reports too).
 REPORT = 5
 ROUNDS = 10
@@ -174,8 +178,8 @@ def _local_join(k: int):
             member, worst = b.column(1).to_numpy(), b.column(2).to_numpy()
             fresh = b.column(3).to_numpy(zero_copy_only=False)
             raw, off = utf8_view(b.column(4))
-            for a, z in zip(starts, [*starts[1:], b.num_rows]):
-                z = min(z, a + 3 * k)  # rows come nearest first; a hub's farthest followers meet elsewhere
+            # rows come nearest first; a hub's followers meet in chunks of like distance
+            for a, z in ((s, min(s + 3 * k, e)) for f, e in zip(starts, [*starts[1:], b.num_rows]) for s in range(f, e, 3 * k)):
                 own = fresh[a:z]
                 if z - a < 2 or not own.any():
                     continue
@@ -241,28 +245,91 @@ def _exact_counts(threshold: float):
     return run
 
 
+def _block_pairs(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows (root, node, copies, e) dealt into blocks of a root, once for each pair of blocks, grouped by root and pair."""
+    ranked = global_rank(rows, ["root", "node"], name)
+    sizes = ranked.groupBy("root").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("m"))
+    block = F.floor((F.col("rank") - F.col("start")) / size).cast("int")
+    dealt = ranked.join(sizes, "root").withColumn("block", block).withColumn(
+        "with", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / size).cast("int"))))
+    keyed = dealt.select("root", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "copies", "e")
+    return keyed.repartition(n_partitions(rows.sparkSession), "root", "low", "high").sortWithinPartitions("root", "low", "high")
+
+
 def enlarged(saturated: DataFrame, threshold: float) -> DataFrame:
     """(node, n): exact link counts inside components, from rows (root, node, copies, e).
 
     A component's nodes are dealt into blocks and each pair of blocks is one
     group of two blocks at most, whatever the component's size.
     """
-    ranked = global_rank(saturated, ["root", "node"], "nn-saturated")
-    sizes = ranked.groupBy("root").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("m"))
-    block = F.floor((F.col("rank") - F.col("start")) / BLOCK).cast("int")
-    dealt = ranked.join(sizes, "root").withColumn("block", block).withColumn(
-        "with", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / BLOCK).cast("int"))))
-    keyed = dealt.select("root", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node", "copies", "e")
-    counts = keyed.repartition(n_partitions(saturated.sparkSession), "root", "low", "high").sortWithinPartitions("root", "low", "high") \
-        .mapInArrow(_exact_counts(threshold), "node long, n long")
+    counts = _block_pairs(saturated, BLOCK, "nn-saturated").mapInArrow(_exact_counts(threshold), "node long, n long")
     return stored(counts, "nn-exact").groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j, ...) edges that connect what ``near`` (rows by columns) links: the places, rows first
+    and columns after them, of a piece's first row and of each of its others."""
+    seen, met = np.zeros(near.shape[0], bool), np.zeros(near.shape[1], bool)
+    roots, others = [], []
+    for i in np.flatnonzero(near.any(axis=1)).tolist():
+        if seen[i]:
+            continue
+        seen[i], rows = True, np.array([i])
+        while len(rows):
+            cols = np.flatnonzero(near[rows].any(axis=0) & ~met)
+            met[cols] = True
+            rows = np.flatnonzero(near[:, cols].any(axis=1) & ~seen)
+            seen[rows] = True
+            new = np.concatenate([near.shape[0] + cols, rows])
+            roots.append(np.full(len(new), i))
+            others.append(new)
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (roots, others))
+
+
+def _exact_labels(threshold: float):
+    """Rows of two blocks of one label -> link counts (node, null, n) and connecting edges (node, other, null)."""
+    def run(batches):
+        for b in whole_groups(batches, 3):
+            starts = group_starts(b, 3)
+            low, high, block, node, copies = (b.column(i).to_numpy() for i in range(1, 6))
+            flat, off = b.column(6).flatten().to_numpy(zero_copy_only=False), b.column(6).offsets.to_numpy()
+            for a, z in zip(starts, [*starts[1:], b.num_rows]):
+                v = flat[off[a] - off[0]:off[z] - off[0]].reshape(z - a, -1).astype(np.float64)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                first, second = np.flatnonzero(block[a:z] == low[a]), np.flatnonzero(block[a:z] == high[a])
+                near = v[first] @ v[second].T >= threshold
+                counts = []
+                if low[a] == high[a]:
+                    np.fill_diagonal(near, False)
+                else:
+                    counts.append((node[a:z][second], copies[a:z][first] @ near))
+                counts.append((node[a:z][first], near @ copies[a:z][second]))
+                i, j = _forest(near)
+                ends = node[a:z][np.concatenate([first, second])]
+                ids, n = (np.concatenate(c).astype(np.int64) for c in zip(*counts))
+                ids, n = ids[n > 0], n[n > 0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([ids, ends[i]])), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ends[j])]),
+                     pa.concat_arrays([pa.array(n), pa.nulls(len(i), pa.int64())])], names=["node", "other", "n"])
+    return run
+
+
+def compared(nodes: DataFrame, labels: list[tuple[str, int]], threshold: float) -> DataFrame:
+    """(node, other, n): exact link counts (other null) and connecting edges (n null) of all nodes of these (label, vector length)."""
+    spark = nodes.sparkSession
+    failing = spark.createDataFrame([(l, d, i) for i, (l, d) in enumerate(sorted(labels))], "label string, d int, root long")
+    own = stored(nodes.select("node", "label", F.size("e").alias("d"), "copies", "e").join(F.broadcast(failing), ["label", "d"])
+                 .select("root", "node", "copies", "e"), "nn-failing")
+    pairs = _block_pairs(own, EXACT_BLOCK, "nn-failing-ranks")
+    return stored(pairs.mapInArrow(_exact_labels(threshold), "node long, other long, n long"), "nn-compared")
+
+
 @dataclass(frozen=True)
 class NearDuplicates:
     rows: DataFrame  # vec_id, n_links, component_id, kept
-    links: DataFrame  # a, b, cos: found links between distinct vectors (of unsaturated lists: all that were found)
-    recall: float  # average of audited nodes that have links and whose counts were not exact
+    links: DataFrame  # a, b, cos: links between distinct vectors that the search found
+    recall: float  # average of audited nodes that have links and whose counts were not exact (before labels are compared)
+    compared: tuple = ()  # (label, vector length) whose recall stayed under the target, so that all their nodes were compared
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -281,12 +348,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         lists = stored(_lists(seeds if lists is None else lists.union(seeds.select(lists.columns)), k), "nn-lists")
         lists = descend(lists, coded, k, n)
         found = _linked(nodes, lists, k, threshold)
-        recall, _ = _audit(nodes, found[1], found[3], threshold, audit)
+        recall, by_label = _audit(nodes, found[1], found[3], threshold, audit)
         if recall >= target:
             break
         k *= 2
         lists = lists.withColumn("fresh", F.lit(True))
     links, counts, roots, _ = found
+    failing = [key for key, r in by_label.items() if r < target]
+    if failing:
+        exact = compared(nodes, failing, threshold)
+        own = exact.filter("n is not null").groupBy("node").agg(F.sum("n").alias("n"))
+        # the search finds true links only, so whoever has one in these labels is counted here
+        counts = stored(counts.join(own.select("node"), "node", "left_anti").union(own), "nn-counts")
+        edges = exact.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        roots = stored(components(links.select("a", "b").union(edges)), "nn-roots")
     known = nodes.select("node", "h1", "h2", "least", "copies").join(counts, "node", "left").join(roots, "node", "left") \
         .withColumn("root", F.coalesce("root", "node"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -294,7 +369,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     linked = rows.filter("ok").select("vec_id", "h1", "h2").join(per_node, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
-    return NearDuplicates(stored(out, "nn-out"), links, recall)
+    return NearDuplicates(stored(out, "nn-out"), links, recall, tuple(failing))
 
 
 def _linked(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
