@@ -111,6 +111,24 @@ def test_a_hubs_far_followers_meet():
     assert {i for p in pairs for i in p} == set(range(40)) and (38, 39) in pairs
 
 
+def test_links_of_long_vectors_with_a_dominant_component(spark):
+    """Byte quantisation takes far more than 0.02 from these cosines."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        tail, near = rnd.uniform(0.505, 0.55, (2, 1000)) * rnd.choice([-1, 1], (2, 1000)) / 127
+        rows += [(2 * i, [1.0, *tail.tolist()], f"x{i}"), (2 * i + 1, [1.0, *near.tolist()], f"x{i}")]
+    v = np.array([r[1] for r in rows])
+    q, u = D.quantised(v).astype(float), v / np.linalg.norm(v, axis=1, keepdims=True)
+    exact = (u[0::2] * u[1::2]).sum(axis=1)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    threshold = float(exact.min()) - 1e-6
+    assert ((q[0::2] * q[1::2]).sum(axis=1) < threshold - 0.02).any()
+    got = {r.vec_id: r.n_links for r in D.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), threshold=threshold, target=0).rows.collect()}
+    assert got == {i: 1 for i in range(80)}
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [1.0, 0.0], 2), (5, [1.0, 0.0], None), (6, None, 1), (7, [0.0, 0.0], 1),

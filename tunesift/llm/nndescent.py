@@ -51,8 +51,8 @@ REPORT = 5
 ROUNDS = 10
 #: Rounds end when fewer list entries than this share are new.
 SETTLED = 0.002
-#: What byte quantisation may take from a cosine.
-MARGIN = 0.02
+#: What single precision may take from the cosine of byte vectors, and from an angle.
+ROUNDING = 1e-5
 #: Nodes of the first audit sample, links-bearing nodes that a sample should hold, and nodes of the largest sample.
 AUDIT = 1000
 ENOUGH = 100
@@ -65,6 +65,13 @@ def quantised(v: np.ndarray) -> np.ndarray:
     return np.rint(v / np.abs(v).max(axis=1, keepdims=True) * 127).astype(np.int8)
 
 
+def turned(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The angle between each vector and its byte vector."""
+    x = q.astype(np.float64)
+    u, w = v / np.linalg.norm(v, axis=1, keepdims=True), x / np.linalg.norm(x, axis=1, keepdims=True)
+    return 2 * np.arcsin(np.minimum(1, np.linalg.norm(u - w, axis=1) / 2)) + ROUNDING
+
+
 def unit(raw: np.ndarray, n: int) -> np.ndarray:
     x = raw.view(np.int8).reshape(n, -1).astype(np.float32)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -94,7 +101,7 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _coded(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
-    """(node, label, d, q, code of each table): byte vectors and sign codes."""
+    """(node, label, d, q, turn, code of each table): byte vectors, their angles to the vectors and sign codes."""
     names = [f"c{t}" for t in tables]
 
     def run(batches):
@@ -106,10 +113,10 @@ def _coded(nodes: DataFrame, tables: range, seed: int) -> DataFrame:
                 q = quantised(v)
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(1), pa.array(np.full(len(v), size, np.int32)), pa.array([x.tobytes() for x in q], pa.binary()),
-                     *(pa.array(c) for c in sign_codes(v, tables, seed))], names=["node", "label", "d", "q", *names])
+                     pa.array(turned(v, q)), *(pa.array(c) for c in sign_codes(v, tables, seed))], names=["node", "label", "d", "q", "turn", *names])
 
     return stored(nodes.select("node", "label", "e").mapInArrow(
-        run, ", ".join(["node long, label string, d int, q binary", *(f"{n} long" for n in names)])), "nn-coded")
+        run, ", ".join(["node long, label string, d int, q binary, turn double", *(f"{n} long" for n in names)])), "nn-coded")
 
 
 def _best(x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +354,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         seeds = _seed_lists(coded, own, k).withColumn("fresh", F.lit(True))
         lists = stored(_lists(seeds if lists is None else lists.union(seeds.select(lists.columns)), k), "nn-lists")
         lists = descend(lists, coded, k, n)
-        found = _linked(nodes, lists, k, threshold)
+        found = _linked(nodes, coded, lists, k, threshold)
         recall, by_label = _audit(nodes, found[1], found[3], threshold, audit)
         if recall >= target:
             break
@@ -372,9 +379,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
     return NearDuplicates(stored(out, "nn-out"), links, recall, tuple(failing))
 
 
-def _linked(nodes: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _possible(lists: DataFrame, coded: DataFrame, threshold: float) -> DataFrame:
+    """The list entries that may pass the threshold: a pair's angle is at most its byte vectors' and both their turns."""
+    most = coded.agg(F.max("turn")).first()[0] or 0.0
+    limit = float(np.arccos(np.clip(threshold, -1, 1)))
+    near = lists.filter(F.col("sim") >= float(np.cos(min(np.pi, limit + 2 * most))) - ROUNDING)
+    near = near.join(coded.select("node", F.col("turn").alias("t1")), "node").join(coded.select(F.col("node").alias("other"), F.col("turn").alias("t2")), "other")
+    return near.filter(F.col("sim") >= F.cos(F.least(F.lit(float(np.pi)), limit + F.col("t1") + F.col("t2"))) - ROUNDING).select(lists.columns)
+
+
+def _linked(nodes: DataFrame, coded: DataFrame, lists: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(links, link counts by node, roots by node, nodes whose counts are exact) from lists, enlarged where they are saturated."""
-    near = lists.filter(F.col("sim") >= threshold - MARGIN)
+    near = _possible(lists, coded, threshold)
     pairs = near.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     links = stored(_cosines(pairs, nodes.select("node", "e")).filter(F.col("cos") >= threshold), "nn-links")
     roots = stored(components(links.select("a", "b")), "nn-roots")
