@@ -117,3 +117,11 @@ def test_odd_rows(spark):
     empty = M.fit(no_documents(spark), F.lit(True))
     r = {r.doc_id: r for r in M.score(docs, empty).collect()}[1]
     assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
+
+
+def test_a_pair_seen_once_counts(spark):
+    train = spark.createDataFrame([(1, "x y"), (2, "p q")], "doc_id long, text string")
+    trie = M.fit(train, F.lit(True))
+    asked = spark.createDataFrame([(1, "x y"), (2, "x q")], "doc_id long, text string")
+    seen, unseen = (r.score for r in sorted(M.score(asked, trie).collect()))
+    assert seen > unseen + 0.1

@@ -3,9 +3,9 @@
 Level 1 holds every distinct token of the training texts: its 64-bit hash
 (XXH64) and its exact count, as two monotone sequences (hashes, and running
 sums of counts).  Level 2 holds, for each token that was a context, its
-successors seen at least ``LEAST`` times: successor numbers made monotone by
+successors, all of them (``LEAST`` is 1): successor numbers made monotone by
 adding what the contexts before ended at, pointers to each context's range,
-and discounted probabilities quantised to 256 values.  Both levels are cut
+and discounted probabilities quantised to 65,536 values.  Both levels are cut
 into key ranges, one file each in the shared folder, which scoring tasks map
 into memory and query by successor search inside the context's range.
 
@@ -43,9 +43,11 @@ ship(__name__)
 SEED = 42
 #: White space can't be in a word, so this text stands for the end token.
 END = b"\n"
-#: Pairs seen less often are left to the backoff.
-LEAST = 2
+#: Pairs seen less often are left to the backoff: none.
+LEAST = 1
 DISCOUNT = 0.75
+#: Values of a file's quantised probabilities.
+LEVELS = 1 << 16
 #: Distinct tokens of a level-1 file, and training tokens of a level-2 file.
 WORDS_A_FILE = 1 << 20
 TOKENS_A_FILE = 1 << 21
@@ -185,15 +187,15 @@ class Part2:
 
 
 def quantise(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes of probabilities and the 256 values they stand for: the means (of logarithms) of equally full bins of distinct values."""
+    """Two-byte codes of probabilities and the ``LEVELS`` values at most they stand for: the means (of logarithms) of equally full bins of distinct values."""
     if not len(p):
-        return np.empty(0, np.uint8), np.ones(256, np.float32)
+        return np.empty(0, np.uint16), np.ones(1, np.float32)
     distinct, at = np.unique(np.log(p), return_inverse=True)
-    bins = (np.arange(len(distinct)) * 256 // len(distinct)) if len(distinct) > 256 else np.arange(len(distinct))
+    bins = (np.arange(len(distinct)) * LEVELS // len(distinct)) if len(distinct) > LEVELS else np.arange(len(distinct))
     codes = bins[at]
-    n = np.bincount(codes, minlength=256)
-    values = np.bincount(codes, weights=distinct[at], minlength=256) / np.maximum(n, 1)
-    return codes.astype(np.uint8), np.exp(values).astype(np.float32)
+    n = np.bincount(codes)
+    values = np.bincount(codes, weights=distinct[at]) / np.maximum(n, 1)
+    return codes.astype(np.uint16), np.exp(values).astype(np.float32)
 
 
 @dataclass(frozen=True)
