@@ -11,6 +11,7 @@ from tunesift.llm.packing import op6_pack_bin_completion
 from tunesift.llm.sharding import op2_shard_hilbert
 from tunesift.llm.simhash import op1_simhash_near_dup
 from tunesift.llm.toxicity import op8_toxicity_kneser_ney
+from tunesift.llm.urlfilter import OP13_SQL, op13_url_rarest_token
 from tunesift.llm.warc import OP7_SQL, op7_warc_normalise
 
 QUERIES = {
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
     "op10_lm_elias_fano": op10_lm_elias_fano,
+    "op13_url_rarest_token": op13_url_rarest_token,
 }
 
 ORACLES: dict[str, str] = {
     "op5_embedding_nn_descent": OP5_SQL,
     "op7_warc_normalise": OP7_SQL,
+    "op13_url_rarest_token": OP13_SQL,
 }
