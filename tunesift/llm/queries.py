@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tunesift.llm.divergence import OP11_SQL, op11_divergence_quadtree
 from tunesift.llm.fingerprint import op3_fingerprint_quartile
 from tunesift.llm.langid import op4_language_viterbi
 from tunesift.llm.lm import op10_lm_elias_fano
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_toxicity_kneser_ney": op8_toxicity_kneser_ney,
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
     "op10_lm_elias_fano": op10_lm_elias_fano,
+    "op11_divergence_quadtree": op11_divergence_quadtree,
     "op13_url_rarest_token": op13_url_rarest_token,
 }
 
 ORACLES: dict[str, str] = {
     "op5_embedding_nn_descent": OP5_SQL,
     "op7_warc_normalise": OP7_SQL,
+    "op11_divergence_quadtree": OP11_SQL,
     "op13_url_rarest_token": OP13_SQL,
 }
