@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tunesift.llm.alignment import op12_align_dictionaries
 from tunesift.llm.divergence import OP11_SQL, op11_divergence_quadtree
 from tunesift.llm.fingerprint import op3_fingerprint_quartile
 from tunesift.llm.langid import op4_language_viterbi
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mix_sainte_lague": op9_mix_sainte_lague,
     "op10_lm_elias_fano": op10_lm_elias_fano,
     "op11_divergence_quadtree": op11_divergence_quadtree,
+    "op12_align_dictionaries": op12_align_dictionaries,
     "op13_url_rarest_token": op13_url_rarest_token,
 }
 
