@@ -335,7 +335,7 @@ def _level2(training: DataFrame, trie: Trie, folder: str, tokens_a_file: int) ->
                                              names=["part", "path", "first", "first_kept", "last", "last_kept"])
 
     rows = stored(training.mapInArrow(count, "part int, pairs binary, times binary"), "lm-pairs")
-    made = stored(rows.repartition(len(cuts), "part").sortWithinPartitions("part").mapInArrow(
+    made = stored(rows.repartitionById(len(cuts), F.col("part")).sortWithinPartitions("part").mapInArrow(
         write, "part int, path string, first long, first_kept double, last long, last_kept double"), "lm-level2").collect()
     paths = {r.part: r.path for r in made}
     kept: dict[int, dict[int, float]] = {}
