@@ -38,44 +38,29 @@ def test_kmeans_assignment_is_argmin(spark):
         assert a[r["vec_id"]] == best
 
 
-def test_lsh_recall_against_exact(spark):
-    """The registered setting (the defaults) gives every seed k rows and at least nine in ten of the exact ones;
-    buckets too short for that are searched again at twice the length."""
+def test_projection_equals_the_exact_svd(spark, monkeypatch):
     from tunesift.operators import similarity as SIM
-    emb = table(spark, SF_SMALL, "embeddings")
-    items = MD.dense_unit_vectors(emb)
-    picked = emb.filter("vec_id % 25 = 0")
-    seeds = items.filter("vec_id % 25 = 0")
-    exact = {(r["seed_id"], r["vec_id"]) for r in SIM.knn_dense(spark, emb, picked, 10).collect()}
-    got = MD.knn_approx(items, seeds, 10).collect()
-    assert len(got) == len(exact) == 10 * picked.count()
-    assert len(exact & {(r["seed_id"], r["vec_id"]) for r in got}) >= 0.9 * len(exact)
-    short = MD.knn_approx(items, seeds, 10, bucket_length=0.002, num_tables=1).collect()
-    assert len(short) == len(exact) and {r["rank"] for r in short} == set(range(1, 11))
-
-
-def test_svd_projection_columns_orthogonal(spark):
+    monkeypatch.setattr(MD, "SUM_FEATURES", 50)
     meta = fx.meta(spark, SF_SMALL)
     m = FE.fit_content(meta)
-    long_df = m.normalized_long()
+    rows = SIM.index_rows(m.normalized_long())
     keys = MD.vector_keys(m)
-    p = MD.project_2d(spark, long_df, keys).toPandas()
-    x, y = p["x"].to_numpy(), p["y"].to_numpy()
-    # columns of X.V are orthogonal (V has orthonormal columns and X^T X V = V S^2)
-    assert abs(float(x @ y)) / (np.linalg.norm(x) * np.linalg.norm(y)) < 1e-6
-    # and they match a dense NumPy SVD of the same matrix (up to sign)
-    pdf = long_df.toPandas()
-    ids = sorted(set(pdf["track_id"]))
-    ri = {t: i for i, t in enumerate(ids)}
-    ci = {k: i for i, k in enumerate(keys)}
-    X = np.zeros((len(ids), len(keys)))
-    X[pdf["track_id"].map(ri), pdf["key"].map(ci)] = pdf["value"]
+    got = {r.track_id: (r.x, r.y) for r in MD.project_2d(rows, keys).collect()}
+    data, place = rows.collect(), {k: i for i, k in enumerate(keys)}
+    X = np.zeros((len(data), len(keys)))
+    for i, r in enumerate(data):
+        X[i, [place[k] for k in r["keys"]]] = r["vals"]
     _, _, vt = np.linalg.svd(X, full_matrices=False)
-    ref = X @ vt[:2].T
-    got = p.set_index("track_id").loc[ids][["x", "y"]].to_numpy()
-    for j in range(2):
-        c = abs(float(np.corrcoef(ref[:, j], got[:, j])[0, 1]))
-        assert c > 0.999
+    V = vt[:2].T * np.where(vt[:2].T[np.abs(vt[:2]).argmax(1), [0, 1]] < 0, -1.0, 1.0)
+    assert np.abs(X @ V - np.array([got[r.track_id] for r in data])).max() < 1e-4
+    plan = MD.project_2d(rows.checkpoint(eager=True), keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_projection_of_odd_rows(spark):
+    rows = spark.createDataFrame([("a", ["x", "?"], [2.0, 9.0]), ("b", [], []), ("c", ["x"], [1.0])], "track_id string, keys array<string>, vals array<double>")
+    assert {r.track_id: (round(r.x, 9), r.y) for r in MD.project_2d(rows, ["x"]).collect()} == {"a": (2.0, 0.0), "b": (0.0, 0.0), "c": (1.0, 0.0)}
+    assert MD.project_2d(rows.filter("false"), ["x", "y", "z"]).count() == 0
 
 
 def test_stratified_split_one_member_class_stays_in_train(spark):

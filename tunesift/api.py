@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tunesift.config import EvalParams, FeatureConfig, RecommendParams
 from tunesift.operators import clean
+from tunesift.operators import block_index as BLK
 from tunesift.operators import evaluation as EV
 from tunesift.operators import features as FE
 from tunesift.operators import search as S
@@ -32,7 +33,7 @@ class Recommender:
         ensure_checkpoint_dir(spark)  # evaluate() checkpoints its bounded kNN result
         self.spark, self.path, self.cfg, self.meta = spark, path, cfg, meta
         self.params = params or RecommendParams()
-        self.model, self.long, self.rows = read_content_space(spark, cfg, path)
+        self.model, self.long, self.rows, self.blocks = read_content_space(spark, cfg, path)
 
     # -- train ------------------------------------------------------------------
     @classmethod
@@ -91,7 +92,10 @@ class Recommender:
         searched = index
         if prefilter and view is not None:
             searched, view = searched.join(view.select("track_id"), "track_id", "left_semi"), None
-        cands = SIM.knn_batch(self.spark, searched, seed_index, top_k + p.overfetch, exclude_self=False)
+        if searched is self.rows:
+            cands = BLK.knn_blocks(self.spark, self.blocks, seed_index, top_k + p.overfetch, exclude_self=False)
+        else:
+            cands = SIM.knn_batch(self.spark, searched, seed_index, top_k + p.overfetch, exclude_self=False)
         return SIM.finish_recommendations(cands.drop("rank"), self.meta, view, top_k, threshold, one)
 
     def search(self, query: str, limit: int = 100, ranked: bool = False) -> DataFrame:
@@ -110,7 +114,8 @@ class Recommender:
             seed_index = SIM.index_rows(FE.transform_rows(self.model, seeds, self.cfg.with_weights(**weights)))
         else:
             seed_index = index.join(seeds.select("track_id"), "track_id", "left_semi")
-        nn = SIM.knn_batch(self.spark, index, seed_index, e.k, exclude_self=True).checkpoint(eager=True)
+        nn = BLK.knn_blocks(self.spark, self.blocks, seed_index, e.k) if space is None else SIM.knn_batch(self.spark, index, seed_index, e.k)
+        nn = nn.checkpoint(eager=True)
         flags = EV.flag_recommendations(nn, self.meta, e.relevance)
         per = EV.per_seed_metrics(flags, EV.relevant_counts(self.spark, self.meta, seeds, e.relevance), e.k)
         return EV.evaluate(per, EV.coverage(nn, self.meta))

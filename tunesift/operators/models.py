@@ -1,4 +1,4 @@
-"""Models (F1-F13) on Spark ML, plus leaf-space and approximate kNN.
+"""Models (F1-F13) on Spark ML, plus leaf-space kNN.
 
 Feature vectors for the estimators are built JVM-side from the fitted
 vocabularies: ``CountVectorizerModel`` (term counts) -> ``ElementwiseProduct``
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import (BucketedRandomProjectionLSH, CountVectorizerModel, ElementwiseProduct, Normalizer,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.classification import RandomForestClassifier
@@ -253,39 +253,9 @@ def knn_leaf(spark: SparkSession, leaf_idx: DataFrame, seed_idx: DataFrame, k: i
 
 
 # ---------------------------------------------------------------------------
-# Approximate kNN
+# vectors of Spark ML from arrays
 # ---------------------------------------------------------------------------
 
-def knn_approx(items: DataFrame, seeds: DataFrame, k: int, id_col: str = "vec_id", bucket_length: float = 0.5,
-               num_tables: int = 8, seed: int = 42) -> DataFrame:
-    """``BucketedRandomProjectionLSH`` on unit vectors (d^2 = 2 - 2 cos):
-    the k best of the candidates that share a bucket with a seed in any table.
-
-    Seeds with fewer than ``k`` candidates search again in buckets twice as
-    long, until a bucket spans the sphere, so every seed gets ``k`` rows (or
-    all items).  Recall against E12 is measured by the registered query."""
-    from tunesift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(items.sparkSession)
-    w = W.partitionBy("seed_id").orderBy(F.round("score", 4).desc(), F.col(id_col))
-    out, left = None, seeds
-    while True:
-        lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="_h", bucketLength=bucket_length,
-                                          numHashTables=num_tables, seed=seed)
-        pairs = lsh.fit(items).approxSimilarityJoin(left, items, 2.0 + 1e-6, distCol="_d")  # no two unit vectors are farther apart
-        p = pairs.select(F.col("datasetA").getField(id_col).cast("string").alias("seed_id"),
-                         F.col("datasetB").getField(id_col).cast("string").alias(id_col),
-                         (F.lit(1.0) - F.col("_d") * F.col("_d") / 2.0).alias("score")).filter(F.col("seed_id") != F.col(id_col))
-        best = p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k)).checkpoint(eager=True)
-        full = best.groupBy("seed_id").count().filter(F.col("count") >= int(k)).select("seed_id")
-        last = bucket_length > 4.0  # both ends of every projection are in one bucket or two
-        done = best if last else best.join(full, "seed_id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full, left[id_col].cast("string") == full["seed_id"], "left_anti")
-        if last or left.isEmpty():
-            return out
-        bucket_length *= 2
-
-
 def dense_unit_vectors(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
     from pyspark.ml.functions import array_to_vector
     v = F.col(vec_col).cast("array<double>")
@@ -376,72 +346,125 @@ def vector_keys(model: FE.ContentModel, cfg: FeatureConfig | None = None) -> lis
     return keys + ["n:year", "n:explicit"]
 
 
-def _x_times(long_df: DataFrame, mat: np.ndarray, keys: list[str], id_col: str) -> DataFrame:
-    """X . M for the long table X (id, key, value) and a small dense M
-    (features x p, broadcast): (id, y0..y{p-1}), a partial sum per item."""
-    spark = long_df.sparkSession
-    p = mat.shape[1]
-    m = spark.createDataFrame([(keys[i],) + tuple(float(x) for x in mat[i]) for i in range(len(keys))],
-                              "key string, " + ", ".join(f"m{j} double" for j in range(p)))
-    j = long_df.join(F.broadcast(m), "key")
-    return j.groupBy(id_col).agg(*[F.sum(F.col("value") * F.col(f"m{c}")).alias(f"y{c}") for c in range(p)])
-
-
-def _xt_times(long_df: DataFrame, y: DataFrame, keys: list[str], p: int, id_col: str) -> np.ndarray:
-    """X^T . Y (features x p) collected: one row per feature (bounded by the vocabulary)."""
-    z = long_df.join(y, id_col).groupBy("key").agg(
-        *[F.sum(F.col("value") * F.col(f"y{c}")).alias(f"z{c}") for c in range(p)])
-    pos = {k: i for i, k in enumerate(keys)}
-    out = np.zeros((len(keys), p))
-    for r in z.collect():
-        out[pos[r["key"]]] = [r[f"z{c}"] for c in range(p)]
+#: Features whose sums travel as one row.
+SUM_FEATURES = 2_048
+
+
+def coded_rows(rows: DataFrame, keys: list[str], id_col: str = "track_id") -> DataFrame:
+    """Index rows with their keys as numbers (places in ``keys``; others are left out): (id, at, vals)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    names = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches):
+        known = pa.array(names.value, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            at = pc.index_in(pc.list_flatten(lists), value_set=known)
+            on = at.is_valid()
+            owner = pc.list_parent_indices(lists).filter(on).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.num_rows))]).astype(np.int32))
+            vals = pc.list_flatten(b.column(2)).filter(on)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, at.filter(on)), pa.ListArray.from_arrays(offsets, vals)],
+                                             names=[id_col, "at", "vals"])
+
+    return rows.select(F.col(id_col).cast("string").alias(id_col), "keys", "vals").mapInArrow(run, f"{id_col} string, at array<int>, vals array<double>")
+
+
+def _entries(b):
+    """(row, place, value) of every entry of a batch of coded rows."""
+    import pyarrow.compute as pc
+    return (pc.list_parent_indices(b.column(1)).to_numpy(zero_copy_only=False), pc.list_flatten(b.column(1)).to_numpy(zero_copy_only=False),
+            pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False))
+
+
+def _rows_times(b, m: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """A batch of coded rows times a features x p matrix, and the batch's entries."""
+    row, at, v = _entries(b)
+    y = np.stack([np.bincount(row, weights=v * m[at, j], minlength=b.num_rows) for j in range(m.shape[1])], axis=1).astype(float)  # no entries count as whole numbers
+    return y, (row, at, v)
+
+
+def gram_times(coded: DataFrame, m: np.ndarray) -> np.ndarray:
+    """X^T (X M) for the rows X and a features x p matrix M, in one pass over the rows.
+
+    Each task holds one features x p sum and emits it in rows of ``SUM_FEATURES``
+    features; those are added up per range of features as they stream in, so the
+    rows themselves are never exchanged."""
+    import pyarrow as pa
+    spark, (n, p) = coded.sparkSession, m.shape
+    sent = spark.sparkContext.broadcast(m)
+
+    def partial(batches):
+        m, z = sent.value, None
+        for b in batches:
+            if b.num_rows:
+                y, (row, at, v) = _rows_times(b, m)
+                z = np.zeros((p, n)) if z is None else z
+                for j in range(p):
+                    z[j] += np.bincount(at, weights=v * y[row, j], minlength=n)
+        if z is not None:
+            cuts = range(0, n, SUM_FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(list(range(len(cuts))), pa.int32()), pa.array([z[:, c:c + SUM_FEATURES].tobytes() for c in cuts], pa.binary())],
+                                             names=["part", "sums"])
+
+    def added(batches):
+        part, total = None, None
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                one = np.frombuffer(raw.as_buffer(), float)
+                if k != part:
+                    if part is not None:
+                        yield row(part, total)
+                    part, total = k, np.zeros(len(one))
+                total += one
+        if part is not None:
+            yield row(part, total)
+
+    def row(part, total):
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "sums"])
+
+    parts = max(1, min(-(-n // SUM_FEATURES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sums = coded.mapInArrow(partial, "part int, sums binary").repartitionById(parts, F.col("part")).sortWithinPartitions("part") \
+        .mapInArrow(added, "part int, sums binary")
+    out = np.zeros((n, p))
+    for r in sums.collect():  # features x p, bounded by the vocabulary
+        c = r.part * SUM_FEATURES
+        out[c:c + SUM_FEATURES] = np.frombuffer(r.sums, float).reshape(p, -1).T
     return out
 
 
-def _orthonormal_rows(y: DataFrame, p: int) -> DataFrame:
-    """Cholesky-QR of the tall matrix Y (id, y0..): Q = Y R^-1 with R from
-    the p x p Gram matrix (one aggregate), applied as column expressions."""
-    g = y.agg(*[F.sum(F.col(f"y{a}") * F.col(f"y{b}")).alias(f"g{a}_{b}") for a in range(p) for b in range(p)]).first()
-    G = np.array([[g[f"g{a}_{b}"] for b in range(p)] for a in range(p)], dtype=float)
-    w, U = np.linalg.eigh(G)
-    w = np.maximum(w, 1e-12 * max(w.max(), 1e-300))
-    Rinv = U @ np.diag(1.0 / np.sqrt(w)) @ U.T   # symmetric G^-1/2: Q = Y G^-1/2 is orthonormal
-    cols = [sum(F.col(f"y{a}") * F.lit(float(Rinv[a, b])) for a in range(p)).alias(f"y{b}") for b in range(p)]
-    return y.select(y.columns[0], *cols)
-
-
-def project_2d(spark: SparkSession, long_df: DataFrame, keys: list[str], id_col: str = "track_id", k: int = 2,
-               n_iter: int = 5, oversample: int = 6, seed: int = 42) -> DataFrame:
-    """rank-2 truncated SVD without centring (randomized range finder
-    with ``n_iter`` power iterations, as the reference's truncated SVD), then
-    the projection X.V.
-
-    The data never leaves the executors: every pass is a join of the long
-    table with a broadcast ``features x p`` matrix or with the ``items x p``
-    sketch, summed per item or per feature; only ``features x p`` and
-    ``p x p`` matrices reach the driver.  Signs are fixed so the largest |V|
-    entry of each component is positive."""
+def right_singular(coded: DataFrame, features: int, k: int = 2, oversample: int = 8, seed: int = 42, tolerance: float = 1e-6,
+                   most_passes: int = 60) -> np.ndarray:
+    """The first ``k`` right singular vectors (features x k) of coded rows, by subspace iteration on
+    X^T X until each one's residual is under ``tolerance`` of the greatest squared singular value
+    (``most_passes`` is a last resort).  Each vector's greatest entry is positive."""
+    p = min(k + oversample, features)
+    v, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, p)))
+    for _ in range(most_passes):
+        z = gram_times(coded, v)
+        values, u = np.linalg.eigh((v.T @ z + z.T @ v) / 2)
+        u, values = u[:, ::-1][:, :k], values[::-1][:k]
+        if np.linalg.norm(z @ u - (v @ u) * values, axis=0).max() <= tolerance * max(values[0], 1e-300):
+            break
+        v, _ = np.linalg.qr(z)
+    out = v @ u
+    return out * np.where(out[np.abs(out).argmax(axis=0), np.arange(out.shape[1])] < 0, -1.0, 1.0)
+
+
+def project_2d(rows: DataFrame, keys: list[str], id_col: str = "track_id", k: int = 2, oversample: int = 8, seed: int = 42) -> DataFrame:
+    """rank-2 truncated SVD without centring, then the projection X.V: (id, x, y) of every index
+    row.  Only features x p matrices pass between driver and tasks, and each pass reads the rows in place."""
+    import pyarrow as pa
     from tunesift.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    p = k + oversample
-    rng = np.random.default_rng(seed)
-    keys = list(keys)
-    long_df = long_df.select(id_col, "key", "value")
-    omega = rng.standard_normal((len(keys), p))
-
-    def sketch(m):
-        # the items x p sketch is read twice (Gram matrix, then X^T Q): a
-        # reliable checkpoint in the shared folder keeps it to one pass
-        return _orthonormal_rows(_x_times(long_df, m, keys, id_col).checkpoint(eager=True), p)
-
-    for _ in range(n_iter + 1):
-        omega, _ = np.linalg.qr(_xt_times(long_df, sketch(omega), keys, p, id_col))
-    q = sketch(omega)
-    bt = _xt_times(long_df, q, keys, p, id_col)          # B^T = X^T Q, features x p
-    _, _, vt = np.linalg.svd(bt.T, full_matrices=False)  # B = Q^T X = U S V^T
-    V = vt[:k].T.copy()
-    for j in range(k):
-        if V[np.argmax(np.abs(V[:, j])), j] < 0:
-            V[:, j] = -V[:, j]
-    proj = _x_times(long_df, V, keys, id_col)
-    return proj.select(id_col, F.col("y0").alias("x"), F.col("y1").alias("y"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    coded = coded_rows(rows, keys, id_col).checkpoint(eager=True)
+    sent = rows.sparkSession.sparkContext.broadcast(right_singular(coded, len(keys), k, oversample, seed))
+
+    def project(batches):
+        for b in batches:
+            y, _ = _rows_times(b, sent.value)
+            y = y if y.shape[1] > 1 else np.pad(y, ((0, 0), (0, 1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y[:, 0]), pa.array(y[:, 1])], names=[id_col, "x", "y"])
+
+    return coded.mapInArrow(project, f"{id_col} string, x double, y double")

@@ -136,6 +136,30 @@ def _round_int(s: np.ndarray) -> np.ndarray:
     return (np.sign(s) * np.floor(np.abs(s) * ROUND_SCALE + 0.5)).astype(np.int64)
 
 
+def _block_top(scores: np.ndarray, ids, kk: int):
+    """The top kk per seed of a block's scores (items x seeds), its ids in ascending order: (rounded
+    score, id order) as one int64 a pair."""
+    import pyarrow as pa
+    n, S = scores.shape
+    r = _round_int(scores)
+    comp = r * (1 << 32) + ((1 << 32) - 1 - np.arange(n))[:, None]
+    take = min(kk, n)
+    top = np.argpartition(-comp, take - 1, axis=0)[:take] if n > take else np.tile(np.arange(n)[:, None], (1, S))
+    cols, rows = np.tile(np.arange(S), take), top.reshape(-1)
+    return pa.table({"s": cols, "r": r[rows, cols], "id": ids.take(pa.array(rows)), "score": scores[rows, cols]})
+
+
+def _best(parts: list, kk: int):
+    """The top kk per seed of candidate tables."""
+    import pyarrow as pa
+    t = pa.concat_tables(parts).combine_chunks()
+    t = t.sort_by([("s", "ascending"), ("r", "descending"), ("id", "ascending")])
+    sv = t.column("s").to_numpy()
+    starts = np.r_[0, np.flatnonzero(np.diff(sv)) + 1]
+    rank = np.arange(len(sv)) - np.repeat(starts, np.diff(np.r_[starts, len(sv)]))
+    return t.take(pa.array(np.flatnonzero(rank < kk)))
+
+
 def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_cells: int = 4_000_000):
     """Per-task exact top-kk per seed over Arrow record batches.
 
@@ -147,15 +171,6 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    def best(parts):
-        """The top kk per seed of candidate tables."""
-        t = pa.concat_tables(parts).combine_chunks()
-        t = t.sort_by([("s", "ascending"), ("r", "descending"), ("id", "ascending")])
-        sv = t.column("s").to_numpy()
-        starts = np.r_[0, np.flatnonzero(np.diff(sv)) + 1]
-        rank = np.arange(len(sv)) - np.repeat(starts, np.diff(np.r_[starts, len(sv)]))
-        return t.take(pa.array(np.flatnonzero(rank < kk)))
-
     def kernel(batches):
         seed_ids, (dense_all, dense), key_index, ptr, post_seed, post_w = bc.value
         S = len(seed_ids)
@@ -194,23 +209,14 @@ def _make_kernel(bc, id_col: str, kk: int, dense_keys: tuple[str, ...], block_ce
                             flat = np.repeat(it, cnt) * S + post_seed[pidx]
                             scores += np.bincount(flat, weights=np.repeat(vv, cnt) * post_w[pidx],
                                                   minlength=n * S).reshape(n, S)
-                # exact top-kk per seed in this block: (rounded score, id order) as one int64
-                r = _round_int(scores)
-                comp = r * (1 << 32) + ((1 << 32) - 1 - np.arange(n))[:, None]
-                take = min(kk, n)
-                top = (np.argpartition(-comp, take - 1, axis=0)[:take] if n > take
-                       else np.tile(np.arange(n)[:, None], (1, S)))
-                cols = np.tile(np.arange(S), take)
-                rows_ = top.reshape(-1)
-                held.append(pa.table({"s": cols, "r": r[rows_, cols], "id": part.column(id_col).take(pa.array(rows_)),
-                                      "score": scores[rows_, cols]}))
-                n_held += len(cols)
+                held.append(_block_top(scores, part.column(id_col), kk))
+                n_held += held[-1].num_rows
                 if n_held > 2 * kk * S:
-                    held = [best(held)]
+                    held = [_best(held, kk)]
                     n_held = held[0].num_rows
         if not held:
             return
-        t = best(held)
+        t = _best(held, kk)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seed_ids[t.column("s").to_numpy()], type=pa.string()),
              t.column("id").combine_chunks().cast(pa.string()), t.column("score").combine_chunks()],
@@ -244,19 +250,65 @@ def knn_batch(spark: SparkSession, index: DataFrame, seed_index: DataFrame, k: i
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
 
 
+def unit_vectors(df: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """(id as text, vec): vectors of length one as arrays of doubles; null and zero vectors, and those
+    with a null or a value that isn't finite, are left out."""
+    v = F.col(vec_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))  # null where a component is
+    return df.select(F.col(id_col).cast("string").alias(id_col), v.alias("vec"), norm.alias("_norm")) \
+        .filter((F.col("_norm") > 0) & (F.col("_norm") < F.lit(float("inf")))) \
+        .select(id_col, F.transform("vec", lambda x: x / F.col("_norm")).alias("vec"))
+
+
+def _dense_kernel(bc, id_col: str, kk: int, block_cells: int = 4_000_000):
+    """Per-task exact top-kk per seed over batches of (id, unit vector): one matrix product a block."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def kernel(batches):
+        seed_ids, matrix = bc.value
+        held, n_held = [], 0
+        for rb in batches:
+            rb = rb.take(pc.sort_indices(rb.column(0)))
+            step = max(64, block_cells // max(len(seed_ids), 1))
+            for lo in range(0, rb.num_rows, step):
+                part = rb.slice(lo, step)
+                items = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                held.append(_block_top(items @ matrix, part.column(0), kk))
+                n_held += held[-1].num_rows
+                if n_held > 2 * kk * len(seed_ids):
+                    held = [_best(held, kk)]
+                    n_held = held[0].num_rows
+        if held:
+            t = _best(held, kk)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(seed_ids[t.column("s").to_numpy()], type=pa.string()), t.column("id").combine_chunks(), t.column("score").combine_chunks()],
+                names=["seed_id", id_col, "score"])
+    return kernel
+
+
 def knn_dense(spark: SparkSession, items: DataFrame, seeds: DataFrame, k: int, id_col: str = "vec_id",
-              vec_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """Cosine kNN on dense array vectors through the same kernel (each
-    dimension is a dense key)."""
-    def as_index(df):
-        v = F.col(vec_col).cast("array<double>")
-        nrm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(id_col).cast("string").alias(id_col),
-                         F.transform(v, lambda x, i: F.concat(F.lit("d"), i.cast("string"))).alias("keys"),
-                         F.transform(v, lambda x: x / nrm).alias("vals"))
-    dims = items.select(F.size(vec_col).alias("d")).agg(F.max("d")).first()[0] or 0
-    dense_keys = tuple(f"d{i}" for i in range(int(dims)))
-    return knn_batch(spark, as_index(items), as_index(seeds), k, id_col, exclude_self, dense_keys)
+              vec_col: str = "embedding", exclude_self: bool = True, per_group: tuple[int, int] = (GROUP_SEEDS, GROUP_NNZ)) -> DataFrame:
+    """Exact cosine kNN on dense array vectors: seeds in broadcast groups of bounded size, each
+    a matrix that every task multiplies its items with.  Vectors with fewer components than the
+    longest, and those without a direction (``unit_vectors``), are left out."""
+    kk = int(k) + (1 if exclude_self else 0)
+    every = unit_vectors(items, vec_col, id_col)
+    dims = every.agg(F.max(F.size("vec"))).first()[0] or 0
+    every = every.filter(F.size("vec") == dims)
+    schema = f"seed_id string, {id_col} string, score double"
+    cand = None
+    asked = unit_vectors(seeds, vec_col, id_col).filter(F.size("vec") == dims)
+    for rows in seed_groups(asked, id_col, F.size("vec"), per_group):
+        bc = spark.sparkContext.broadcast((np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows]).T))
+        one = every.mapInArrow(_dense_kernel(bc, id_col, kk), schema)
+        cand = one if cand is None else cand.unionByName(one)
+    if cand is None:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    if exclude_self:
+        cand = cand.filter(F.col("seed_id") != F.col(id_col))
+    w = W.partitionBy("seed_id").orderBy(rounded("score").desc(), F.col(id_col))
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
 
 
 # ---------------------------------------------------------------------------

@@ -4,7 +4,7 @@
   session as Parquet (the catalogue-build job); profiles, search and feature
   fits read it.
 * ``content_artifact``: the fitted content space (vocabulary, numeric
-  statistics, long normalised index, per-item rows) written as Parquet; the
+  statistics, long normalised index, per-item rows, blocks of items with score bounds) written as Parquet; the
   recommendation and evaluation queries read it, as the reference's app reads
   its trained artefact.
 
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tunesift.config import FeatureConfig
 from tunesift.operators import features as FE
+from tunesift.operators.block_index import block_index
 from tunesift.operators.similarity import index_rows
 from tunesift.session import ensure_checkpoint_dir, path_exists, scratch_path
 from tunesift.sources import fixtures as fx
@@ -72,6 +73,7 @@ class ContentArtifact:
     model: FE.ContentModel
     long: DataFrame
     rows: DataFrame
+    blocks: DataFrame
 
 
 def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = None) -> ContentArtifact:
@@ -80,12 +82,12 @@ def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = N
     meta = stored_meta(spark, sf)
     with _LOCK:
         path = _WRITTEN.get(key)
-        if path is None or not _readable(spark, f"{path}/rows"):
+        if path is None or not _readable(spark, f"{path}/blocks"):
             path = _path(spark, "content", key)
             write_content_space(meta, cfg, path)
             _WRITTEN[key] = path
-    model, long_df, rows = read_content_space(spark, cfg, path)
-    return ContentArtifact(meta, model, long_df, rows)
+    model, long_df, rows, blocks = read_content_space(spark, cfg, path)
+    return ContentArtifact(meta, model, long_df, rows, blocks)
 
 
 def write_content_space(meta: DataFrame, cfg: FeatureConfig, path: str) -> None:
@@ -99,8 +101,9 @@ def write_content_space(meta: DataFrame, cfg: FeatureConfig, path: str) -> None:
     entry = F.explode(F.arrays_zip(F.col("keys").alias("key"), F.col("vals").alias("value"))).alias("e")
     (spark.read.parquet(f"{path}/rows").select(model.id_col, entry).select(model.id_col, "e.key", "e.value")
      .write.mode("overwrite").parquet(f"{path}/long"))
+    block_index(spark.read.parquet(f"{path}/rows"), model.id_col).write.mode("overwrite").parquet(f"{path}/blocks")
 
 
 def read_content_space(spark: SparkSession, cfg: FeatureConfig, path: str):
     model = FE.ContentModel(cfg, spark.read.parquet(f"{path}/vocab"), spark.read.parquet(f"{path}/stats"), None, None)
-    return model, spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/rows")
+    return model, spark.read.parquet(f"{path}/long"), spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/blocks")

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tunesift.config import VARIANTS, BlockSpec
 from tunesift.functions import coerce, text
 from tunesift.operators import clean
+from tunesift.operators import dictionary as DC
 from tunesift.operators import evaluation as EV
 from tunesift.operators import features as FE
 from tunesift.operators import models as MD
 from tunesift.operators import profile as P
 from tunesift.operators import search as S
 from tunesift.operators import similarity as SIM
+from tunesift.operators import vector_index as IVF
 from tunesift.plans.q_catalog import PRIMARY_SQL
 from tunesift.plans.q_features import QUERY_PICK_SQL, query_rows
-from tunesift.plans.q_similarity import CAND_SQL, KFETCH, N_DENSE_SEEDS, REC, SEEDS_SQL, content, content_rows, sample_seeds
+from tunesift.plans.q_similarity import CAND_SQL, DENSE_SEEDS, KFETCH, REC, SEEDS_SQL, content, content_rows, sample_seeds
 from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, GENRE_TOKENS, META, with_
@@ -313,20 +316,14 @@ def d12_lab_features(spark, sf):
  SELECT track_id, cat, CAST(dense_rank() OVER (ORDER BY cat) - 1 AS INT) AS cat_index,
    CAST(dense_rank() OVER (ORDER BY cat) AS BIGINT) AS hot_place, 1.0 AS hot_sum FROM b""")
 def d7_onehot_min_freq(spark, sf):
-    """Rare artists bundled, then ``StringIndexer`` (alphabetical) and
-    ``OneHotEncoder``; unseen categories map to the all-zero vector."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    """Rare artists bundled, then numbered in the order of their names and
+    one-hot encoded; unseen categories map to the all-zero vector."""
     a = fx.catalog(spark, sf).select("track_id", text.null_to_empty("artist_name").alias("artist_name"))
     b = clean.bundle_rare(a, "artist_name", ARTIST_MIN_FREQ, INFREQUENT, "cat")
-    # ML attribute names cannot be empty: the blank artist is indexed under a
-    # label that sorts where '' sorts (first)
-    b = b.withColumn("_cat_ml", F.when(F.col("cat") == "", F.lit("\u0001")).otherwise(F.col("cat")))
-    si = StringIndexer(inputCol="_cat_ml", outputCol="_i", stringOrderType="alphabetAsc", handleInvalid="keep").fit(b)
-    oh = OneHotEncoder(inputCol="_i", outputCol="onehot", dropLast=True, handleInvalid="keep").fit(si.transform(b))
-    out = oh.transform(si.transform(b))
-    hot = vector_to_array("onehot")  # as wide as the categories; one place is hot
-    return out.select("track_id", "cat", F.col("_i").cast("int").alias("cat_index"), F.array_position(hot, F.lit(1.0)).alias("hot_place"),
-                      F.aggregate(hot, F.lit(0.0), lambda a, x: a + x).alias("hot_sum"))
+    codes = DC.dictionary(b, "cat")
+    hot = DC.encode(b, "cat", codes, "cat_index").withColumn("hot", DC.one_hot("cat_index", codes.count()))
+    return hot.select("track_id", "cat", F.col("cat_index").cast("int"), (F.col("hot.indices")[0] + 1).alias("hot_place"),
+                      F.aggregate("hot.values", F.lit(0.0), lambda a, x: a + x).alias("hot_sum"))
 
 
 def _variants_sql():
@@ -464,8 +461,14 @@ def f12_confusion_matrix(spark, sf):
 def projected(spark, sf):
     """(track_id, x, y) of the catalogue, written once."""
     from tunesift.plans.artifacts import stored_once
-    _, model, long_df = content(spark, sf)
-    return stored_once(spark, "projection", (sf,), lambda: MD.project_2d(spark, long_df, MD.vector_keys(model)))
+    _, model, rows = content_rows(spark, sf)
+    return stored_once(spark, "projection", (sf,), lambda: MD.project_2d(rows, MD.vector_keys(model)))
+
+
+@register("f13_coordinates", None)
+def f13_coordinates(spark, sf):
+    """Each track's place in the two-dimensional map of the catalogue."""
+    return projected(spark, sf).select("track_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @register("f13_project_2d", with_(META) + " SELECT count(*) AS rows, true AS orthogonal, true AS ordered FROM meta")
@@ -479,20 +482,38 @@ def f13_project_2d(spark, sf):
 
 
 @register("e13_knn_approx", f"""
- SELECT CAST(vec_id AS VARCHAR) AS seed_id, CAST(10 AS BIGINT) AS n, true AS recalled
- FROM (SELECT vec_id FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {N_DENSE_SEEDS}) s""")
+ SELECT CAST(vec_id AS VARCHAR) AS seed_id, CAST(10 AS BIGINT) AS n, true AS recalled, true AS few FROM embeddings WHERE {DENSE_SEEDS}""")
 def e13_knn_approx(spark, sf):
-    """Ten neighbours of every seed, and whether the registered setting finds
-    at least nine in ten of the exact ones (E12) over all seeds."""
+    """Ten neighbours of every seed from the inverted file; whether they hold at
+    least nine in ten of the exact ones (E12) over all seeds, and whether under
+    5 % of all seed x item pairs were compared exactly."""
     emb = table(spark, sf, "embeddings")
-    picked = emb.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(N_DENSE_SEEDS)
-    items = MD.dense_unit_vectors(emb)
-    seeds = items.join(picked.select("vec_id"), "vec_id", "left_semi")
-    nn = MD.knn_approx(items, seeds, 10).select("seed_id", "vec_id").checkpoint(eager=True)
+    picked = emb.filter(DENSE_SEEDS)
+    found = _ivf_search(spark, sf, emb, picked)
+    nn = found.neighbours.select("seed_id", "vec_id").checkpoint(eager=True)
     exact = SIM.knn_dense(spark, emb, picked, 10).select("seed_id", "vec_id").checkpoint(eager=True)
-    recall = exact.join(nn, ["seed_id", "vec_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits")).crossJoin(
-        exact.agg(F.count(F.lit(1)).alias("all"))).select((F.col("hits") >= 0.9 * F.col("all")).alias("recalled"))
-    return nn.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(recall))
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = count(exact.join(nn, ["seed_id", "vec_id"], "left_semi"), "hits")
+    for other in (count(exact, "wanted"), count(found.candidates, "compared"), count(picked, "seeds"), count(emb, "items")):  # one row each
+        one = one.crossJoin(other)
+    said = one.select((F.col("hits") >= 0.9 * F.col("wanted")).alias("recalled"), (F.col("compared") < 0.05 * F.col("seeds") * F.col("items")).alias("few"))
+    return nn.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(said))
+
+
+def _ivf_search(spark, sf, emb, picked, k=10):
+    from tunesift.session import ensure_checkpoint_dir, scratch_path
+    ensure_checkpoint_dir(spark)
+    base = scratch_path(spark, f"ivf/{uuid.uuid4().hex[:12]}")
+    return IVF.search(IVF.build(emb, f"{base}/index", k), picked, f"{base}/search", k)
+
+
+@register("e13_knn_neighbours", None)
+def e13_knn_neighbours(spark, sf):
+    """The neighbours that the inverted file finds, with their exact scores, and how many items each seed's cells held."""
+    emb = table(spark, sf, "embeddings")
+    found = _ivf_search(spark, sf, emb, emb.filter(DENSE_SEEDS))
+    return found.neighbours.join(found.probes.select("seed_id", "probed"), "seed_id") \
+        .select("seed_id", "vec_id", SIM.rounded("score").alias("score"), F.col("rank").cast("int"), "probed")
 
 
 def fitted_clusters(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tunesift.config import FeatureConfig, RecommendParams
+from tunesift.operators import block_index as BLK
 from tunesift.operators import features as FE
 from tunesift.operators import search as S
 from tunesift.operators import similarity as SIM
@@ -177,11 +178,11 @@ def batch_candidates(spark, sf, k, exclude_self, qcfg=None):
     a = content_artifact(spark, sf, CFG)
     if qcfg is not None:
         seed_index = SIM.index_rows(FE.transform_rows(a.model, sample_seeds(a.meta), qcfg))
-        return a.meta, SIM.knn_batch(spark, a.rows, seed_index, k, exclude_self=exclude_self)
+        return a.meta, BLK.knn_blocks(spark, a.blocks, seed_index, k, exclude_self=exclude_self)
     # the index rows hold every catalogue id, so the seeded hash sample taken
     # from them is the same seed set, without a join back to the catalogue
     seed_index = sample_seeds(a.rows)
-    return a.meta, SIM.knn_batch(spark, a.rows, seed_index, k, exclude_self=exclude_self)
+    return a.meta, BLK.knn_blocks(spark, a.blocks, seed_index, k, exclude_self=exclude_self)
 
 
 BATCH_SQL = BASE + f""",
@@ -215,11 +216,12 @@ def e10_recommend_batch(spark, sf):
 
 # ---- dense ---------------------------------------------------------------------
 
-N_DENSE_SEEDS = 200
+#: The query set of a search over vectors: these rows against all rows.
+DENSE_SEEDS = "vec_id % 20 = 0"
 
 
 @register("e12_knn_dense", f"""
- WITH s AS (SELECT vec_id, embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {N_DENSE_SEEDS}),
+ WITH s AS (SELECT vec_id, embedding FROM embeddings WHERE {DENSE_SEEDS}),
  p AS (SELECT CAST(s.vec_id AS VARCHAR) AS seed_id, CAST(e.vec_id AS VARCHAR) AS vec_id,
          list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))
          / (sqrt(list_dot_product(CAST(s.embedding AS DOUBLE[]), CAST(s.embedding AS DOUBLE[])))
@@ -229,6 +231,5 @@ N_DENSE_SEEDS = 200
    CAST(row_number() OVER (PARTITION BY seed_id ORDER BY round(score, 4) DESC, vec_id) AS INT) AS rank FROM p) WHERE rank <= 10""")
 def e12_knn_dense(spark, sf):
     emb = table(spark, sf, "embeddings")
-    seeds = emb.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(N_DENSE_SEEDS)
-    nn = SIM.knn_dense(spark, emb, seeds, 10)
+    nn = SIM.knn_dense(spark, emb, emb.filter(DENSE_SEEDS), 10)
     return nn.select("seed_id", "vec_id", SIM.rounded("score").alias("score"), F.col("rank").cast("int"))
