@@ -64,3 +64,18 @@ def test_odd_rows(spark):
     one = Q.edited_likeness(docs.filter("doc_id = 6")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert Q.fingerprints(docs).count() == docs.count()
+
+
+def test_a_third_of_the_rows_share_an_id_or_lack_one(spark):
+    """Rows of one id follow by their text's hash and are many spans; their neighbours stay the same."""
+    import xxhash  # Spark hashes a text's bytes with the same seed
+    rows = [(7, f"hot text {i} " * 3) for i in range(150)] + [(None, f"without id {i}") for i in range(150)] + [(i, f"own {i}") for i in range(100, 250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    _, spans = Q.with_next(docs, "doc_id", "text")
+    sizes = [r[1] for r in Q.with_next(docs, "doc_id", "text")[0].groupBy("span").count().collect()]
+    assert spans > 8 and max(sizes) < 90
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1])))
+    got = sorted((tuple(r) for r in Q.edited_likeness(docs).collect()), key=str)
+    assert got == sorted(brute(order), key=str)
+    assert Q.edited_likeness(spark.createDataFrame([(None, "same")] * 9 + [(4, "same")] * 9, "doc_id long, text string").repartition(4)).count() == 18

@@ -15,6 +15,8 @@ digests.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -81,36 +83,45 @@ _NO_ID = -(1 << 63)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(span, donor, key, doc_id, text): rows dealt into spans of descending id, each
-    followed by the first row of the next span (donor = true; after the last span, the first's).
-
-    Span bounds are ids that occur, taken from quantiles of the id column; the
-    texts are shuffled once, and only one row per span is sent twice.
+    """(span, donor, key, doc_id, text): rows dealt into spans of descending id, rows of one id by
+    their text's hash, each span followed by the first row of the next (donor = true; after the last
+    span, the first's).
+
+    A span begins with a row that occurs: at an id from the quantiles of the id column, and inside an
+    id that fills several of them at hashes from its quantiles.  So an id that a third of the rows
+    share, or lack, is many spans.  The texts are shuffled once, and only rows that a span begins
+    with are sent twice.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    # quantiles pass through doubles: 53 bits of a hash survive that, and an id that doesn't isn't met again
+    key, mark = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.shiftright(F.xxhash64(F.col(text_col).cast("string")), 11)
     spans = 4 * n_partitions(docs.sparkSession)
-    q = docs.agg(F.percentile_approx(key, [k / spans for k in range(1, spans)] if spans > 1 else [0.5], 100 * spans).alias("q"),
-                 F.max(key).alias("top")).first()
-    heads = np.array(sorted({*(q.q or []), *([q.top] if q.top is not None else [])}), np.int64)
-
-    @F.pandas_udf("int")
-    def span_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(heads, keys.to_numpy(np.int64), "left").astype(np.int32))
-
-    @F.pandas_udf("boolean")
-    def is_head(keys: pd.Series) -> pd.Series:
-        k = keys.to_numpy(np.int64)
-        return pd.Series(heads[np.minimum(np.searchsorted(heads, k, "left"), len(heads) - 1)] == k)
+    steps = [k / spans for k in range(1, spans)] if spans > 1 else [0.5]
+    q = docs.agg(F.percentile_approx(key, steps, 100 * spans).alias("q"), F.max(key).alias("top")).first()
+    bounds = Counter([*(q.q or []), *([q.top] if q.top is not None else [])])
+    inside = docs.select(key.alias("key"), mark.alias("mark")).filter(F.col("key").isin(list(bounds))) if bounds else docs.select(key.alias("key"), mark.alias("mark")).limit(0)
+    # at most one row a span
+    found = inside.groupBy("key").agg(F.min("mark").alias("least"), F.percentile_approx("mark", steps, 100 * spans).alias("marks")).collect()
+    heads = set()
+    for r in found:
+        n = bounds[r.key]
+        heads |= {(-r.key, r.least), *((-r.key, r.marks[k * len(r.marks) // n]) for k in range(1, n) if n > 2)}
+    heads = sorted(heads)
+
+    @F.pandas_udf("span int, head boolean")
+    def place_of(keys: pd.Series, marks: pd.Series) -> pd.DataFrame:
+        order = list(zip((-k for k in keys.tolist()), marks.tolist()))
+        span = [bisect_right(heads, o) - 1 for o in order]
+        return pd.DataFrame({"span": np.array(span, np.int32), "head": [heads[s] == o for s, o in zip(span, order)]})
 
     keyed = docs.select(key.alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")) \
-        .withColumn("span", span_of("key")).withColumn("head", is_head("key"))
-    place = F.struct(F.col("span").alias("span"), F.lit(False).alias("donor"))
-    again = F.struct(((F.col("span") + 1) % max(1, len(heads))).cast("int").alias("span"), F.lit(True).alias("donor"))
-    dealt = keyed.withColumn("place", F.explode(F.when(F.col("head"), F.array(place, again)).otherwise(F.array(place)))) \
-        .select("place.span", "place.donor", "key", "doc_id", "text")
-    ordered = dealt.repartition(n_partitions(docs.sparkSession), "span") \
-        .sortWithinPartitions("span", "donor", F.col("key").desc(), F.xxhash64("text"))
-    return ordered, len(heads)
+        .withColumn("mark", F.xxhash64("text")).withColumn("at", place_of("key", F.shiftright("mark", 11)))
+    n = max(1, len(heads))
+    place = F.struct(F.col("at.span").alias("span"), F.lit(False).alias("donor"))
+    again = F.struct(F.pmod(F.col("at.span") - 1, F.lit(n)).cast("int").alias("span"), F.lit(True).alias("donor"))
+    dealt = keyed.withColumn("place", F.explode(F.when(F.col("at.head"), F.array(place, again)).otherwise(F.array(place)))) \
+        .select("place.span", "place.donor", "key", "mark", "doc_id", "text")
+    ordered = dealt.repartitionById(n, F.col("span")).sortWithinPartitions("span", "donor", F.col("key").desc(), "mark")
+    return ordered, n
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
