@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,44 @@ def test_word_ratios_equal_the_models_written_out():
     assert len(s.at) == len(words)
 
 
+def made(words):
+    """The model of (word, is toxic) pairs, and the same written out."""
+    counts = Counter(g for w, _ in words for g in spell(w))
+    key = {k: int.from_bytes(k[0] + bytes([k[1]]), "big") for k in counts}
+    sides = [Counter(), Counter()]
+    for w, y in words:
+        sides[y].update(spell(w))
+    grams = np.array([key[k] for k in key], np.uint64)
+    return X._from_counts(0.5, grams, np.array([sides[0][k] for k in key]), np.array([sides[1][k] for k in key])), Brute(words)
+
+
+def test_scores_equal_the_rule_written_out():
+    words = [("fine", 0)] * 9 + [("day", 0)] * 7 + [("loser", 1)] * 6 + [("scum", 1)] * 8 + [("dayly", 0)] * 3
+    model, brute = made(words)
+    weights = np.array([-2.0, 0.7, 1.1, 0.3, -0.2])
+    model = replace(model, weights=weights)
+    texts = ["fine day", "loser scum loser scum scum fine", "fine " * 300 + "scum", "", None, " \n", "unseen", "Scum!", "\"day\" (loser)", "day"]
+    got = model.scores(pa.array(texts))
+    for t, score in zip(texts, got):
+        x = [brute.ratio(w) for w in (w.strip(".,;:!?\"'()") for w in (t or "").lower().split()) if w]
+        n = max(1, len(x))
+        top = sorted(x, reverse=True)
+        ratios = [sum(x) / n, math.sqrt(sum(max(0.0, v - X.TELLING) for v in x) / n), *(sum(top[:k]) / k for k in X.FEW)]
+        assert abs(score - 1 / (1 + math.exp(-(weights[0] + np.dot(weights[1:], ratios))))) < 1e-4
+    assert (model.scores(pa.array(texts[::-1]))[::-1] == got).all()
+
+
+def test_logistic_curve_is_the_penalised_optimum():
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(400, 3)) * [1, 5, 0.1] + [0, 3, 1]
+    y = (x @ [1.0, 0.3, 4.0] + rnd.normal(size=400) > 5).astype(float)
+    w = X._logistic(x, y)
+    mean, scale = x.mean(0), x.std(0)
+    p = 1 / (1 + np.exp(-(w[0] + x @ w[1:])))
+    assert abs((y - p).sum()) < 1e-4  # slopes of the loss: none for the bias, the ridge's for the others
+    assert np.abs(((x - mean) / scale).T @ (y - p) - w[1:] * scale).max() < 1e-3
+
+
 def test_held_out_rows_of_the_query(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = X.op8_toxicity_kneser_ney(spark, SF).collect()

@@ -7,10 +7,12 @@ Kneser-Ney model of both classes' continuation counts.  So a rare expression,
 whose counts the discount takes whole, weighs the same in both classes and
 tells nothing, while its frequent stem still does.
 
-A text is compared by its length-normalised log-likelihoods twice: over all
-its words, and over its most telling expressions, which a few toxic words in a
-long ordinary text would not move the mean of.  A logistic curve over these
-ratios, fitted on rows that the counts leave out, gives the score.
+A text's two log-likelihoods are compared by the number of words that they are
+of: over all its words, over its telling expressions (what they have above a
+bound), and over its few most telling words, which a long ordinary text around
+them would not move.  A logistic curve over these length-normalised ratios,
+fitted on rows that the counts leave out, gives the score.  Words are spelled
+one at a time: a toxic phrase of ordinary words is not seen.
 
 ``fit`` learns from a bounded sample, about ``FIT_ROWS`` rows of each class
 (those with the least id hash); scores read the whole text and nothing else.
@@ -43,8 +45,12 @@ DISCOUNT = 2.0
 BACKOFF_DISCOUNT = 0.75
 #: Log-likelihood ratio (nats) above which a word counts as a telling expression.
 TELLING = 3.0
+#: Numbers of most telling words that are compared beside the whole text.
+FEW = (1, 4)
+#: Steps of a nat that a word's ratio is rounded to.
+STEPS = 1 << 20
 GATHER = 6 << 20
-RATIOS = 4
+RATIOS = 2 + len(FEW)
 
 
 class Spelled:
@@ -120,15 +126,19 @@ class ToxicityModel:
         return np.bincount(s.word, weights=out, minlength=s.n)
 
     def ratios(self, texts: pa.Array) -> np.ndarray:
-        """Per text: mean ratio of its words; the greatest; the telling expressions' excess, by words and in sum."""
+        """Per text, log-likelihood ratios by the number of words that they are of: of all its words; what its
+        telling expressions have above ``TELLING``, over all its words (as a root); of its so many most telling
+        words, for each of ``FEW`` (words that it lacks count as 0)."""
         s = Spelled(texts)
-        x = self.word_ratios(s)[s.at]
-        words = np.maximum(np.bincount(s.text, minlength=s.n_texts), 1)
-        peak = np.zeros(s.n_texts)
-        np.maximum.at(peak, s.text, x)
-        excess = np.bincount(s.text, weights=np.maximum(x - TELLING, 0), minlength=s.n_texts)
-        mean = np.bincount(s.text, weights=x, minlength=s.n_texts) / words
-        return np.stack([mean, peak, np.sqrt(excess / words), np.log1p(excess)], axis=1)
+        # in steps that sums keep exactly, so a text's ratios don't depend on its neighbours
+        x = np.rint(self.word_ratios(s) * STEPS)[s.at] / STEPS
+        words = np.bincount(s.text, minlength=s.n_texts)
+        over = np.bincount(s.text, weights=np.maximum(x - TELLING, 0), minlength=s.n_texts)
+        order = np.lexsort((-x, s.text))
+        place = np.arange(len(x)) - np.repeat(np.cumsum(words) - words, words)
+        few = [np.bincount(s.text[order][place < k], weights=x[order][place < k], minlength=s.n_texts) / k for k in FEW]
+        words = np.maximum(words, 1)
+        return np.stack([np.bincount(s.text, weights=x, minlength=s.n_texts) / words, np.sqrt(over / words), *few], axis=1)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
