@@ -59,5 +59,21 @@ def test_odd_rows_in_every_stage(spark):
     assert left == {1, 2, 6, 7, 9, 10, 11, None}
     single = [r.doc_id for r in P.near_duplicates(spark, docs, SF).collect()]
     assert 2 not in single and {1, 3, None} <= set(single) and not {4, 5} & set(single)
+    assert single.count(11) == 1
     for _, stage in P.STAGES:
         assert stage(spark, docs.filter("false"), SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = "the same few words of one document that is copied and copied again"
+    rows = [(5, text, "en", "a", 1, i, -i, "k") for i in range(30)] + [(None, text, "en", "a", 1, 100, 0, "k")] * 9 + [(None, "another text without an id", "en", "b", 1, 200, 0, "k")] * 8 \
+        + [(7, "a third text", "en", "b", 1, 300, 0, "k"), (9, "a fourth one of other words", "en", "c", 1, 400, 0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key long, _row long, _Times string")
+    out = P.near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(5, text), (0, "another text without an id"), (7, "a third text"), (9, "a fourth one of other words")])
+    mixed = P.mixture(spark, out, SF)
+    assert mixed.columns == docs.columns and {r["_Times"] for r in mixed.collect()} == {"k"}
+    for stage in (P.toxic, P.language):
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns and kept.count() == len(rows)
