@@ -5,9 +5,11 @@ operator on all of them.  ``run`` writes every stage's result as Parquet in the
 shared folder and rereads it as the next stage's documents.
 
 Defined results: documents with null or empty text are not toxic but have no
-language, so the second stage drops them; rows that repeat a document share
-its fate; rows without an id are known by their text; columns beside the
-documents' own stay in the first four stages.
+language, so the second stage drops them; rows without an id are known by their
+text; rows of one id share its fate in the first two stages, and of those that
+the third would keep one stays (the least by a hash of its own columns), so a
+group of near-duplicates leaves one row; columns beside the documents' own stay
+in the first four stages.
 """
 
 from __future__ import annotations
@@ -38,10 +40,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", _key())
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def _reject(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """The documents without those whose key has a row in ``rejected``."""
-    names = docs.columns
-    return docs.withColumn("_pipeline_key", _key()).join(rejected.select(F.col("doc_id").alias("_pipeline_key")).distinct(), "_pipeline_key", "left_anti").select(names)
+    key = _free(docs, "_key")
+    return docs.join(rejected.select(F.col("doc_id").alias(key)).distinct(), _key() == F.col(key), "left_anti")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +69,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
     found = simhash.near_duplicates(_keyed(docs))
-    return _reject(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+    kept = _reject(docs, found.filter(F.col("doc_id") != F.col("component_id")))
+    key, row = _free(docs, "_key"), _free(docs, "_row")
+    repeated = docs.groupBy(_key().alias(key)).count().filter("count > 1").select(key)
+    if repeated.isEmpty():
+        return kept
+    one = F.min_by(F.struct(*kept.columns), F.xxhash64("text", "lang", "source", "n_chars")).alias(row)
+    return kept.join(repeated, _key() == F.col(key), "left_anti").unionByName(
+        kept.join(repeated, _key() == F.col(key), "left_semi").groupBy(_key().alias(key)).agg(one).select(f"{row}.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +86,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole; the document is taken as often as that, rounded up or down by a
     seeded draw that keeps the mean.  A document without words goes.
     """
+    key, times, n = _free(docs, "_key"), _free(docs, "_times"), _free(docs, "_n")
     share = F.try_divide("taken", "size")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / (1 << 30)
-    times = mixing.mix(_keyed(docs)).withColumn("_pipeline_times", (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")) \
-        .filter("_pipeline_times > 0").groupBy(F.col("doc_id").alias("_pipeline_key")).agg(F.max("_pipeline_times").alias("_pipeline_times"))
-    taken = docs.withColumn("_pipeline_key", _key()).join(times, "_pipeline_key")
-    return taken.withColumn("_pipeline_n", F.explode(F.sequence(F.lit(1), F.col("_pipeline_times")))).select(docs.columns)
+    taken = mixing.mix(_keyed(docs)).withColumn(times, (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("int")) \
+        .filter(F.col(times) > 0).groupBy(F.col("doc_id").alias(key)).agg(F.max(times).alias(times))
+    return docs.join(taken, _key() == F.col(key)).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
