@@ -1,4 +1,4 @@
-"""Models (F1-F13) on Spark ML, plus leaf-space kNN.
+"""Models (F4-F13) on Spark ML, plus leaf-space kNN (E11); K-Means is in ``sparse_kmeans``.
 
 Feature vectors for the estimators are built JVM-side from the fitted
 vocabularies: ``CountVectorizerModel`` (term counts) -> ``ElementwiseProduct``
@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
                                 StringIndexer, VectorAssembler)
@@ -24,7 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tunesift.config import FeatureConfig
+from tunesift.operators import dictionary as DC
 from tunesift.operators import features as FE
+from tunesift.operators import sparse_kmeans as KM
 from tunesift.operators.similarity import knn_batch
 
 MAX_VOCAB_COLLECT = 1_000_000
@@ -87,38 +88,30 @@ def content_vectors(model: FE.ContentModel, rows: DataFrame, cfg: FeatureConfig
 # K-Means and silhouette
 # ---------------------------------------------------------------------------
 
-def kmeans_fit(vectors: DataFrame, k: int = 100, seed: int = 42, max_iter: int = 300):
-    """``KMeans`` with k-means|| initialisation, seeded; it ends when no
-    centre moves by more than the tolerance (``max_iter`` is a last resort)."""
-    return KMeans(k=int(k), seed=int(seed), initMode="k-means||", maxIter=max_iter,
-                  featuresCol="features", predictionCol="cluster").fit(vectors)
-
-
-def check_nearest(rows: DataFrame, assigned: DataFrame, centres: list, keys: list[str], id_col: str = "track_id") -> DataFrame:
-    """(id, nearest): whether each assigned row's cluster centre is among the
-    nearest to its index row (keys and values).  The centres (k times the
-    bounded vocabulary) go to the tasks as one matrix."""
+def check_nearest(coded: DataFrame, assigned: DataFrame, centres: KM.SparseCentres, id_col: str = "track_id") -> DataFrame:
+    """(id, nearest): whether each assigned row's cluster centre is among the nearest to it."""
     import pyarrow as pa
-    import pyarrow.compute as pc
-    matrix = rows.sparkSession.sparkContext.broadcast((keys, np.array(centres).T))
-    data = rows.join(assigned.select(id_col, "cluster"), id_col).select(id_col, "keys", "vals", "cluster")
+    sent = coded.sparkSession.sparkContext.broadcast((centres.plain(), centres.squares))
+    data = coded.join(assigned.select(id_col, "cluster"), id_col).select(id_col, "at", "vals", "cluster")
 
     def run(batches):
-        known, c = matrix.value
-        names, half = pa.array(known), (c * c).sum(axis=0) / 2
+        c, squares = KM.SparseCentres(*sent.value[0]), sent.value[1]
         for b in batches:
-            at = pc.index_in(pc.list_flatten(b.column(1)), value_set=names)
-            on = at.is_valid().to_numpy(zero_copy_only=False)
-            item = pc.list_parent_indices(b.column(1)).to_numpy(zero_copy_only=False)[on]
-            v = pc.list_flatten(b.column(2)).to_numpy(zero_copy_only=False)[on]
-            far = np.tile(half, (b.num_rows, 1))  # half the squared distance, less the row's own share
-            np.subtract.at(far, item, v[:, None] * c[at.drop_null().to_numpy()])
-            own = far[np.arange(b.num_rows), b.column(3).to_numpy()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own <= far.min(axis=1) + 1e-6)], names=[id_col, "nearest"])
+            d = KM.distances(*_entries(b), b.num_rows, c, squares)
+            own = d[np.arange(b.num_rows), b.column(3).to_numpy()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own <= d.min(axis=1) + 1e-6)], names=[id_col, "nearest"])
 
     return data.mapInArrow(run, f"{id_col} string, nearest boolean")
 
 
+def coded_long(long_df: DataFrame, id_col: str = "track_id") -> tuple[DataFrame, DataFrame]:
+    """(id, at, vals) of a long table (id, key, value) whose keys need not fit the driver, and their dictionary (value, code)."""
+    codes = DC.dictionary(long_df, "key")
+    entry = F.struct(F.col("at").cast("int").alias("at"), "value")
+    rows = DC.encode(long_df.select(id_col, "key", "value"), "key", codes, "at").groupBy(id_col).agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return rows.select(F.col(id_col).cast("string").alias(id_col), F.col("e.at").alias("at"), F.col("e.value").alias("vals")), codes
+
+
 def kmeans_assign_dense(points: DataFrame, centres: DataFrame, vec_col: str = "embedding",
                         id_col: str = "vec_id") -> DataFrame:
     """F2 given centres: nearest centre (squared Euclidean, smaller id on ties).
@@ -142,11 +135,27 @@ def label_centroids(points: DataFrame, label: str = "label", vec_col: str = "emb
     return agg.select("cluster", F.array(*[F.col(f"_d{i}") for i in range(dims)]).alias("centre"))
 
 
+def _dense_blocks(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both blocks' vectors as matrices; sparse ones (with places ``_at``) over the features that either block has."""
+    if "_at" not in left.columns:
+        return np.stack(left["_v"]).astype(float), np.stack(right["_v"]).astype(float)
+    every = np.concatenate([np.asarray(x, np.int64) for x in [*left["_at"], *right["_at"]]])
+    features = np.unique(every)
+    out = []
+    for block in (left, right):
+        m = np.zeros((len(block), len(features)))
+        size = np.array([len(x) for x in block["_at"]])
+        at = np.concatenate([np.asarray(x, np.int64) for x in block["_at"]])
+        m[np.repeat(np.arange(len(block)), size), np.searchsorted(features, at)] = np.concatenate([np.asarray(x, float) for x in block["_v"]])
+        out.append(m)
+    return out[0], out[1]
+
+
 def _distance_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Sum of distances of each left row to the right rows of every label (itself left out)."""
     if not len(left) or not len(right):
         return pd.DataFrame({"_id": [], "_l": [], "_other": [], "_sum": []})
-    a, b = np.stack(left["_v"]).astype(float), np.stack(right["_v"]).astype(float)
+    a, b = _dense_blocks(left, right)
     d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
     d[left["_id"].to_numpy()[:, None] == right["_id"].to_numpy()[None, :]] = 0.0
     labels, at = np.unique(right["_l"].to_numpy().astype(str), return_inverse=True)
@@ -158,7 +167,7 @@ def _distance_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame
 
 
 def silhouette_sampled(spark: SparkSession, points: DataFrame, label: str = "cluster", vec_col: str = "embedding",
-                       id_col: str = "vec_id", max_rows: int = 6000, seed: int = 42, block_rows: int = 256) -> DataFrame:
+                       id_col: str = "vec_id", max_rows: int = 6000, seed: int = 42, block_rows: int = 256, at_col: str | None = None) -> DataFrame:
     """mean silhouette (Euclidean) on a seeded hash sample of at most
     ``max_rows`` rows (the sample size is the measure's own parameter, since
     the measure is quadratic).
@@ -166,18 +175,19 @@ def silhouette_sampled(spark: SparkSession, points: DataFrame, label: str = "clu
     The sample is dealt into blocks of about ``block_rows``; every pair of
     blocks is one group of a co-grouped job, which sums distances per row and
     label, and the silhouettes are aggregates of those sums.  Nothing of the
-    sample reaches the driver."""
+    sample reaches the driver.  Sparse vectors come with their places in ``at_col``."""
     from tunesift.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     sample = points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), id_col).limit(int(max_rows)).select(
         F.col(id_col).cast("string").alias("_id"), F.col(label).cast("string").alias("_l"),
-        F.col(vec_col).cast("array<double>").alias("_v")).checkpoint(eager=True)
+        F.col(vec_col).cast("array<double>").alias("_v"), *([F.col(at_col).alias("_at")] if at_col else [])).checkpoint(eager=True)
+    own_columns = [c for c in sample.columns if c in ("_id", "_l", "_v", "_at")]
     blocks = max(1, -(-sample.count() // block_rows))
     parts = max(spark.sparkContext.defaultParallelism, min(blocks * blocks, 4 * spark.sparkContext.defaultParallelism))
     own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = sample.select(own.alias("_i"), every.alias("_j"), "_id", "_l", "_v").repartition(parts, "_i", "_j")
-    right = sample.select(every.alias("_i"), own.alias("_j"), "_id", "_l", "_v").repartition(parts, "_i", "_j")
+    left = sample.select(own.alias("_i"), every.alias("_j"), *own_columns).repartition(parts, "_i", "_j")
+    right = sample.select(every.alias("_i"), own.alias("_j"), *own_columns).repartition(parts, "_i", "_j")
     sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
         _distance_sums, "_id string, _l string, _other string, _sum double")
     sizes = sample.groupBy(F.col("_l").alias("_other")).agg(F.count(F.lit(1)).alias("_n"))

@@ -147,18 +147,18 @@ def search(index: IvfIndex, seeds: DataFrame, work: str, k: int = 10, id_col: st
     """The ``k`` nearest items of each seed (one row per seed id counts); stages are written under ``work``."""
     spark = seeds.sparkSession
     refine = max(refine, k)
-    fitted = spark.sparkContext.broadcast(index)
+    fitted = spark.sparkContext.broadcast((index.centres, index.low, index.step, index.sizes, index.n_probe))
     asked = unit_vectors(seeds, vec_col, id_col).withColumnRenamed(id_col, "seed_id").filter(F.size("vec") == index.centres.shape[1]).dropDuplicates(["seed_id"])
 
     def probe(batches):
-        x = fitted.value
+        centres, _, _, sizes, n_probe = fitted.value
         for b in batches:
             if not b.num_rows:
                 continue
-            order = np.argsort(-(_matrix(b.column(1)) @ x.centres.T), axis=1, kind="stable")
-            held = np.cumsum(x.sizes[order], axis=1)
+            order = np.argsort(-(_matrix(b.column(1)) @ centres.T), axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
             # on to as many cells as hold what is refined, and the seed itself
-            n = np.minimum(np.maximum(x.n_probe, (held < refine + 1).sum(1) + 1), len(x.centres))
+            n = np.minimum(np.maximum(n_probe, (held < refine + 1).sum(1) + 1), len(centres))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[:m].tolist() for o, m in zip(order, n)], pa.list_(pa.int32())),
                                               pa.array(held[np.arange(len(n)), n - 1])], names=["seed_id", "vec", "cells", "probed"])
 
@@ -173,14 +173,14 @@ def search(index: IvfIndex, seeds: DataFrame, work: str, k: int = 10, id_col: st
     met = lists.join(asking, "cell").select("cell", "ids", "codes", "seeds", "vecs")
 
     def score(batches):
-        x = fitted.value
+        centres, low, step, _, _ = fitted.value
         for b in batches:
             for i in range(b.num_rows):
                 cell, ids, codes, names, vecs = (b.column(c)[i] for c in range(5))
                 ids, names = ids.values, names.values
                 codes = np.frombuffer(b"".join(codes.values.to_pylist()), np.uint8).reshape(len(ids), -1)
                 q = _matrix(vecs.values)
-                sims = (q @ (x.centres[cell.as_py()] + decode(codes, x.low, x.step)).T).astype(np.float32)
+                sims = (q @ (centres[cell.as_py()] + decode(codes, low, step)).T).astype(np.float32)
                 if exclude_self:
                     own = pc.index_in(names, value_set=ids).to_numpy(zero_copy_only=False)
                     mine = np.flatnonzero(~np.isnan(own.astype(float)))

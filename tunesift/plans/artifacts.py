@@ -44,8 +44,19 @@ def _readable(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
+def source_stamp(spark: SparkSession, sf: str) -> str:
+    """A digest of the names, lengths and times of the catalogue's source files, so that a table
+    changed under the same path in one session is fitted again."""
+    found = []
+    for name in ("lineitem", "part", "supplier"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))
+    return hashlib.md5(repr(found).encode()).hexdigest()[:16]
+
+
 def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
-    key = ("meta", ensure_checkpoint_dir(spark), sf)
+    key = ("meta", ensure_checkpoint_dir(spark), sf, source_stamp(spark, sf))
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None or not _readable(spark, path):
@@ -56,8 +67,8 @@ def stored_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_once(spark: SparkSession, kind: str, key: tuple, make) -> DataFrame:
-    """The table that ``make()`` gives, written once per session and key."""
-    key = (kind, ensure_checkpoint_dir(spark)) + key
+    """The table that ``make()`` gives, written once per session and key (the source folder first)."""
+    key = (kind, ensure_checkpoint_dir(spark), source_stamp(spark, key[0])) + key
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None or not _readable(spark, path):
@@ -67,6 +78,18 @@ def stored_once(spark: SparkSession, kind: str, key: tuple, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stored_folder(spark: SparkSession, kind: str, key: tuple, make) -> str:
+    """The folder that ``make(path)`` fills (its last table under ``postings``), filled once per session and key."""
+    key = (kind, ensure_checkpoint_dir(spark), source_stamp(spark, key[0])) + key
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None or not _readable(spark, f"{path}/postings"):
+            path = _path(spark, kind, key)
+            make(path)
+            _WRITTEN[key] = path
+    return path
+
+
 @dataclass
 class ContentArtifact:
     meta: DataFrame
@@ -78,7 +101,7 @@ class ContentArtifact:
 
 def content_artifact(spark: SparkSession, sf: str, cfg: FeatureConfig | None = None) -> ContentArtifact:
     cfg = cfg or FeatureConfig()
-    key = ("content", ensure_checkpoint_dir(spark), sf, cfg.to_json())
+    key = ("content", ensure_checkpoint_dir(spark), sf, source_stamp(spark, sf), cfg.to_json())
     meta = stored_meta(spark, sf)
     with _LOCK:
         path = _WRITTEN.get(key)

@@ -287,13 +287,13 @@ def a18_save_load_model(spark, sf):
 @register("a18_save_load_kmeans", with_(META) + " SELECT track_id, true AS same FROM meta")
 def a18_save_load_kmeans(spark, sf):
     """The fitted K-Means, saved and loaded, assigns every track as before."""
+    from tunesift.operators import sparse_kmeans as KM
     from tunesift.plans.q_models import _fit_kmeans
-    _, _, vec, km = _fit_kmeans(spark, sf)
+    _, keys, coded, centres = _fit_kmeans(spark, sf)
     path = scratch_path(spark, f"a18_kmeans/{_tag(sf)}")
-    sinks.save_ml_model(km, path)
-    loaded = sinks.load_ml_model(path, type(km))
-    one = km.transform(vec).select("track_id", "cluster")
-    two = loaded.transform(vec).select("track_id", F.col("cluster").alias("again"))
+    KM.save(spark, centres, keys, path)
+    one = KM.assign(coded, centres).select("track_id", "cluster")
+    two = KM.assign(coded, KM.load(spark, keys, path)).select("track_id", F.col("cluster").alias("again"))
     return one.join(two, "track_id").select("track_id", (F.col("cluster") == F.col("again")).alias("same"))
 
 

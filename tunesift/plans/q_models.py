@@ -17,12 +17,14 @@ from tunesift.operators import models as MD
 from tunesift.operators import profile as P
 from tunesift.operators import search as S
 from tunesift.operators import similarity as SIM
+from tunesift.operators import sparse_kmeans as KM
 from tunesift.operators import vector_index as IVF
 from tunesift.plans.q_catalog import PRIMARY_SQL
 from tunesift.plans.q_features import QUERY_PICK_SQL, query_rows
 from tunesift.plans.q_similarity import CAND_SQL, DENSE_SEEDS, KFETCH, REC, SEEDS_SQL, content, content_rows, sample_seeds
 from tunesift.plans.artifacts import stored_meta
 from tunesift.plans.registry import register
+from tunesift.session import scratch_path
 from tunesift.plans.sqlfrag import CATALOG, GENRE_TOKENS, META, with_
 from tunesift.plans.sqlfrag_features import block_ctes, content_ctes
 from tunesift.sources import fixtures as fx
@@ -53,42 +55,55 @@ _FITTED: dict[tuple, object] = {}
 
 
 def _fitted(spark, key, fit):
-    """Fitted models are reused within a session (train once, serve many)."""
-    from tunesift.plans.artifacts import _LOCK
+    """Fitted models are reused within a session (train once, serve many); the key's second part is the source folder."""
+    from tunesift.plans.artifacts import _LOCK, source_stamp
     from tunesift.session import ensure_checkpoint_dir
-    k = (ensure_checkpoint_dir(spark),) + key
+    k = (ensure_checkpoint_dir(spark), source_stamp(spark, key[1])) + key
     with _LOCK:
         if k not in _FITTED:
             _FITTED[k] = fit()
         return _FITTED[k]
 
 
-def _fit_kmeans(spark, sf, k=K_REC):
-    meta, model, _ = content(spark, sf)
-    vec = MD.content_vectors(model, meta)
-    return meta, model, vec, _fitted(spark, ("kmeans", sf, k), lambda: MD.kmeans_fit(vec, k))
+def _coded(spark, sf):
+    """(catalogue, content keys, index rows with their keys as numbers), the rows written once."""
+    from tunesift.plans.artifacts import stored_once
+    meta, model, rows = content_rows(spark, sf)
+    keys = MD.vector_keys(model)
+    return meta, keys, stored_once(spark, "coded", (sf,), lambda: MD.coded_rows(rows, keys))
 
 
-def _nearest_to_centre(spark, sf, assigned):
-    """(track_id, nearest): whether the assigned cluster's centre is as near as any, from the index rows."""
-    _, model, _, km = _fit_kmeans(spark, sf)
-    _, _, rows = content_rows(spark, sf)
-    return MD.check_nearest(rows, assigned, km.clusterCenters(), MD.vector_keys(model))
+def _fit_kmeans(spark, sf, k=K_REC):
+    meta, keys, coded = _coded(spark, sf)
+    return meta, keys, coded, _fitted(spark, ("kmeans", sf, k), lambda: KM.fit(coded, len(keys), k))
 
 
 @register("f1_kmeans_fit", with_(META) + " SELECT track_id, true AS nearest FROM meta")
 def f1_kmeans_fit(spark, sf):
     """K-Means k=100 (recommender setting) on the unit content vectors: every
     track's cluster is one whose centre is nearest to its index row."""
-    _, _, vec, km = _fit_kmeans(spark, sf)
-    return _nearest_to_centre(spark, sf, km.transform(vec).select("track_id", "cluster"))
+    _, _, coded, centres = _fit_kmeans(spark, sf)
+    return MD.check_nearest(coded, KM.assign(coded, centres), centres)
+
+
+@register("f1_kmeans_centres", None)
+def f1_kmeans_centres(spark, sf):
+    """The fitted centres' entries, clusters numbered by size (largest first)."""
+    _, keys, coded, centres = _fit_kmeans(spark, sf)
+    path = scratch_path(spark, f"kmeans_centres/{uuid.uuid4().hex[:12]}")
+    KM.save(spark, centres, keys, path)
+    size = KM.assign(coded, centres).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    # one row a cluster
+    place = size.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("size"), "cluster")))
+    return spark.read.parquet(f"{path}/centres").join(F.broadcast(place), "cluster").select("place", "size", "key", F.round("value", 6).alias("value"))
 
 
 @register("f3_predict_query_cluster", with_(META) + f" SELECT track_id, true AS nearest FROM meta WHERE track_id IN {QUERY_PICK_SQL}")
 def f3_predict_query_cluster(spark, sf):
-    meta, model, vec, km = _fit_kmeans(spark, sf)
-    q = MD.content_vectors(model, query_rows(meta))
-    return _nearest_to_centre(spark, sf, km.transform(q).select("track_id", "cluster"))
+    meta, keys, _, centres = _fit_kmeans(spark, sf)
+    _, model, _ = content(spark, sf)
+    q = MD.coded_rows(SIM.index_rows(FE.transform_rows(model, query_rows(meta))), keys)
+    return MD.check_nearest(q, KM.assign(q, centres), centres)
 
 
 @register("f2_kmeans_assign", """
@@ -166,6 +181,13 @@ def f6_rf_artist_fit(spark, sf):
         "rows", "labels", (F.col("strange") == 0).alias("known_labels"), (F.col("hits") > F.col("most")).alias("beats_majority"))
 
 
+@register("f6_artist_predictions", None)
+def f6_artist_predictions(spark, sf):
+    """The artist that the forest gives each track, beside its own."""
+    _, _, raw, rf = _rf_artist(spark, sf)
+    return MD.predicted_labels(rf, raw).select("track_id", "artist_name", "predicted")
+
+
 def _leaves(spark, sf):
     """Leaf rows (track_id, tree, leaf) of the stored artist forest, written once."""
     from tunesift.plans.artifacts import stored_once
@@ -394,18 +416,32 @@ F9_SQL = with_(CATALOG) + f""",
  UNION ALL SELECT 'accuracy', sum(support), true FROM t"""
 
 
+def _genre_report(spark, sf):
+    """Lab features + forest on the bundled primary genre (Q15: genres are also
+    features), fitted on four fifths of each class: the report on the others, written once."""
+    from tunesift.plans.artifacts import stored_once
+
+    def make():
+        vec = lab_vectors(spark, sf)
+        y = clean.bundle_rare(vec.select("track_id", text.primary_genre("artist_genres").alias("y")), "y", 20)
+        split = MD.stratified_split(vec.select("track_id", "features").join(y, "track_id"), "y", "track_id", 0.2)
+        model = MD.rf_fit(split.filter(F.col("split") == "train"), "y", RF_GENRE_TREES, RF_DEPTH, 2)
+        p = MD.predicted_labels(model, split.filter(F.col("split") == "test")).select(F.col("y").alias("actual"), "predicted")
+        return MD.classification_report(p)
+    return stored_once(spark, "genre_report", (sf, RF_GENRE_TREES, RF_DEPTH), make)
+
+
+@register("f9_genre_report", None)
+def f9_genre_report(spark, sf):
+    """F11 of the fitted genre model: precision, recall, F1 and support of each class, accuracy and averages."""
+    return _genre_report(spark, sf).select("label", *[F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
 @register("f9_rf_genre_fit", F9_SQL)
 def f9_rf_genre_fit(spark, sf):
-    """Lab features + forest on the bundled primary genre (Q15: genres are
-    also features); stratified 80/20 split; the report's classes and their
-    support, with scores between 0 and 1, and an accuracy above the share of
-    the most frequent class."""
-    vec = lab_vectors(spark, sf)
-    y = clean.bundle_rare(vec.select("track_id", text.primary_genre("artist_genres").alias("y")), "y", 20)
-    split = MD.stratified_split(vec.select("track_id", "features").join(y, "track_id"), "y", "track_id", 0.2)
-    model = MD.rf_fit(split.filter(F.col("split") == "train"), "y", RF_GENRE_TREES, RF_DEPTH, 2)
-    p = MD.predicted_labels(model, split.filter(F.col("split") == "test")).select(F.col("y").alias("actual"), "predicted")
-    rep = MD.classification_report(p).checkpoint(eager=True)
+    """The report's classes and their support, with scores between 0 and 1, and
+    an accuracy above the share of the most frequent class."""
+    rep = _genre_report(spark, sf)
     classes = rep.filter(~F.col("label").isin("accuracy", "macro avg", "weighted avg") & (F.col("support") > 0))
     most = classes.agg(F.max("support").alias("most"))
     inside = lambda c: F.col(c).between(0, 1)
@@ -501,7 +537,7 @@ def e13_knn_approx(spark, sf):
 
 
 def _ivf_search(spark, sf, emb, picked, k=10):
-    from tunesift.session import ensure_checkpoint_dir, scratch_path
+    from tunesift.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
     base = scratch_path(spark, f"ivf/{uuid.uuid4().hex[:12]}")
     return IVF.search(IVF.build(emb, f"{base}/index", k), picked, f"{base}/search", k)
@@ -521,17 +557,61 @@ def fitted_clusters(spark, sf):
     from tunesift.plans.artifacts import stored_once
 
     def make():
-        meta, _, vec, km = _fit_kmeans(spark, sf)
-        return meta.join(km.transform(vec).select("track_id", "cluster"), "track_id")
+        meta, _, coded, centres = _fit_kmeans(spark, sf)
+        return meta.join(KM.assign(coded, centres).select("track_id", "cluster"), "track_id")
     return stored_once(spark, "clusters", (sf, K_REC), make)
 
 
-@register("f1_kmeans_lab", with_(CATALOG) + " SELECT count(*) AS rows, true AS few FROM catalog")
+@register("f1_kmeans_lab", with_(CATALOG) + " SELECT count(*) AS rows, true AS few, true AS nearest FROM catalog")
 def f1_kmeans_lab(spark, sf):
-    """K-Means k=12 (lab setting) on the lab features: every track has one of at most twelve clusters."""
-    vec = lab_vectors(spark, sf)
-    km = _fitted(spark, ("kmeans_lab", sf, K_LAB), lambda: MD.kmeans_fit(vec, K_LAB))
-    return km.transform(vec).agg(F.count("cluster").alias("rows"), (F.count_distinct("cluster") <= K_LAB).alias("few"))
+    """K-Means k=12 (lab setting) on the lab features, whose vocabulary has no bound: every track
+    has one of at most twelve clusters, with the nearest centre."""
+    coded, features, centres = _lab_kmeans(spark, sf)
+    found = KM.assign(coded, centres)
+    nearest = MD.check_nearest(coded, found, centres).agg(F.every("nearest").alias("nearest"))
+    return found.agg(F.count("cluster").alias("rows"), (F.count_distinct("cluster") <= K_LAB).alias("few")).crossJoin(nearest)
+
+
+def _lab_kmeans(spark, sf):
+    from tunesift.plans.artifacts import stored_once
+    coded = stored_once(spark, "lab_coded", (sf,), lambda: MD.coded_long(lab_features(spark, sf))[0])
+    features = 1 + (coded.agg(F.max(F.array_max("at"))).first()[0] or 0)
+    return coded, features, _fitted(spark, ("kmeans_lab", sf, K_LAB), lambda: KM.fit(coded, features, K_LAB))
+
+
+@register("f4_silhouette_fitted", None)
+def f4_silhouette_fitted(spark, sf):
+    """The sampled silhouette of the fitted clusters: the recommender's (k = 100) and the lab's (k = 12)."""
+    out = None
+    _, _, coded, centres = _fit_kmeans(spark, sf)
+    lab, _, lab_centres = _lab_kmeans(spark, sf)
+    for name, rows, c in (("content", coded, centres), ("lab", lab, lab_centres)):
+        points = rows.join(KM.assign(rows, c).select("track_id", "cluster"), "track_id")
+        one = MD.silhouette_sampled(spark, points, "cluster", "vals", "track_id", 6000, at_col="at") \
+            .select(F.lit(name).alias("space"), F.round("silhouette", 4).alias("silhouette"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("h17_fitted_profile", None)
+def h17_fitted_profile(spark, sf):
+    """H16 and H17 of the fitted clusters: size, share of explicit tracks, median year."""
+    return P.cluster_profile(fitted_clusters(spark, sf))
+
+
+@register("h18_fitted_top_genres", None)
+def h18_fitted_top_genres(spark, sf):
+    return P.cluster_top_genres(fitted_clusters(spark, sf), 12)
+
+
+@register("h19_fitted_top_artists", None)
+def h19_fitted_top_artists(spark, sf):
+    return P.cluster_top_artists(fitted_clusters(spark, sf), 10)
+
+
+@register("h20_fitted_year_histogram", None)
+def h20_fitted_year_histogram(spark, sf):
+    return P.cluster_year_histogram(fitted_clusters(spark, sf), 30)
 
 
 @register("h16_h20_fitted_clusters", with_(META) + f"""

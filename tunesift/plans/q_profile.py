@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tunesift.operators import clean
 from tunesift.operators import profile as P
+from tunesift.operators import sketches as SK
 from tunesift.plans.artifacts import stored_meta
+from tunesift.plans.q_ingest import parts
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import CATALOG, CATALOG_RAW, GENRE_TOKENS, META, with_
+from tunesift.session import scratch_path
 from tunesift.sources import fixtures as fx
 
 _TOP = """ SELECT {k} AS {name}, count(*) AS count FROM {src} GROUP BY {k} ORDER BY count DESC, {name} LIMIT {n}"""
@@ -174,3 +181,38 @@ def h25_duration_kde(spark, sf):
 def h26_unpivot_long(spark, sf):
     sm = P.year_counts_smoothed(stored_meta(spark, sf)).withColumn("count", F.col("count").cast("double"))
     return P.unpivot_long(sm, ["year"], ["count", "smooth"])
+
+
+RAW_META = with_(CATALOG_RAW) + """,
+meta AS (
+ SELECT track_id, coalesce(artist_name, '') AS artist_name, coalesce(artist_genres, '') AS artist_genres,
+  coalesce(TRY_CAST(regexp_extract(release_date, '^(\\d{4})', 1) AS INT), 0) AS release_year FROM catalog_raw)"""
+#: What the estimates of distinct values may be off by: four standard errors.
+SKETCH_ERROR = 4 * 1.04 / 2 ** (SK.PRECISION / 2)
+
+
+@register("h1_h9_part_sketches", RAW_META + GENRE_TOKENS + """,
+ k AS (SELECT count(*) AS rows, count(DISTINCT track_id) AS songs, count(DISTINCT artist_name) AS artists,
+   min(CASE WHEN release_year > 0 THEN release_year END) AS min_year, max(CASE WHEN release_year > 0 THEN release_year END) AS max_year FROM meta)
+ SELECT metric, value, true AS close FROM (SELECT rows, rows - songs AS duplicates, songs, artists,
+   (SELECT count(DISTINCT genre) FROM genre_tok) AS genre_tokens, CAST(min_year AS BIGINT) AS min_year, CAST(max_year AS BIGINT) AS max_year FROM k)
+ UNPIVOT (value FOR metric IN (rows, duplicates, songs, artists, genre_tokens, min_year, max_year))""")
+def h1_h9_part_sketches(spark, sf):
+    """H1, H9 and H15 over all raw parts from the state stored beside each: the
+    exact values, and whether the merged sketches come within their error."""
+    path = scratch_path(spark, f"part_sketches/{uuid.uuid4().hex[:12]}")
+    raw = parts(spark, sf)
+    ready = clean.prepare_meta(raw.drop("release_year")).select("track_id", "artist_name", "artist_genres", "release_year", "part")
+    for (number,) in sorted(tuple(r) for r in raw.select("part").distinct().collect()):  # one a part file
+        SK.store_part(ready.filter(F.col("part") == number), str(number), path)
+    exact = ready.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("track_id").alias("songs"), F.count_distinct("artist_name").alias("artists"),
+                      *[f(F.when(F.col("release_year") > 0, F.col("release_year"))).alias(n) for f, n in ((F.min, "min_year"), (F.max, "max_year"))])
+    genres = P.genre_tokens(ready).agg(F.count_distinct("genre").alias("genre_tokens"))
+    names = ["rows", "duplicates", "songs", "artists", "genre_tokens", "min_year", "max_year"]
+    exact = exact.crossJoin(genres).withColumn("duplicates", F.col("rows") - F.col("songs"))  # one row each
+    both = exact.select(*[F.col(c).cast("long").alias(c) for c in names]).unpivot([], names, "metric", "value").join(
+        SK.merged(spark, path).select(*[F.col(c).cast("long").alias(c) for c in names]).unpivot([], names, "metric", "about"), "metric")
+    # duplicates are rows less songs, and share the songs' error
+    base = F.when(F.col("metric") == "duplicates", F.max("value").over(Window.partitionBy(F.lit(1)))).otherwise(F.col("value"))
+    slack = F.when(F.col("metric").isin("rows", "min_year", "max_year"), 0.0).otherwise(SKETCH_ERROR * base)
+    return both.select("metric", "value", (F.abs(F.col("about") - F.col("value")) <= slack).alias("close"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tunesift.functions import text
 from tunesift.operators import search as S
-from tunesift.plans.artifacts import stored_meta
+from tunesift.operators import text_index as TI
+from tunesift.plans.artifacts import stored_folder, stored_meta
 from tunesift.plans.registry import register
 from tunesift.plans.sqlfrag import META, with_
 
@@ -17,6 +21,13 @@ def _meta(spark, sf):
     return stored_meta(spark, sf).select(*_COLS)
 
 
+def text_index(spark, sf):
+    """The catalogue's trigram index (titles, genres, display labels), written once."""
+    fields = {"track_name": F.col("track_name"), "artist_genres": F.col("artist_genres"), "label": text.display_label()}
+    path = stored_folder(spark, "text_index", (sf,), lambda path: TI.build(_meta(spark, sf), fields, path))
+    return TI.TextIndex(spark, _meta(spark, sf).schema, path, fields)
+
+
 @register("c1_filter_year", with_(META) + f" SELECT {COLS} FROM meta WHERE release_year BETWEEN 1994 AND 1996")
 def c1_filter_year(spark, sf):
     return S.filter_year(_meta(spark, sf), 1994, 1996)
@@ -33,9 +44,16 @@ def c3_filter_genres_any(spark, sf):
     return S.filter_genres_any(_meta(spark, sf), GENRES)
 
 
+@register("c3_genres_any_indexed", with_(META) + f"""
+ SELECT {COLS} FROM meta WHERE contains(lower(artist_genres), 'economy') OR contains(lower(artist_genres), 'brand#1')""")
+def c3_genres_any_indexed(spark, sf):
+    return TI.contains_any(text_index(spark, sf), [("artist_genres", g) for g in GENRES]).select(*_COLS)
+
+
 @register("c4_contains_text", with_(META) + f" SELECT {COLS} FROM meta WHERE contains(lower(track_name), 'red')")
 def c4_contains_text(spark, sf):
-    return _meta(spark, sf).filter(S.contains_mask("track_name", "  Red "))
+    """Through the trigram index: the postings of 'red', then its rows."""
+    return TI.contains_any(text_index(spark, sf), [("track_name", "  Red ")]).select(*_COLS)
 
 
 @register("c5_search", with_(META) + f"""
@@ -43,7 +61,17 @@ def c4_contains_text(spark, sf):
  WHERE contains(lower(concat(track_name, ' — ', artist_name)), 'red') OR contains(lower(artist_genres), 'red')
  ORDER BY track_id LIMIT 100""")
 def c5_search(spark, sf):
-    return S.search(_meta(spark, sf), QUERY, 100)
+    """Through the trigram index, of display labels and of genres."""
+    return S.head_n(TI.contains_any(text_index(spark, sf), [("label", QUERY), ("artist_genres", QUERY)]).select(*_COLS), 100)
+
+
+@register("c5_search_scan", with_(META) + f"""
+ SELECT {COLS} FROM meta
+ WHERE contains(lower(concat(track_name, ' — ', artist_name)), 'x') OR contains(lower(artist_genres), 'x')
+ ORDER BY track_id LIMIT 100""")
+def c5_search_scan(spark, sf):
+    """A query too short for the index scans the catalogue."""
+    return S.search(_meta(spark, sf), "x", 100)
 
 
 @register("c6_search_ranked", with_(META) + f""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +55,35 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "csv",
     return out if out is not None else spark.createDataFrame([], schema)
 
 
+#: Files whose first lines are read at a time.
+HEADER_READERS = 32
+
+
 def csv_headers(spark: SparkSession, path: str) -> list[tuple[str, list[str]]]:
     """(first line, files that start with it).
 
     The file list reaches the driver (no content is read for it), which reads
-    one line of each file through Hadoop's file system and codecs."""
+    one line of each file through Hadoop's file system and codecs, ``HEADER_READERS``
+    files at a time."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
-    by: dict[str, list[str]] = {}
-    for row in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect():
-        file = jvm.org.apache.hadoop.fs.Path(row["path"])
+
+    def first_line(path: str):
+        file = jvm.org.apache.hadoop.fs.Path(path)
         raw = file.getFileSystem(conf).open(file)
         codec = codecs.getCodec(file)
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(raw) if codec else raw, "UTF-8"))
-        header = reader.readLine()
-        reader.close()
-        if header is not None:  # an empty file has no rows
-            by.setdefault(header, []).append(row["path"])
+        try:
+            return reader.readLine()
+        finally:
+            reader.close()
+
+    paths = [row["path"] for row in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]
+    by: dict[str, list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for file, header in zip(paths, pool.map(first_line, paths)):
+            if header is not None:  # an empty file has no rows
+                by.setdefault(header, []).append(file)
     return sorted(by.items())
 
 
