@@ -133,3 +133,24 @@ def test_odd_rows_and_no_rows(spark):
     got = L.align(docs, A_FILE, B_FILE).collect()
     assert sorted(map(tuple, got), key=str) == expected([(r.doc_id, r.text) for r in docs.collect()])
     assert L.align(no_documents(spark), A_FILE, B_FILE).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 5, L.CACHE])
+def test_texts_cut_into_kept_segments_equal_whole_ones(monkeypatch, most):
+    monkeypatch.setattr(L, "CACHE", most)
+    monkeypatch.setattr(L, "KEPT_LENGTH", 9)
+    with open(A_FILE, encoding="utf-8") as f, open(B_FILE, "rb") as g:
+        t = L.Tokenizers(f.read(), g.read())
+    assert t.cuts
+    rnd = random.Random(4)
+    marks = ["a", "word", "Longer-segment", " ", "  ", "   ", "\n", "\n\n", "\t", "\x1c", "\x85", "\xa0", "\u3000", ".", "'s", "1", "é", "中", "\U0001f600", "▁" if most == 5 else "b"]
+    texts = ["".join(rnd.choices(marks, k=rnd.randint(0, 12))) for _ in range(3000)] + TEXTS + ["a ", "a  ", " ", "  ", "a b ", "\n a", "a\n  b"]
+    for at in range(0, len(texts), 700):
+        some = texts[at:at + 700]
+        got = [c.to_pylist() for c in L.aligned_columns(some, t)]
+        for i, x in enumerate(some):
+            groups = plain(x)
+            links = Counter(a * 32000 + b for g in groups for a in g[0] for b in g[1])
+            assert got[4][i] == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups).encode(), x
+            assert (got[0][i], got[1][i], got[2][i], got[3][i]) == (sum(len(g[0]) for g in groups), sum(len(g[1]) for g in groups), len(groups), sum(links.values()))
+            assert dict(zip(got[5][i], got[6][i])) == links

@@ -7,8 +7,12 @@ the two id lists into groups.  Every A id of a group is linked with every B id
 of it.  A pair's count is the number of documents, over all documents, that
 hold it linked.
 
-Dictionaries cover ``WINDOW`` bytes at a time, so a long text needs no more
-memory for them than a short one.  Links are kept as each document's distinct
+No token of either side runs from a letter or mark into a following space (the
+text patterns of A end there, and no piece of B goes on after one with a space;
+a model of which that isn't true is applied to whole texts), so a text is cut
+before such spaces and equal segments are aligned once: a worker keeps up to
+``CACHE`` of them (of more, the more used half).  Dictionaries cover ``WINDOW`` bytes at a time, so a long
+segment needs no more memory for them than a short one.  Links are kept as each document's distinct
 pairs with how often they occur; a group whose sides are long is expanded by
 its distinct ids.  Counts come from a partial aggregate over those pairs and
 go back to the documents in parts of ``PART`` sorted pairs, read by the tasks
@@ -28,6 +32,7 @@ result; other columns aren't read.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import uuid
@@ -47,6 +52,12 @@ GATHER, WINDOW = 1 << 20, 1 << 18
 EXPAND = 1 << 20
 #: Pairs of a part of the counts.
 PART = 1 << 22
+#: Files of a part, one a task.
+PART_FILES = 8
+#: Segments that a worker keeps, and the longest of those in characters.
+CACHE, KEPT_LENGTH = 400_000, 64
+#: Where a text is cut: before spaces that follow anything but white space, and that anything but spaces follows.
+CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 #: Characters of white space in a row from which the ranks' pattern matcher isn't used.
 LONG_SPACE = re.compile(r"\s{50000}")
 
@@ -78,6 +89,8 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(w) for w in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.cuts = not any(re.search(r"[^▁]▁", p) for p in pieces)
+        self.segments = Segments(self)
         self.said = [[np.array([b"%d%s" % (i, end) for i in range(len(x))], object) for end in ends]
                      for x, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";")))]
 
@@ -150,11 +163,9 @@ def link_pairs(text: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, ids_a: np.n
     return _summed(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, pairs array<int>, times array<long>"
-
-
-def align_texts(texts: list[str | None], t: Tokenizers) -> list[pa.Array]:
-    """The columns of ``ALIGNED`` but the id, for a few texts."""
+def align_texts(texts: list[str | None], t: Tokenizers) -> tuple:
+    """Tokens, groups, links, groups in words, and distinct pairs with how often they are linked, of a few texts (0, no
+    words and no pairs where a text has no tokens): five lists, offsets of the pairs, pairs, times."""
     n = len(texts)
     real = [i for i, x in enumerate(texts) if x]
     cut = [(i, t.a_ids(" " + texts[i]), ids_b) for i, ids_b in zip(real, t.b.encode([texts[i] for i in real], num_threads=1))]
@@ -165,7 +176,7 @@ def align_texts(texts: list[str | None], t: Tokenizers) -> list[pa.Array]:
             kept.append((i, a, b))
     del cut
     count_a, count_b = (np.array([len(x[k]) for x in kept], np.int64) for k in (1, 2))
-    ids_a, ids_b = (np.fromiter((v for x in kept for v in x[k]), np.int64, c.sum()) for k, c in ((1, count_a), (2, count_b)))
+    ids_a, ids_b = (np.fromiter(itertools.chain.from_iterable(x[k] for x in kept), np.int64, c.sum()) for k, c in ((1, count_a), (2, count_b)))
     # ends run on from text to text; a text's last is common, so no group spans two
     cut_a, cut_b = common_ends(np.cumsum(t.a_size[ids_a]), np.cumsum(t.b_size[ids_b]))
     at_a, at_b = np.concatenate([[0], cut_a]), np.concatenate([[0], cut_b])
@@ -192,9 +203,86 @@ def align_texts(texts: list[str | None], t: Tokenizers) -> list[pa.Array]:
     keys, times = link_pairs(text, at_a, at_b, ids_a, ids_b, len(t.b_bytes))
     own = np.zeros(n, np.int64)
     own[[x[0] for x in kept]] = np.bincount(keys >> 32, minlength=len(kept))
-    offsets = pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32))
-    return [*(pa.array(per_text(v)) for v in (count_a, count_b, np.bincount(text, minlength=len(kept)), links)), pa.array(said, pa.binary()),
-            pa.ListArray.from_arrays(offsets, pa.array((keys & 0xFFFFFFFF).astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(times))]
+    counts = [per_text(v) for v in (count_a, count_b, np.bincount(text, minlength=len(kept)), links)]
+    return *counts, said, np.concatenate([[0], np.cumsum(own)]), keys & 0xFFFFFFFF, times
+
+
+class Segments:
+    """Aligned segments of texts, by their text."""
+
+    def __init__(self, tokenizers: "Tokenizers"):
+        self.tokenizers = tokenizers
+        self.place: dict[str, int] = {}
+        self.long: list[str] = []
+        self.counts, self.said, self.uses = np.zeros((4, 0), np.int64), [], np.zeros(0, np.int64)
+        self.ends, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, segments: list[str]) -> np.ndarray:
+        """Places of segments (each with its leading space); those not met are aligned first."""
+        new = [x for x in dict.fromkeys(segments) if x not in self.place]
+        if new:
+            self.long = [x for x in new if len(x) > KEPT_LENGTH]  # last, so that they can go again
+            new = [x for x in new if len(x) <= KEPT_LENGTH] + self.long
+            *counts, said, ends, pairs, times = align_texts([x[1:] for x in new], self.tokenizers)
+            self.place.update(zip(new, range(len(self.said), len(self.said) + len(new))))
+            self.counts = np.concatenate([self.counts, np.stack(counts)], axis=1)
+            self.said += said
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + ends[1:]])
+            self.pairs, self.times = np.concatenate([self.pairs, pairs]), np.concatenate([self.times, times])
+        at = np.fromiter(map(self.place.__getitem__, segments), np.int64, len(segments))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return at
+
+    def trim(self) -> None:
+        """Forget the long ones that came in last and, where there are too many, the less used half."""
+        keep = len(self.said) - len(self.long)
+        if keep > CACHE:
+            self._only(np.sort(np.argsort(-self.uses[:keep], kind="stable")[:CACHE // 2]))
+        elif self.long:
+            self._only(np.arange(keep))
+
+    def _only(self, kept: np.ndarray) -> None:
+        names = list(self.place)  # in the order of their places
+        count = self.ends[kept + 1] - self.ends[kept]
+        at = np.repeat(self.ends[kept] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        self.place = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.counts, self.said, self.uses, self.long = self.counts[:, kept], [self.said[i] for i in kept.tolist()], self.uses[kept], []
+        self.ends, self.pairs, self.times = np.concatenate([[0], np.cumsum(count)]), self.pairs[at], self.times[at]
+
+
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups binary, pairs array<int>, times array<long>"
+
+
+def aligned_columns(texts: list[str | None], t: Tokenizers) -> list[pa.Array]:
+    """The columns of ``ALIGNED`` but the id, for a few texts."""
+    n = len(texts)
+    cut = [(CUT.split(" " + x) if t.cuts else [" " + x]) if x else [] for x in texts]
+    at = t.segments.find(list(itertools.chain.from_iterable(cut)))
+    size = np.array([len(x) for x in cut], np.int64)
+    text = np.repeat(np.arange(n), size)
+    cache = t.segments
+    # a text one of whose segments has no tokens has none
+    bad = np.zeros(n, bool)
+    bad[text[cache.counts[0, at] == 0]] = True
+    at, text = at[~bad[text]], text[~bad[text]]
+    size = np.where(bad, 0, size)
+    sums = np.zeros((4, n), np.int64)
+    for out, own in zip(sums, cache.counts):
+        np.add.at(out, text, own[at])
+    said, words, first = [], [cache.said[i] for i in at.tolist()], 0
+    for k in size.tolist():
+        said.append(b";".join(words[first:first + k]))
+        first += k
+    each, often = np.unique(text << 32 | at, return_counts=True)
+    text, at = each >> 32, each & 0xFFFFFFFF
+    count = cache.ends[at + 1] - cache.ends[at]
+    place = np.repeat(cache.ends[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    keys, times = _summed(np.repeat(text, count) << 32 | cache.pairs[place], np.repeat(often, count) * cache.times[place])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(keys >> 32, minlength=n))]).astype(np.int32))
+    cache.trim()
+    return [*(pa.array(v) for v in sums), pa.array(said, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array((keys & 0xFFFFFFFF).astype(np.int32))),
+            pa.ListArray.from_arrays(offsets, pa.array(times))]
 
 
 def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,7 +295,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", t
         t = kept_by_worker(key, lambda: Tokenizers(*files.value))
         for b in batches:
             for at, n in slices(b.column(1), GATHER):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *align_texts(b.column(1).slice(at, n).to_pylist(), t)], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), *aligned_columns(b.column(1).slice(at, n).to_pylist(), t)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ALIGNED)
 
@@ -240,7 +328,9 @@ def score_links(rows: DataFrame, counts: DataFrame, highest: np.ndarray, b_ids:
     spark = rows.sparkSession
     parts = max(1, -(-counts.count() // part_pairs))
     folder = shared_path(spark, "alignment-parts")
-    counts.withColumn("part", F.pmod("pair", F.lit(parts))).repartition("part").write.partitionBy("part").parquet(folder)
+    part = F.pmod("pair", F.lit(parts))
+    dealt = counts.withColumn("part", part).repartitionById(PART_FILES * parts, part * PART_FILES + F.pmod(F.hash("pair"), F.lit(PART_FILES)))
+    dealt.write.partitionBy("part").parquet(folder)
     top = spark.sparkContext.broadcast(highest)
     own = [c for c in rows.columns if c not in ("pairs", "times")]
     schema = rows.select(*own, F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum")).schema
