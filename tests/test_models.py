@@ -127,3 +127,21 @@ def test_stratified_split_matches_full_rank_on_a_hot_class(spark):
         t = int(np.floor(len(items) * 0.2 + 0.5))
         exp_test = {i for _, i in items[:t]}
         assert {i for _, i in items if got[i] == "test"} == exp_test
+
+
+def test_forest_numbers_its_labels_and_is_kept(spark, tmp_path):
+    """More labels than Spark would infer, blank and odd ones among them; saved and loaded, it predicts the same."""
+    names = ["", "\u0001", "É"] + [f"artist {i:03d}" for i in range(150)]
+    coded = spark.createDataFrame([(f"t{i}-{j}", [i, 200], [1.0, float(j)], names[i]) for i in range(len(names)) for j in range(3)],
+                                  "track_id string, at array<int>, vals array<double>, artist string")
+    vec = MD.sparse_vectors(coded, 201, str(tmp_path / "v"))
+    one = vec.filter("track_id = 't5-2'").first().features
+    assert (one.size, one.indices.tolist(), one.values.tolist()) == (201, [5, 200], [1.0, 2.0])
+    rows = vec.join(coded.select("track_id", "artist"), "track_id")
+    forest = MD.rf_fit(rows, "artist", num_trees=3, max_depth=4)
+    assert forest.model.numClasses == len(names)
+    got = MD.predicted_labels(forest, rows).select("track_id", "predicted").collect()
+    assert len(got) == 3 * len(names) and {r.predicted for r in got} <= set(names)
+    forest.save(str(tmp_path / "m"))
+    again = MD.predicted_labels(MD.Forest.load(spark, str(tmp_path / "m")), rows).select("track_id", "predicted").collect()
+    assert sorted(got) == sorted(again)

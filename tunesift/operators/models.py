@@ -10,23 +10,25 @@ by ``max_features`` (what ``CountVectorizer.fit`` would hold as well).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer,
-                                StringIndexer, VectorAssembler)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunesift.config import FeatureConfig
 from tunesift.operators import dictionary as DC
 from tunesift.operators import features as FE
 from tunesift.operators import sparse_kmeans as KM
-from tunesift.operators.similarity import knn_batch
+from tunesift.operators.similarity import knn_batch, small_side
 
 MAX_VOCAB_COLLECT = 1_000_000
 
@@ -211,26 +213,53 @@ def silhouette_full(vectors: DataFrame, prediction: str = "cluster", distance: s
 # Forests and the leaf space
 # ---------------------------------------------------------------------------
 
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest and the numbers of its labels (value, code)."""
+    model: RandomForestClassificationModel
+    labels: DataFrame
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """The rows with leaf indices (``leaves``) and the predicted label's number (``_pred``)."""
+        return self.model.transform(rows)
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Forest":
+        return cls(RandomForestClassificationModel.load(f"{path}/model"), spark.read.parquet(f"{path}/labels"))
+
+
 def rf_fit(vectors: DataFrame, label_col: str, num_trees: int = 200, max_depth: int = 25, min_leaf: int = 1,
-           seed: int = 42, max_bins: int = 32):
-    """label indexed alphabetically (``LabelEncoder`` order), forest
-    with a leaf-index output column.  Spark caps depth at 30."""
-    # ML attribute names cannot be empty: a blank label is indexed under a
-    # name that sorts where '' sorts (first)
-    vectors = vectors.withColumn("_label", F.when(F.col(label_col) == "", F.lit("\u0001")).otherwise(F.col(label_col)))
-    idx = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
+           seed: int = 42, max_bins: int = 32) -> Forest:
+    """labels numbered in the order of their values (``LabelEncoder``
+    order) without a list of them on the driver, forest with a leaf-index
+    output column.  Spark caps depth at 30."""
+    codes = DC.dictionary(vectors, label_col)
+    # the number of classes travels as the column's attribute, as an indexer would give it
+    nominal = {"ml_attr": {"type": "nominal", "num_vals": codes.count(), "name": "_y"}}
+    numbered = DC.encode(vectors, label_col, codes, "_y").withColumn("_y", F.col("_y").cast("double").alias("_y", metadata=nominal))
     rf = RandomForestClassifier(featuresCol="features", labelCol="_y", numTrees=int(num_trees),
                                 maxDepth=min(int(max_depth), 30), minInstancesPerNode=int(min_leaf), seed=int(seed),
                                 maxBins=max_bins, leafCol="leaves", predictionCol="_pred")
-    return Pipeline(stages=[idx, rf]).fit(vectors)
+    return Forest(rf.fit(numbered.filter(F.col("_y").isNotNull())), codes)
+
+
+def predicted_labels(forest: Forest, rows: DataFrame) -> DataFrame:
+    """The rows with the forest's ``predicted`` label (a join on the labels' numbers)."""
+    kept, hint = small_side(forest.labels)
+    names = kept.select(F.col("code").cast("double").alias("_pred"), F.col("value").alias("predicted"))
+    return forest.transform(rows).join(hint(names), "_pred", "left")
 
 
-def predicted_labels(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """The rows with the forest's ``predicted`` label (a join on the label index, not one literal per label)."""
-    labels = model.stages[0].labelsArray[0]
-    spark = rows.sparkSession
-    names = spark.createDataFrame([(float(i), "" if x == "\u0001" else x) for i, x in enumerate(labels)], "_pred double, predicted string")
-    return model.transform(rows).join(names, "_pred", "left")
+def sparse_vectors(coded: DataFrame, features: int, path: str, id_col: str = "track_id") -> DataFrame:
+    """(id, features) of coded rows as ``SparseVector``: written as the vector type's own fields and read back as vectors."""
+    fields = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(int(features)).alias("size"), F.col("at").alias("indices"), F.col("vals").alias("values"))
+    coded.select(id_col, fields.alias("features")).write.mode("overwrite").parquet(path)
+    schema = T.StructType([T.StructField(id_col, T.StringType()), T.StructField("features", VectorUDT())])
+    return coded.sparkSession.read.schema(schema).parquet(path)
 
 
 def leaf_long(leaves: DataFrame, id_col: str = "track_id") -> DataFrame:

@@ -304,8 +304,8 @@ def a18_save_load_forest(spark, sf):
     from tunesift.plans.q_models import _rf_artist
     _, _, raw, rf = _rf_artist(spark, sf)
     path = scratch_path(spark, f"a18_forest/{_tag(sf)}")
-    sinks.save_ml_model(rf, path)
-    loaded = sinks.load_ml_model(path, type(rf))
+    rf.save(path)
+    loaded = type(rf).load(spark, path)
     cols = lambda m: m.transform(raw).select("track_id", F.struct("_pred", "leaves").alias("p"))
     two = cols(loaded).withColumnRenamed("p", "again")
     return cols(rf).join(two, "track_id").select("track_id", (F.col("p") == F.col("again")).alias("same"))

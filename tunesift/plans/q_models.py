@@ -257,7 +257,7 @@ def f8_leaf_query(spark, sf):
     """The query track's leaves: all seen in training, of norm one."""
     meta, model, raw, rf = _rf_artist(spark, sf)
     known = _leaves(spark, sf)
-    q = MD.content_vectors(model, query_rows(meta), normalize=False).withColumn("artist_name", F.lit(""))
+    q = MD.content_vectors(model, query_rows(meta), normalize=False)
     v = MD.leaf_query(rf.transform(q).select("track_id", "leaves"), known)
     seen = known.select(F.concat_ws(":", "tree", "leaf").alias("key")).distinct().withColumn("seen", F.lit(True))
     return v.join(seen, "key", "left").groupBy("track_id").agg(
@@ -371,38 +371,10 @@ def d13_feature_variants(spark, sf):
 
 
 def lab_vectors(spark, sf):
-    """D12 as ML ``SparseVector`` rows (JVM-side stages, no densifying)."""
-    from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, OneHotEncoder,
-                                    StringIndexer, VectorAssembler)
-    from pyspark.ml.linalg import Vectors
-    lab = lab_table(spark, sf)
-    n = lab.agg(F.count(F.lit(1)).alias("n"))
-    cols = {}
-    stages = []
-    for spec, pat in ((LAB_G, text.LAB_GENRE_TOKEN), (LAB_T, text.LAB_TITLE_TOKEN)):
-        tf = FE.term_counts(lab, "track_id", FE.block_terms(spec, pat))
-        vocab = FE.fit_vocabulary(tf, n, "track_id", spec.min_df, spec.max_df, spec.max_features)
-        terms, idf = MD._vocab_list(vocab)
-        b = spec.name
-        cols[f"_terms_{b}"] = FE.block_terms(spec, pat)
-        stages += [CountVectorizerModel.from_vocabulary(terms or ["\u0000"], inputCol=f"_terms_{b}", outputCol=f"_tf_{b}"),
-                   ElementwiseProduct(scalingVec=Vectors.dense(idf or [0.0]), inputCol=f"_tf_{b}", outputCol=f"_ti_{b}"),
-                   Normalizer(p=2.0, inputCol=f"_ti_{b}", outputCol=f"_v_{b}")]
-    cat = clean.bundle_rare(lab, "artist_name", ARTIST_MIN_FREQ, INFREQUENT, "cat")
-    st = lab.agg(*[x for c in ("popularity", "release_year", "explicit_num") for x in (
-        F.avg(F.col(c).cast("double")).alias(f"{c}_m"), F.stddev_pop(F.col(c).cast("double")).alias(f"{c}_s"))])
-    z = cat.crossJoin(F.broadcast(st))
-    for c in ("popularity", "release_year", "explicit_num"):
-        sd = F.when(F.coalesce(F.col(f"{c}_s"), F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col(f"{c}_s"))
-        cols[f"_z_{c}"] = (F.col(c) - F.col(f"{c}_m")) / sd
-    data = z.withColumns(cols)
-    data = data.withColumn("_cat_ml", F.when(F.col("cat") == "", F.lit("\u0001")).otherwise(F.col("cat")))
-    si = StringIndexer(inputCol="_cat_ml", outputCol="_ci", stringOrderType="alphabetAsc", handleInvalid="keep").fit(data)
-    stages = [si, OneHotEncoder(inputCol="_ci", outputCol="_v_r", dropLast=False, handleInvalid="keep").fit(si.transform(data))] + stages
-    stages.append(VectorAssembler(inputCols=["_v_lg", "_v_lt", "_v_r", "_z_popularity", "_z_release_year", "_z_explicit_num"],
-                                  outputCol="features"))
-    from pyspark.ml import PipelineModel
-    return PipelineModel(stages).transform(data).select("track_id", "artist_genres", "features")
+    """D12 as ML ``SparseVector`` rows over a joined dictionary of keys: no part of the vocabulary passes through the driver."""
+    coded, features = _lab_coded(spark, sf)
+    path = scratch_path(spark, f"lab_vectors/{uuid.uuid4().hex[:12]}")
+    return MD.sparse_vectors(coded, features, path).join(lab_table(spark, sf).select("track_id", "artist_genres"), "track_id")
 
 
 F9_SQL = with_(CATALOG) + f""",
@@ -572,10 +544,15 @@ def f1_kmeans_lab(spark, sf):
     return found.agg(F.count("cluster").alias("rows"), (F.count_distinct("cluster") <= K_LAB).alias("few")).crossJoin(nearest)
 
 
-def _lab_kmeans(spark, sf):
+def _lab_coded(spark, sf):
+    """Lab features as coded rows, written once, and their number of keys."""
     from tunesift.plans.artifacts import stored_once
     coded = stored_once(spark, "lab_coded", (sf,), lambda: MD.coded_long(lab_features(spark, sf))[0])
-    features = 1 + (coded.agg(F.max(F.array_max("at"))).first()[0] or 0)
+    return coded, 1 + (coded.agg(F.max(F.array_max("at"))).first()[0] or 0)
+
+
+def _lab_kmeans(spark, sf):
+    coded, features = _lab_coded(spark, sf)
     return coded, features, _fitted(spark, ("kmeans_lab", sf, K_LAB), lambda: KM.fit(coded, features, K_LAB))
 
 
