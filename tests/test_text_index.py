@@ -60,3 +60,10 @@ def test_sketches_merge_and_a_part_is_replaced(spark, tmp_path):
     for name, exact in (("songs", 40_000), ("artists", 3000), ("genre_tokens", 71)):
         assert abs(got[name] - exact) <= 0.033 * exact
     assert abs(got.duplicates - 10_005) <= 0.033 * 40_000
+
+
+def test_blank_texts_count_as_values(spark, tmp_path):
+    part = spark.createDataFrame([("t1", "", "", 0), ("t2", "a", "x", 0), ("t3", None, "x", 1999)], "track_id string, artist_name string, artist_genres string, release_year int")
+    SK.store_part(part, "1", str(tmp_path / "s"))
+    got = SK.merged(spark, str(tmp_path / "s")).first()
+    assert (got.rows, got.duplicates, got.songs, got.artists, got.genre_tokens, got.min_year) == (3, 0, 3, 2, 1, 1999)

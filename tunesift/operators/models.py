@@ -137,6 +137,9 @@ def label_centroids(points: DataFrame, label: str = "label", vec_col: str = "emb
     return agg.select("cluster", F.array(*[F.col(f"_d{i}") for i in range(dims)]).alias("centre"))
 
 
+_RIGHT = "_right"
+
+
 def _dense_blocks(left: pd.DataFrame, right: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Both blocks' vectors as matrices; sparse ones (with places ``_at``) over the features that either block has."""
     if "_at" not in left.columns:
@@ -157,6 +160,7 @@ def _distance_sums(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame
     """Sum of distances of each left row to the right rows of every label (itself left out)."""
     if not len(left) or not len(right):
         return pd.DataFrame({"_id": [], "_l": [], "_other": [], "_sum": []})
+    right = right.rename(columns=lambda c: c.removesuffix(_RIGHT))
     a, b = _dense_blocks(left, right)
     d = np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
     d[left["_id"].to_numpy()[:, None] == right["_id"].to_numpy()[None, :]] = 0.0
@@ -189,7 +193,8 @@ def silhouette_sampled(spark: SparkSession, points: DataFrame, label: str = "clu
     own = F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = sample.select(own.alias("_i"), every.alias("_j"), *own_columns).repartition(parts, "_i", "_j")
-    right = sample.select(every.alias("_i"), own.alias("_j"), *own_columns).repartition(parts, "_i", "_j")
+    # columns of its own on the right: attributes that both sides share may be pruned from one of them
+    right = sample.select(every.alias("_i"), own.alias("_j"), *[F.col(c).alias(c + _RIGHT) for c in own_columns]).repartition(parts, "_i", "_j")
     sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(
         _distance_sums, "_id string, _l string, _other string, _sum double")
     sizes = sample.groupBy(F.col("_l").alias("_other")).agg(F.count(F.lit(1)).alias("_n"))

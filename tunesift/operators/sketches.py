@@ -21,9 +21,14 @@ SKETCHED = ("ids", "artists", "genre_tokens")
 def part_state(part: DataFrame, precision: int = PRECISION) -> DataFrame:
     """One row of a prepared part (``clean.prepare_meta``): rows, year span and sketches."""
     known = F.when(F.col("release_year") > 0, F.col("release_year"))
+
+    def sketch(c):
+        # a sketch leaves out empty texts, which count as values here
+        return F.hll_sketch_agg(F.concat(F.lit("="), F.col(c)), precision)
+
     rows = part.agg(F.count(F.lit(1)).alias("rows"), F.min(known).alias("min_year"), F.max(known).alias("max_year"),
-                    F.hll_sketch_agg("track_id", precision).alias("ids"), F.hll_sketch_agg("artist_name", precision).alias("artists"))
-    genres = part.select(F.explode(text.split_genres("artist_genres")).alias("genre")).agg(F.hll_sketch_agg("genre", precision).alias("genre_tokens"))
+                    sketch("track_id").alias("ids"), sketch("artist_name").alias("artists"))
+    genres = part.select(F.explode(text.split_genres("artist_genres")).alias("genre")).agg(sketch("genre").alias("genre_tokens"))
     return rows.crossJoin(genres)  # one row each
 
 
