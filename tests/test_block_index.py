@@ -60,3 +60,13 @@ def test_catalogue_blocks_hold_every_row_and_no_seeds_or_items(spark):
     assert BLK.knn_blocks(spark, a.blocks, seeds.filter("false"), 3).count() == 0
     assert BLK.knn_blocks(spark, a.blocks.filter("false"), seeds, 3).count() == 0
     assert BLK.block_index(a.rows.filter("false")).count() == 0
+
+
+def test_long_table_and_blocks_are_written_when_asked_for(spark, tmp_path):
+    import shutil
+    from tunesift.session import path_exists
+    shutil.copytree(SF_SMALL, tmp_path / "sf")
+    a = content_artifact(spark, str(tmp_path / "sf"))
+    assert not path_exists(spark, f"{a.path}/long") and not path_exists(spark, f"{a.path}/blocks")
+    assert a.long.count() == a.rows.selectExpr("sum(size(keys))").first()[0]
+    assert not path_exists(spark, f"{a.path}/blocks") and a.blocks.count() > 0
