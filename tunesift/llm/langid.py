@@ -37,7 +37,8 @@ ORDERS = (1, 2, 3, 4)
 SWITCH = 12.0
 #: Share of a language's letters above which a script counts as its own.
 SCRIPT_SHARE = 0.01
-GATHER = 6 << 20
+#: Bytes of text that a worker holds at once; word scores and paths come on top.
+GATHER = 2 << 20
 
 # First code points of script blocks (letters of the block belong
 # to the script until the next entry); "" ends a run.
