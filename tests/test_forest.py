@@ -61,3 +61,26 @@ def test_counts_hold_no_place_for_classes_that_dont_occur(spark, tmp_path):
     got = MD.predicted_labels(one, vec).select("y", "predicted", "leaves").collect()
     assert len(got) == 9000 and sum(r.y == r.predicted for r in got) > 9
     assert all(len(r.leaves) == 4 for r in got)
+
+
+def test_tasks_get_only_the_paths_to_open_nodes():
+    from tunesift.operators import forest as RF
+    # two trees: the first has an open node under its left child, the second is done
+    feat = np.array([3, 5, 1, RF.LEAF, RF.LEAF, RF.LEAF, RF.OPEN, RF.LEAF])
+    split, left = np.array([0, 2, 1, 0, 0, 0, 0, 0]), np.array([2, 4, 6, 0, 0, 0, 0, 0])
+    ids, f, s, l = RF._open_paths(feat, split, left, [0, 2, 6, 8], 2)
+    assert ids.tolist() == [0, 1, 2, 3, 6, 7]
+    assert f.tolist() == [3, RF.LEAF, 1, RF.LEAF, RF.OPEN, RF.LEAF]
+    assert s[[0, 2]].tolist() == [0, 1] and l[[0, 2]].tolist() == [2, 4]
+
+
+def test_artist_forest_predicts_each_track_once(spark):
+    from tests.conftest import SF_SMALL
+    from tunesift.operators import models as MD
+    from tunesift.plans import q_models as Q
+    plan = Q.f6_rf_artist_fit(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    meta, model, _, _ = Q._rf_artist(spark, SF_SMALL)
+    vectors = MD.content_vectors(model, meta, normalize=False, keep=("artist_name",))
+    assert vectors.columns == ["track_id", "features", "artist_name"]
+    assert "Exchange hash" not in vectors._jdf.queryExecution().executedPlan().toString()
