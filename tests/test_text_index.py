@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tunesift.operators import sketches as SK
@@ -46,6 +48,29 @@ def test_no_rows(spark, tmp_path):
     assert TI.contains_any(index, [("track_name", "red")]).count() == TI.contains_any(index, [("track_name", "r")]).count() == 0
 
 
+def test_lists_of_a_run_hold_the_rarer_side():
+    texts = ["abcabc", "xabc", "", "ab", "中文字中文字", "abcabc", "zabcz"]
+    names, lacks, places = TI._lists(pa.array(texts))
+    want = {g: {i for i, t in enumerate(texts) if g in t} for t in texts for g in (t[k:k + 3] for k in range(len(t) - 2))}
+    assert len(names) == len(set(names)) and set(names) == set(want)
+    for g, less, own in zip(names, lacks, places):
+        at = np.frombuffer(own, np.uint16).tolist()
+        assert at == sorted(set(range(len(texts))) - want[g] if less else want[g]) and len(at) <= len(texts) // 2
+    assert dict(zip(names, lacks))["abc"] and TI._lists(pa.array(["", "ab"])) == ([], [], [])
+
+
+def test_rows_are_not_exchanged_by_trigram(spark, tmp_path, monkeypatch):
+    """A posting is one list of a run of rows, whatever cuts the runs; a search over many runs equals a scan."""
+    monkeypatch.setattr(TI, "RUN_ROWS", 50)
+    rows = [(f"id{i:04d}", f"common words {'needle' if i % 90 == 0 else 'hay'} {i}", "") for i in range(640)]
+    index = TI.build(spark.createDataFrame(rows, SCHEMA).repartition(3), {"track_name": F.col("track_name")}, str(tmp_path / "i"), block_rows=256)
+    lists = index.postings.filter("gram = 'com'").collect()
+    assert sum(r.n for r in lists) == 640 and all(r.lacks and not r.places and r.n <= 50 for r in lists)
+    assert len(lists) == index.postings.select("block", "first").distinct().count()
+    for q in ("needle", "words hay 1", "common", "needle 63"):
+        assert sorted(r.track_id for r in TI.contains_any(index, [("track_name", q)]).collect()) == [r[0] for r in rows if q in r[1]], q
+
+
 def test_sketches_merge_and_a_part_is_replaced(spark, tmp_path):
     def part(lo, hi):
         return spark.range(lo, hi).select(F.concat(F.lit("t"), "id").alias("track_id"), F.concat(F.lit("a"), F.col("id") % 3000).alias("artist_name"),
