@@ -84,3 +84,47 @@ def test_artist_forest_predicts_each_track_once(spark):
     vectors = MD.content_vectors(model, meta, normalize=False, keep=("artist_name",))
     assert vectors.columns == ["track_id", "features", "artist_name"]
     assert "Exchange hash" not in vectors._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_that_end_early_are_stepped_along_without_harm():
+    rnd = np.random.default_rng(7)
+    # a chain that goes left 40 times: every right child is a leaf
+    feat, left = np.full(81, RF.LEAF), np.zeros(81, np.int64)
+    inner = [0] + list(range(1, 79, 2))
+    for k, node in enumerate(inner):
+        feat[node], left[node] = k % 6, 2 * k + 1
+    above = np.where(feat >= 0, np.arange(81) % 3, 0)
+    dense = np.concatenate([rnd.integers(0, 4, (500, 6)), np.zeros((500, 1))], axis=1).astype(np.int16)
+    dense[:100] = 0  # these go down the whole chain
+    want = []
+    for x in dense:
+        k = 0
+        while feat[k] >= 0:
+            k = left[k] + int(x[feat[k]] > above[k])
+        want.append(k)
+    for kind in (np.int16, float):
+        got = RF._descend(dense.astype(kind), np.arange(7, dtype=np.int32), np.arange(500), np.zeros(500, np.int64), feat, above, left)
+        assert got.tolist() == want and max(want) > 70
+
+
+def test_counts_are_added_alike_whether_one_number_or_two_are_sorted(monkeypatch):
+    rnd = np.random.default_rng(9)
+    k1, k2, n = rnd.integers(0, 50, 3000), rnd.integers(0, 70, 3000), rnd.integers(1, 13, 3000)
+    one = RF._added(k1, k2, n)
+    want = {}
+    for a, b, c in zip(k1.tolist(), k2.tolist(), n.tolist()):
+        want[a, b] = want.get((a, b), 0) + c
+    assert [(*k, want[k]) for k in sorted(want)] == list(zip(*(x.tolist() for x in one)))
+    monkeypatch.setattr(RF, "COUNT_BITS", 0)
+    assert all((a == b).all() for a, b in zip(one, RF._added(k1, k2, n)))
+
+
+def test_subsets_are_the_same_with_and_without_a_table(spark, monkeypatch, tmp_path):
+    from tunesift.operators import models as MD
+    coded = spark.range(600).select(F.col("id").cast("string").alias("track_id"), F.array((F.col("id") % 30).cast("int"), F.lit(30)).alias("at"),
+                                    F.array(F.lit(1.0), (F.col("id") % 7 - 3).cast("double")).alias("vals"), (F.col("id") % 11).alias("y"))
+    vec = MD.sparse_vectors(coded, 31, str(tmp_path / "v")).join(coded.select("track_id", "y"), "track_id")
+    one = MD.rf_fit(vec, "y", num_trees=3, max_depth=5)
+    monkeypatch.setattr(RF, "TABLE", 0)
+    two = MD.rf_fit(vec, "y", num_trees=3, max_depth=5)
+    assert all((a == b).all() if isinstance(a, np.ndarray) else a == b for a, b in zip(one.model.plain(), two.model.plain()))
