@@ -128,3 +128,15 @@ def test_subsets_are_the_same_with_and_without_a_table(spark, monkeypatch, tmp_p
     monkeypatch.setattr(RF, "TABLE", 0)
     two = MD.rf_fit(vec, "y", num_trees=3, max_depth=5)
     assert all((a == b).all() if isinstance(a, np.ndarray) else a == b for a, b in zip(one.model.plain(), two.model.plain()))
+
+
+def test_genre_labels_are_split_once_and_without_vectors(spark):
+    from tests.conftest import SF_SMALL
+    from tunesift.plans import q_models as Q
+    lab, split = Q.lab_table(spark, SF_SMALL), Q.genre_split(spark, SF_SMALL)
+    assert split.columns == ["track_id", "y", "split"] and Q.lab_vectors(spark, SF_SMALL).columns == ["track_id", "features"]
+    for stored in (lab, split):  # read back, not made again for each use
+        assert "Join" not in stored._jdf.queryExecution().optimizedPlan().toString() and stored.inputFiles()
+    assert split.count() == lab.count() == split.select("track_id").distinct().count()
+    share = split.filter("split = 'test'").count() / split.count()
+    assert 0.15 < share < 0.25
