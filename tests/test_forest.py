@@ -140,3 +140,83 @@ def test_genre_labels_are_split_once_and_without_vectors(spark):
     assert split.count() == lab.count() == split.select("track_id").distinct().count()
     share = split.filter("split = 'test'").count() / split.count()
     assert 0.15 < share < 0.25
+
+
+def test_a_split_gives_the_classes_of_both_sides():
+    rnd = np.random.default_rng(11)
+    zero_bin = np.array([0, 2, 1])
+    for _ in range(20):
+        x = np.stack([rnd.integers(0, 3, 80), rnd.integers(0, 5, 80), rnd.integers(0, 3, 80)], axis=1)
+        y, w = rnd.integers(0, 6, 80), rnd.integers(1, 4, 80)
+        cells = {}
+        for i in range(80):
+            for k in [(4, -1, int(y[i]), 0)] + [(4, f, int(y[i]), int(x[i, f])) for f in range(3) if x[i, f] != zero_bin[f]]:
+                cells[k] = cells.get(k, 0) + int(w[i])
+        got = RF.best_splits(*np.array(sorted((*k, n) for k, n in cells.items())).T, zero_bin, 6, 1)[0]
+        right = x[:, got[1]] > got[2]
+        for on, (ys, ns) in ((~right, got[9:11]), (right, got[11:13])):
+            want = np.bincount(y[on], weights=w[on], minlength=6).astype(np.int64)
+            assert np.frombuffer(ys, np.int32).tolist() == np.flatnonzero(want).tolist()
+            assert np.frombuffer(ns, np.int64).tolist() == want[want > 0].tolist()
+
+
+def test_rows_met_by_entries_or_one_by_one_make_the_same_trees(spark, monkeypatch, tmp_path):
+    """Nodes with many rows are met by their features' entries, others row by row: where the line is drawn doesn't matter,
+    nor how many rows a pack has."""
+    from tunesift.operators import models as MD
+    coded = spark.range(3000).select(F.col("id").cast("string").alias("track_id"), F.array((F.col("id") % 30).cast("int"), (30 + F.col("id") % 7).cast("int"), F.lit(37)).alias("at"),
+                                     F.array(F.lit(1.0), F.lit(0.5), (F.col("id") % 5 - 2).cast("double")).alias("vals"), (F.col("id") % 23).alias("y"))
+    vec = MD.sparse_vectors(coded, 38, str(tmp_path / "v")).join(coded.select("track_id", "y"), "track_id")
+    models = []
+    for big, packed in ((64, 32_768), (1, 700), (10 ** 9, 100)):  # in between, only roots are big, all nodes are
+        monkeypatch.setattr(RF, "BIG", big)
+        monkeypatch.setattr(RF, "PACKED", packed)
+        models.append(MD.rf_fit(vec, "y", num_trees=3, max_depth=8).model.plain())
+    assert len(models[0][3]) > 20
+    for other in models[1:]:
+        assert all((a == b).all() if isinstance(a, np.ndarray) else a == b for a, b in zip(models[0], other))
+
+
+def test_only_the_first_level_counts_classes_from_rows(spark, monkeypatch, tmp_path):
+    from tunesift.operators import models as MD
+    coded = spark.range(400).select(F.col("id").cast("string").alias("track_id"), F.array((F.col("id") % 9).cast("int")).alias("at"),
+                                    F.array(F.lit(1.0)).alias("vals"), (F.col("id") % 9).alias("y"))
+    vec = MD.sparse_vectors(coded, 9, str(tmp_path / "v")).join(coded.select("track_id", "y"), "track_id")
+    seen, level = [], RF._level
+
+    def spied(*args):
+        out = level(*args)
+        written = spark.read.parquet(f"{args[-1]}/level{len(seen) % 2}")
+        seen.append((out.num_rows, written.filter("f >= 0 and yl is not null and yr is not null").count(), written.filter("f >= 0").count()))
+        return out
+    monkeypatch.setattr(RF, "_level", spied)
+    m = MD.rf_fit(vec, "y", num_trees=2, max_depth=4).model
+    assert len(seen) > 2 and all(a == b for _, a, b in seen) and sum(n for n, _, _ in seen) == len(m.feat)
+
+
+def test_nodes_are_dealt_by_size():
+    got = RF._dealt(np.array([1, 50, 1, 48, 1, 47, 0, 0]), 3)
+    assert sorted(got[[1, 3, 5]].tolist()) == [0, 1, 2] and len(got) == 8
+    assert RF._dealt(np.zeros(0, np.int64), 4).tolist() == []
+
+
+def test_predictions_of_a_task_are_made_once_for_the_same_leaves(spark, monkeypatch):
+    rnd = np.random.default_rng(2)
+    none, starts = np.zeros(6, np.int64), np.array([0, 2, 4, 6, 8, 10, 12])
+    m = RF.ForestModel(4, 1, 2, none - 1, none * 0.0, none, none, starts, np.tile([0, 1], 6), np.tile([0.4, 0.6], 6))
+    nodes = rnd.integers(0, 6, (50, 2))
+    assert (m.predict(nodes, m.by_class()) == m.predict(nodes)).all() and (m.predict(nodes) == 1).all()
+
+
+def test_leaf_rows_stand_one_a_track_and_are_not_exchanged(spark):
+    from tests.conftest import SF_SMALL
+    from tunesift.operators import models as MD
+    from tunesift.plans import q_models as Q
+    leaves = Q._leaves(spark, SF_SMALL)
+    assert leaves.columns == ["track_id", "leaf"] and leaves.count() == leaves.select("track_id").distinct().count()
+    idx = MD.leaf_index(leaves, Q.RF_TREES)
+    for df in (idx, Q.f7_leaf_embedding(spark, SF_SMALL)):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    long = {(r.track_id, f"{r.tree}:{r.leaf}") for r in MD.leaf_long(leaves).limit(400).collect()}
+    keys = {(r.track_id, k) for r in idx.collect() for k in r["keys"]}
+    assert long <= keys and len(keys) == Q.RF_TREES * leaves.count()
