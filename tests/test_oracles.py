@@ -50,3 +50,19 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns[:3] == ["seed_id", "rank", "score"]
     assert 0 < df.count() <= 10
+
+
+def test_part_files_are_made_once_and_each_sketch_reads_its_own(spark, monkeypatch):
+    """h1_h9_part_sketches: no part's state and no total joins the source tables again."""
+    from tunesift.operators import sketches as SK
+    from tunesift.plans import q_profile as QP
+    read, stored = [], SK.store_part
+
+    def spied(part, name, path, *args):
+        read.append(part.inputFiles())
+        return stored(part, name, path, *args)
+    monkeypatch.setattr(SK, "store_part", spied)
+    out = QP.h1_h9_part_sketches(spark, SF_SMALL)
+    assert len(read) > 1 and all("part_sketches" in f for files in read for f in files)
+    assert not any("lineitem" in f for f in out.inputFiles())
+    assert len(out.collect()) == 7

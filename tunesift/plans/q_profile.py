@@ -201,9 +201,11 @@ def h1_h9_part_sketches(spark, sf):
     """H1, H9 and H15 over all raw parts from the state stored beside each: the
     exact values, and whether the merged sketches come within their error."""
     path = scratch_path(spark, f"part_sketches/{uuid.uuid4().hex[:12]}")
-    raw = parts(spark, sf)
-    ready = clean.prepare_meta(raw.drop("release_year")).select("track_id", "artist_name", "artist_genres", "release_year", "part")
-    for (number,) in sorted(tuple(r) for r in raw.select("part").distinct().collect()):  # one a part file
+    made = clean.prepare_meta(parts(spark, sf).drop("release_year")).select("track_id", "artist_name", "artist_genres", "release_year", "part")
+    # the part files: made once, so that the joins behind them (and what those broadcast) aren't run again for every part and total
+    made.write.partitionBy("part").parquet(f"{path}_files")
+    ready = spark.read.schema(made.schema).parquet(f"{path}_files")
+    for (number,) in sorted(tuple(r) for r in ready.select("part").distinct().collect()):  # one a part file
         SK.store_part(ready.filter(F.col("part") == number), str(number), path)
     exact = ready.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("track_id").alias("songs"), F.count_distinct("artist_name").alias("artists"),
                       *[f(F.when(F.col("release_year") > 0, F.col("release_year"))).alias(n) for f, n in ((F.min, "min_year"), (F.max, "max_year"))])
